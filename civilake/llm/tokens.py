@@ -4,37 +4,52 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 END_ID = 1
 GAP = re.compile(r"[\x20\x09-\x0D]+")
+#: Lower-case Latin-1 letters, which normalisation leaves alone, then punctuation: there the ids always split.
+#: Apostrophes (contractions) and "<" (special tokens) are left to the whole tokenizer.
+WORD_AND_TAIL = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\[-`{-~]*)").fullmatch
 
 
 class ChunkEncoder:
     """Encodes texts by their white-space separated chunks, each distinct chunk once.
 
-    Valid for tokenizers whose pre-tokenizer drops white space and never joins
-    text across it (``word_bpe_49k.json`` is one); then the ids of a text are
-    those of its chunks in turn. The library encodes every chunk that is not
-    cached. Two generations of at most ``limit`` chunks each bound the memory.
+    Valid for tokenizers that drop white space, never join text across it, lower-case,
+    and mark the last token of a word (``word_bpe_49k.json`` is one); then the ids
+    of a text are those of its chunks in turn. The library encodes every word that
+    is not cached. Two generations of at most ``limit`` chunks each bound the memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self.code = "H" if max(vocabulary.values()) < 1 << 16 else "I"
         self.width = 2 if self.code == "H" else 4
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled = {c: self._spelled(chr(c)) for c in range(0x80, 0x100) if chr(c).isalpha() and chr(c).islower()}
         self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _spelled(self, letter: str) -> str:
+        """How the tokenizer's normaliser and pre-tokenizer spell a letter for its model."""
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter))
+        return "".join(part for part, _ in found)
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed little-endian in ``width`` bytes each; null counts as empty."""
         chunks = [GAP.split(text or "") for text in texts]
-        self._learn(set().union(*chunks) if chunks else set())
+        self._learn(set().union(*chunks))
         look_up = self.new.__getitem__
         for parts in chunks:
             yield b"".join(map(look_up, parts))
@@ -42,16 +57,51 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        missing = []
-        for chunk in chunks.difference(self.new):
-            known = self.old.get(chunk)
-            if known is None:
-                missing.append(chunk)
-            else:
-                self.new[chunk] = known
-        code = self.code
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.new[chunk] = array(code, found.ids).tobytes()
+        new, old = self.new, self.old
+        split, words, others = [], set(), []
+        for chunk in chunks.difference(new):
+            known = old.get(chunk)
+            if known is not None:
+                new[chunk] = known
+                continue
+            parts = WORD_AND_TAIL(chunk.lower())
+            if parts is None:
+                others.append(chunk)
+                continue
+            word, tail = parts.groups()
+            split.append((chunk, word, tail))
+            if word not in new:
+                known = old.get(word)
+                if known is None:
+                    words.add(word)
+                else:
+                    new[word] = known
+        self._encode_words(list(words))
+        others.extend(tail for tail in {tail for _, _, tail in split} if tail not in new)
+        self._encode_others(others)
+        for chunk, word, tail in split:
+            new[chunk] = new[word] + new[tail]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of Latin letters in one call of the model: each becomes the tokens up to the next that ends a word."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            line = " ".join(part)
+            if not line.isascii():
+                line = line.translate(self.spelled)
+            ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.code)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._encode_others(part)
+                continue
+            packed, low = ids.tobytes(), 0
+            for word, high in zip(part, (ends * self.width).tolist(), strict=True):
+                self.new[word] = packed[low:high]
+                low = high
+
+    def _encode_others(self, chunks: list[str]) -> None:
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.new[chunk] = np.array(found.ids, self.code).tobytes()
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
