@@ -24,7 +24,7 @@ class ChunkEncoder:
     is not cached. Two generations of at most ``limit`` chunks each bound the memory.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
