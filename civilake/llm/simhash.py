@@ -17,8 +17,9 @@ from civilake.llm.staging import staged
 BITS = 64
 #: Numbers of partitions that the planner compares.
 PARTITION_COUNTS = (2, 3, 4, 5)
-#: What one shuffled signature costs, in verified candidate pairs.
-ROW_COST = 20.0
+#: What one shuffled signature costs, in verified candidate pairs: about 3.5 microseconds a row
+#: (made, shuffled, sorted, read) against 8 nanoseconds a comparison, as measured.
+ROW_COST = 400.0
 #: A bucket of more rows is split into blocks, and pairs of blocks are linked in separate tasks.
 BUCKET_ROWS = 50_000
 #: Buckets up to this size are compared pair by pair, all buckets at once.
