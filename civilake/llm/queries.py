@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, packing, records, simhash
+from civilake.llm import exact_dedup, langid, packing, records, simhash
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -36,11 +36,16 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.op8(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op9(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_token_records": op8_token_records,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
