@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, packing, records, simhash
+from civilake.llm import exact_dedup, langid, packing, records, simhash, topk
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -40,12 +40,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op9(documents(spark, sf_dir))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLES = {
@@ -55,4 +60,13 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM rows""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
