@@ -19,6 +19,8 @@ BLOCKS_PER_RANGE = 64
 QUERY_GROUP = 512
 #: Blocks of best bound that are scored first, to find each query's k-th score.
 FIRST_BLOCKS = 2
+#: Below any score; its negative still fits in 64 bits.
+NO_SCORE = -(1 << 62)
 
 INDEX = "block long, ids binary, values binary, top array<int>, low array<int>"
 
@@ -72,7 +74,7 @@ class Best:
 
     def __init__(self, query_ids: np.ndarray, k: int, kth: np.ndarray):
         self.query_ids, self.k = query_ids, k
-        self.scores = np.full((len(query_ids), k), np.iinfo(np.int64).min)
+        self.scores = np.full((len(query_ids), k), NO_SCORE)
         self.ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
         self.given = kth
 
@@ -81,7 +83,7 @@ class Best:
         return np.maximum(self.scores[:, -1], self.given)
 
     def take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == self.query_ids[rows, None], np.iinfo(np.int64).min, scores)
+        scores = np.where(ids[None, :] == self.query_ids[rows, None], NO_SCORE, scores)
         all_scores = np.hstack([self.scores[rows], scores])
         all_ids = np.hstack([self.ids[rows], np.broadcast_to(ids, scores.shape)])
         if all_scores.shape[1] > 4 * self.k:
@@ -120,7 +122,6 @@ def scored(ranges: DataFrame, groups: DataFrame, k: int, most: int | None) -> Da
     (from 0), ``query_ids``, ``queries`` and ``known`` (k-th scores so far). Each
     range meets each group once, in one task of bounded size.
     """
-    least = np.iinfo(np.int64).min
     schema = pa.schema([("grp", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key, left, right):
@@ -133,9 +134,9 @@ def scored(ranges: DataFrame, groups: DataFrame, k: int, most: int | None) -> Da
         query_ids = np.frombuffer(right["query_ids"][0].as_py(), "<i8")
         queries = np.frombuffer(right["queries"][0].as_py(), "<i4").reshape(len(query_ids), -1)
         known = {row["query_id"]: row["score"] for row in right["known"][0].as_py() or ()}
-        kth = np.array([known.get(i, least) for i in query_ids.tolist()], np.int64)
+        kth = np.array([known.get(i, NO_SCORE) for i in query_ids.tolist()], np.int64)
         best = search_blocks(query_ids, queries, kth, blocks, np.array(left["top"].to_pylist()), np.array(left["low"].to_pylist()), k, most)
-        row, column = np.nonzero(best.scores > least)
+        row, column = np.nonzero(best.scores > NO_SCORE)
         group = np.full(len(row), right["grp"][0].as_py(), np.int32)
         return pa.table([group, best.query_ids[row], best.ids[row, column], best.scores[row, column]], schema=schema)
 
