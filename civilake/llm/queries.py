@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, packing, records, simhash, topk
+from civilake.llm import exact_dedup, langid, packing, records, simhash, topk, toxicity
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op2(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_token_records": op8_token_records,

@@ -15,6 +15,15 @@ GAP = re.compile(r"[\x20\x09-\x0D]+")
 WORD_AND_TAIL = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\[-`{-~]*)").fullmatch
 
 
+#: White space for ``str.split`` that is none for the tokenizer; all other white space is dropped by both.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def split(text: str) -> list[str]:
+    """The chunks of a text."""
+    return GAP.split(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 class ChunkEncoder:
     """Encodes texts by their white-space separated chunks, each distinct chunk once.
 
@@ -24,7 +33,7 @@ class ChunkEncoder:
     is not cached. Two generations of at most ``limit`` chunks each bound the memory.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -48,7 +57,7 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed little-endian in ``width`` bytes each; null counts as empty."""
-        chunks = [GAP.split(text or "") for text in texts]
+        chunks = [split(text or "") for text in texts]
         self._learn(set().union(*chunks))
         look_up = self.new.__getitem__
         for parts in chunks:
@@ -114,7 +123,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def small_runs(lengths: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def small_runs(lengths: list[int], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose lengths sum to about ``most`` (a longer row stands alone)."""
     start = total = 0
     for i, length in enumerate(lengths):
