@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, packing, records, simhash, topk, toxicity
+from civilake.llm import exact_dedup, langid, packing, records, simhash, suffix_tree, topk, toxicity
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.op1(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op2(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
