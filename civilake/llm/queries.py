@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, packing, records, simhash, suffix_tree, topk, toxicity
+from civilake.llm import exact_dedup, langid, mixing, packing, pii, records, simhash, suffix_tree, topk, toxicity
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op3(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op6(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op7(documents(spark, sf_dir))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.op8(documents(spark, sf_dir), tokenizer_path())
 
@@ -56,8 +64,10 @@ QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,

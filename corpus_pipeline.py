@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, packing, queries, simhash
+from civilake.llm import exact_dedup, langid, mixing, packing, queries, simhash
 from civilake.llm.staging import staged
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents whose language cannot be told (null or letterless text) go."""
+    return langid.accepted(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of equal texts, the document with the largest doc_id stays."""
     return exact_dedup.without_copies(docs)
@@ -18,14 +23,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents at the rates that bring the languages' tokens to their target weights, none repeated."""
+    return mixing.mixed(docs, docs.where("lang IS NOT NULL"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: every kept document in windows of 2048 ids."""
     return packing.op6(docs, queries.tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact), ("simhash", near), ("packing", packed)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash", near), ("mixing", mix), ("packing", packed)]
 
-#: SQL has no tokenizer and no XXH64 fingerprint, so the stages are tested against brute force instead.
+#: SQL has no classifier, tokenizer or SimHash, so the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
