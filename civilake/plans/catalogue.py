@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civilake.plans import feeds
+from civilake.plans import feeds, relational
 
-MODULES = (feeds,)
+MODULES = (feeds, relational)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -20,7 +20,7 @@ def main_feed_page(spark: SparkSession, sf_dir: str, size: int = 20, page: int =
     )
     return shown.join(proposers, shown.o_orderkey == proposers.l_orderkey, "left").select(
         F.col("o_orderkey").alias("bill_id"),
-        F.col("o_orderdate").cast("date").alias("propose_date"),
+        F.col("o_orderdate").cast("date").cast("string").alias("propose_date"),
         F.coalesce("proposers", F.lit("")).alias("proposers"),
     )
 
@@ -34,6 +34,6 @@ WITH shown AS (
   ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20),
 pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM shown)),
 lists AS (SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS proposers FROM pairs GROUP BY 1)
-SELECT s.o_orderkey AS bill_id, CAST(s.o_orderdate AS DATE) AS propose_date, coalesce(l.proposers, '') AS proposers
+SELECT s.o_orderkey AS bill_id, CAST(CAST(s.o_orderdate AS DATE) AS VARCHAR) AS propose_date, coalesce(l.proposers, '') AS proposers
 FROM shown s LEFT JOIN lists l ON s.o_orderkey = l.l_orderkey"""
 }
