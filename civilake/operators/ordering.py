@@ -43,3 +43,13 @@ def fair_merge(rows: DataFrame, queue: str, order: list[Column], queues: list[st
         seat = F.when(F.col(queue) == name, F.lit((at - start) % len(queues))).otherwise(seat)
     ranked = rows.withColumns({"turn": turn, "seat": seat}).where(f"turn <= {n} AND seat IS NOT NULL")
     return ranked.orderBy("turn", "seat").limit(n)
+
+
+def gap_clusters(rows: DataFrame, keys: list[str], x: str, tie: str, clusters: int, least_gap: float) -> DataFrame:
+    """``cluster`` (from 0) of each row along ``x``: a group is cut at its ``clusters - 1`` largest gaps over ``least_gap``."""
+    along = Window.partitionBy(*keys).orderBy(x, tie)
+    gapped = rows.withColumn("__gap", F.col(x) - F.lag(x).over(along))
+    widest = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__gap"), x, tie)
+    cut = (F.row_number().over(widest) < clusters) & (F.col("__gap") > least_gap)
+    counted = gapped.withColumn("__cut", F.when(cut, 1).otherwise(0))
+    return counted.withColumn("cluster", F.sum("__cut").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__cut")
