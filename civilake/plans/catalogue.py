@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civilake.plans import feeds, polls, recency, relational
+from civilake.plans import feeds, merges, polls, recency, relational
 
-MODULES = (feeds, relational, polls, recency)
+MODULES = (feeds, relational, polls, recency, merges)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
