@@ -32,6 +32,8 @@ VOTERS = ("curated", "words_a", "words_b", "prefix4", "prefix5", "prefix6", "sho
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[!?]{3,}")
 THRESHOLD = 0.3
+#: The classifier's intercept if there is no labelled row to learn from: every score is then 0.018.
+NOTHING_LEARNT = -4.0
 
 
 def units(text: str | None) -> set[str]:
@@ -191,8 +193,8 @@ class Linear:
         w, v, b, vb = np.zeros(n_units), np.zeros(patterns.shape[1]), 0.0, 0.0
         n = len(at)
         scale = 1.0 / max(1.0, float(np.sqrt(max((len(a) for a in at), default=1))))
-        last = (w, v, b)
-        for step in range(steps):
+        last = (w, v, b if n else NOTHING_LEARNT)
+        for step in range(steps if n else 0):
             z = np.bincount(rows, w[units_at], n) if len(rows) else np.zeros(n)
             error = 1 / (1 + np.exp(-np.clip(z + patterns @ v + b, -30, 30))) - soft
             g_w = np.bincount(units_at, error[rows], n_units) / n + reg * w if len(rows) else reg * w
