@@ -20,26 +20,29 @@ QUERY_GROUP = 512
 #: Blocks of best bound that are scored first, to find each query's k-th score.
 FIRST_BLOCKS = 2
 #: Below any score; its negative still fits in 64 bits.
-NO_SCORE = -(1 << 62)
+NO_SCORE = -(1 << 63) + 1
+#: Integers up to here are exact as doubles.
+EXACT = float(1 << 53)
 
-INDEX = "block long, ids binary, values binary, top array<int>, low array<int>"
+INDEX = "dim int, block long, ids binary, values binary, top array<bigint>, low array<bigint>"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
     """Each component as floor(scale * x), or null if the vector or any component is null or not finite.
 
-    Components of 2^22 and more after scaling would not multiply exactly; such a vector is null too.
+    A finite component that does not fit in 64 bits after scaling is an error, as in the query's SQL.
     """
-    limit = float(1 << 22)
-    usable = vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < limit, F.lit(False)))
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    scaled = lambda x: x.cast("double") * scale
+    usable = vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    wide = F.raise_error(F.lit("a component does not fit in 64 bits after scaling")).cast("bigint")
+    return F.when(usable, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < float(1 << 63), F.floor(scaled(x)).cast("bigint")).otherwise(wide)))
 
 
 def block_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """INDEX rows over ``id long, v array<int>``: consecutive id ranges of about ``block`` vectors.
+    """INDEX rows over ``id long, v array<bigint>``: consecutive id ranges of about ``block`` vectors of one dimension.
 
-    ``values`` is the block's forward index, one row of int32 components for each
-    id; ``top`` and ``low`` are its largest and smallest value of each component
+    ``values`` is the block's forward index, one row of components for each id,
+    of 32 bits where all of the block fit and else of 64; ``top`` and ``low`` are its largest and smallest value of each component
     (the term maxima of the positive and the negative side).
     """
 
@@ -48,25 +51,55 @@ def block_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i4").reshape(len(ids), -1)
-                yield pa.record_batch(
-                    [pa.array([number]), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()),
-                     pa.array([values.max(0).tolist()], pa.list_(pa.int32())), pa.array([values.min(0).tolist()], pa.list_(pa.int32()))],
-                    names=["block", "ids", "values", "top", "low"],
-                )
-                number += 1
-
-    ranged = vectors.repartitionByRange("id").sortWithinPartitions("id")
+            dims = batch.column(2).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, dims[1:] != dims[:-1]]).tolist() if len(dims) else []
+            for start, end in zip(starts, [*starts[1:], len(dims)], strict=True):
+                for at in range(start, end, block):
+                    part = batch.slice(at, min(block, end - at))
+                    ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                    values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(ids), -1)
+                    top, low = values.max(0), values.min(0)
+                    narrow = top.max() < 1 << 31 and low.min() >= -(1 << 31)
+                    yield pa.record_batch(
+                        [pa.array([int(dims[at])], pa.int32()), pa.array([number]), pa.array([ids.tobytes()], pa.binary()),
+                         pa.array([values.astype("<i4" if narrow else "<i8").tobytes()], pa.binary()),
+                         pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([low.tolist()], pa.list_(pa.int64()))],
+                        names=["dim", "block", "ids", "values", "top", "low"],
+                    )
+                    number += 1
+
+    ranged = vectors.select("id", "v", F.size("v").alias("dim")).repartitionByRange("dim", "id").sortWithinPartitions("dim", "id")
     return ranged.mapInArrow(build, INDEX)
 
 
+def components(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """Rows of 32 or 64 bits a component, as ``block_index`` writes them."""
+    return np.frombuffer(data, "<i4" if len(data) == 4 * rows * dim else "<i8").reshape(rows, dim)
+
+
 def bounds(queries: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """No vector of a block scores over this: each query component times the block's extreme of its sign, summed."""
-    q = queries.astype(np.float64)
-    return (np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T).astype(np.int64)
+    """No vector of a block scores over this: each query component times the block's extreme of its sign, summed.
+
+    Where doubles may round, the bound is widened by more than all roundings together.
+    """
+    q, top, low = (x.astype(np.float64) for x in (queries, top, low))
+    reach = np.abs(q) @ np.maximum(np.abs(top), np.abs(low)).T
+    slack = np.where(reach < EXACT / 2, 0, reach * (q.shape[1] + 4) * 2.0**-50)
+    return np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T + slack
+
+
+def products(queries: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows; one beyond 64 bits is an error, as in the query's SQL."""
+    q, v = queries.astype(np.float64), values.astype(np.float64)
+    reach = float((np.abs(q) @ np.abs(v).max(0)).max())  # no sum of products nor any part of one is larger
+    if reach < EXACT / 2:
+        return (q @ v.T).astype(np.int64)
+    if reach < float(1 << 62):
+        return queries.astype(np.int64) @ values.astype(np.int64).T
+    found = queries.astype(object) @ values.astype(object).T
+    if max(found.max(), -found.min()) >= -NO_SCORE:
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return found.astype(np.int64)
 
 
 class Best:
@@ -111,55 +144,56 @@ def search_blocks(query_ids, queries, kth, blocks: list[tuple[np.ndarray, np.nda
         for b in np.unique(turn):
             rows = live[turn == b]
             ids, values = blocks[b]
-            best.take(rows, ids, (queries[rows].astype(np.float64) @ values.T.astype(np.float64)).astype(np.int64))
+            best.take(rows, ids, products(queries[rows], values))
     return best
 
 
 def scored(ranges: DataFrame, groups: DataFrame, k: int, most: int | None) -> DataFrame:
-    """Each query's k best of each block range: ``grp, query_id, vec_id, score``.
+    """Each query's k best of each block range: ``dim, grp, query_id, vec_id, score``.
 
-    ``ranges`` has INDEX columns and ``range`` (from 0), ``groups`` has ``grp``
-    (from 0), ``query_ids``, ``queries`` and ``known`` (k-th scores so far). Each
-    range meets each group once, in one task of bounded size.
+    ``ranges`` has INDEX columns and ``range``, ``groups`` has ``dim``, ``grp``,
+    ``query_ids``, ``queries`` and ``known`` (k-th scores so far). Each range
+    meets each group of its dimension once, in one task of bounded size.
     """
-    schema = pa.schema([("grp", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("dim", pa.int32()), ("grp", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        blocks = []
+        blocks, dim = [], right["dim"][0].as_py()
         for ids, values in zip(left["ids"].to_pylist(), left["values"].to_pylist(), strict=True):
             ids = np.frombuffer(ids, "<i8")
-            blocks.append((ids, np.frombuffer(values, "<i4").reshape(len(ids), -1)))
+            blocks.append((ids, components(values, len(ids), dim)))
         query_ids = np.frombuffer(right["query_ids"][0].as_py(), "<i8")
-        queries = np.frombuffer(right["queries"][0].as_py(), "<i4").reshape(len(query_ids), -1)
+        queries = np.frombuffer(right["queries"][0].as_py(), "<i8").reshape(len(query_ids), dim)
         known = {row["query_id"]: row["score"] for row in right["known"][0].as_py() or ()}
         kth = np.array([known.get(i, NO_SCORE) for i in query_ids.tolist()], np.int64)
         best = search_blocks(query_ids, queries, kth, blocks, np.array(left["top"].to_pylist()), np.array(left["low"].to_pylist()), k, most)
         row, column = np.nonzero(best.scores > NO_SCORE)
-        group = np.full(len(row), right["grp"][0].as_py(), np.int32)
-        return pa.table([group, best.query_ids[row], best.ids[row, column], best.scores[row, column]], schema=schema)
+        own = [np.full(len(row), right[name][0].as_py(), np.int32) for name in ("dim", "grp")]
+        return pa.table([*own, best.query_ids[row], best.ids[row, column], best.scores[row, column]], schema=schema)
 
-    n_ranges, n_groups = ranges.agg(F.max("range")).first()[0], groups.count()
-    if n_ranges is None or not n_groups:
-        return ranges.sparkSession.createDataFrame([], "grp int, query_id long, vec_id long, score long")
-    left = ranges.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    right = groups.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n_ranges))))
-    paired = left.groupBy("range", "grp").cogroup(right.groupBy("range", "grp"))
-    return paired.applyInArrow(run, "grp int, query_id long, vec_id long, score long")
+    # One short row for each group and each range: thousandths of the vectors.
+    met = F.broadcast(groups.select(F.col("dim").alias("__dim"), F.col("grp").alias("__grp")))
+    meets = F.broadcast(ranges.select(F.col("dim").alias("__dim"), F.col("range").alias("__range")).distinct())
+    left = ranges.join(met, F.col("dim") == F.col("__dim")).drop("__dim")
+    right = groups.join(meets, F.col("dim") == F.col("__dim")).drop("__dim")
+    paired = left.groupBy("dim", "range", "__grp").cogroup(right.groupBy("dim", "__range", "grp"))
+    return paired.applyInArrow(run, "dim int, grp int, query_id long, vec_id long, score long")
 
 
 def top_of(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ranked from 1."""
-    order = Window.partitionBy("grp", "query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("dim", "grp", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK, query_group: int = QUERY_GROUP) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest integer inner products of each query with all other vectors.
 
-    ``vectors`` has ``id long, v array<int>``. Rows with a null id or ``v``, an
-    empty ``v``, or another dimension than the most common one take no part. Ties
+    ``vectors`` has ``id long`` and ``v``, an array of integers. Rows with a null
+    id or ``v`` or an empty ``v`` take no part; vectors of different dimensions
+    have no product, so each dimension is searched on its own. Ties
     go to the smaller id; fewer than k candidates give fewer rows, an empty table
     none. Rows repeated with one id are one query and each a candidate of others,
     but never of their own id.
@@ -168,30 +202,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     bound, which gives each query a k-th score. The second takes a range's blocks
     in order of bound and stops where the bound falls below the k-th score.
     """
-    usable = vectors.where("id IS NOT NULL AND size(v) > 0")
-    common = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usable = usable.where(F.size("v") == (common["n"] if common else 0))
-    index = staged(block_index(usable, block), "topk-index").withColumn("part", F.expr(f"block div {BLOCKS_PER_RANGE}"))
-    parts = index.select("part").distinct().withColumn("range", F.row_number().over(Window.orderBy("part")) - 1)
-    ranges = staged(index.join(parts, "part").drop("part"), "topk-ranges")
+    usable = vectors.where("id IS NOT NULL AND size(v) > 0").withColumn("v", F.col("v").cast("array<bigint>"))
+    index = staged(block_index(usable, block), "topk-index")
+    ranges = index.withColumn("range", F.expr(f"block div {BLOCKS_PER_RANGE}"))
 
-    asked = usable.where(is_query).dropDuplicates(["id"]).select("id", "v")
-    n_groups = max(1, -(-asked.count() // query_group))
+    asked = usable.where(is_query).dropDuplicates(["id"]).select("id", "v", F.size("v").alias("dim"))
+    sizes = asked.groupBy("dim").agg(F.count("*").alias("n"))
 
     def group(key, rows):
         ids = rows["id"].to_numpy().astype("<i8")
-        values = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i4")
-        return pa.table({"query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([values.tobytes()], pa.binary())})
+        values = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
+        own = [pa.array([k.as_py()], pa.int32()) for k in key]
+        return pa.table([*own, pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", "grp", "query_ids", "queries"])
 
-    dealt = asked.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int"))
-    groups = dealt.groupBy("grp").applyInArrow(group, "query_ids binary, queries binary")
-    groups = groups.withColumn("grp", F.row_number().over(Window.orderBy("query_ids")) - 1)
+    dealt = asked.join(F.broadcast(sizes), "dim").withColumn("grp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / query_group)).cast("int"))  # a row for each dimension
+    groups = dealt.select("dim", "grp", "id", "v").groupBy("dim", "grp").applyInArrow(group, "dim int, grp int, query_ids binary, queries binary")
     unknown = F.lit(None).cast("array<struct<query_id:bigint,score:bigint>>")
     groups = staged(groups.withColumn("known", unknown), "topk-queries")
 
     first = top_of(scored(ranges, groups, k, FIRST_BLOCKS), k).where(F.col("rank") == k)
-    known = first.groupBy("grp").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
-    groups = staged(groups.drop("known").join(known, "grp", "left"), "topk-known")
+    known = first.groupBy("dim", "grp").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
+    groups = staged(groups.drop("known").join(known, ["dim", "grp"], "left"), "topk-known")
     return top_of(scored(ranges, groups, k, None), k).select("query_id", "rank", "vec_id", "score")
 
 

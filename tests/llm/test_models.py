@@ -143,6 +143,26 @@ def test_top_k_is_exact(spark):
     assert topk.op10(few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_mixed_dimensions(spark):
+    """Finite vectors of any size and dimension are searched, in exact integers."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)]
+    rows += [(i, (rng.normal(size=6) * 3e5).round(2).tolist()) for i in range(300, 360)]
+    rows += [(i, (rng.normal(size=6) * 2e6).round(2).tolist()) for i in range(360, 410)]
+    rows += [(i, rng.normal(size=3).round(2).tolist()) for i in range(410, 470)]
+    found = topk.op10(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    expected = []
+    for q in (i for i in usable if i % 50 == 0):
+        products = {i: sum(a * b for a, b in zip(usable[q], v, strict=True)) for i, v in usable.items() if i != q and len(v) == len(usable[q])}
+        ranked = sorted((-score, i) for i, score in products.items())[:5]
+        expected += [(q, at, i, -score) for at, (score, i) in enumerate(ranked, 1)]
+    assert max(abs(e[3]) for e in expected) > 1 << 53
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == expected
+    with pytest.raises(Exception, match="64 bits"):
+        topk.op10(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_pipeline_stages(spark):
     docs = queries.documents(spark, DATA)
     kept = docs
