@@ -58,6 +58,41 @@ def test_repetition_scores_higher_than_base(spark):
     assert found and all(r.score > r.base_score for r in found)
 
 
+def test_rare_contexts_stay_however_large_the_corpus(spark):
+    """A word pair seen six times keeps its context, and scores are those of the tree built in one place."""
+    rng = random.Random(5)
+    held = lambda i: crc32(str(i).encode()) % 7 == 2
+    rows = [(i, [rng.choice("abcdefgh") + rng.choice("uvwxyz") for _ in range(200)]) for i in range(1200)]
+    for i in [i for i, _ in rows if not held(i)][:6] + [i for i, _ in rows if held(i)][:1]:
+        rows[i][1][50:52] = ["zeta", "omega"]
+    found = {r.doc_id: r for r in suffix_tree.op1(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+
+    texts = {i: words_of(" ".join(w)) for i, w in rows}
+    counts = Counter(w for i, t in texts.items() if not held(i) for w in t)
+    number = {w: k for k, w in enumerate(counts)}
+    root = suffix_tree.Root(sum(counts.values()), len(counts), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()))
+    tree = suffix_tree.Tree(root, np.array(list(counts.values())))
+    for depth in (1, 2):
+        seen = Counter()
+        for i, t in texts.items():
+            for at in range(depth, len(t)) if not held(i) else ():
+                key = 0
+                for w in t[at - depth : at]:
+                    key = key * tree.symbols + number[w]
+                seen[key, number[t[at]]] += 1
+        totals = Counter()
+        for (key, _), n in seen.items():
+            totals[key] += n
+        contexts = np.array(sorted(totals))
+        place = {int(c): k for k, c in enumerate(contexts)}
+        often = sorted((place[key] * tree.symbols + symbol, n) for (key, symbol), n in seen.items() if n >= 2)
+        tree.grow(contexts, np.array([totals[int(c)] for c in contexts]), np.array([k for k, _ in often]), np.array([n for _, n in often]), suffix_tree.LEAST_GAIN)
+    assert number[b"zeta"] in tree.levels[0]["contexts"]
+    for i, t in texts.items():
+        stream = np.array([number[w] for w in t])
+        assert found[i].score == pytest.approx(tree.log10(stream, np.zeros(len(t), int)).sum(), abs=1e-6)
+
+
 def test_toxicity_learns_from_labels(spark, awkward, empty):
     rng = random.Random(3)
     plain = [f"word{i}" for i in range(300)]
