@@ -8,7 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.langid import held_out
@@ -20,7 +20,7 @@ INSULTS = frozenset(
     "idiota imbécil estúpido estúpida basura asqueroso idioten dummkopf abschaum widerlich crétin ordure stupide".split()
 )
 
-#: Most labelled rows of each class that lexicons and classifier are fitted on.
+#: Most labelled rows of each class that the classifier is fitted on; the lexicons are mined from all.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: A unit enters a lexicon at this log-likelihood ratio (one in a billion by chance), in that many documents.
 LEAST_LLR, LEAST_DOCUMENTS = 37.0, 8
@@ -65,79 +65,83 @@ def votes(text: str | None, lexicon: dict[str, int]) -> tuple[tuple[int, ...], l
     return (*found, 0 if any(found[:6]) else -1), at
 
 
-def llr(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
-    """Log-likelihood ratio of units in ``a`` of ``n_a`` toxic and ``b`` of ``n_b`` clean documents, against one common rate."""
+def llr(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """Log-likelihood ratio of a unit in ``a`` of ``n_a`` toxic and ``b`` of ``n_b`` clean documents, against one common rate."""
 
-    def part(k, n, p):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
+    def part(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log1p(-p)).otherwise(0.0)
 
     p = (a + b) / (n_a + n_b)
     return 2 * (part(a, n_a, a / n_a) + part(b, n_b, b / n_b) - part(a, n_a, p) - part(b, n_b, p))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
-    """``body, toxic``: at most so many labelled texts of each class outside the held-out quarter.
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``at, body`` of the labelled rows outside the held-out quarter, and ``at, h, toxic`` of those that teach.
 
     Equal texts count once, and so do near copies: else whatever one copied text
     holds would look like a sign of its class. Rows with a null label or null id
-    teach nothing; an id with several labels counts as the largest.
+    teach nothing; an id or text with several labels counts as the largest.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), 4, 2)).withColumnRenamed("doc_id", "known_id")
-    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(known, F.col("doc_id") == F.col("known_id"))
-    once = staged(keys.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("known_id")), "toxicity-labelled")
-    size = {row["toxic"]: row["n"] for row in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    want = {1: toxic_rows, 0: clean_rows}
-    parts = []
-    for label, most in want.items():
-        share = min(1.0, 1.2 * most / max(size.get(label, 0), 1))
-        part = once.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).limit(most)
-        parts.append(part.select("known_id", "toxic"))
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic_rows + clean_rows rows of 12 bytes
-    found = docs.join(chosen, F.col("doc_id") == F.col("known_id")).select(F.col("text").alias("body"), "toxic")
+    found = docs.join(known, F.col("doc_id") == F.col("known_id")).select(F.col("text").alias("body"), "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [sketch(text.as_py()) for text in batch.column(0)]
             yield pa.record_batch([*batch.columns, pa.array(keys, pa.int64())], names=["body", "toxic", "sketch"])
 
-    sketched = found.mapInArrow(run, "body string, toxic int, sketch long")
-    return sketched.dropDuplicates(["sketch", "toxic"]).drop("sketch")
+    rows = found.mapInArrow(run, "body string, toxic int, sketch long").withColumns({"at": F.monotonically_increasing_id(), "h": F.xxhash64(F.coalesce("body", F.lit("")))})
+    rows = staged(rows, "toxicity-labelled")
+    once = rows.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("sketch").alias("sketch"), F.min("at").alias("at"))
+    once = once.groupBy("sketch", "toxic").agg(F.min(F.struct("h", "at")).alias("one"))
+    return rows.select("at", "body"), staged(once.select("one.at", "one.h", "toxic"), "toxicity-once")
+
+
+def training_sample(rows: DataFrame, once: DataFrame, sizes: dict[int, int], toxic_rows: int, clean_rows: int) -> DataFrame:
+    """``body, toxic``: at most so many of the labelled texts of each class, by their hashes."""
+    parts = []
+    for label, most in {1: toxic_rows, 0: clean_rows}.items():
+        share = min(1.0, 1.2 * most / max(sizes.get(label, 0), 1))
+        part = once.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).limit(most)
+        parts.append(part.select("at", "toxic"))
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic_rows + clean_rows rows of 12 bytes
+    return rows.join(chosen, "at").select("body", "toxic")
 
 
 def sketch(text: str | None) -> int:
-    """The smallest hash of a text's long words and the next one: near copies mostly share it, other texts hardly ever."""
-    hashes = sorted(crc32(w.encode()) for w in set((text or "").lower().split()) if len(w) > 7)[:2]
-    return hashes[0] << 31 ^ hashes[-1] if hashes else crc32((text or "").encode())
+    """The two smallest hashes of a text's runs of three words: near copies mostly share them, texts that only share a vocabulary do not."""
+    words = (text or "").lower().split()
+    hashes = sorted({crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))})[:2]
+    return hashes[0] << 31 ^ hashes[-1]
 
 
-def mine_lexicon(sample: DataFrame) -> dict[str, int]:
-    """Units that tell toxic from clean documents beyond chance, by their document counts; unit to number."""
+def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
+    """Units that tell toxic from clean documents (``body, toxic``) beyond chance, by their counts in all of them; unit to number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+            return pa.record_batch(
+                [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())],
+                names=["unit", "toxic", "clean"],
+            )
+
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                counts: dict[str, list[int]] = {}
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for unit in units(text):
-                        counts.setdefault(unit, [0, 0])[toxic == 1] += 1
-                yield pa.record_batch(
-                    [pa.array(list(counts)), pa.array([c[1] for c in counts.values()]), pa.array([c[0] for c in counts.values()])],
-                    names=["unit", "toxic", "clean"],
-                )
-
-    size = sample.groupBy((F.col("toxic") == 1).alias("t")).count().collect()
-    n = {row["t"]: row["count"] for row in size}
-    if not n.get(True) or not n.get(False):
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for unit in units(text.as_py()):
+                    counts.setdefault(unit, [0, 0])[toxic == 1] += 1
+                if len(counts) >= 1 << 17:
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
+
+    if not n_toxic or not n_clean:
         return {}
-    counts = sample.mapInArrow(run, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    likely = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") * n[False] > 4 * F.col("b") * n[True]))
-    rows = likely.orderBy(F.desc("a"), "unit").limit(20 * LEXICON_UNITS).toPandas()
-    ratio = llr(rows["a"].to_numpy(float), rows["b"].to_numpy(float), n[True], n[False])
-    rows = rows.assign(llr=ratio)[ratio >= LEAST_LLR].sort_values(["llr", "unit"], ascending=[False, True])
-    return {unit: i for i, unit in enumerate(rows["unit"][:LEXICON_UNITS])}
+    counts = texts.mapInArrow(run, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    likely = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") * n_clean > 4 * F.col("b") * n_toxic))
+    likely = likely.withColumn("llr", llr(F.col("a"), F.col("b"), n_toxic, n_clean)).where(F.col("llr") >= LEAST_LLR)
+    return {row["unit"]: i for i, row in enumerate(likely.orderBy(F.desc("llr"), "unit").limit(LEXICON_UNITS).select("unit").collect())}
 
 
 class LabelModel:
@@ -222,8 +226,10 @@ def count_votes(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[dict[str, int], LabelModel, Linear]:
     """The lexicon, label model and classifier. Labels come only from documents outside the held-out quarter."""
-    sample = staged(training_sample(docs, labels, toxic_rows, clean_rows), "toxicity-sample")
-    lexicon = mine_lexicon(sample)
+    rows, once = labelled_texts(docs, labels)
+    sizes = {row["toxic"]: row["n"] for row in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lexicon = mine_lexicon(rows.join(once, "at").select("body", "toxic"), sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1))
+    sample = staged(training_sample(rows, once, sizes, toxic_rows, clean_rows), "toxicity-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

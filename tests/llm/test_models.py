@@ -112,6 +112,22 @@ def test_toxicity_learns_from_labels(spark, awkward, empty):
     assert toxicity.op3(empty, labels.limit(0)).count() == 0
 
 
+def test_lexicon_is_mined_from_all_labelled_texts(spark):
+    """Texts that only share a vocabulary are no copies, near copies are, and the lexicon is not bounded by the sample."""
+    rng = random.Random(4)
+    shared = [f"vocabulary{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        words = [*rng.sample(shared, 40), *(f"w{rng.randrange(60)}" for _ in range(20))]
+        rows.append((i, " ".join([*words, "slurpel"] if i % 4 == 0 else words)))
+    copied = " ".join(f"c{i}" for i in range(300)) + " grobfink"
+    rows += [(i, f"{copied} {i}") for i in range(400, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 400)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon, _, _ = toxicity.fit(docs, labels, toxic_rows=5, clean_rows=15)
+    assert "slurpel" in lexicon and "grobfink" not in lexicon
+
+
 def test_language_on_held_out_rows(spark, awkward, empty):
     docs = queries.documents(spark, "/root/testdata/sf0.01")
     found = langid.op9(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
