@@ -4,33 +4,66 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_LOCAL: list[str] = []
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (``local[...]``, as in tests)
+    gets a folder of its own; a cluster session raises ValueError, since no
+    folder of one machine would be seen by the others.
+    """
     found = spark.conf.get(SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="civilake-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="civilake-"))
+    return _LOCAL[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used before; the innermost open ``scratch`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder, if it is there."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, every table staged inside: write what is to stay before that, to a path of its own."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write the rows once as Parquet in the shared folder and return them as read back.
 
     Later jobs start from these files, so a lost executor costs no recomputation
     of what came before, and row numbers taken before the write stay the same.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
