@@ -67,3 +67,17 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``staged``, dealt by a column into as many buckets as the session has shuffle partitions, so that grouping by it needs no shuffle.
+
+    The table's name is needed only while it is written and is dropped at once; the files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).format("parquet").saveAsTable(table)
+    found = spark.table(table).select(df.columns)
+    spark.sql(f"DROP TABLE {table}")
+    return found

@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.langid import held_out
-from civilake.llm.staging import staged
+from civilake.llm.staging import bucketed, staged
+from civilake.llm.tokens import small_runs
 
 #: Text bytes of one block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: A transition takes part in the tree if it occurs so often in training documents, whatever the corpus.
 LEAST_COUNT = 2
-#: Longest context, in words.
-DEPTH = 4
+#: Longest context, in words. Each more sends about 1.7 bytes a token.
+DEPTH = 3
 #: A context is kept if its distribution gains so many nats a transition over its suffix's, on the training tokens.
 LEAST_GAIN = 4.0
 #: What a transition's count is discounted by; the sum of the discounts goes to the shorter context.
@@ -39,7 +40,9 @@ DISCOUNT = 0.75
 #: A word that occurs more often begins no branch: this bounds the largest branch, and so a task's memory.
 HOT_WORD = 1 << 22
 #: Positions, and distinct words of blocks, that one task is meant to take.
-WINDOWS_PER_PART, WORDS_PER_PART = 1 << 20, 1 << 19
+WINDOWS_PER_PART, WORDS_PER_PART = 1 << 21, 1 << 19
+#: Positions whose branches a task tests at a time (one branch at least).
+WINDOWS_AT_ONCE = 1 << 19
 #: The end of a text, as a symbol; no word is empty.
 END = b""
 
@@ -287,11 +290,12 @@ def numbered(left: np.ndarray, right: np.ndarray, width: np.int64, where: bool =
 class Block:
     """A block put together again: its text, its words' counts, and what is known of contexts made of hot words."""
 
-    def __init__(self, table: pa.Table, root: Root, depth: int):
+    def __init__(self, text: pa.Table, answers: pa.Table, root: Root, depth: int):
         self.root, self.depth = root, depth
         kinds: dict[str, dict[int, list[np.ndarray]]] = {}
-        for part, kind, data in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["data"], strict=True):
-            kinds.setdefault(kind, {})[part] = unzipped(data.as_py())
+        for table in (text, answers):
+            for part, kind, data in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["data"], strict=True):
+                kinds.setdefault(kind, {})[part] = unzipped(data.as_py())
         self.kinds = kinds
         self.ids, self.known, self.held, lengths, self.stream = kinds["text"][0]
         self.counts, symbols, hot = (np.concatenate(parts) for parts in zip(*(kinds["counts"][p] for p in sorted(kinds["counts"])), strict=True))
@@ -382,14 +386,21 @@ def grown(windows: DataFrame, root: Root, depth: int, least_gain: float) -> Data
         columns: list[list[np.ndarray]] = [[] for _ in range(depth + 4)]
         for at in order:
             *found, taught, distinct, counts, first, deeper = unzipped(table["data"][at].as_py())
-            shorter = root.log10(counts.astype(np.int64))[np.searchsorted(distinct, found[depth])].astype(np.float64)
+            shorter = root.log10(counts.astype(np.int64))[np.searchsorted(distinct, found[depth])].astype(np.float32)
             shorter[first > 1] = deeper
             for into, values in zip(columns, (*found, taught, first, shorter), strict=True):
                 into.append(values)
-        sizes = [len(part) for part in columns[0]]
-        *before, symbol, taught, first, shorter = (np.concatenate(parts) for parts in columns)
-        columns.clear()
-        gains = branch_gains(before, symbol, first, taught.astype(bool), shorter, least_gain).astype("<f4")
+        sizes, joint = [len(part) for part in columns[0]], []
+        for at in range(len(columns)):
+            joint.append(np.concatenate(columns[at]))
+            columns[at] = []
+        *before, symbol, taught, first, shorter = joint
+        by_word = np.argsort(before[0], kind="stable").astype(np.uint32 if len(symbol) < 1 << 32 else np.uint64)
+        words = before[0][by_word]
+        edges, gains = np.flatnonzero(np.r_[True, words[1:] != words[:-1], True]), np.empty(len(symbol), "<f4")
+        for low, high in small_runs(np.diff(edges).tolist(), WINDOWS_AT_ONCE):  # whole branches
+            own = by_word[edges[low] : edges[high]]
+            gains[own] = branch_gains([w[own] for w in before], symbol[own], first[own], taught[own].astype(bool), shorter[own], least_gain)
         parts = np.split(gains, np.cumsum(sizes)[:-1])
         rows = [(table["block"][at].as_py(), table["part"][at].as_py(), "gains", zipped(part), len(part)) for at, part in zip(order, parts, strict=True)]
         return pa.Table.from_batches([batch(rows)])
@@ -397,22 +408,22 @@ def grown(windows: DataFrame, root: Root, depth: int, least_gain: float) -> Data
     return windows.groupBy("part").applyInArrow(run, ROW)
 
 
-def hot_level(rows: DataFrame, root: Root, depth: int, level: int, least_gain: float) -> DataFrame:
+def hot_level(text: DataFrame, answers: DataFrame, root: Root, depth: int, level: int, least_gain: float) -> DataFrame:
     """ROWs of kind ``hot`` (part: the level): the tests of contexts of ``level`` hot words, for each block's (context, symbol) pairs.
 
     Blocks count their own pairs first, so a hot context costs a row for each
     block and symbol at most, and each of its symbols may be summed in another task.
     """
 
-    def pairs_of(table: pa.Table) -> pa.Table:
-        block = Block(table, root, depth)
+    def pairs_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, right, root, depth)
         at, number, first, context = block.hot_pairs(level)
         n = np.bincount(number, block.taught[at], len(first)).astype(np.int64)
-        some = np.full(len(first), table["block"][0].as_py() if table.num_rows else 0)
+        some = np.full(len(first), left["block"][0].as_py())
         return pa.table([some, np.arange(len(first)), context[first].view(np.int64), block.symbol[at[first]], n, block.now[at[first]]],
                         names=["block", "number", "context", "symbol", "n", "shorter"])
 
-    pairs = staged(rows.groupBy("block").applyInArrow(pairs_of, "block long, number long, context long, symbol long, n long, shorter double"), "tree-hot-pairs")
+    pairs = staged(text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pairs_of, "block long, number long, context long, symbol long, n long, shorter double"), "tree-hot-pairs")
     counted = pairs.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.min("shorter").alias("shorter"))
     counted = counted.withColumn("inside", (F.col("symbol") > 0) & (F.col("n") >= LEAST_COUNT))
     inside = lambda x: F.coalesce(F.sum(F.when(F.col("inside"), x)), F.lit(0.0))
@@ -428,7 +439,7 @@ def hot_level(rows: DataFrame, root: Root, depth: int, level: int, least_gain: f
     )
     own = F.when(F.col("kept") & F.col("inside"), F.log10((F.col("n") - DISCOUNT) / F.col("total")))
     tested = counted.join(contexts, "context").select("context", "symbol", own.alias("own"), F.when(F.col("kept"), F.col("rest")).otherwise(0.0).alias("rest"), "extend")
-    answers = pairs.select("block", "number", "context", "symbol").join(tested, ["context", "symbol"]).select("block", "number", "own", "rest", "extend")
+    told = pairs.select("block", "number", "context", "symbol").join(tested, ["context", "symbol"]).select("block", "number", "own", "rest", "extend")
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
@@ -436,7 +447,7 @@ def hot_level(rows: DataFrame, root: Root, depth: int, level: int, least_gain: f
         data = zipped(table["number"].to_numpy(), own.astype("<f8"), table["rest"].to_numpy(), table["extend"].to_numpy())
         return pa.Table.from_batches([batch([(table["block"][0].as_py(), level, "hot", data, table.num_rows)])])
 
-    return answers.groupBy("block").applyInArrow(pack, ROW)
+    return told.groupBy("block").applyInArrow(pack, ROW)
 
 
 def scores(
@@ -460,30 +471,30 @@ def scores(
     learn from, every probability is 1. An empty table gives no rows.
     """
     rows = docs.withColumn(held_col, F.coalesce(F.col(held_col), F.lit(False)))
-    blocks = staged(encode_blocks(rows, id_col, text_col, held_col), "tree-blocks")
+    blocks = bucketed(encode_blocks(rows, id_col, text_col, held_col), "tree-blocks", "block")
     sizes = {row["kind"]: row["n"] for row in blocks.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
     counts = staged(count_words(blocks, max(1, -(-sizes.get("words", 0) // WORDS_PER_PART)), hot_word), "tree-counts")
     total, types, once, twice, hot = (x or 0 for x in counts.agg(*(F.sum(c) for c in ("total", "types", "once", "twice", "hot"))).first())
     root = Root(total, types, once, twice)
     parts = max(1, -(-sizes.get("text", 0) // windows_per_part))
-    names = _ROW.names
-    known = blocks.where("kind = 'text'").select(names).unionByName(counts.select(names))
+    text, answers = blocks.where("kind = 'text'"), counts.select(_ROW.names)
     for level in range(1, depth + 1) if hot else ():
-        tested = staged(hot_level(known, root, depth, level, least_gain), "tree-hot")
+        tested = staged(hot_level(text, answers, root, depth, level, least_gain), "tree-hot")
         if tested.isEmpty():
             break
-        known = known.unionByName(tested)
+        answers = answers.unionByName(tested)
 
-    def chunks(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([Block(table, root, depth).chunks(table["block"][0].as_py(), parts)])
+    def chunks(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([Block(left, right, root, depth).chunks(left["block"][0].as_py(), parts)])
 
-    def final(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([Block(table, root, depth).scores(total, parts)])
+    def final(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([Block(left, right, root, depth).scores(total, parts)])
 
-    everything = known
     if total:
-        everything = known.unionByName(grown(known.groupBy("block").applyInArrow(chunks, ROW), root, depth, least_gain))
-    return everything.groupBy("block").applyInArrow(final, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        windows = text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(chunks, ROW)
+        answers = answers.unionByName(grown(windows, root, depth, least_gain))
+    scored = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, scored)
 
 
 def op1(docs: DataFrame, **options) -> DataFrame:
