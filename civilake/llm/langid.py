@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilake.llm.sampling import labelled_sample, unused
+
 UNKNOWN = "und"
 #: Features: hashed byte trigrams of the lower-cased text.
 FEATURES = 1 << 12
-#: Most rows of one language that the SVMs are fitted on.
-ROWS_PER_LANGUAGE = 400
+#: Most distinct texts of one language that the SVMs are fitted on, and of all languages together (16 kB each on the driver).
+ROWS_PER_LANGUAGE, ROWS_IN_ALL = 400, 16_000
 
 # ISO 639-1 codes of closely related languages; a code in no family is a family of its own.
 FAMILIES = {
@@ -132,47 +134,45 @@ class Hierarchy:
         return out.tolist(), score
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Hierarchy | None:
-    """Fit on at most ``rows_per_language`` rows of each language, the lowest by a hash of their text.
-
-    Rows with a null language or no letter teach nothing; equal texts count
-    once. The features (16 kB a row) are made on the cluster and only the bounded
-    sample reaches the driver. None if there is nothing to learn from.
-    """
-    known = docs.select(F.col(text_col).alias("body"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & has_letter(F.col("body")))
-    keyed = known.select("lang", "body", F.xxhash64("body").alias("h"))
-    counts = {row["lang"]: row["n"] for row in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    # Hashes below a bound that twice the wanted rows are expected under, then an exact cut on the driver.
-    bound = F.lit(0).cast("double")
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * rows_per_language / n))).otherwise(bound)
-    few = keyed.where(F.pmod("h", F.lit(1 << 30)) < bound * (1 << 30))
+def feature_rows(sample: DataFrame) -> tuple[np.ndarray, list[str]]:
+    """Features and label of each row of a bounded sample (``label, h, body``), in a fixed order; made on the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = features(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
+                rows = [r.tobytes() for r in features(part.column(2).to_pylist())]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["label", "h", "x"])
 
-    made = few.mapInArrow(run, "lang string, h long, x binary")
-    sample: dict[str, dict[int, bytes]] = {}
-    for lang in sorted(counts):  # one language at a time bounds what the driver holds
-        rows = made.where(F.col("lang") == lang).dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(rows_per_language).collect()
-        sample[lang] = {row["h"]: bytes(row["x"]) for row in rows}
-    x = np.vstack([np.frombuffer(v, np.float32) for rows in sample.values() for v in rows.values()])
-    return Hierarchy(x, [lang for lang, rows in sample.items() for _ in rows])
+    rows = sample.select("label", "h", "body").mapInArrow(run, "label string, h long, x binary").collect()
+    rows.sort(key=lambda row: (row["label"], row["h"]))
+    x = np.empty((len(rows), FEATURES), np.float32)
+    for at, row in enumerate(rows):
+        x[at] = np.frombuffer(row["x"], np.float32)
+    return x, [row["label"] for row in rows]
 
 
-def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``. Whole texts; null or letterless ones are ``und`` with score 0.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Hierarchy | None:
+    """Fit on at most ``rows_per_language`` distinct texts of each language, the lowest by hash.
 
-    All columns of ``docs`` are kept; existing columns of these two names are replaced.
+    Rows with a null language or no letter teach nothing; equal texts of a
+    language count once, so repeated rows change nothing. Only the bounded sample
+    reaches the driver. None if there is nothing to learn from, as in an empty table.
     """
-    names = [name for name in docs.columns if name not in ("lang_pred", "score")]
     body = F.when(has_letter(F.col(text_col)), F.col(text_col))
+    x, langs = feature_rows(labelled_sample(docs, F.col(lang_col), body, rows_per_language, ROWS_IN_ALL))
+    return Hierarchy(x, langs) if langs else None
+
+
+def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score. Whole texts; null or letterless ones are ``und`` with score 0.
+
+    All other columns of ``docs`` are kept; columns of these two names are
+    replaced. Repeated rows get the same answer each; of tied languages the
+    first by name wins; an empty table gives no rows.
+    """
+    names = [name for name in docs.columns if name not in (lang_name, score_name)]
+    body = F.when(has_letter(F.col(text_col)), F.col(text_col)).alias(unused(docs, "__body"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,10 @@ def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") ->
                     some, scores[known] = found.predict(features([texts[i] for i in known]))
                     for i, lang in zip(known, some, strict=True):
                         langs[i] = lang
-                yield pa.record_batch([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.record_batch([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names[:-1], lang_name, score_name])
 
-    schema = docs.select(*(f"`{n}`" for n in names)).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.select(*(F.col(f"`{n}`") for n in names), body.alias("__body")).mapInArrow(run, schema)
+    schema = docs.select(*(F.col(f"`{n}`") for n in names)).withColumns({lang_name: F.lit(""), score_name: F.lit(0.0)}).schema
+    return docs.select(*(F.col(f"`{n}`") for n in names), body).mapInArrow(run, schema)
 
 
 def held_out(id_col: Column, mod: int, rest: int) -> Column:
@@ -200,9 +200,11 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language cannot be told: null or letterless text."""
+    """``docs`` without those whose language cannot be told: null or letterless text. Columns and all other rows stay as they are."""
     model = fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"`{n}`") for n in docs.columns))
+    lang = unused(docs, "__lang_pred")
+    found = predict(docs, model, lang_name=lang, score_name=unused(docs, "__lang_score"))
+    return found.where(F.col(lang) != UNKNOWN).select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Mixing to target weights by soft membership: predicted domain posteriors, then document rates by projected gradient."""
+"""Mixing to target weights by soft membership: predicted domain posteriors, then document rates by projected gradient.
+
+A domain is any column of a labelled table. The query mixes over ``lang``: in
+these tables a text says nothing of its ``source``, so posteriors of sources
+would be even and no rates could move their weights; give ``domain_col`` and
+targets where texts do tell sources apart.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civilake.llm.langid import features
+from civilake.llm.langid import feature_rows, features
+from civilake.llm.sampling import labelled_sample, unused
 from civilake.llm.staging import staged
 
-#: Most labelled rows of one domain that the classifier is fitted on.
-ROWS_PER_DOMAIN = 400
+#: Most distinct labelled texts of one domain that the classifier is fitted on, and of all domains together.
+ROWS_PER_DOMAIN, ROWS_IN_ALL = 400, 16_000
+#: The class of labelled domains that have no target.
+OTHER = ""
 #: Share of the largest reachable budget that is asked for, so that no rate need stand at its bound.
 HEADROOM = 0.98
 # Production targets over the domains of the documents table, as shares of all tokens.
@@ -46,38 +55,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, domains: list[str], text_col: str, domain_col: str, rows_per_domain: int = ROWS_PER_DOMAIN) -> Softmax | None:
-    """Fit on at most ``rows_per_domain`` rows of each domain, the lowest by a hash of their text; equal texts count once."""
-    known = labelled.select(F.col(domain_col).alias("domain"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("h"))
-    known = known.where(F.col("domain").isin(domains) & (F.length("body") > 0))
-    sizes = {row["domain"]: row["n"] for row in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for domain, n in sizes.items():
-        share = F.when(F.col("domain") == domain, F.lit(min(1.0, 2 * rows_per_domain / n))).otherwise(share)
-    few = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    """Fit on at most ``rows_per_domain`` distinct texts of each domain, the lowest by hash; domains without a target are one class together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [r.tobytes() for r in features(part.column(1).to_pylist())]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["domain", "h", "x"])
-
-    made = few.mapInArrow(run, "domain string, h long, x binary")
-    xs, ys, classes = [], [], sorted(sizes)
-    for y, domain in enumerate(classes):  # one domain at a time bounds what the driver holds
-        rows = made.where(F.col("domain") == domain).dropDuplicates(["h"]).orderBy("h").limit(rows_per_domain).collect()
-        xs += [np.frombuffer(bytes(row["x"]), np.float32) for row in rows]
-        ys += [y] * len(rows)
-    return Softmax(np.array(xs), np.array(ys), classes) if classes else None
+    None if no labelled row of a wanted domain has a text.
+    """
+    label = F.when(F.col(domain_col).isin(domains), F.col(domain_col)).when(F.col(domain_col).isNotNull(), OTHER)
+    body = F.when(F.length(text_col) > 0, F.col(text_col))
+    x, found = feature_rows(labelled_sample(labelled, label, body, rows_per_domain, ROWS_IN_ALL))
+    classes = sorted(set(found))
+    return Softmax(x, np.searchsorted(classes, found), classes) if set(classes) - {OTHER} else None
 
 
-def memberships(docs: DataFrame, model: Softmax, domains: list[str], id_col: str, text_col: str) -> DataFrame:
+def memberships(docs: DataFrame, model: Softmax | None, domains: list[str], id_col: str, text_col: str) -> DataFrame:
     """``id, n_tokens, p``: each row's word count and its posterior of each domain, in the order of ``domains``.
 
-    A text without a word has no tokens and the same posterior for every learnt domain.
+    What a posterior lacks to 1 belongs to domains without a target. A text
+    without a word has no tokens and the same posterior for every learnt domain.
+    Without a model all posteriors are 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights a domain
-    at_domain = [domains.index(c) for c in model.classes]
+    own = [i for i, c in enumerate(model.classes) if c in domains] if model else []
+    at_domain = [domains.index(model.classes[i]) for i in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +83,10 @@ def memberships(docs: DataFrame, model: Softmax, domains: list[str], id_col: str
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 p = np.zeros((len(texts), len(domains)))
-                p[:, at_domain] = shared.value.posteriors(features(texts))
                 n = np.array([len((t or "").split()) for t in texts], np.int64)
-                p[np.ix_(np.flatnonzero(n == 0), at_domain)] = 1 / len(at_domain)
+                if own:
+                    p[:, at_domain] = shared.value.posteriors(features(texts))[:, own]
+                    p[np.ix_(np.flatnonzero(n == 0), at_domain)] = 1 / len(at_domain)
                 yield pa.record_batch([part.column(0), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["id", "n_tokens", "p"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
@@ -159,29 +158,29 @@ def _expected(members: DataFrame, first: float, steps: list[np.ndarray], most: f
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_rate: float = 1.0, budget: float | None = None) -> DataFrame:
     """``id, n_tokens, domain, rate, copies``: one row per input row.
 
-    ``labelled`` (``text_col, domain_col``) teaches the classifier; its domains
-    that have no target, null domains and empty texts teach nothing. ``domain``
-    is the likeliest one. ``rate`` is the expected number of copies, in
-    [0, max_rate]; ``copies`` is the rate rounded up or down by a hash of the id,
-    so that it is right on average and the same in every run. Without any labelled
-    row of a targeted domain every rate is 1 and domain is null. An empty table gives no rows.
+    ``labelled`` (``text_col, domain_col``) teaches the classifier; null domains
+    and empty texts teach nothing. ``domain`` is the likeliest of the targets, null
+    where a domain without a target is likelier; such a text counts for no target.
+    ``rate`` is the expected number of copies, in [0, max_rate]; ``copies`` is the
+    rate rounded up or down by a hash of the id, so that it is right on average and
+    the same in every run: realised weights scatter about the targets as tokens of
+    single documents do. Null and empty texts have no tokens. Rows repeated with an
+    id get one decision if their texts are equal. Without any labelled row of a
+    targeted domain every rate is 1 and domain is null. An empty table gives no rows.
     """
     domains = sorted(targets)
     weights = np.array([max(targets[d], 0.0) for d in domains], float)
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(domains), 1 / len(domains))
     model = fit(labelled, domains, text_col, domain_col)
-    if model is None:
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.size(F.split(F.trim(F.coalesce(text_col, F.lit(""))), r"\s+")).cast("long").alias("n_tokens"))
-        return rows.withColumns({"domain": F.lit(None).cast("string"), "rate": F.lit(1.0), "copies": F.lit(1)})
     members = staged(memberships(docs, model, domains, id_col, text_col), "mixing-members")
-    first, steps = fit_rates(members, weights, max_rate, budget)
+    first, steps = fit_rates(members, weights, max_rate, budget) if model else (1.0, [])
     k = len(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, k)
             rate = rates_after(batch.num_rows, p, first, steps, max_rate)
-            likeliest = [domains[i] for i in p.argmax(1)]
+            likeliest = [domains[i] if p[row, i] > 1 - p[row].sum() else None for row, i in enumerate(p.argmax(1))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(likeliest, pa.string()), pa.array(rate)], names=["id", "n_tokens", "domain", "rate"])
 
     rated = members.select("id", "n_tokens", "p").mapInArrow(run, "id long, n_tokens long, domain string, rate double")
@@ -190,16 +189,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` itself mixed: each row as often as its ``copies`` say, with the columns of ``docs``; null ids get the decision of their null group."""
-    found = staged(mix(docs, labelled, targets, id_col, **options), "mixing-decisions")
-    away = found.where("copies <> 1").select(F.col("id").alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"])
-    joined = docs.join(away, docs[id_col].eqNullSafe(away["__id"]), "left")
-    kept = joined.where(F.coalesce("__copies", F.lit(1)) > 0)
-    repeated = F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1)))).alias("__copy")
+    """``docs`` itself mixed: each row as often as its ``copies`` say, with the columns of ``docs``.
+
+    An id's decision is that of its row of most copies, whether ids are repeated or
+    null. Only ids whose copies are not 1 are joined back; where they are few,
+    Spark sends them to the rows instead of shuffling texts.
+    """
+    found = mix(docs, labelled, targets, id_col, **options)
+    mark, times, copy = unused(docs, "__id"), unused(docs, "__copies"), unused(docs, "__copy")
+    away = staged(found.groupBy(F.col("id").alias(mark)).agg(F.max("copies").alias(times)).where(F.col(times) != 1), "mixing-decisions")
+    joined = docs.join(away, docs[id_col].eqNullSafe(away[mark]), "left").where(F.coalesce(times, F.lit(1)) > 0)
     names = [F.col(f"`{n}`") for n in docs.columns]
     if options.get("max_rate", 1.0) <= 1.0:
-        return kept.select(*names)
-    return kept.select(*names, repeated).drop("__copy")
+        return joined.select(*names)
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.coalesce(times, F.lit(1)))).alias(copy)).drop(copy)
 
 
 def op4(docs: DataFrame) -> DataFrame:
