@@ -20,17 +20,29 @@ ROUNDS = 10
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 # The notations that are looked at. Each is tried where a digit run begins (or at the sign before it).
-IPV4 = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|\.\d)")
-DATE_YMD = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\w]|[-/.]\d)")
-DATE_DMY = re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\w]|[-/.]\d)")
-SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![\w]|-\d)")
-PHONE_US = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[-]\d)")
-PHONE_WORLD = re.compile(r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w]|[-]\d)")
-CARD = re.compile(r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\w]|[-]\d)")
-IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+IPV4 = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?!\w|\.[0-9])")
+DATE_YMD = re.compile(r"([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})(?!\w|[-/.][0-9])")
+DATE_DMY = re.compile(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})(?!\w|[-/.][0-9])")
+SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?!\w|-[0-9])")
+PHONE_US = re.compile(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w|-[0-9])")
+PHONE_WORLD = re.compile(r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?!\w|-[0-9])")
+CARD = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?!\w|-[0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
+FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+
+
+def date_class(day: date) -> tuple[bool, bool, bool]:
+    """What a notation may show of a date: whether month and day need two digits, and whether the day cannot be a month."""
+    return day.month > 9, day.day > 9, day.day > 12
+
+
+#: The dates of each class, in order. A date's pseudonym is of its class, so it fits the same notation and is read back as what it is.
+DATES: dict[tuple[bool, bool, bool], list[date]] = {}
+for _at in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+    DATES.setdefault(date_class(date.fromordinal(_at)), []).append(date.fromordinal(_at))
+PLACES = {day: at for days in DATES.values() for at, day in enumerate(days)}
 
 
 class Feistel:
@@ -120,25 +132,29 @@ class Pseudonyms:
 
     def _date(self, year: int, month: int, day: int) -> date | None:
         try:
-            at = date(year, month, day).toordinal() - FIRST_DAY
+            old = date(year, month, day)
         except ValueError:
             return None
-        if not 0 <= at < DAYS:
+        if old not in PLACES:
             return None
-        return date.fromordinal(FIRST_DAY + self.feistel.permute(at, DAYS, "date", self.undo))
+        kind = date_class(old)
+        days = DATES[kind]
+        return days[self.feistel.permute(PLACES[old], len(days), f"date/{kind}", self.undo)]
 
     def date_ymd(self, m: re.Match) -> str | None:
         year, mark, month, day = m.groups()
         new = self._date(int(year), int(month), int(day))
-        return new and f"{new.year:04d}{mark}{new.month:02d}{mark}{new.day:02d}"
+        return new and f"{new.year:04d}{mark}{new.month:0{len(month)}d}{mark}{new.day:0{len(day)}d}"
 
     def date_dmy(self, m: re.Match) -> str | None:
+        """Day first if that makes a date, else month first."""
         first, mark, second, year = m.groups()
         new = self._date(int(year), int(second), int(first))
-        if new:
-            return f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
-        new = self._date(int(year), int(first), int(second))
-        return new and f"{new.month:02d}{mark}{new.day:02d}{mark}{new.year:04d}"
+        parts = (new.day, new.month) if new else None
+        if not new:
+            new = self._date(int(year), int(first), int(second))
+            parts = (new.month, new.day) if new else None
+        return parts and f"{parts[0]:0{len(first)}d}{mark}{parts[1]:0{len(second)}d}{mark}{new.year:04d}"
 
     def ssn(self, m: re.Match) -> str | None:
         area, group, serial = (int(x) for x in m.groups())
@@ -150,10 +166,16 @@ class Pseudonyms:
         area, group = divmod(value, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
-    def phone_us(self, m: re.Match) -> str:
-        raw = m[0]
-        digits = "".join(DIGITS.findall(raw))
-        return refilled(raw, digits[:-10] + self._digits(digits[-10:], "phone"))
+    def phone_us(self, m: re.Match) -> str | None:
+        """Area codes and exchanges begin with 2 to 9; both keep to that."""
+        digits = "".join(DIGITS.findall(m[0]))
+        area, exchange, line = int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+        if area < 200 or exchange < 200:
+            return None
+        value = self.feistel.permute(((area - 200) * 800 + exchange - 200) * 10000 + line, 800 * 800 * 10000, "phone", self.undo)
+        value, line = divmod(value, 10000)
+        area, exchange = divmod(value, 800)
+        return refilled(m[0], f"{digits[:-10]}{area + 200:03d}{exchange + 200:03d}{line:04d}")
 
     def phone_world(self, m: re.Match) -> str | None:
         digits = "".join(DIGITS.findall(m[0]))
@@ -240,10 +262,15 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", undo: boo
 
     Replaced are Luhn-valid card numbers, US social security numbers of issued
     ranges, telephone numbers, IPv4 addresses, IBANs with right check digits,
-    calendar dates of 1900-2099, and the local parts of e-mail addresses. Each
-    keeps its notation, its length (dates and addresses may gain or lose leading
-    digits) and its checks. Whatever fails its check is left alone. Whole texts
-    are read; null and empty texts stay as they are. A column named ``found`` is replaced.
+    calendar dates of 1900-2099, and the local parts of e-mail addresses; digits
+    are 0-9. Each keeps its notation, its length (addresses may gain or lose
+    digits) and its checks. A date's pseudonym is a date of 1900-2099 whose month
+    and day need as many digits and whose day exceeds 12 if the date's does: so
+    one date has one pseudonym in every notation, and with ``undo`` the same key
+    gives every text back. ``03/04/2001`` is read day first. Whatever fails its
+    check is left alone. Whole texts are read; null and empty texts stay as they
+    are; repeated rows are replaced alike, an empty table gives no rows. A column
+    named ``found`` is replaced; the text stands last but one.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("pseudonym", pa.string())])
     names = [n for n in docs.columns if n not in ("found", text_col)]
@@ -264,6 +291,6 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", undo: boo
     return wanted.mapInArrow(run, schema)
 
 
-def op7(docs: DataFrame, key: bytes = b"demonstration key; give your own") -> DataFrame:
+def op7(docs: DataFrame, key: bytes) -> DataFrame:
     """The rows of query ``op7_pii``: every document's text with pseudonyms, and what was replaced."""
     return pseudonymised(docs.select("doc_id", "text"), key).select("doc_id", "text", F.size("found").alias("n_found"), "found")

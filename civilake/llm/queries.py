@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret in the session's ``civilake.pii.key``; without one a key that is public, which protects nobody."""
+    return spark.conf.get("civilake.pii.key", "public key of the test tables").encode()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -45,7 +50,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.op7(documents(spark, sf_dir))
+    return pii.op7(documents(spark, sf_dir), pseudonym_key(spark))
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
