@@ -23,18 +23,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-def slack(total: int, capacity: int) -> int:
-    """Padding of a sequence: up to the capacity, none at a power of two."""
-    return 0 if total & (total - 1) == 0 else capacity - total
-
-
 def fullest(counts: Counter[int], capacity: int) -> list[int]:
-    """The multiset of lengths, holding the longest one left, that fills a window with the least slack.
+    """The multiset of lengths, holding the longest one left, whose sum is closest to the capacity.
 
     Subset sums live in one integer's bits. Each copy of a length, longest
     first, adds one layer ``reach | reach << length``; the search stops at the
     first layer that reaches the capacity. The chosen sum is traced back through
-    the layers. Ties go to the larger sum.
+    the layers.
     """
     longest = max(counts)
     room = capacity - longest
@@ -53,11 +48,7 @@ def fullest(counts: Counter[int], capacity: int) -> list[int]:
                 break
         if reach & goal:
             break
-    if reach & goal:
-        best = room
-    else:
-        sums = [i for i, bit in enumerate(bin(reach)[:1:-1]) if bit == "1"]
-        best = min(sums, key=lambda s: (slack(longest + s, capacity), -s))
+    best = reach.bit_length() - 1
     chosen = [longest]
     for length, before in reversed(layers):
         if not before >> best & 1:

@@ -24,16 +24,22 @@ def split(text: str) -> list[str]:
     return GAP.split(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
+#: Bytes of one generation of cached chunks and their ids, and what one entry costs besides them.
+CACHE_BYTES, ENTRY_BYTES = 100 << 20, 180
+LONG_CHUNK = 64
+
+
 class ChunkEncoder:
     """Encodes texts by their white-space separated chunks, each distinct chunk once.
 
     Valid for tokenizers that drop white space, never join text across it, lower-case,
     and mark the last token of a word (``word_bpe_49k.json`` is one); then the ids
     of a text are those of its chunks in turn. The library encodes every word that
-    is not cached. Two generations of at most ``limit`` chunks each bound the memory.
+    is not cached. Two generations of at most ``limit`` bytes each bound the
+    memory; chunks of over LONG_CHUNK letters, which hardly recur, are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -46,7 +52,7 @@ class ChunkEncoder:
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.spelled = {c: self._spelled(chr(c)) for c in range(0x80, 0x100) if chr(c).isalpha() and chr(c).islower()}
-        self.limit = limit
+        self.limit, self.bytes = limit, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -58,14 +64,23 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed little-endian in ``width`` bytes each; null counts as empty."""
         chunks = [split(text or "") for text in texts]
-        self._learn(set().union(*chunks))
+        wanted = set().union(*chunks)
+        self._learn(wanted)
         look_up = self.new.__getitem__
         for parts in chunks:
             yield b"".join(map(look_up, parts))
+        for chunk in wanted:
+            if len(chunk) > LONG_CHUNK:
+                self.new.pop(chunk, None)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        if self.bytes > self.limit:
+            self.old, self.new, self.bytes = self.new, {}, 0
+        size = len(self.new)
+        self._add(chunks)
+        self.bytes += (len(self.new) - size) * ENTRY_BYTES  # of at most LONG_CHUNK letters each, once the longer ones are gone
+
+    def _add(self, chunks: set[str]) -> None:
         new, old = self.new, self.old
         split, words, others = [], set(), []
         for chunk in chunks.difference(new):
