@@ -277,7 +277,9 @@ def branch_gains(words: list[np.ndarray], symbol: np.ndarray, first: np.ndarray,
 def numbered(left: np.ndarray, right: np.ndarray, width: np.int64, where: bool = False):
     """Numbers from 0 of the distinct pairs (and where each first occurs)."""
     if int(left.max(initial=0)) < (1 << 62) // int(width):
-        key = left.astype(np.int64) * width + right.astype(np.int64)
+        key = left.astype(np.int64)
+        key *= width
+        key += right.astype(np.int64)
     else:
         right = np.unique(right, return_inverse=True)[1]
         key = left.astype(np.int64) * (int(right.max(initial=0)) + 1) + right
@@ -378,6 +380,11 @@ class Block:
         return pa.record_batch([ids, pa.array(self.held.astype(bool)), self.lengths, sums[0].astype(np.int64), np.full(n, total, np.int64), sums[1], sums[2]], names=names)
 
 
+def short(values: np.ndarray) -> np.ndarray:
+    """32-bit floats rounded to 16 significant bits (to a hundred-thousandth of their size), so that their last byte costs nothing."""
+    return ((values.view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view("<f4")
+
+
 def grown(windows: DataFrame, root: Root, depth: int, least_gain: float) -> DataFrame:
     """ROWs of kind ``gains``: for each chunk of positions, what the tree adds to their log10 probabilities, in their order."""
 
@@ -395,13 +402,15 @@ def grown(windows: DataFrame, root: Root, depth: int, least_gain: float) -> Data
             joint.append(np.concatenate(columns[at]))
             columns[at] = []
         *before, symbol, taught, first, shorter = joint
+        del joint
         by_word = np.argsort(before[0], kind="stable").astype(np.uint32 if len(symbol) < 1 << 32 else np.uint64)
         words = before[0][by_word]
         edges, gains = np.flatnonzero(np.r_[True, words[1:] != words[:-1], True]), np.empty(len(symbol), "<f4")
+        del words
         for low, high in small_runs(np.diff(edges).tolist(), WINDOWS_AT_ONCE):  # whole branches
             own = by_word[edges[low] : edges[high]]
             gains[own] = branch_gains([w[own] for w in before], symbol[own], first[own], taught[own].astype(bool), shorter[own], least_gain)
-        parts = np.split(gains, np.cumsum(sizes)[:-1])
+        parts = np.split(short(gains), np.cumsum(sizes)[:-1])
         rows = [(table["block"][at].as_py(), table["part"][at].as_py(), "gains", zipped(part), len(part)) for at, part in zip(order, parts, strict=True)]
         return pa.Table.from_batches([batch(rows)])
 
