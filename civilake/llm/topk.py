@@ -13,11 +13,11 @@ from civilake.llm.staging import staged
 
 #: Vectors in one block: one row of the index, with its own maxima and forward index.
 BLOCK = 256
-#: Blocks that one task scores against one group of queries, best bound first.
+#: Consecutive blocks whose bounds, or scores, one task takes for one group of queries.
 BLOCKS_PER_RANGE = 64
 #: Queries in one group.
 QUERY_GROUP = 512
-#: Blocks of best bound that are scored first, to find each query's k-th score.
+#: Blocks of best summed bound that a group of queries is scored against first, to find k-th scores.
 FIRST_BLOCKS = 2
 #: Below any score; its negative still fits in 64 bits.
 NO_SCORE = -(1 << 63) + 1
@@ -129,13 +129,13 @@ class Best:
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
 
 
-def search_blocks(query_ids, queries, kth, blocks: list[tuple[np.ndarray, np.ndarray]], top, low, k: int, most: int | None) -> Best:
-    """Score blocks in order of falling bound, for each query until the bound is below its k-th score (or ``most`` blocks)."""
+def search_blocks(query_ids, queries, kth, blocks: list[tuple[np.ndarray, np.ndarray]], top, low, k: int) -> Best:
+    """Score blocks in order of falling bound, for each query until the bound is below its k-th score."""
     best = Best(query_ids, k, kth)
     bound = bounds(queries, top, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     live = np.arange(len(query_ids))
-    for step in range(len(blocks) if most is None else min(most, len(blocks))):
+    for step in range(len(blocks)):
         turn = order[live, step]
         live = live[bound[live, turn] >= best.kth()[live]]
         if not len(live):
@@ -148,38 +148,56 @@ def search_blocks(query_ids, queries, kth, blocks: list[tuple[np.ndarray, np.nda
     return best
 
 
-def scored(ranges: DataFrame, groups: DataFrame, k: int, most: int | None) -> DataFrame:
-    """Each query's k best of each block range: ``dim, grp, query_id, vec_id, score``.
+def group_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A group's query ids, vectors and k-th scores known so far."""
+    ids = np.frombuffer(table["query_ids"][0].as_py(), "<i8")
+    queries = components(table["queries"][0].as_py(), len(ids), table["dim"][0].as_py())
+    known = {row["query_id"]: row["score"] for row in table["known"][0].as_py() or ()}
+    return ids, queries, np.array([known.get(i, NO_SCORE) for i in ids.tolist()], np.int64)
 
-    ``ranges`` has INDEX columns and ``range``, ``groups`` has ``dim``, ``grp``,
-    ``query_ids``, ``queries`` and ``known`` (k-th scores so far). Each range
-    meets each group of its dimension once, in one task of bounded size.
+
+def bounded(index: DataFrame, groups: DataFrame, first: bool) -> DataFrame:
+    """``dim, grp, block, reach``: the blocks a group has to meet, told by their term maxima alone.
+
+    With ``first``, of each range the block of the largest bound summed over the
+    group's queries; else all whose bound reaches some query's k-th score. Only
+    term maxima and queries are shuffled: a hundredth of the vectors for each group.
     """
+
+    def run(key, left, right):
+        _, queries, kth = group_of(right)
+        reach = bounds(queries, np.array(left["top"].to_pylist()), np.array(left["low"].to_pylist()))
+        total = reach.sum(0)
+        wanted = np.array([int(total.argmax())]) if first else np.flatnonzero((reach >= kth[:, None]).any(0))
+        own = [pa.array(np.full(len(wanted), right[name][0].as_py(), np.int32)) for name in ("dim", "grp")]
+        return pa.table([*own, left["block"].take(pa.array(wanted)), total[wanted]], names=["dim", "grp", "block", "reach"])
+
+    # One short row for each group and each range: thousandths of the vectors.
+    met = F.broadcast(groups.select(F.col("dim").alias("__dim"), F.col("grp").alias("__grp")))
+    meets = F.broadcast(index.select(F.col("dim").alias("__dim"), F.col("range").alias("__range")).distinct())
+    left = index.select("dim", "range", "block", "top", "low").join(met, F.col("dim") == F.col("__dim")).drop("__dim")
+    right = groups.join(meets, F.col("dim") == F.col("__dim")).drop("__dim")
+    return left.groupBy("dim", "range", "__grp").cogroup(right.groupBy("dim", "__range", "grp")).applyInArrow(run, "dim int, grp int, block long, reach double")
+
+
+def scored(index: DataFrame, groups: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Each query's k best in the blocks its group is paired with: ``dim, grp, query_id, vec_id, score``, a task for each group and range."""
     schema = pa.schema([("dim", pa.int32()), ("grp", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
         blocks, dim = [], right["dim"][0].as_py()
         for ids, values in zip(left["ids"].to_pylist(), left["values"].to_pylist(), strict=True):
             ids = np.frombuffer(ids, "<i8")
             blocks.append((ids, components(values, len(ids), dim)))
-        query_ids = np.frombuffer(right["query_ids"][0].as_py(), "<i8")
-        queries = np.frombuffer(right["queries"][0].as_py(), "<i8").reshape(len(query_ids), dim)
-        known = {row["query_id"]: row["score"] for row in right["known"][0].as_py() or ()}
-        kth = np.array([known.get(i, NO_SCORE) for i in query_ids.tolist()], np.int64)
-        best = search_blocks(query_ids, queries, kth, blocks, np.array(left["top"].to_pylist()), np.array(left["low"].to_pylist()), k, most)
+        query_ids, queries, kth = group_of(right)
+        best = search_blocks(query_ids, queries, kth, blocks, np.array(left["top"].to_pylist()), np.array(left["low"].to_pylist()), k)
         row, column = np.nonzero(best.scores > NO_SCORE)
         own = [np.full(len(row), right[name][0].as_py(), np.int32) for name in ("dim", "grp")]
         return pa.table([*own, best.query_ids[row], best.ids[row, column], best.scores[row, column]], schema=schema)
 
-    # One short row for each group and each range: thousandths of the vectors.
-    met = F.broadcast(groups.select(F.col("dim").alias("__dim"), F.col("grp").alias("__grp")))
-    meets = F.broadcast(ranges.select(F.col("dim").alias("__dim"), F.col("range").alias("__range")).distinct())
-    left = ranges.join(met, F.col("dim") == F.col("__dim")).drop("__dim")
-    right = groups.join(meets, F.col("dim") == F.col("__dim")).drop("__dim")
-    paired = left.groupBy("dim", "range", "__grp").cogroup(right.groupBy("dim", "__range", "grp"))
-    return paired.applyInArrow(run, "dim int, grp int, query_id long, vec_id long, score long")
+    left = index.join(pairs.select("dim", "block", "grp"), ["dim", "block"])
+    right = groups.join(pairs.select("dim", "grp", F.expr(f"block div {BLOCKS_PER_RANGE}").alias("range")).distinct(), ["dim", "grp"])
+    return left.groupBy("dim", "grp", "range").cogroup(right.groupBy("dim", "grp", "range")).applyInArrow(run, "dim int, grp int, query_id long, vec_id long, score long")
 
 
 def top_of(found: DataFrame, k: int) -> DataFrame:
@@ -198,13 +216,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     none. Rows repeated with one id are one query and each a candidate of others,
     but never of their own id.
 
-    A first pass scores, for each query and block range, the few blocks of best
-    bound, which gives each query a k-th score. The second takes a range's blocks
-    in order of bound and stops where the bound falls below the k-th score.
+    Blocks of consecutive ids are ordered by the sum of their term maxima. A
+    group of queries first scores the few blocks of best bound, which gives its
+    queries a k-th score; then only blocks whose bound reaches one of those scores
+    are sent to the group and scored in order of bound, each query stopping where
+    the bound falls below its k-th score.
     """
     usable = vectors.where("id IS NOT NULL AND size(v) > 0").withColumn("v", F.col("v").cast("array<bigint>"))
-    index = staged(block_index(usable, block), "topk-index")
-    ranges = index.withColumn("range", F.expr(f"block div {BLOCKS_PER_RANGE}"))
+    index = staged(block_index(usable, block), "topk-index").withColumn("range", F.expr(f"block div {BLOCKS_PER_RANGE}"))
 
     asked = usable.where(is_query).dropDuplicates(["id"]).select("id", "v", F.size("v").alias("dim"))
     sizes = asked.groupBy("dim").agg(F.count("*").alias("n"))
@@ -212,6 +231,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     def group(key, rows):
         ids = rows["id"].to_numpy().astype("<i8")
         values = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
+        values = values.astype("<i4") if len(values) and values.max() < 1 << 31 and values.min() >= -(1 << 31) else values
         own = [pa.array([k.as_py()], pa.int32()) for k in key]
         return pa.table([*own, pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", "grp", "query_ids", "queries"])
 
@@ -220,10 +240,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     unknown = F.lit(None).cast("array<struct<query_id:bigint,score:bigint>>")
     groups = staged(groups.withColumn("known", unknown), "topk-queries")
 
-    first = top_of(scored(ranges, groups, k, FIRST_BLOCKS), k).where(F.col("rank") == k)
-    known = first.groupBy("dim", "grp").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
+    nearest = Window.partitionBy("dim", "grp").orderBy(F.desc("reach"), "block")
+    seeds = staged(bounded(index, groups, True).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= FIRST_BLOCKS), "topk-seeds")
+    first = top_of(scored(index, groups, seeds, k), k).where(F.col("rank") == k)
+    known = first.groupBy("dim", "grp").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))  # at most a group's queries
     groups = staged(groups.drop("known").join(known, ["dim", "grp"], "left"), "topk-known")
-    return top_of(scored(ranges, groups, k, None), k).select("query_id", "rank", "vec_id", "score")
+    pairs = staged(bounded(index, groups, False), "topk-pairs")
+    return top_of(scored(index, groups, pairs, k), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10(embeddings: DataFrame) -> DataFrame:
