@@ -14,11 +14,26 @@ from pyspark.sql import functions as F
 from civilake.llm.langid import held_out
 from civilake.llm.staging import staged
 
-# Insults of the curated lexicon.
+# The curated lexicons, in English, Spanish, German and French.
 INSULTS = frozenset(
-    "idiot idiots stupid moron morons loser losers clown scum trash worthless pathetic disgusting dumb imbecile vermin "
-    "idiota imbécil estúpido estúpida basura asqueroso idioten dummkopf abschaum widerlich crétin ordure stupide".split()
+    "idiot idiots stupid moron morons loser losers clown clowns dumb imbecile imbeciles fool fools "
+    "idiota idiotas imbécil estúpido estúpida tonto tonta idioten dummkopf trottel crétin imbécile débile stupide".split()
 )
+CONTEMPT = frozenset(
+    "scum trash worthless pathetic disgusting vermin garbage filth filthy parasite parasites useless "
+    "basura escoria asqueroso asquerosa inútil abschaum widerlich wertlos ungeziefer ordure racaille dégoûtant minable".split()
+)
+HATRED = frozenset("hate hates despise despises loathe detest odio desprecio hasse hassen verachte déteste hais méprise".split())
+PROFANITY = frozenset("damn damned crap bastard bastards bitch asshole mierda cabrón scheiße arschloch merde connard salaud".split())
+COURTESY = frozenset("please thanks thank welcome gracias bienvenido bitte danke willkommen merci bienvenue".split())
+SILENCING = ("shut up", "get lost", "go away", "nobody wants you", "cállate", "lárgate", "halt die klappe", "verschwinde", "tais-toi", "ferme-la", "dégage")
+HARM = ("kill", "hurt", "beat", "break", "destroy", "find", "matar", "bringe dich um", "tuer")
+THREATS = re.compile(r"\b(?:i(?:'ll| will)|we(?:'ll| will)|gonna|going to) (?:kill|hurt|beat|break|destroy|find) (?:you|him|her|them)\b|\bte voy a matar\b|\bich bringe dich um\b|\bje vais te tuer\b")
+ADDRESSED = re.compile(r"\b(?:you|you're|u|du bist|ihr seid|eres|sois|tu es|vous êtes)\s+(?:[^\W\d_]+\s+){0,2}?([^\W\d_]+)")
+SORTS = ("people like you", "your kind", "those people", "leute wie du", "gente como tú", "des gens comme toi")
+SWAPPED = re.compile(r"[a-z][a-z@$!|013*]*[@$!|013*][a-z@$!|013*]*")
+UNSWAPPED = str.maketrans("@$!|013", "asiioie")
+STRETCHED = re.compile(r"([^\W\d_])\1{3}")
 
 #: Most labelled rows of each class that the classifier is fitted on; the lexicons are mined from all.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
@@ -26,9 +41,18 @@ TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 LEAST_LLR, LEAST_DOCUMENTS = 37.0, 8
 #: Most units of the lexicons.
 LEXICON_UNITS = 4000
-#: Word beginnings of these lengths are units beside whole words.
-PREFIXES = (4, 5, 6)
-VOTERS = ("curated", "words_a", "words_b", "prefix4", "prefix5", "prefix6", "shouting", "exclaiming", "no_unit")
+#: A mined word is a strong sign from this ratio.
+STRONG_LLR = 4 * LEAST_LLR
+#: Word beginnings of this length are units beside whole words.
+PREFIX = 5
+#: Voters and what each votes where it does not abstain: 1 toxic, -1 clean.
+VOTERS = {
+    "insults": 1, "contempt": 1, "hatred": 1, "profanity": 1, "silencing": 1, "threats": 1, "addressed": 1, "sorts_of_people": 1, "swapped_letters": 1,
+    "stretched": 1, "shouting": 1, "exclaiming": 1, "mined_word": 1, "mined_strong": 1, "mined_several": 1, "mined_beginning": 1, "courtesy": -1, "no_sign": -1,
+}
+SIGNS = np.array(list(VOTERS.values()))
+#: Voters whose votes correlate more than this, given the label, are modelled jointly, up to so many together.
+CORRELATED, CLIQUE = 0.25, 3
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[!?]{3,}")
 THRESHOLD = 0.3
@@ -39,30 +63,45 @@ NOTHING_LEARNT = -4.0
 def units(text: str | None) -> set[str]:
     """The distinct units of a whole text: words, and word beginnings marked with a trailing ``*``."""
     words = set(WORD.findall((text or "").lower()))
-    found = set(words)
-    for n in PREFIXES:
-        found.update([w[:n] + "*" for w in words if len(w) > n])
-    return found
+    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
 
 
-def votes(text: str | None, lexicon: dict[str, int]) -> tuple[tuple[int, ...], list[int]]:
-    """Each voter's vote (1 toxic, -1 clean, 0 none) and the lexicon units in the text."""
+def votes(text: str | None, lexicon: dict[str, tuple[int, bool]]) -> tuple[int, list[int]]:
+    """Which voters do not abstain, as bits in their order, and the numbers of the lexicon units in the text."""
     text = text or ""
-    words = set(WORD.findall(text.lower()))
-    hits = [w for w in words if w in lexicon]
-    starts = {n: {w[:n] + "*" for w in words if len(w) > n} & lexicon.keys() for n in PREFIXES}
-    letters = sum(map(len, words)) or 1
-    loud = sum(1 for w in set(WORD.findall(text)) if len(w) > 2 and w.isupper())
-    found = (
-        int(not INSULTS.isdisjoint(words)),
-        int(any(crc32(w.encode()) & 1 for w in hits)),
-        int(any(not crc32(w.encode()) & 1 for w in hits)),
-        *(int(bool(starts[n])) for n in PREFIXES),
-        int(loud > 0.3 * len(words) and letters > 20),
-        int(MARKS.search(text) is not None),
-    )
-    at = [lexicon[u] for u in hits] + [lexicon[u] for n in PREFIXES for u in starts[n]]
-    return (*found, 0 if any(found[:6]) else -1), at
+    low = text.lower()
+    words = set(WORD.findall(low))
+    hits = [lexicon[w] for w in words if w in lexicon]
+    starts = [lexicon[u] for u in {w[:PREFIX] + "*" for w in words if len(w) > PREFIX} if u in lexicon]
+    curses = INSULTS | CONTEMPT
+    insult, contempt = not INSULTS.isdisjoint(words), not CONTEMPT.isdisjoint(words)
+    loud = sum(1 for w in set(WORD.findall(text)) if len(w) > 2 and w.isupper()) if not text.islower() else 0
+    found = [
+        insult,
+        contempt,
+        not HATRED.isdisjoint(words),
+        not PROFANITY.isdisjoint(words),
+        any(phrase in low for phrase in SILENCING),
+        any(verb in low for verb in HARM) and THREATS.search(low) is not None,
+        (insult or contempt) and any(m[1] in curses for m in ADDRESSED.finditer(low)),
+        any(phrase in low for phrase in SORTS),
+        any(m[0].translate(UNSWAPPED) in curses for m in SWAPPED.finditer(low)) if any(c in low for c in "@$!|013") else False,
+        STRETCHED.search(low) is not None,
+        loud > 0.3 * len(words) and sum(map(len, words)) > 20,
+        MARKS.search(text) is not None,
+        bool(hits),
+        any(strong for _, strong in hits),
+        len(hits) > 1,
+        bool(starts),
+        not COURTESY.isdisjoint(words),
+    ]
+    found.append(not any(found[:16]))
+    return sum(1 << i for i, bit in enumerate(found) if bit), [at for at, _ in hits + starts]
+
+
+def voted(masks: np.ndarray) -> np.ndarray:
+    """A row of votes (1 toxic, -1 clean, 0 none) for each mask that ``votes`` made."""
+    return (np.asarray(masks, np.int64)[:, None] >> np.arange(len(SIGNS)) & 1) * SIGNS
 
 
 def llr(a: Column, b: Column, n_a: int, n_b: int) -> Column:
@@ -84,7 +123,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), 4, 2)).withColumnRenamed("doc_id", "known_id")
-    found = docs.join(known, F.col("doc_id") == F.col("known_id")).select(F.col("text").alias("body"), "toxic")
+    texts = docs.select("doc_id", F.col("text").alias("body"))
+    found = texts.join(known, F.col("doc_id") == F.col("known_id")).select("body", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +143,7 @@ def training_sample(rows: DataFrame, once: DataFrame, sizes: dict[int, int], tox
     parts = []
     for label, most in {1: toxic_rows, 0: clean_rows}.items():
         share = min(1.0, 1.2 * most / max(sizes.get(label, 0), 1))
-        part = once.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).limit(most)
+        part = once.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy("h").limit(most)
         parts.append(part.select("at", "toxic"))
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic_rows + clean_rows rows of 12 bytes
     return rows.join(chosen, "at").select("body", "toxic")
@@ -116,8 +156,8 @@ def sketch(text: str | None) -> int:
     return hashes[0] << 31 ^ hashes[-1]
 
 
-def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
-    """Units that tell toxic from clean documents (``body, toxic``) beyond chance, by their counts in all of them; unit to number."""
+def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, bool]]:
+    """Units that tell toxic from clean documents (``body, toxic``) beyond chance, by their counts in all of them; unit to number, and whether it is a strong sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -141,49 +181,76 @@ def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]
     counts = texts.mapInArrow(run, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     likely = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") * n_clean > 4 * F.col("b") * n_toxic))
     likely = likely.withColumn("llr", llr(F.col("a"), F.col("b"), n_toxic, n_clean)).where(F.col("llr") >= LEAST_LLR)
-    return {row["unit"]: i for i, row in enumerate(likely.orderBy(F.desc("llr"), "unit").limit(LEXICON_UNITS).select("unit").collect())}
+    best = likely.orderBy(F.desc("llr"), "unit").limit(LEXICON_UNITS).select("unit", "llr").collect()
+    return {row["unit"]: (i, row["llr"] >= STRONG_LLR) for i, row in enumerate(best)}
 
 
 class LabelModel:
-    """Accuracies of voters, given how often each pattern of votes occurs, by expectation maximisation.
-
-    Voters that agree beyond what the hidden label explains share their weight:
-    a voter's log-odds are divided by one plus its absolute correlations with the
-    others given the label.
+    """A generative model of the hidden label and the votes, fitted by expectation maximisation to how often each pattern of votes occurs.
+
+    Given the label, cliques of voters are independent of one another; inside a
+    clique every combination of votes has a probability of its own. Voters start
+    alone; those that turn out to correlate given the label are joined, most
+    correlated first, and the model is fitted again. Rows whose label is known
+    (``known``, ``labels``) take part with it. ``accuracy`` is each voter's share
+    of right votes, ``correlation`` that of its votes with each other's given the
+    label, ``cliques`` what was joined.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray | None = None, labels: np.ndarray | None = None, rounds: int = 25):
         m = patterns.shape[1]
+        known = np.zeros((0, m), int) if known is None else known
+        labels = np.zeros(0) if labels is None else labels
         self.prior = float(np.clip(prior, 1e-4, 0.5))
-        self.weight = np.ones(m)
-        self.log_p = np.log(np.array([[[0.1, 0.3, 0.6], [0.3, 0.65, 0.05]]] * m))  # voter, label (toxic first), vote -1 0 1
+        everything, weight = np.vstack([patterns, known]), np.concatenate([counts, np.ones(len(known))])
+        self.cliques = [[j] for j in range(m)]
+        post = np.where((patterns == 1).any(1), 0.7, 0.02)
+        post = self._fitted(everything, weight, np.concatenate([post, labels]), len(patterns), rounds)
+        self.correlation = self._correlations(everything, weight, post)
+        self._join()
+        post = self._fitted(everything, weight, post, len(patterns), rounds)
+        right = (everything == 1) * post[:, None] + (everything == -1) * (1 - post)[:, None]
+        self.accuracy = (weight @ right) / np.maximum(weight @ (everything != 0), 1e-9)
+
+    def _codes(self, patterns: np.ndarray) -> list[np.ndarray]:
+        return [(patterns[:, clique] + 1) @ 3 ** np.arange(len(clique)) for clique in self.cliques]
+
+    def _fitted(self, patterns: np.ndarray, weight: np.ndarray, post: np.ndarray, free: int, rounds: int) -> np.ndarray:
+        """Alternate tables and posteriors; only the first ``free`` rows have a hidden label."""
+        codes = self._codes(patterns)
         for _ in range(rounds):
-            post = self.posterior(patterns)
-            self._estimate(patterns, counts, post)
-        self.correlation = np.eye(m)
-
-    def _estimate(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        for y, mass in enumerate((counts * post, counts * (1 - post))):
-            total = mass.sum()
-            for vote in (-1, 0, 1):
-                hit = mass @ (patterns == vote)
-                self.log_p[:, y, vote + 1] = np.log((hit + 0.1) / (total + 0.3))
+            self.tables = []
+            for clique, code in zip(self.cliques, codes, strict=True):
+                both = np.array([np.bincount(code, weight * side, 3 ** len(clique)) for side in (post, 1 - post)])
+                pooled = both.sum(0) / max(both.sum(), 1e-9)
+                self.tables.append(np.log((both + 2 * pooled + 0.01) / (both.sum(1, keepdims=True) + 2 + 0.01 * both.shape[1])))
+            post = np.concatenate([self.posterior(patterns[:free]), post[free:]])
+        return post
+
+    def _correlations(self, patterns: np.ndarray, weight: np.ndarray, post: np.ndarray) -> np.ndarray:
         residual = np.zeros((patterns.shape[1],) * 2)
-        for mass in (counts * post, counts * (1 - post)):
+        for mass in (weight * post, weight * (1 - post)):
             if mass.sum() > 0:
-                mean = mass @ patterns / mass.sum()
-                residual += (patterns - mean).T @ ((patterns - mean) * mass[:, None])
+                off = patterns - mass @ patterns / mass.sum()
+                residual += off.T @ (off * mass[:, None])
         spread = np.sqrt(np.maximum(residual.diagonal(), 1e-9))
-        self.correlation = np.abs(residual / np.outer(spread, spread))
-        np.fill_diagonal(self.correlation, 0)
-        self.weight = 1 / (1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(1))
+        return residual / np.outer(spread, spread)
+
+    def _join(self) -> None:
+        pairs = [(abs(self.correlation[i, j]), i, j) for i in range(len(self.correlation)) for j in range(i)]
+        for strength, i, j in sorted(pairs, reverse=True):
+            if strength < CORRELATED:
+                break
+            a, b = (next(c for c in self.cliques if x in c) for x in (i, j))
+            if a is not b and len(a) + len(b) <= CLIQUE:
+                self.cliques.remove(b)
+                a.extend(b)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability of label toxic for each pattern."""
         odds = np.full(len(patterns), np.log(self.prior / (1 - self.prior)))
-        for j in range(patterns.shape[1]):
-            p = self.log_p[j]
-            odds += self.weight[j] * (p[0] - p[1])[patterns[:, j] + 1]
+        for table, code in zip(self.tables, self._codes(patterns), strict=True):
+            odds += (table[0] - table[1])[code]
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
@@ -208,62 +275,61 @@ class Linear:
             last = new
         self.w, self.v, self.b = last
 
-    def score(self, at: list[int], pattern: tuple[int, ...]) -> float:
-        z = self.b + float(np.dot(self.v, pattern)) + (float(self.w[at].sum()) if at else 0.0)
-        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+    def scores(self, masks: np.ndarray, at: list[list[int]]) -> np.ndarray:
+        """Probability of toxic for rows of votes and units."""
+        z = self.b + voted(masks) @ self.v
+        z += np.bincount(np.repeat(np.arange(len(at)), [len(a) for a in at]), self.w[[u for a in at for u in a]], len(at)) if self.n_units else 0
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def count_votes(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
-    """``pattern, n``: how many texts of the table get each pattern of votes (at most 3^voters rows)."""
+def voted_rows(rows: DataFrame, lexicon: dict[str, tuple[int, bool]]) -> DataFrame:
+    """``tag, mask, at``: the votes and units of every whole text of ``tag, body``."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_UNITS units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [",".join(map(str, votes(t.as_py(), lexicon)[0])) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(found, pa.string())], names=["pattern"])
+            found = [votes(t.as_py(), shared.value) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([m for m, _ in found], pa.int32()), pa.array([a for _, a in found], pa.list_(pa.int32()))], names=["tag", "mask", "at"])
+
+    return rows.select(F.col("tag").cast("long"), "body").mapInArrow(run, "tag long, mask int, at array<int>")
 
-    return docs.select(F.col("text")).mapInArrow(run, "pattern string").groupBy("pattern").agg(F.count("*").alias("n"))
 
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[DataFrame, dict[str, tuple[int, bool]], LabelModel, Linear]:
+    """Every document's votes (``tag`` its id, ``mask``, ``at``; staged), the lexicon, label model and classifier.
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[dict[str, int], LabelModel, Linear]:
-    """The lexicon, label model and classifier. Labels come only from documents outside the held-out quarter."""
+    Labels come only from documents outside the held-out quarter; those without a
+    document, or with a null id or label, teach nothing. Votes are made once and
+    serve both the label model and the scores. Repeated documents vote as often as
+    they occur. With empty tables the lexicon is empty and scores are the
+    intercept's.
+    """
     rows, once = labelled_texts(docs, labels)
     sizes = {row["toxic"]: row["n"] for row in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = mine_lexicon(rows.join(once, "at").select("body", "toxic"), sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1))
-    sample = staged(training_sample(rows, once, sizes, toxic_rows, clean_rows), "toxicity-sample")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [votes(t.as_py(), lexicon) for t in batch.column(0)]
-            yield pa.record_batch(
-                [batch.column(1).cast(pa.int32()), pa.array([list(p) for p, _ in found], pa.list_(pa.int32())), pa.array([a for _, a in found], pa.list_(pa.int32()))],
-                names=["toxic", "pattern", "at"],
-            )
-
-    seen = sample.mapInArrow(run, "toxic int, pattern array<int>, at array<int>").toPandas()  # bounded by the sample
+    sample = training_sample(rows, once, sizes, toxic_rows, clean_rows).select(F.col("toxic").alias("tag"), "body")
+    seen = voted_rows(sample, lexicon).collect()  # bounded by the sample
+    seen.sort(key=lambda row: (row["tag"], row["mask"], row["at"]))
+    voted_docs = staged(voted_rows(docs.select(F.col("doc_id").alias("tag"), F.col("text").alias("body")), lexicon), "toxicity-votes")
     rate = labels.where(~held_out(F.col("doc_id"), 4, 2)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    grouped = count_votes(docs, lexicon).collect()  # at most 3^voters rows
-    patterns = np.array([[int(x) for x in row["pattern"].split(",")] for row in grouped] or [[0] * len(VOTERS)])
-    model = LabelModel(patterns, np.array([row["n"] for row in grouped] or [0], float), rate or 0.05)
-    own = np.array(seen["pattern"].tolist() or np.zeros((0, len(VOTERS))), int).reshape(-1, len(VOTERS))
-    at = [list(a) for a in seen["at"]]
-    return lexicon, model, Linear(at, own, model.posterior(own), len(lexicon))
+    grouped = voted_docs.groupBy("mask").agg(F.count("*").alias("n")).collect()  # at most 2^18 rows whatever the input
+    own = voted([row["mask"] for row in seen])
+    model = LabelModel(voted([row["mask"] for row in grouped]), np.array([row["n"] for row in grouped], float), rate or 0.05, own, np.array([float(row["tag"] == 1) for row in seen]))
+    return voted_docs, lexicon, model, Linear([row["at"] for row in seen], own, model.posterior(own), len(lexicon))
 
 
-def score(docs: DataFrame, lexicon: dict[str, int], linear: Linear, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` of every whole text; a null or empty text is scored by the intercept and the empty votes."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, linear))  # at most LEXICON_UNITS units and weights
+def score(voted_docs: DataFrame, linear: Linear, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, predicted`` of every row of votes; a score at the threshold is toxic. A null or empty text is scored by the intercept and its votes."""
+    shared = voted_docs.sparkSession.sparkContext.broadcast(linear)  # at most LEXICON_UNITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units_of, classifier = shared.value
         for batch in batches:
-            found = [classifier.score(at, pattern) for pattern, at in (votes(t.as_py(), units_of) for t in batch.column(1))]
-            scores = np.array(found, np.float64)
+            scores = shared.value.scores(batch.column(1).to_numpy(), batch.column(2).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return voted_docs.select("tag", "mask", "at").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of query ``op3_toxicity``."""
-    lexicon, _, linear = fit(docs, labels)
-    return score(docs, lexicon, linear).withColumn("held_out", held_out(F.col("doc_id"), 4, 2)).select("doc_id", "held_out", "score", "predicted")
+    voted_docs, _, _, linear = fit(docs, labels)
+    return score(voted_docs, linear).withColumn("held_out", held_out(F.col("doc_id"), 4, 2)).select("doc_id", "held_out", "score", "predicted")
