@@ -20,7 +20,7 @@ PARTITION_COUNTS = (2, 3, 4, 5)
 #: What one shuffled signature costs, in verified candidate pairs: about 3.5 microseconds a row
 #: (made, shuffled, sorted, read) against 8 nanoseconds a comparison, as measured.
 ROW_COST = 400.0
-#: A bucket of more rows is split into blocks, and pairs of blocks are linked in separate tasks.
+#: A bucket of more rows is dealt anew by further bits; what is still larger, by pairs of blocks in separate tasks.
 BUCKET_ROWS = 50_000
 #: Buckets up to this size are compared pair by pair, all buckets at once.
 SMALL_BUCKET = 32
@@ -282,6 +282,12 @@ def radius_links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS
     found = staged(link_buckets(signatures(fps, plan(fps, n, radius)), radius, bucket_rows), "simhash-links")
     links = found.where("b IS NOT NULL").select("a", "b")
     large = found.where("b IS NULL").select("code", F.col("a").alias("fp"))
+    if large.isEmpty():
+        return links
+    # Two fingerprints within the radius agree on all bits of one of radius + 1 groups; so a large bucket falls into far smaller ones.
+    finer = staged(link_buckets(finer_codes(large, radius), radius, bucket_rows), "simhash-finer")
+    links = links.unionByName(finer.where("b IS NOT NULL").select("a", "b"))
+    large = finer.where("b IS NULL").select("code", F.col("a").alias("fp"))
     counts = large.groupBy("code").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("blocks"))
     if counts.isEmpty():
         return links
@@ -291,6 +297,14 @@ def radius_links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS
     return links.unionByName(link_buckets(pairs, radius, None).select("a", "b"))
 
 
+def finer_codes(large: DataFrame, radius: int) -> DataFrame:
+    """``code, fp``: each fingerprint of a bucket under the bucket's code joined with each of ``radius + 1`` interleaved groups of its bits."""
+    masks = [sum(1 << b for b in range(i, BITS, radius + 1)) for i in range(radius + 1)]
+    signed = [mask - (1 << BITS) if mask >> (BITS - 1) else mask for mask in masks]
+    codes = F.array(*(F.xxhash64("code", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))) for i, mask in enumerate(signed)))
+    return large.select(F.explode(codes).alias("code"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
     """``id, fp, component``: one row per input row; component is the smallest id reachable over links of at most ``radius`` bits.
 
