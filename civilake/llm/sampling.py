@@ -22,12 +22,17 @@ def labelled_sample(docs: DataFrame, label: Column, text: Column, per_label: int
     Rows with a null label or text teach nothing. Equal texts of a label count
     once, however many copies there are, so a label made of copies keeps each of
     its texts. The table is scanned twice whatever the number of labels: labels
-    and hashes alone choose, and the chosen texts are then joined back. Each task
-    sends at most ``per_label`` rows of a label to where they are ranked.
+    and hashes alone choose, and the chosen texts are then joined back. Counts by
+    the hashes' upper bits tell how far the smallest reach, so of a label only
+    little more than the wanted rows are ever ranked.
     """
     known = docs.select(label.alias("label"), text.alias("body")).where("label IS NOT NULL AND body IS NOT NULL").withColumn("h", F.xxhash64("body"))
-    distinct = known.groupBy("label", "h").agg(F.count("*").alias("n"))
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_label)
+    upper = F.shiftright("h", 48)
+    distinct = staged(known.select("label", "h").distinct().withColumn("upper", upper), "sample-hashes")
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1))  # at most 2^16 rows a label
+    reach = distinct.groupBy("label", "upper").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    near = distinct.join(reach.where(F.col("before") < per_label).select("label", "upper"), ["label", "upper"], "left_semi")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_label)
     ranked = staged(ranked.select("label", "h", "rank"), "sample-ranked")
     labels = max(1, ranked.where("rank = 1").count())
     chosen = staged(ranked.where(F.col("rank") <= max(1, min(per_label, in_all // labels))).select("label", "h"), "sample-chosen")
