@@ -164,7 +164,7 @@ def test_lexicon_is_mined_from_all_labelled_texts(spark):
     rows += [(i, f"{copied} {i}") for i in range(400, 500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 400)) for i, _ in rows], "doc_id long, toxic int")
-    lexicon, _, _ = toxicity.fit(docs, labels, toxic_rows=5, clean_rows=15)
+    _, lexicon, _, _ = toxicity.fit(docs, labels, toxic_rows=5, clean_rows=15)
     assert "slurpel" in lexicon and "grobfink" not in lexicon
 
 
