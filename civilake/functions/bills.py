@@ -34,13 +34,6 @@ def can_update_stage(current: Column, following: Column, stages: tuple[str, ...]
     return F.coalesce(stage_order(current, stages) < stage_order(following, stages), F.lit(True))
 
 
-def folded_stage(history: Column, stages: tuple[str, ...] = STAGES) -> Column:
-    """The stage left after applying an ordered array of stages one by one under the update rule."""
-    order = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in enumerate(stages, 1)))
-    step = lambda now, new: F.when(now.isNull() | F.coalesce(order[now] < order[new], F.lit(True)), new).otherwise(now)
-    return F.aggregate(history, F.lit(None).cast("string"), step)
-
-
 def derived_stage(withdrawn: Column, *dated: tuple[str, Column]) -> Column:
     """The stage of the first condition that holds, a withdrawal before all; the first of all stages if none does."""
     out = F.when(withdrawn, "철회")

@@ -40,23 +40,15 @@ def party_name(c: Column) -> Column:
 
 def is_undecided(c: Column) -> Column:
     """Whether an option stands for no choice."""
-    text = collapsed(F.coalesce(c, F.lit("")))
-    out = F.lit(False)
-    for word in UNDECIDED_WORDS:
-        out = out | text.contains(word)
-    return out
+    return F.coalesce(collapsed(c).rlike("|".join(UNDECIDED_WORDS)), F.lit(False))
 
 
 def question_kind(title: Column, text: Column | None = None) -> Column:
     """The first kind whose words the title or the text holds, spaces ignored; OTHER if none."""
-    parts = [collapsed(F.coalesce(c, F.lit(""))) for c in (title, text) if c is not None]
-    out = None
+    both = collapsed(title) if text is None else collapsed(F.concat_ws("|", title, text))
+    out = F
     for kind, words in QUESTION_KINDS.items():
-        held = F.lit(False)
-        for word in words:
-            for part in parts:
-                held = held | part.contains(word)
-        out = F.when(held, kind) if out is None else out.when(held, kind)
+        out = out.when(both.rlike("|".join(words)), kind)
     return out.otherwise("OTHER")
 
 
@@ -80,6 +72,29 @@ def title_region(c: Column) -> tuple[Column, Column]:
     return region.when(several, first).otherwise(""), name.when(several, rest(1)).otherwise(text)
 
 
+# Names of elections by their type codes.
+ELECTION_TYPES = {
+    1: "대통령선거", 2: "국회의원선거", 3: "광역단체장선거", 4: "기초단체장선거", 5: "광역의원선거", 6: "기초의원선거",
+    7: "국회의원비례대표선거", 8: "광역의원비례대표선거", 9: "기초의원비례대표선거", 10: "교육의원선거", 11: "교육감선거",
+}
+
+
+def election_type_name(code: Column) -> Column:
+    """The name of an election type; an unknown code is an empty name."""
+    return F.coalesce(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in ELECTION_TYPES.items()))[code.cast("int")], F.lit(""))
+
+
+def label_of(code: Column, name: Column, by_code: dict[str, str], by_name: dict[str, str]) -> Column:
+    """A label by its trimmed code, else by its trimmed name, else the name as it is; null is empty."""
+    plain_code, plain_name = (F.trim(F.coalesce(c, F.lit(""))) for c in (code, name))
+    return F.coalesce(_lookup(by_code, plain_code), _lookup(by_name, plain_name), plain_name)
+
+
+def candidate_name(c: Column, aliases: dict[str, str]) -> Column:
+    """A candidate's name by its alias, else without spaces."""
+    return F.coalesce(_lookup(aliases, F.trim(F.coalesce(c, F.lit("")))), collapsed(F.coalesce(c, F.lit(""))))
+
+
 def matches_target(region: Column, names: Column, pollster: Column, want_region: Column, want_names: Column, want_pollsters: Column) -> Column:
     """Whether a list entry fits a target; a null wish fits everything."""
     fits_region = want_region.isNull() | (region == want_region)

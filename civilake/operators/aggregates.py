@@ -38,15 +38,27 @@ def modal(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 def top_and_other(rows: DataFrame, key: str, n: int, other: str = "other") -> DataFrame:
     """Counts of the ``n`` most frequent keys, and of all others together."""
     counts = rows.groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), key)))
-    named = F.when(F.col("rank") <= n, F.col(key)).otherwise(F.lit(other))
-    return ranked.groupBy(named.alias(key)).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), key).limit(n).select(F.col(key).alias("__top"))
+    marked = counts.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("__top")) & F.col(key).isNotNull(), "left")  # n rows
+    return marked.groupBy(F.coalesce("__top", F.lit(other)).alias(key)).agg(F.sum("n").alias("n"))
+
+
+def value_counts(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """``field, value, n``: the ``n`` most frequent values of each column, ties to the smaller value; one pass over the rows.
+
+    Each row is counted under every column at once; only the counts are ranked.
+    """
+    listed = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")
+    counts = rows.select(listed).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def samples_per(rows: DataFrame, key: str, item: Column, n_samples: int, n_keys: int) -> DataFrame:
-    """The ``n_keys`` keys with most rows: count and the first few items in order, comma-joined."""
-    order = Window.partitionBy(key).orderBy("__item")
-    ranked = rows.select(key, item.alias("__item")).withColumn("__at", F.row_number().over(order))
-    listed = F.sort_array(F.collect_list(F.when(F.col("__at") <= n_samples, F.col("__item"))))
-    found = ranked.groupBy(key).agg(F.count("*").alias("n"), F.array_join(listed.cast("array<string>"), ",").alias("samples"))
-    return found.orderBy(F.desc("n"), key).limit(n_keys)
+    """The ``n_keys`` keys with most rows: count and the first few items in order, comma-joined. Only rows of the chosen keys are ranked."""
+    items = rows.select(key, item.alias("__item"))
+    top = items.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n_keys)
+    own = items.join(F.broadcast(top.select(key)), key, "left_semi")  # n_keys rows
+    first = own.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy("__item"))).where(F.col("__at") <= n_samples)
+    listed = first.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("__item")).cast("array<string>"), ",").alias("samples"))
+    return top.join(listed, key, "left").select(key, "n", "samples")

@@ -37,14 +37,25 @@ def relaxed_lookup(rows: DataFrame, table: DataFrame, exact: list[str], relaxed:
     return found.withColumn(value, F.coalesce("__exact", "__relaxed")).select(*rows.columns, value)
 
 
-def resolve_or_create(names: DataFrame, table: DataFrame, name: str, key: str) -> DataFrame:
-    """Each distinct name with its key in the table; unknown names get the next keys in name order, flagged ``created``."""
+def resolve_or_create(names: DataFrame, table: DataFrame, name: str, key: str, parts: int = 64) -> DataFrame:
+    """Each distinct name with its key in the table; unknown names get the next keys in name order, flagged ``created``.
+
+    Unknown names are numbered inside ranges between ``parts`` of them, picked by
+    hash, and each range begins where the counts of those before it end.
+    """
     wanted = names.select(name).where(F.col(name).isNotNull()).distinct()
     known = wanted.join(table.select(name, key), name)
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
     fresh = wanted.join(table, name, "left_anti")
-    numbered = fresh.withColumn("__n", F.row_number().over(Window.orderBy(name)))
-    created = numbered.join(F.broadcast(top)).select(name, (F.col("__top") + F.col("__n")).alias(key), F.lit(True).alias("created"))  # one row
+    edges = sorted(row[0] for row in fresh.orderBy(F.xxhash64(name), name).limit(parts).collect())
+    held = F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge: edge <= F.col(name))) if edges else F.lit(0)
+    ranged = fresh.withColumn("__part", held)
+    numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(name)))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # at most parts + 1 rows
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("__part"), before.alias("__before"))
+    created = numbered.join(F.broadcast(starts), "__part").join(F.broadcast(top))  # one row
+    created = created.select(name, (F.col("__top") + F.col("__before") + F.col("__n")).alias(key), F.lit(True).alias("created"))
     return known.withColumn("created", F.lit(False)).unionByName(created)
 
 

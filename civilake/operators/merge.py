@@ -64,7 +64,28 @@ def toggled(actions: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return folded.where("n % 2 = 1").select(*keys, ordinal)
 
 
-def ordered_values(rows: DataFrame, key: str, ordinal: str, value: str, name: str = "history") -> DataFrame:
-    """Each key's values in order, as one array; meant for keys of few rows, such as one bill's stages."""
-    listed = F.array_sort(F.collect_list(F.struct(ordinal, value)))
-    return rows.groupBy(key).agg(F.transform(listed, lambda x: x[value]).alias(name))
+def folded_stages(rows: DataFrame, key: str, ordinal: str, stage: str, place: Column) -> DataFrame:
+    """``key, stage``: the stage left after each key's stages are applied in order, where predefined ones (with a ``place``) only move forward and any other is always taken.
+
+    After the last stage without a place any predefined one is taken, and from
+    there only later ones: so what is left is the furthest stage seen after that
+    one, or that one itself. The last occurrence of each place tells both, so a
+    key's history is summed before it is shuffled and never listed.
+    """
+    last = rows.select(key, ordinal, stage, place.alias("__place")).groupBy(key, "__place").agg(F.max(F.struct(ordinal, stage)).alias("__last"))
+    free = F.max(F.when(F.col("__place").isNull(), F.col("__last"))).alias("__free")
+    seen = last.groupBy(key).agg(free, F.collect_list(F.when(F.col("__place").isNotNull(), F.struct("__place", "__last"))).alias("__seen"))  # one entry a place
+    after = F.filter("__seen", lambda x: F.col("__free").isNull() | (x["__last"][ordinal] > F.col(f"__free.{ordinal}")))
+    furthest = F.array_max(after)
+    return seen.select(key, F.coalesce(furthest["__last"][stage], F.col(f"__free.{stage}")).alias(stage))
+
+
+def toggle_outcomes(actions: DataFrame, keys: list[str], ordinal: str, wanted: str) -> DataFrame:
+    """Each request to switch a key on or off with its outcome, and the state it leaves: asking for the state that is there already is an error and changes nothing.
+
+    A request moves the state if it differs from what was asked for last, so the
+    state before a request is simply the request before it (off at the start).
+    """
+    before = F.coalesce(F.lag(wanted).over(Window.partitionBy(*keys).orderBy(ordinal)), F.lit(False))
+    outcome = F.when(F.col(wanted) == before, "error").when(F.col(wanted), "created").otherwise("deleted")
+    return actions.withColumn("outcome", outcome)

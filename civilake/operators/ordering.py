@@ -46,10 +46,34 @@ def fair_merge(rows: DataFrame, queue: str, order: list[Column], queues: list[st
 
 
 def gap_clusters(rows: DataFrame, keys: list[str], x: str, tie: str, clusters: int, least_gap: float) -> DataFrame:
-    """``cluster`` (from 0) of each row along ``x``: a group is cut at its ``clusters - 1`` largest gaps over ``least_gap``."""
-    along = Window.partitionBy(*keys).orderBy(x, tie)
-    gapped = rows.withColumn("__gap", F.col(x) - F.lag(x).over(along))
-    widest = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__gap"), x, tie)
+    """``cluster`` (from 0) of each row along ``x``: a group is cut at its ``clusters - 1`` largest gaps over ``least_gap``.
+
+    A group of at most ``clusters`` rows has one row a cluster; one with fewer
+    wide gaps than cuts has no clusters and gives no rows.
+    """
+    group = Window.partitionBy(*keys)
+    along = group.orderBy(x, tie)
+    gapped = rows.withColumns({"__gap": F.col(x) - F.lag(x).over(along), "__at": F.row_number().over(along), "__n": F.count("*").over(group)})
+    widest = group.orderBy(F.desc_nulls_last("__gap"), x, tie)
     cut = (F.row_number().over(widest) < clusters) & (F.col("__gap") > least_gap)
     counted = gapped.withColumn("__cut", F.when(cut, 1).otherwise(0))
-    return counted.withColumn("cluster", F.sum("__cut").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__cut")
+    counted = counted.withColumns({"__cuts": F.sum("__cut").over(group), "__before": F.sum("__cut").over(along.rowsBetween(Window.unboundedPreceding, 0))})
+    single = F.col("__n") <= clusters
+    found = counted.withColumn("cluster", F.when(single & (clusters > 1), F.col("__at").cast("bigint") - 1).otherwise(F.col("__before")))
+    return found.where(single | (F.col("__cuts") == clusters - 1)).drop("__gap", "__at", "__n", "__cut", "__cuts", "__before")
+
+
+def lines_of(words: DataFrame, page: str, x: str, y: str, word: str, most: float = 3.0) -> DataFrame:
+    """``page, line_no, line``: words by rounded y, then x; a new line begins where y is more than ``most`` from that of the line's first word."""
+    listed = F.array_sort(F.collect_list(F.struct(F.bround(y).alias("y"), F.col(x).alias("x"), F.col(word).cast("string").alias("w"))))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<string>").alias("lines"))
+
+    def step(state, one):
+        fresh = state["y"].isNull() | (F.abs(one["y"] - state["y"]) > most)
+        count = F.size(state["lines"])
+        grown = F.concat(F.slice(state["lines"], 1, F.greatest(count - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(state["lines"], -1), one["w"])))
+        lines = F.when(fresh, F.concat(state["lines"], F.array(one["w"]))).otherwise(grown)
+        return F.struct(F.when(fresh, one["y"].cast("double")).otherwise(state["y"]).alias("y"), lines.alias("lines"))
+
+    pages = words.groupBy(page).agg(F.aggregate(listed, start, step, lambda s: s["lines"]).alias("lines"))
+    return pages.select(page, F.posexplode("lines").alias("line_no", "line"))

@@ -32,17 +32,16 @@ def ranked_snapshot(folded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaders(folded: DataFrame, keys: list[str]) -> DataFrame:
-    """Leader, runner-up, gap (0 without a runner-up) and undecided of each snapshot; none if only undecided is left."""
-    real = ranked_snapshot(folded.where(F.col("option") != UNDECIDED), keys)
-    first, second = F.col("rank") == 1, F.col("rank") == 2
-    top = real.where("rank <= 2").groupBy(*keys).agg(
-        F.max(F.when(first, F.col("option"))).alias("leader"), F.max(F.when(first, F.col("pct"))).alias("leader_pct"),
-        F.max(F.when(second, F.col("option"))).alias("runner_up"), F.max(F.when(second, F.col("pct"))).alias("second_pct"),
-    )
-    undecided = folded.where(F.col("option") == UNDECIDED).select(*keys, F.col("pct").alias("undecided"))
-    found = top.join(undecided, keys, "left")
-    gap = F.coalesce(F.col("leader_pct") - F.col("second_pct"), F.lit(0))
-    return found.select(*keys, "leader", "leader_pct", "runner_up", gap.alias("gap"), F.coalesce("undecided", F.lit(0)).alias("undecided"))
+    """Leader, runner-up, gap (0 without a runner-up) and undecided of each snapshot; none if only undecided is left.
+
+    One grouped pass; a group is the options of one question.
+    """
+    real = F.col("option") != UNDECIDED
+    listed = F.array_sort(F.collect_list(F.when(real, F.struct((-F.col("pct")).alias("fall"), "first_option", "option", "pct"))))
+    top = folded.groupBy(*keys).agg(listed.alias("x"), F.coalesce(F.max(F.when(~real, F.col("pct"))), F.lit(0)).alias("undecided")).where("size(x) > 0")
+    first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    gap = F.coalesce(first["pct"] - second["pct"], F.lit(0))
+    return top.select(*keys, first["option"].alias("leader"), first["pct"].alias("leader_pct"), second["option"].alias("runner_up"), gap.alias("gap"), "undecided")
 
 
 def lead_second_other(folded: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,3 +55,19 @@ def trend_window(points: DataFrame, when: str, months: int) -> DataFrame:
     """The points of the last ``months`` months before the latest one (month ends are clamped)."""
     latest = points.agg(F.max(when).alias("__latest"))
     return points.join(F.broadcast(latest)).where(F.col(when) >= F.add_months("__latest", -months)).drop("__latest")  # one row
+
+
+def candidate_series(ranked: DataFrame, region: str, survey: str, when: str, wanted: str) -> DataFrame:
+    """Each region's candidate in every survey beside the best rival.
+
+    ``ranked`` has ``option, pct, rank`` without undecided ones. The candidate is
+    the wanted one if the region's newest survey (ties to the smaller id) has it,
+    else the one that survey puts first.
+    """
+    newest = ranked.groupBy(region).agg(F.max(F.struct(F.col(when), (-F.col(survey)).alias("k"))).alias("x")).select(F.col(region).alias("__region"), (-F.col("x.k")).alias("__survey"))
+    last = ranked.join(newest, (F.col(region) == F.col("__region")) & (F.col(survey) == F.col("__survey")))
+    has = F.max((F.col("option") == wanted).cast("int")) == 1
+    picked = last.groupBy(region).agg(F.when(has, F.lit(wanted)).otherwise(F.min_by("option", "rank")).alias("candidate"))
+    own = F.col("option") == F.col("candidate")
+    pair = (F.max(F.when(own, F.col("pct"))).alias("own_pct"), F.max(F.when(~own, F.col("pct"))).alias("best_rival"))
+    return ranked.join(picked, region).groupBy(region, survey, when, "candidate").agg(*pair)

@@ -26,7 +26,7 @@ def nearest(rows: DataFrame, query: DataFrame, key: str, vector: str, query_vect
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def context(rows: DataFrame, score: Column, tie: Column, line: Column, separator: str = "\n") -> DataFrame:
+def context(rows: DataFrame, score: Column, tie: Column, line: Column, separator: str = "\n\n") -> DataFrame:
     """One text of the lines of a few rows, best score first, and their number."""
     ordered = F.array_sort(F.collect_list(F.struct((-score).alias("s"), tie.alias("t"), line.alias("l"))))
     return rows.agg(F.array_join(F.transform(ordered, lambda x: x["l"]), separator).alias("context"), F.count("*").alias("n"))

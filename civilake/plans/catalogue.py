@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civilake.plans import feeds, merges, polls, recency, relational, retrieval, scalars
+from civilake.plans import elections, feeds, lifecycles, merges, polls, recency, relational, retrieval, scalars
 
-MODULES = (feeds, relational, polls, recency, merges, scalars, retrieval)
+MODULES = (feeds, relational, polls, recency, merges, scalars, retrieval, elections, lifecycles)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civilake.functions.bills import folded_stage
+from civilake.functions.bills import stage_order
 from civilake.operators import joins, merge
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
@@ -50,16 +50,16 @@ def partial_update(spark, d):
 
 
 @query("""
-WITH old AS (SELECT p_brand AS name, count(*) AS n, min(p_partkey) AS first_seen, max(p_partkey) AS last_seen FROM part WHERE p_partkey % 4 = 0 GROUP BY 1),
-new AS (SELECT p_brand AS name, count(*) AS n, min(p_partkey) AS first_seen, max_by(p_size, p_partkey) AS last_seen FROM part WHERE p_partkey % 4 = 1 GROUP BY 1)
+WITH old AS (SELECT p_brand AS name, count(*) AS n, min(p_partkey) AS first_seen, max(p_partkey) AS last_seen FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+new AS (SELECT p_brand AS name, count(*) AS n, min(p_partkey) AS first_seen, max_by(p_size, p_partkey) AS last_seen FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(old.name, new.name) AS name, coalesce(old.n, 0) + coalesce(new.n, 0) AS n, coalesce(old.first_seen, new.first_seen) AS first_seen,
        CAST(coalesce(new.last_seen, old.last_seen) AS BIGINT) AS last_seen FROM old FULL JOIN new ON old.name = new.name""")
 def catalog_upsert(spark, d):
     """Counts add up, the first sighting stays, the last is the one written last (not the largest)."""
     part = table(spark, d, "part")
     named = lambda rows, last: rows.groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen"), last.cast("bigint").alias("last_seen"))
-    old = named(part.where("p_partkey % 4 = 0"), F.max("p_partkey"))
-    new = named(part.where("p_partkey % 4 = 1"), F.max_by("p_size", "p_partkey"))
+    old = named(part.where("p_partkey % 2 = 0"), F.max("p_partkey"))
+    new = named(part.where("p_partkey % 2 = 1"), F.max_by("p_size", "p_partkey"))
     merged = merge.upsert(old, new, ["name"], fill=("last_seen",), on_insert={"n": F.lit(0).cast("bigint")})
     more = new.select("name", F.col("n").alias("more"))
     return merged.join(more, "name", "left").select("name", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "first_seen", "last_seen")
@@ -117,15 +117,20 @@ def scalar_subquery_link(spark, d):
 
 
 @query("""
-WITH a AS (SELECT event_id, user_id, event_type AS stage FROM events), known AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
-SELECT event_id, CASE WHEN user_id NOT IN (SELECT c_custkey FROM known) THEN 'unknown' WHEN row_number() OVER (PARTITION BY user_id, stage ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'applied' END AS outcome FROM a""")
+WITH a AS (SELECT event_id, user_id, event_type AS stage, CAST(ts AS DATE) AS day FROM events), known AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0),
+there AS (SELECT DISTINCT user_id, stage, day FROM a WHERE event_id % 2 = 0)
+SELECT a.event_id, CASE WHEN a.user_id NOT IN (SELECT c_custkey FROM known) THEN 'unknown' WHEN t.user_id IS NOT NULL THEN 'duplicate' ELSE 'applied' END AS outcome,
+       CASE WHEN a.user_id IN (SELECT c_custkey FROM known) AND t.user_id IS NOT NULL THEN a.user_id || '-' || a.stage || '-' || a.day END AS duplicate_bill
+FROM a LEFT JOIN there t ON t.user_id = a.user_id AND t.stage = a.stage AND t.day = a.day WHERE a.event_id % 2 = 1""")
 def stage_apply_report(spark, d):
-    """Which stage rows apply, which are repeated and which name an unknown bill."""
+    """Which incoming stage rows apply, which name an unknown bill, and which are in the timeline already with bill, stage and date (even events are the timeline, odd ones come in)."""
     known = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
-    rows = joins.exists_flag(events(spark, d).select("event_id", "user_id", F.col("event_type").alias("stage")), known, ["user_id"], "known")
-    first = rows.groupBy("user_id", "stage").agg(F.min("event_id").alias("first"))
-    outcome = F.when(~F.col("known"), "unknown").when(F.col("event_id") > F.col("first"), "duplicate").otherwise("applied")
-    return rows.join(first, ["user_id", "stage"]).select("event_id", outcome.alias("outcome"))
+    rows = events(spark, d).select("event_id", "user_id", F.col("event_type").alias("stage"), F.col("ts").cast("date").alias("day"))
+    incoming = joins.exists_flag(rows.where("event_id % 2 = 1"), known, ["user_id"], "known")
+    marked = joins.exists_flag(incoming, rows.where("event_id % 2 = 0"), ["user_id", "stage", "day"], "there")
+    outcome = F.when(~F.col("known"), "unknown").when(F.col("there"), "duplicate").otherwise("applied")
+    info = F.when(F.col("known") & F.col("there"), F.concat_ws("-", "user_id", "stage", "day"))
+    return marked.select("event_id", outcome.alias("outcome"), info.alias("duplicate_bill"))
 
 
 @query("""
@@ -150,20 +155,18 @@ STAGE_OF = {"signup": "접수", "view": "소관위심사", "click": "본회의
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
-  CASE event_type WHEN 'signup' THEN '접수' WHEN 'view' THEN '소관위심사' WHEN 'click' THEN '본회의심의' WHEN 'purchase' THEN '공포' ELSE '재의' END AS stage,
-  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'click' THEN 5 WHEN 'purchase' THEN 7 END AS place FROM events WHERE event_id % 10 = 0),
-f AS (SELECT user_id, n, stage, place FROM o WHERE n = 1 UNION ALL
-  SELECT o.user_id, o.n, CASE WHEN f.place IS NULL OR o.place IS NULL OR f.place < o.place THEN o.stage ELSE f.stage END,
-         CASE WHEN f.place IS NULL OR o.place IS NULL OR f.place < o.place THEN o.place ELSE f.place END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
-SELECT user_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS r FROM f) WHERE r = 1""")
+WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN '접수' WHEN 'view' THEN '소관위심사' WHEN 'click' THEN '본회의심의' WHEN 'purchase' THEN '공포' ELSE '재의' END AS stage,
+  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'click' THEN 5 WHEN 'purchase' THEN 7 END AS place FROM events),
+free AS (SELECT user_id, max(event_id) AS last FROM p WHERE place IS NULL GROUP BY 1),
+far AS (SELECT p.user_id, arg_max(stage, place) AS stage FROM p LEFT JOIN free f ON f.user_id = p.user_id WHERE place IS NOT NULL AND (last IS NULL OR event_id > last) GROUP BY 1)
+SELECT u.user_id, coalesce(far.stage, '재의') AS stage FROM (SELECT DISTINCT user_id FROM p) u LEFT JOIN far ON far.user_id = u.user_id""")
 def monotone_stage_fold(spark, d):
     """Stages only move forward between predefined ones; an unknown stage is always accepted, so the order of events matters."""
     stage = F.col("event_type")
     for kind, name in STAGE_OF.items():
         stage = F.when(F.col("event_type") == kind, name).otherwise(stage)
-    rows = events(spark, d).where("event_id % 10 = 0").select("user_id", "event_id", stage.alias("stage"))
-    return merge.ordered_values(rows, "user_id", "event_id", "stage").select("user_id", folded_stage(F.col("history")).alias("stage"))
+    rows = events(spark, d).select("user_id", "event_id", stage.alias("stage"))
+    return merge.folded_stages(rows, "user_id", "event_id", "stage", stage_order(F.col("stage")))
 
 
 @query("""
@@ -219,6 +222,17 @@ def notify_fanout(spark, d):
     return moved.join(follows, "target").select("event_id", "subscriber", "target", "follows")
 
 
+@query("""
+WITH c AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 20 AS target, event_id, event_type = 'click' AS wanted FROM events WHERE event_type IN ('click', 'view')),
+b AS (SELECT *, coalesce(lag(wanted) OVER (PARTITION BY user_id, target ORDER BY event_id), false) AS was FROM c)
+SELECT event_id, user_id, target, CASE WHEN wanted = was THEN 'error' WHEN wanted THEN 'created' ELSE 'deleted' END AS outcome FROM b""")
+def like_requests(spark, d):
+    """Every request to like (click) or unlike (view): made, undone, or refused since it asks for what is already so."""
+    rows = events(spark, d).where("event_type IN ('click', 'view')")
+    asked = rows.select("event_id", "user_id", (F.floor("value") % 20).alias("target"), (F.col("event_type") == "click").alias("wanted"))
+    return merge.toggle_outcomes(asked, ["user_id", "target"], "event_id", "wanted").select("event_id", "user_id", "target", "outcome")
+
+
 @query("""
 SELECT user_id, CAST(floor(value) AS BIGINT) % 20 AS target, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
 def toggle_fold(spark, d):

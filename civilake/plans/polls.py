@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civilake.functions import polls as rules
@@ -99,20 +99,23 @@ def poll_overview_leader_gap(spark, d):
 
 
 @query(VIEWS + """
-SELECT s.region, s.survey_id, s.end_date, f.pct FROM folded f JOIN surveys s ON s.survey_id = f.survey_id WHERE f.number = 1 AND f.option = 'Party 3'""", dates=("end_date",))
+SELECT s.region, s.survey_id, s.end_date, f.pct, CAST(row_number() OVER (PARTITION BY s.region ORDER BY s.end_date ASC NULLS LAST, s.survey_id) AS INTEGER) AS place
+FROM folded f JOIN surveys s ON s.survey_id = f.survey_id WHERE f.number = 1 AND f.option = 'Party 3'""", dates=("end_date",))
 def poll_party_trend(spark, d):
-    """One party's support over time."""
-    own = folded(options(spark, d).where("number = 1")).where("option = 'Party 3'")
-    return own.join(surveys(spark, d), "survey_id").select("region", "survey_id", "end_date", "pct")
+    """One party's support in each region over time, undated surveys last."""
+    own = folded(options(spark, d).where("number = 1")).where("option = 'Party 3'").join(surveys(spark, d), "survey_id")
+    return ordering.top_per(own.select("region", "survey_id", "end_date", "pct"), ["region"], [F.asc_nulls_last("end_date"), F.asc("survey_id")], 1 << 30, "place")
 
 
 @query(VIEWS + """,
 own AS (SELECT s.region, s.survey_id, s.end_date, f.pct FROM folded f JOIN surveys s ON s.survey_id = f.survey_id WHERE f.number = 1 AND f.option = 'Party 3')
-SELECT region, survey_id, pct FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY end_date DESC, survey_id) AS r FROM own) WHERE r = 1""")
+SELECT region, survey_id, pct, CAST(row_number() OVER (ORDER BY pct DESC, region) AS INTEGER) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY end_date DESC, survey_id) AS r FROM own) WHERE r = 1""")
 def poll_regional_distribution(spark, d):
-    """One party's share in each region's latest survey that asked for it."""
+    """One party's share in each region's latest survey that asked for it, highest first; the last window sees one row a region."""
     own = folded(options(spark, d).where("number = 1")).where("option = 'Party 3'").join(surveys(spark, d), "survey_id")
-    return ordering.first_per(own, ["region"], [F.desc("end_date"), F.asc("survey_id")]).select("region", "survey_id", "pct")
+    latest = ordering.first_per(own, ["region"], [F.desc("end_date"), F.asc("survey_id")]).select("region", "survey_id", "pct")
+    return latest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("pct"), "region")))
 
 
 @query(VIEWS + """
@@ -120,24 +123,27 @@ SELECT c.survey_id, s.region, r.option, r.pct, CAST(r.rank AS INTEGER) AS rank F
 JOIN surveys s ON s.survey_id = c.survey_id WHERE s.election = '1-URGENT'""")
 def poll_region_snapshot(spark, d):
     """Candidates of each survey's preferred question, ranked."""
-    rows = options(spark, d).where("number IN (2, 3)")
-    picked = first_question_per_survey(spark, d)
-    ranked = polls.ranked_snapshot(folded(rows.join(picked, ["survey_id", "number"], "left_semi")), ["survey_id", "number"])
     own = surveys(spark, d).where("election = '1-URGENT'").select("survey_id", "region")
-    return ranked.join(own, "survey_id").select("survey_id", "region", "option", "pct", "rank")
+    rows = options(spark, d).where("number IN (2, 3)").join(own, "survey_id")  # only the election's surveys go on
+    kinds = titled(rows.select("survey_id", "number").distinct())
+    picked = polls.first_question(kinds, "survey_id", "number", "kind", ["MATCHUP", "CANDIDATE_FIT"]).select("survey_id", "number")
+    shares = polls.folded_options(rows.join(picked, ["survey_id", "number"], "left_semi"), ["survey_id", "number", "region"], "name", "pct", rules.party_name(F.col("name")))
+    return polls.ranked_snapshot(shares, ["survey_id", "number"]).select("survey_id", "region", "option", "pct", "rank")
 
 
-@query(VIEWS + """
-SELECT s.survey_id, s.end_date, max(CASE WHEN f.option = 'Party 2' THEN f.pct END) AS own_pct, max(CASE WHEN f.option <> 'Party 2' THEN f.pct END) AS best_rival
-FROM chosen c JOIN folded f ON f.survey_id = c.survey_id AND f.number = c.number AND f.option <> 'undecided' JOIN surveys s ON s.survey_id = c.survey_id
-GROUP BY 1, 2 HAVING max(CASE WHEN f.option = 'Party 2' THEN f.pct END) IS NOT NULL""", dates=("end_date",))
+@query(VIEWS + """,
+mine AS (SELECT r.*, s.region, s.end_date FROM chosen c JOIN ranked r ON r.survey_id = c.survey_id AND r.number = c.number JOIN surveys s ON s.survey_id = c.survey_id WHERE r.option <> 'undecided'),
+newest AS (SELECT region, arg_max(survey_id, (end_date, -survey_id)) AS survey_id FROM mine GROUP BY 1),
+picked AS (SELECT m.region, CASE WHEN max(CASE WHEN option = 'Party 2' THEN 1 ELSE 0 END) = 1 THEN 'Party 2' ELSE arg_min(option, rank) END AS candidate
+  FROM mine m JOIN newest n ON n.region = m.region AND n.survey_id = m.survey_id GROUP BY 1)
+SELECT m.region, m.survey_id, m.end_date, p.candidate, max(CASE WHEN m.option = p.candidate THEN m.pct END) AS own_pct, max(CASE WHEN m.option <> p.candidate THEN m.pct END) AS best_rival
+FROM mine m JOIN picked p ON p.region = m.region GROUP BY 1, 2, 3, 4""", dates=("end_date",))
 def poll_candidate_series(spark, d):
-    """A candidate's series beside the best of the rivals in the same surveys."""
+    """Each region's series of a candidate beside the best rival of the same survey; where the newest survey has no such candidate, of the one it puts first."""
     rows = options(spark, d).where("number IN (2, 3)")
-    shares = folded(rows.join(first_question_per_survey(spark, d), ["survey_id", "number"], "left_semi")).where("option <> 'undecided'")
-    mine = F.col("option") == "Party 2"
-    pair = shares.groupBy("survey_id").agg(F.max(F.when(mine, F.col("pct"))).alias("own_pct"), F.max(F.when(~mine, F.col("pct"))).alias("best_rival"))
-    return pair.where("own_pct IS NOT NULL").join(surveys(spark, d), "survey_id").select("survey_id", "end_date", "own_pct", "best_rival")
+    shares = folded(rows.join(first_question_per_survey(spark, d), ["survey_id", "number"], "left_semi"))
+    mine = polls.ranked_snapshot(shares, ["survey_id", "number"]).where("option <> 'undecided'").join(surveys(spark, d).drop("election"), "survey_id")
+    return polls.candidate_series(mine, "region", "survey_id", "end_date", "Party 2")
 
 
 @query(VIEWS + """
@@ -148,6 +154,33 @@ def lead_second_other(spark, d):
     return polls.lead_second_other(folded(options(spark, d).where("number = 1")), ["survey_id"])
 
 
+@query(VIEWS + """,
+top AS (SELECT s.region, s.survey_id, s.end_date, max(CASE WHEN rank = 1 THEN pct END) AS lead, coalesce(max(CASE WHEN rank = 2 THEN pct END), 0) AS second, count(*) AS sample
+  FROM ranked r JOIN surveys s ON s.survey_id = r.survey_id WHERE r.number = 1 GROUP BY 1, 2, 3),
+newest AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY end_date DESC, survey_id) AS r, count(*) OVER (PARTITION BY region) AS surveys FROM top)
+SELECT region, survey_id, lead, second, greatest(0, 100 - lead - second) AS other, sample, surveys FROM newest WHERE r = 1""")
+def district_poll_summary(spark, d):
+    """Each region's newest survey: first and second share, the rest, its sample size, and how many surveys the region has."""
+    shares = folded(options(spark, d).where("number = 1"))
+    top = polls.lead_second_other(shares, ["survey_id"]).join(shares.groupBy("survey_id").agg(F.count("*").alias("sample")), "survey_id").join(surveys(spark, d), "survey_id")
+    counts = top.groupBy("region").agg(F.count("*").alias("surveys"))
+    newest = ordering.first_per(top, ["region"], [F.desc("end_date"), F.asc("survey_id")])
+    return newest.join(counts, "region").select("region", "survey_id", "lead", "second", "other", "sample", "surveys")
+
+
+@query(VIEWS + """,
+own AS (SELECT a.survey_id, s.region, s.end_date, a.option AS leader, a.pct AS leader_pct FROM decided a JOIN surveys s ON s.survey_id = a.survey_id WHERE a.number = 1 AND a.place = 1 AND s.election = '2-HIGH')
+SELECT region, survey_id, end_date, leader, leader_pct, CAST(row_number() OVER (PARTITION BY region ORDER BY end_date DESC, survey_id) AS INTEGER) AS newest,
+       CAST(row_number() OVER (PARTITION BY region ORDER BY end_date ASC NULLS LAST, survey_id) AS INTEGER) AS in_trend FROM own""", dates=("end_date",))
+def poll_overview_lists(spark, d):
+    """An election's surveys with their leading party, as the two lists of a region's overview: newest first, and by date for the trend."""
+    own = surveys(spark, d).where("election = '2-HIGH'")
+    rows = options(spark, d).where("number = 1").join(own, "survey_id", "left_semi")
+    led = polls.leaders(folded(rows), ["survey_id"]).join(own, "survey_id").select("region", "survey_id", "end_date", "leader", "leader_pct")
+    newest = Window.partitionBy("region").orderBy(F.desc("end_date"), "survey_id")
+    return led.withColumns({"newest": F.row_number().over(newest), "in_trend": F.row_number().over(Window.partitionBy("region").orderBy(F.asc_nulls_last("end_date"), "survey_id"))})
+
+
 @query(VIEWS + """
 SELECT survey_id, end_date FROM surveys WHERE end_date >= (SELECT max(end_date) FROM surveys) - INTERVAL 3 MONTH""", dates=("end_date",))
 def trend_window_months(spark, d):

@@ -140,20 +140,25 @@ def day_loop_scan(spark, d):
 
 
 @query("""
-SELECT user_id, CAST(sum(session_start) AS BIGINT) AS sessions FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS session_start FROM events) GROUP BY 1""")
+WITH RECURSIVE w AS (SELECT l_orderkey AS page, CAST(l_partkey % 12 AS BIGINT) AS y, l_linenumber AS x, CAST(l_suppkey AS VARCHAR) AS word,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 12, l_linenumber, CAST(l_suppkey AS VARCHAR)) AS n FROM lineitem),
+f AS (SELECT page, n, y AS first_y, 0 AS line_no, word FROM w WHERE n = 1 UNION ALL
+  SELECT w.page, w.n, CASE WHEN abs(w.y - f.first_y) > 3 THEN w.y ELSE f.first_y END, CASE WHEN abs(w.y - f.first_y) > 3 THEN f.line_no + 1 ELSE f.line_no END, w.word
+  FROM f JOIN w ON w.page = f.page AND w.n = f.n + 1)
+SELECT page, CAST(line_no AS INTEGER) AS line_no, string_agg(word, ' ' ORDER BY n) AS line FROM f GROUP BY 1, 2""")
 def line_rebuild(spark, d):
-    """Runs of neighbours not further apart than a gap (lines of words, here sessions of a user), counted."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
-    starts = F.when(F.col("ts") - before <= F.expr("INTERVAL '6' HOUR"), 0).otherwise(1)
-    return events(spark, d).select("user_id", starts.alias("s")).groupBy("user_id").agg(F.sum("s").alias("sessions"))
+    """The text lines of each page from its words' places."""
+    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 12).alias("y"), F.col("l_linenumber").alias("x"), F.col("l_suppkey").alias("word"))
+    return ordering.lines_of(words, "page", "x", "y", "word")
 
 
 @query("""
 WITH w AS (SELECT l_orderkey AS page, CAST(l_partkey * 100 + l_linenumber AS BIGINT) AS word, l_quantity AS x FROM lineitem),
-g AS (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x, word) AS gap FROM w),
-c AS (SELECT *, CASE WHEN gap > 10 AND row_number() OVER (PARTITION BY page ORDER BY gap DESC NULLS LAST, x, word) <= 2 THEN 1 ELSE 0 END AS cut FROM g)
-SELECT page, word, CAST(sum(cut) OVER (PARTITION BY page ORDER BY x, word ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM c""")
+g AS (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x, word) AS gap, row_number() OVER (PARTITION BY page ORDER BY x, word) AS spot, count(*) OVER (PARTITION BY page) AS n FROM w),
+c AS (SELECT *, CASE WHEN gap > 10 AND row_number() OVER (PARTITION BY page ORDER BY gap DESC NULLS LAST, x, word) <= 2 THEN 1 ELSE 0 END AS cut FROM g),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY page) AS cuts, sum(cut) OVER (PARTITION BY page ORDER BY x, word ROWS UNBOUNDED PRECEDING) AS before FROM c)
+SELECT page, word, CAST(CASE WHEN n <= 3 THEN spot - 1 ELSE before END AS BIGINT) AS cluster FROM s WHERE n <= 3 OR cuts = 2""")
 def gap_cluster(spark, d):
-    """Words of each page cut into three clusters at the two largest gaps over 10."""
+    """Words of each page cut into three clusters at the two largest gaps over 10; no cluster where there are fewer such gaps."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("word"), F.col("l_quantity").alias("x"))
     return ordering.gap_clusters(rows, ["page"], "x", "word", 3, 10.0).drop("x")

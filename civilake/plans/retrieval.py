@@ -27,20 +27,20 @@ def vector_topk(spark, d):
 @query("""
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
 n AS (SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v), 6) AS score FROM embeddings e, q ORDER BY score DESC, e.vec_id LIMIT 3)
-SELECT string_agg('[' || vec_id || '] ' || substring(text, 1, 100), chr(10) ORDER BY score DESC, vec_id) AS context, count(*) AS n FROM n JOIN documents ON doc_id = vec_id""")
+SELECT string_agg('[' || vec_id || '] ' || text, chr(10) || chr(10) ORDER BY score DESC, vec_id) AS context, count(*) AS n FROM n JOIN documents ON doc_id = vec_id""")
 def rag_context(spark, d):
     """The nearest documents as one context text, best first."""
     found = vector_topk(spark, d).orderBy(F.desc("score"), "vec_id").limit(3)
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    named = found.join(texts, "vec_id").withColumn("line", F.concat(F.lit("["), "vec_id", F.lit("] "), F.substring("text", 1, 100)))
+    named = found.join(texts, "vec_id").withColumn("line", F.concat(F.lit("["), "vec_id", F.lit("] "), "text"))
     return retrieval.context(named, F.col("score"), F.col("vec_id"), F.col("line"))
 
 
 @query("""
-SELECT doc_id AS id, 'lang: ' || coalesce(lang, '-') || ' | source: ' || coalesce(source, '-') || ' | ' || replace(substring(text, 1, 50), chr(10), ' ') AS input FROM documents WHERE trim(text) <> ''""")
+SELECT doc_id AS id, 'lang: ' || coalesce(lang, '-') || ' | source: ' || coalesce(source, '-') || ' | ' || replace(text, chr(10), ' ') AS input FROM documents WHERE trim(text) <> ''""")
 def embedding_text(spark, d):
     """What is embedded: labelled fields on one line; blank texts are left out."""
-    line = F.concat(F.lit("lang: "), F.coalesce("lang", F.lit("-")), F.lit(" | source: "), F.coalesce("source", F.lit("-")), F.lit(" | "), F.translate(F.substring("text", 1, 50), "\n", " "))
+    line = F.concat(F.lit("lang: "), F.coalesce("lang", F.lit("-")), F.lit(" | source: "), F.coalesce("source", F.lit("-")), F.lit(" | "), F.translate("text", "\n", " "))
     return table(spark, d, "documents").where("trim(text) <> ''").select(F.col("doc_id").alias("id"), line.alias("input"))
 
 
@@ -94,7 +94,9 @@ def profile_fanout(spark, d):
     return joined.select("member_id", "member", F.coalesce("last_bills", F.lit("")).alias("last_bills"), "party")
 
 
-@query()
+@query(r"""
+WITH h AS (SELECT o_orderkey AS bill_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || CAST(CAST(o_orderkey AS VARCHAR) AS BLOB)) AS x FROM orders)
+SELECT bill_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(x, 17, 1)), 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS uuid FROM h""")
 def deterministic_uuid(spark, d):
     """UUIDv5 ids of bills: the same in every run."""
     return bills(spark, d).select("bill_id", retrieval.uuid5(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"), F.col("bill_id").cast("string")).alias("uuid"))
@@ -124,7 +126,9 @@ def district_map(spark, d):
     return parties(spark, d).join(counts, "party_id", "left").select(F.col("party").alias("district"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1, 2")
+@query("""
+SELECT user_id, coalesce(event_type, 'total') AS event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY GROUPING SETS ((user_id, event_type), (user_id))""")
 def office_counts(spark, d):
-    """Counts by kind without the excluded kinds, in one pass."""
-    return events(spark, d).where(~F.col("event_type").isin("error", "view")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """Counts by kind without the excluded kinds, and their total, in one pass; kinds without rows do not appear."""
+    counts = events(spark, d).where(~F.col("event_type").isin("error", "view")).groupingSets([["user_id", "event_type"], ["user_id"]], "user_id", "event_type").agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.coalesce("event_type", F.lit("total")).alias("event_type"), "n")

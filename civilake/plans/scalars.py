@@ -78,13 +78,13 @@ def stage_derivation(spark, d):
 
 
 @query("""
-SELECT o_orderkey AS bill_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'READY' WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0 OR o_orderstatus <> 'O' THEN 'PARTIAL' ELSE 'PENDING' END AS status FROM orders
-WHERE o_orderstatus <> 'O' OR o_orderkey % 2 = 0""")
+WITH f AS (SELECT o_orderkey AS bill_id, o_orderkey % 2 = 0 AS name, o_orderkey % 7 <> 0 AS dated, o_orderkey % 7 <> 0 OR o_orderstatus = 'F' AS stage, o_orderkey % 3 <> 0 AS summary FROM orders)
+SELECT bill_id, CASE WHEN name AND dated AND stage AND summary THEN 'READY' WHEN name OR dated OR stage OR summary THEN 'PARTIAL' ELSE 'PENDING' END AS status FROM f""")
 def ingest_status(spark, d):
-    """READY with every field, PARTIAL with some; blank text counts as missing."""
-    key = F.col("bill_id")
-    status = bill_rules.ingest_status(F.when(key % 2 == 0, "name").otherwise("  "), F.col("propose_date"), F.col("stage"), F.when(key % 3 == 0, "").otherwise("summary"))
-    return bills(spark, d).where("stage <> 'O' OR bill_id % 2 = 0").select("bill_id", status.alias("status"))
+    """READY with every field, PARTIAL with some, PENDING with none; blank text counts as missing."""
+    key, there = F.col("bill_id"), F.col("bill_id") % 7 != 0
+    fields = (F.when(key % 2 == 0, "name").otherwise("  "), F.when(there, F.col("propose_date")), F.when(there | (F.col("stage") == "F"), F.col("stage")), F.when(key % 3 == 0, "").otherwise("summary"))
+    return bills(spark, d).select("bill_id", bill_rules.ingest_status(*fields).alias("status"))
 
 
 NAMES = ["더불어 민주당", " 국민의 힘", "새 정당", None, "진보당"]
@@ -177,13 +177,19 @@ def page_table_pairs(spark, d):
 
 
 @query("""
-WITH v AS (SELECT l_orderkey AS id, list(l_quantity * 2) AS x, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT id, concat_ws(',', CASE WHEN n < 3 THEN 'few_respondents' END, CASE WHEN list_sum(x) < 75 OR list_sum(x) > 115 THEN 'sum_out_of_range' END) AS errors FROM v WHERE list_max(x) <= 100""")
+WITH v AS (SELECT l_orderkey AS id, list(CASE WHEN l_linenumber % 4 = 3 THEN -l_quantity ELSE l_quantity * 3 END) FILTER (l_returnflag <> 'N') AS x, count(*) AS n FROM lineitem GROUP BY 1),
+w AS (SELECT id, coalesce(x, []) AS x, n, CASE WHEN id % 5 = 0 THEN n - 1 WHEN id % 11 = 0 THEN 0 ELSE len(coalesce(x, [])) END AS options FROM v)
+SELECT id, concat_ws(',', CASE WHEN options <> len(x) THEN 'count_mismatch' END, CASE WHEN n < 3 THEN 'few_respondents' END, CASE WHEN list_min(x) < 0 THEN 'negative_value' END,
+  CASE WHEN options = 0 THEN 'no_options' END, CASE WHEN id % 4 = 0 THEN 'no_title' END, CASE WHEN len(x) = 0 THEN 'no_values' END, CASE WHEN id % 3 = 0 THEN 'number_below_1' END,
+  CASE WHEN len(x) > 0 AND (list_sum(x) < 75 OR list_sum(x) > 115) THEN 'sum_out_of_range' END, CASE WHEN list_max(x) > 100 THEN 'value_over_100' END) AS errors FROM w""")
 def poll_validation(spark, d):
-    """The rules that a question's values break."""
-    grouped = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_quantity") * 2).alias("x"), F.count("*").alias("n"))
-    errors = polls.question_errors(F.lit(1), F.lit("title"), F.transform("x", lambda x: x.cast("string")), F.col("x"), F.when(F.col("n") < 3, 10).otherwise(500))
-    return grouped.where(F.array_max("x") <= 100).select("id", F.array_join(errors, ",").alias("errors"))
+    """The rules that a question's number, title, options, values and respondents break; each of the nine is broken by some."""
+    value = F.when(F.col("l_linenumber") % 4 == 3, -F.col("l_quantity")).otherwise(F.col("l_quantity") * 3)
+    grouped = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.when(F.col("l_returnflag") != "N", value)).alias("x"), F.count("*").cast("int").alias("n"))
+    key, n = F.col("id"), F.col("n")
+    options = F.array_repeat(F.lit("option"), F.when(key % 5 == 0, n - 1).when(key % 11 == 0, 0).otherwise(F.size("x")))
+    errors = polls.question_errors(F.when(key % 3 == 0, 0).otherwise(1), F.when(key % 4 == 0, " ").otherwise("title"), options, F.col("x"), F.when(n < 3, 10).otherwise(500))
+    return grouped.select("id", F.array_join(errors, ",").alias("errors"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,29 +16,72 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
+def _answers(pages: DataFrame, endpoint: str, row_schema: str, body: str) -> tuple[DataFrame, str]:
+    """``code, checked rows, total`` of ``{endpoint: [{head: [...]}, {row: [...]}]}`` answers, and the type of the rows."""
+    rows_type = f"array<struct<{_fields(row_schema)}>>"
+    part = f"struct<head:array<struct<list_total_count:bigint,RESULT:struct<CODE:string,MESSAGE:string>>>,row:{rows_type}>"
+    answer = F.from_json(body, f"struct<`{endpoint}`:array<{part}>,RESULT:struct<CODE:string,MESSAGE:string>,malformed:string>", {"columnNameOfCorruptRecord": "malformed"})
+    parsed = pages.select(answer.alias("a"))
+    none = F.array().cast(rows_type)
+    fail = lambda reason: F.raise_error(F.concat(F.lit(f"{endpoint}: "), reason)).cast(rows_type)
+    top, root = F.col("a.RESULT"), F.col(f"a.`{endpoint}`")
+    head = F.get(root, F.lit(0))["head"]
+    code = F.coalesce(top["CODE"], F.get(head, F.lit(1))["RESULT"]["CODE"])
+    said = F.concat(F.lit("the answer's code is "), F.coalesce(code, F.lit("missing")))
+    checked = (
+        F.when(F.col("a").isNull() | F.col("a.malformed").isNotNull(), fail(F.lit("the answer is no JSON")))
+        .when(code.isin(*NO_DATA), none)
+        .when(top.isNotNull(), fail(said))
+        .when(F.coalesce(F.size(root), F.lit(0)) < 2, none)
+        .when(~F.coalesce(code.isin(*SUCCESS), F.lit(False)), fail(said))
+        .otherwise(F.coalesce(F.get(root, F.lit(1))["row"], none))
+    )
+    return parsed.select(checked.alias("rows"), F.get(head, F.lit(0))["list_total_count"].alias("total")), rows_type
+
+
 def envelope_rows(pages: DataFrame, endpoint: str, row_schema: str, body: str = "body") -> DataFrame:
-    """Rows of ``{endpoint: [{head: [...]}, {row: [...]}]}`` answers.
+    """Rows of ``{endpoint: [{head: [{list_total_count}, {RESULT}]}, {row: [...]}]}`` answers.
 
-    A no-data code gives no rows; any other code that is not a success fails
-    the job with its message. An answer without a head is read as it is.
+    A no-data code, an answer without the endpoint and one of less than two parts
+    give no rows. Any other code that is not a success, a missing code and a body
+    that is no JSON fail the job.
     """
-    head = "array<struct<list_total_count:bigint,RESULT:struct<CODE:string,MESSAGE:string>>>"
-    part = f"struct<head:{head},row:array<struct<{_fields(row_schema)}>>>"
-    answer = F.from_json(body, f"struct<`{endpoint}`:array<{part}>,RESULT:struct<CODE:string,MESSAGE:string>>")
-    parsed = pages.select(answer.alias("a"))
-    listed = F.coalesce(F.col(f"a.`{endpoint}`"), F.array().cast(f"array<{part}>"))
-    codes = F.flatten(F.transform(listed, lambda p: F.coalesce(F.transform(p["head"], lambda h: h["RESULT"]["CODE"]), F.array().cast("array<string>"))))
-    code = F.coalesce(F.col("a.RESULT.CODE"), F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0)))
-    rows = F.flatten(F.transform(listed, lambda p: F.coalesce(p["row"], F.array().cast(f"array<struct<{_fields(row_schema)}>>"))))
-    bad = code.isNotNull() & ~code.isin(*SUCCESS, *NO_DATA)
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("the answer's code is "), code)).cast(f"array<struct<{_fields(row_schema)}>>")).otherwise(rows)
-    return parsed.select(F.inline(checked))
+    return _answers(pages, endpoint, row_schema, body)[0].select(F.inline("rows"))
+
+
+def page_totals(pages: DataFrame, endpoint: str, row_schema: str, body: str = "body") -> DataFrame:
+    """One row: answers, rows in them, the largest total they name, and whether that many rows have landed."""
+    answers, _ = _answers(pages, endpoint, row_schema, body)
+    found = answers.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.size("rows")), F.lit(0)).alias("rows"), F.coalesce(F.max("total"), F.lit(0)).alias("total"))
+    return found.withColumn("complete", F.col("rows") >= F.col("total"))
+
+
+def early_stop(pages: DataFrame, page: str, rows: str, first_date: Callable[[Column], Column], start: Column, end: Column, page_size: int) -> DataFrame:
+    """Rows of pages listed newest first whose date lies in the range, up to the page where a scan would stop.
+
+    A scan stops at the first page that is short, or whose last dated row is
+    older than ``start``; it has still read that page. ``rows`` is the column of
+    each page's rows, ``first_date`` a row's first parseable date.
+    """
+    dates = F.transform(F.col(rows), first_date)
+    oldest = F.element_at(F.array_compact(F.concat(F.array(F.lit(None).cast("date")), dates)), -1)
+    dated = F.size(F.array_compact(dates)) > 0
+    stops = pages.where((F.size(rows) < page_size) | (dated & (oldest < start))).agg(F.min(page).alias("__last"))
+    read = pages.join(F.broadcast(stops)).where(F.col("__last").isNull() | (F.col(page) <= F.col("__last")))  # one row
+    each = read.select(page, F.explode(rows).alias("__row"))
+    return each.where(first_date(F.col("__row")).between(start, end)).select(page, "__row.*")
 
 
 def _fields(schema: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (part.split() for part in schema.split(",")))
 
 
+def lines_with_ids(lines: DataFrame, expected: DataFrame, ordinal: str, key: str) -> DataFrame:
+    """Parsed lines whose missing key is that expected at their place (``ordinal``, ``key`` of both sides)."""
+    wanted = expected.select(ordinal, F.col(key).alias("__key"))
+    return lines.join(wanted, ordinal, "left").withColumn(key, F.coalesce(key, "__key")).drop("__key")
+
+
 def xml_items(pages: DataFrame, item: str, row_schema: str, code_path: str | None = None, body: str = "body") -> DataFrame:
     """One row per ``item`` element of XML answers, its child tags as columns; answers of another code give none."""
     good = F.lit(True)
@@ -64,12 +109,26 @@ def dated_between(rows: DataFrame, date_columns: list[Column], start: Column, en
     return rows.where(F.coalesce(*date_columns).between(start, end))
 
 
-def records_for_targets(records: DataFrame, targets: DataFrame, fits: Column, max_targets: int = 10_000) -> DataFrame:
+def records_for_targets(records: DataFrame, targets: DataFrame, fits: Column, region: tuple[str, str] | None = None, max_targets: int = 10_000) -> DataFrame:
     """Each record with each target it fits, from one scan of the records.
 
-    Targets are a configuration table; more than ``max_targets`` are refused
-    rather than broadcast.
+    Up to ``max_targets`` targets are broadcast. Of more, those that name a region
+    are joined on it (``region`` names the column of each side), and only those
+    that name none are broadcast; if even they are more than that, Spark chooses
+    how to compare them with every record.
     """
-    if targets.limit(max_targets + 1).count() > max_targets:
-        raise ValueError(f"more than {max_targets} targets")
-    return records.join(F.broadcast(targets), fits)
+    few = lambda some: some.limit(max_targets + 1).count() <= max_targets
+    if few(targets):
+        return records.join(F.broadcast(targets), fits)
+    if region is None:
+        return records.join(targets, fits)
+    own, wanted = region
+    anywhere = targets.where(F.col(wanted).isNull())
+    return records.join(targets, (F.col(own) == F.col(wanted)) & fits).unionByName(records.join(F.broadcast(anywhere) if few(anywhere) else anywhere, fits))
+
+
+def unseen(landed: DataFrame, seen: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """Rows of a resumed collection that are new: keys not collected before, each once, at its first place."""
+    rest = [c for c in landed.columns if c != key]
+    first = landed.join(seen.select(key), key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), ordinal).alias("__x"))
+    return first.select(key, *(F.col(f"__x.{c}").alias(c) for c in rest))
