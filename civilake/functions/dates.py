@@ -41,3 +41,28 @@ def date_bucket(c: Column, today: Column) -> Column:
     """today / week (7 days) / month (30 days) / older."""
     n = F.datediff(today, c)
     return F.when(n <= 0, "today").when(n <= 7, "week").when(n <= 30, "month").otherwise("older")
+
+
+def rfc_2822(c: Column) -> Column:
+    """The moment of a mail-style date such as ``Mon, 01 Jan 2024 09:00:00 +0900``, or null."""
+    return F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
+
+
+def survey_times(c: Column) -> Column:
+    """All ``2024-01-02 9 시 0 분 ~ 18 시 0 분`` spans of a text, each on one line."""
+    spans = F.regexp_extract_all(c, F.lit(r"\d{4}-\d{2}-\d{2}\s*\d+\s*시\s*\d+\s*분\s*~\s*\d+\s*시\s*\d+\s*분"), F.lit(0))
+    return F.transform(spans, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+
+def relative_time(c: Column, now: Column) -> Column:
+    """How long ago a moment was, in its largest whole unit."""
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(c)
+    out = F
+    for size, name in ((86400, "day"), (3600, "hour"), (60, "minute")):
+        out = out.when(seconds >= size, F.concat_ws(" ", F.floor(seconds / size), F.lit(f"{name}(s) ago")))
+    return out.otherwise("just now")
+
+
+def weekday(c: Column) -> Column:
+    """The Korean weekday of a date."""
+    return F.get(F.array(*(F.lit(day) for day in "일월화수목금토")), F.dayofweek(c) - 1)

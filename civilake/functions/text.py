@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space and the no-break space, which Java's \\s leaves out.
@@ -47,6 +47,34 @@ def text_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
 
 
+def first_n(items: Column, n: Column) -> Column:
+    """The first ``n`` items of an array, all if it has fewer."""
+    return F.slice(items, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def last_number(c: Column, default: int) -> Column:
+    """The last run of digits in a text as an integer, or the default."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)\D*$", 1), F.lit("")).try_cast("int"), F.lit(default))
+
+
+def percent_in(c: Column) -> Column:
+    """The first number in a text that a percent sign follows, or null."""
+    return F.nullif(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)\s*%", 1), F.lit("")).try_cast("double")
+
+
+def int_in(c: Column) -> Column:
+    """The first integer in a text, thousands commas ignored, or null."""
+    return F.nullif(F.regexp_extract(F.regexp_replace(c, ",", ""), r"(\d+)", 1), F.lit("")).try_cast("bigint")
+
+
+def download_url(onclick: Column, base: str) -> Column:
+    """The download address that a link's script call ``view('file', 'number', 'board', 'key')`` stands for; empty if it is no such call."""
+    call = r"view\('([^']+)',\s*'([^']+)',\s*'([^']+)',\s*'([^']+)'\)"
+    part = lambda i: F.regexp_extract(onclick, call, i)
+    url = F.format_string(f"{base}/portal/cmm/fms/FileDown.do?atchFileId=%s&fileSn=%s&bbsId=%s&bbsKey=%s", part(1), part(2), part(3), part(4))
+    return F.when(F.coalesce(onclick.rlike(call), F.lit(False)), url).otherwise("")
+
+
 def shortened(c: Column, most: int = 120) -> Column:
     """At most ``most`` characters on one line; longer text is cut three earlier and ends in ``...``."""
     line = squashed(c)
@@ -69,9 +97,31 @@ def safe_filename(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(squashed(F.regexp_replace(c, r'[\\/:*?"<>|]', "_")), F.lit("")), F.lit(default))
 
 
+def first_json_object(c: Column) -> Column:
+    """The first ``{...}`` of a text whose braces balance, those inside strings not counted, or null.
+
+    The text from its first brace on is cut into strings and other tokens, and
+    their lengths and brace depths are folded until the depth is 0 again.
+    """
+    tail = F.substring(c, F.instr(c, "{"), F.length(c))
+    tokens = F.regexp_extract_all(tail, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(state, token):
+        at = state["at"] + F.length(token)
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        end = F.when(state["end"] > 0, state["end"]).when((token == "}") & (depth == 0), at).otherwise(0)
+        return F.struct(at.alias("at"), depth.alias("depth"), end.alias("end"))
+
+    end = F.aggregate(tokens, start, step, lambda state: state["end"])
+    return F.when((F.instr(c, "{") > 0) & (end > 0), F.substring(tail, F.lit(1), end))
+
+
 def without_fences(c: Column) -> Column:
-    """A model's answer without the code fences around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    """A model's answer without the code fences around it: a first line that opens one, and a last line that is one."""
+    text = F.trim(c)
+    inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"(^|\n)[ \t]*```[ \t]*$", "")
+    return F.when(text.startswith("```"), F.trim(F.regexp_replace(inner, r"^\s+|\s+$", ""))).otherwise(text)
 
 
 def in_range(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -89,3 +139,9 @@ def cache_key(params: Column, secret: str = "KEY") -> Column:
     """A map of parameters as one canonical string: the secret dropped, keys sorted."""
     entries = F.filter(F.map_entries(params), lambda e: e["key"] != secret)
     return F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
+
+
+def mapped(landed: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """A landed record as a row: each output column from a field, ``as is``, as ``text`` or ``int`` (blank is null) or as part of a ``key`` (null is blank)."""
+    kinds = {"as is": F.col, "text": lambda c: optional_text(F.col(c)), "int": lambda c: safe_int(F.col(c), None), "key": lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))}
+    return landed.select(*(kinds[kind](field).alias(name) for name, (field, kind) in fields.items()))

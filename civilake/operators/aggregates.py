@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +64,14 @@ def samples_per(rows: DataFrame, key: str, item: Column, n_samples: int, n_keys:
     first = own.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy("__item"))).where(F.col("__at") <= n_samples)
     listed = first.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("__item")).cast("array<string>"), ",").alias("samples"))
     return top.join(listed, key, "left").select(key, "n", "samples")
+
+
+def totals(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
+    """``source, n``: the rows of each table; 0 for one that is not there."""
+    counts = [rows.agg(F.count("*").alias("n")) if rows is not None else spark.range(1).select(F.lit(0).cast("bigint").alias("n")) for rows in tables.values()]
+    return reduce(DataFrame.unionByName, [c.select(F.lit(name).alias("source"), "n") for name, c in zip(tables, counts, strict=True)])
+
+
+def changes(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """How many rows each change of a value concerns; rows that stay the same do not count."""
+    return rows.where(~F.col(before).eqNullSafe(F.col(after))).groupBy(before, after).agg(F.count("*").alias("n"))

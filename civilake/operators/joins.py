@@ -70,3 +70,29 @@ def preferred_or_all(rows: DataFrame, group: list[str], preferred: Column) -> Da
     """Per group the preferred rows if there are any, else all of them."""
     some = F.max(preferred.cast("int")).over(Window.partitionBy(*group)) == 1
     return rows.withColumns({"__some": some, "__own": preferred}).where("__own OR NOT coalesce(__some, false)").drop("__some", "__own")
+
+
+def first_contained(rows: DataFrame, registry: DataFrame, name: str, keyword: str, ordinal: str, value: str, most: int = 10_000) -> DataFrame:
+    """``rows`` with the value of the first registry entry whose keyword the name holds, or null.
+
+    Distinct names alone meet the registry, a configuration table, which is broadcast up to ``most`` entries.
+    """
+    entries = F.broadcast(registry) if registry.limit(most + 1).count() <= most else registry
+    names = rows.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
+    found = names.join(entries, F.contains("__name", keyword)).groupBy("__name").agg(F.min_by(value, ordinal).alias(value))
+    return rows.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
+
+
+def classified(rows: DataFrame, rules: DataFrame, key: str, name: str, other: str = "uncovered", most: int = 10_000) -> DataFrame:
+    """``rows`` with the ``status`` and ``parser`` of the best rule (``kind, ordinal, name, status, parser``).
+
+    Rules of an equal name come first, by kind; then those where either name holds
+    the other, by kind, then in their order. Without any the status is ``other``.
+    """
+    entries = rules.select("kind", "ordinal", F.col("name").alias("__rule"), "status", "parser")
+    entries = F.broadcast(entries) if entries.limit(most + 1).count() <= most else entries
+    names = rows.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
+    met = names.join(entries, F.contains("__name", "__rule") | F.contains("__rule", "__name"))
+    best = met.groupBy("__name").agg(F.min_by(F.struct("status", "parser"), F.struct(F.col("__name") != F.col("__rule"), "kind", "ordinal")).alias("__best"))
+    joined = rows.join(best, F.col(name) == F.col("__name"), "left")
+    return joined.select(*rows.columns, F.coalesce("__best.status", F.lit(other)).alias("status"), F.col("__best.parser").alias("parser"))

@@ -77,3 +77,12 @@ def lines_of(words: DataFrame, page: str, x: str, y: str, word: str, most: float
 
     pages = words.groupBy(page).agg(F.aggregate(listed, start, step, lambda s: s["lines"]).alias("lines"))
     return pages.select(page, F.posexplode("lines").alias("line_no", "line"))
+
+
+def bounded(rows: DataFrame, when: str, start: Column | None = None, end: Column | None = None, equal: dict | None = None) -> DataFrame:
+    """Rows within optional bounds of a date and with optional values of columns; what is None does not filter."""
+    for bound, holds in ((start, lambda b: F.col(when) >= b), (end, lambda b: F.col(when) <= b)):
+        rows = rows if bound is None else rows.where(holds(bound))
+    for column, value in (equal or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
