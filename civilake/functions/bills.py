@@ -59,6 +59,11 @@ def bare_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\([^)]+\)$", ""))
 
 
+def without_alternative(name: Column) -> Column:
+    """A bill name without the mark of an alternative, wherever it stands."""
+    return F.regexp_replace(name, r"\(대안\)", "")
+
+
 def member_names(c: Column) -> Column:
     """All Korean names that stand before the word for member."""
     return F.regexp_extract_all(c, F.lit("([가-힣]+)의원"), F.lit(1))

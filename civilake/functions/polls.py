@@ -129,6 +129,13 @@ def bunched_percentages(cell: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda s: s["found"])
 
 
+def shares_of(row: Column, start: int, mode: Column) -> tuple[Column, Column]:
+    """A total row's shares and the mode they were read in: ``cell`` (one a cell), ``bunched`` (all in one cell), else the one that finds more."""
+    single, bunched = percentages(row, start), bunched_percentages(F.get(row, F.lit(start)))
+    used = F.when(mode.isin("cell", "bunched"), mode).when(F.size(bunched) > F.size(single), "bunched").otherwise("cell")
+    return F.when(used == "bunched", bunched).otherwise(single), used
+
+
 def sample_count(c: Column) -> Column:
     """The number in parentheses, else the whole text as a number, else null."""
     text = F.trim(F.coalesce(c, F.lit("")))

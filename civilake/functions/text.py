@@ -44,7 +44,7 @@ def bill_number(c: Column) -> Column:
 
 def text_list(c: Column) -> Column:
     """The trimmed non-blank parts of a comma-separated text; null gives none."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_n(items: Column, n: Column) -> Column:

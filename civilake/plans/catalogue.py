@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civilake.plans import elections, feeds, hydration, lifecycles, merges, polls, recency, relational, reports, retrieval, scalars
+from civilake.plans import elections, extraction, feeds, hydration, lifecycles, merges, polls, recency, relational, reports, retrieval, scalars
 
-MODULES = (feeds, relational, polls, recency, merges, scalars, retrieval, elections, lifecycles, hydration, reports)
+MODULES = (feeds, relational, polls, recency, merges, scalars, retrieval, elections, lifecycles, hydration, reports, extraction)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -11,7 +11,6 @@ from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills
 from civilake.session import table
-from civilake.sources import html as html_pages
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -27,7 +26,8 @@ def choice(key: Column, values: list[str | None]) -> Column:
 
 def choice_sql(key: str, values: list[str | None]) -> str:
     """The same for an oracle."""
-    arms = " ".join(f"WHEN {at} THEN {'NULL' if v is None else repr(v)}" for at, v in enumerate(values))
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    arms = " ".join(f"WHEN {at} THEN {v}" for at, v in enumerate(quoted))
     return f"CASE {key} % {len(values)} {arms} END"
 
 
@@ -170,12 +170,6 @@ def page_summary(spark, d):
     return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), count("<a href=").alias("n_links"), count("<p>").alias("n_paragraphs"))
 
 
-@query()
-def page_table_pairs(spark, d):
-    """Header and data cells of every table row of every page, read by an HTML parser."""
-    return html_pages.table_rows(table(spark, d, "pages"), "page_id", "html").select("page_id", "table_no", "row_no", F.to_json("cells").alias("cells"))
-
-
 @query("""
 WITH v AS (SELECT l_orderkey AS id, list(CASE WHEN l_linenumber % 4 = 3 THEN -l_quantity ELSE l_quantity * 3 END) FILTER (l_returnflag <> 'N') AS x, count(*) AS n FROM lineitem GROUP BY 1),
 w AS (SELECT id, coalesce(x, []) AS x, n, CASE WHEN id % 5 = 0 THEN n - 1 WHEN id % 11 = 0 THEN 0 ELSE len(coalesce(x, [])) END AS options FROM v)
