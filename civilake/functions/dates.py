@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Formats that are tried in turn.
-FORMATS = ("yyyy-MM-dd", "yyyy.MM.dd", "yyyyMMdd")
-
-
-def multi_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """The date under the first format that parses, or null."""
+def multi_date(c: Column) -> Column:
+    """The date of a text such as ``2024-01-31``, ``2024.01.31`` or ``20240131``, or null."""
     text = F.trim(c.cast("string"))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats))
+    iso = F.regexp_replace(text, r"^(\d{4})[-.]?(\d{2})[-.]?(\d{2})$", "$1-$2-$3")
+    return F.when(text.rlike(r"^\d{4}([-.]?)\d{2}\1\d{2}$"), iso.try_cast("date"))
 
 
 def first_date(*columns: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civilake.functions.dates import first_date
+from civilake.functions.dates import multi_date
 from civilake.functions.text import first_text, safe_int
 
 # The stages of a lifecycle row and the date fields that show one, the first that parses counting.
@@ -15,6 +15,7 @@ STAGE_DATES = {
     "접수": ("PPSL_DT",), "위원회 심사": ("JRCMIT_CMMT_DT", "JRCMIT_PRSNT_DT", "JRCMIT_PROC_DT"), "체계자구 심사": ("LAW_CMMT_DT", "LAW_PRSNT_DT", "LAW_PROC_DT"),
     "본회의 심의": ("RGS_PRSNT_DT", "RGS_RSLN_DT"), "정부이송": ("GVRN_TRSF_DT",), "공포": ("PROM_DT",),
 }
+EVENTS = "array<struct<day:date,stage:string,committee:string,result:string,reference:date>>"
 PLENARY, RECEIVED = "본회의 심의", "접수"
 # The date that a row is dated by, in this order.
 REFERENCE_DATES = ("PROM_DT", "GVRN_TRSF_DT", "RGS_RSLN_DT", "RGS_PRSNT_DT", "LAW_PROC_DT", "JRCMIT_PROC_DT", "PROC_DT", "PPSL_DT")
@@ -32,22 +33,27 @@ def known(column: str, columns: list[str]) -> Column:
     return F.col(column) if column in columns else F.lit(None).cast("string")
 
 
-def stage_events(columns: list[str], committee: Column, result: Column) -> Column:
-    """A row's stage events as ``stage, day, committee, result, reference``, by date, then stage name.
+def with_events(rows: DataFrame, committee: Column, result: Column, name: str = "events") -> DataFrame:
+    """``rows`` with an array of stage events (``day, stage, committee, result, reference``), by date, then stage name.
 
     The result stands only with the plenary stage. A row without a stage date
-    becomes one receipt event at its reference date, or none if it has none.
+    becomes one receipt event at its reference date, or has none if it has none.
+    Every field is parsed once.
     """
-    reference = first_text(*(known(c, columns) for c in REFERENCE_DATES))
-    day_of = first_date(reference)
+    fields = [c for c in rows.columns if any(c in names for names in STAGE_DATES.values())]
+    parsed = rows.withColumns({f"__{c}": multi_date(F.col(c)) for c in fields} | {"__reference": first_text(*(known(c, rows.columns) for c in REFERENCE_DATES))})
+    parsed = parsed.withColumns({"__reference": multi_date(F.col("__reference")), "__committee": committee, "__result": result})
+    none = F.lit(None).cast("string")
 
     def event(stage: str, day: Column, of: Column) -> Column:
-        return F.struct(day.alias("day"), F.lit(stage).alias("stage"), committee.alias("committee"), of.alias("result"), F.coalesce(day_of, day).alias("reference"))
-
-    none = F.lit(None).cast("string")
-    dated = [event(stage, first_date(*(known(c, columns) for c in fields)), result if stage == PLENARY else none) for stage, fields in STAGE_DATES.items()]
-    reached = F.array_sort(F.filter(F.array(*dated), lambda e: e["day"].isNotNull()))
-    return F.when(F.size(reached) > 0, reached).when(day_of.isNotNull(), F.array(event(RECEIVED, day_of, none))).otherwise(F.array().cast("array<struct<day:date,stage:string,committee:string,result:string,reference:date>>"))
+        return F.struct(day.alias("day"), F.lit(stage).alias("stage"), F.col("__committee").alias("committee"), of.alias("result"), F.coalesce("__reference", day).alias("reference"))
+
+    own = {stage: [F.col(f"__{c}") for c in names if c in fields] for stage, names in STAGE_DATES.items()}
+    dated = [event(stage, F.coalesce(*days), F.col("__result") if stage == PLENARY else none) for stage, days in own.items() if days]
+    reached = F.array_sort(F.filter(F.array(*dated), lambda e: e["day"].isNotNull())) if dated else F.array().cast(EVENTS)
+    found = parsed.withColumn(name, reached)
+    fallback = F.when(F.col("__reference").isNotNull(), F.array(event(RECEIVED, F.col("__reference"), none))).otherwise(F.array().cast(EVENTS))
+    return found.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(fallback)).select(*rows.columns, name)
 
 
 def review_missing(columns: list[str]) -> Column:

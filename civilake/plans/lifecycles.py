@@ -48,8 +48,8 @@ SELECT CAST(k AS VARCHAR) AS bill_id, stage, day, committee, result FROM ev""",
 def lifecycle_events(spark, d):
     """Every stage a bill has a date for, with its committee, and the result with the plenary stage alone."""
     rows = lifecycle_rows(spark, d)
-    found = rules.stage_events(rows.columns, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
-    return rows.select(F.col("BILL_ID").alias("bill_id"), F.inline(found)).select("bill_id", "stage", "day", "committee", "result")
+    found = rules.with_events(rows, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
+    return found.select(F.col("BILL_ID").alias("bill_id"), F.inline("events")).select("bill_id", "stage", "day", "committee", "result")
 
 
 @query("""
@@ -57,8 +57,8 @@ SELECT CAST(o_orderkey AS VARCHAR) AS bill_id, '접수' AS stage, CAST(o_orderda
 def lifecycle_fallback(spark, d):
     """Bills with no stage date but a reference date become a receipt; those with neither give nothing."""
     rows = lifecycle_rows(spark, d).where("PPSL_DT = ' ' AND JRCMIT_PRSNT_DT IS NULL").drop("RGS_RSLN_DT", "PROM_DT")
-    found = rules.stage_events(rows.columns, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
-    return rows.select(F.col("BILL_ID").alias("bill_id"), F.inline(found)).select("bill_id", "stage", "day", "reference")
+    found = rules.with_events(rows, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
+    return found.select(F.col("BILL_ID").alias("bill_id"), F.inline("events")).select("bill_id", "stage", "day", "reference")
 
 
 @query(LIFECYCLE + """,
@@ -67,9 +67,9 @@ SELECT CAST(x.k AS VARCHAR) AS bill_id, last.stage, x.committee, CASE WHEN s = '
 def lifecycle_updates(spark, d):
     """The latest stage of every bill that has one, with committee and result: what a bill row is updated to."""
     rows = lifecycle_rows(spark, d)
-    found = rules.stage_events(rows.columns, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
+    found = rules.with_events(rows, optional_text(F.col("JRCMIT_NM")), optional_text(F.col("RGS_CONF_RSLT")))
     # Rows whose only sign of life is a fallback are left to ``lifecycle_fallback``.
-    dated = rows.withColumn("last", F.element_at(found, -1)).where("PPSL_DT <> ' ' OR JRCMIT_PRSNT_DT IS NOT NULL")
+    dated = found.withColumn("last", F.element_at("events", -1)).where("PPSL_DT <> ' ' OR JRCMIT_PRSNT_DT IS NOT NULL")
     return dated.select(F.col("BILL_ID").alias("bill_id"), "last.stage", "last.committee", optional_text(F.col("RGS_CONF_RSLT")).alias("result"))
 
 

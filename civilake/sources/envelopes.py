@@ -95,9 +95,9 @@ def xml_items(pages: DataFrame, item: str, row_schema: str, code_path: str | Non
 def alternative_edges(pages: DataFrame, parent: str, item: str = "exhaust", link: str = "billLink", key: str = "bill_id", body: str = "body") -> DataFrame:
     """``parent, child`` of every item in the XML answers: the child is the id that the item's link names; items without one are left out."""
     items = F.regexp_extract_all(body, F.lit(rf"(?s)<{item}>.*?</{item}>"), F.lit(0))
-    links = pages.select(F.col(parent).alias("parent"), F.explode(items).alias("x")).select("parent", F.xpath_string("x", F.lit(f"{item}/{link}")).alias("link"))
-    child = F.nullif(F.regexp_extract("link", rf"[?&]{key}=([^&#]*)", 1), F.lit(""))
-    return links.select("parent", child.alias("child")).where("child IS NOT NULL")
+    each = pages.select(F.col(parent).alias("parent"), F.explode(items).alias("x"))
+    child = F.nullif(F.regexp_extract("x", rf"<{link}>[^<]*?[?&;]{key}=([^&<#]*)", 1), F.lit(""))
+    return each.select("parent", child.alias("child")).where("child IS NOT NULL")
 
 
 def json_path(c: Column, path: str) -> Column:

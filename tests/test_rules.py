@@ -137,7 +137,7 @@ def test_lifecycle_example(spark):
     """Three dated stages give three events, the result stands with the plenary, an undated row falls back to its reference, which is its first text, date or not."""
     names = ["BILL_ID", "PPSL_DT", "JRCMIT_PRSNT_DT", "RGS_RSLN_DT", "PROC_DT"]
     rows = spark.createDataFrame([("B1", "2026-04-15", "2026-04-16", "2026.04.17", None), ("B2", " ", None, None, "2026-05-01"), ("B3", None, None, None, None), ("B4", None, None, "soon", "2026-05-01")], ", ".join(f"{n} string" for n in names))
-    events = rows.select("BILL_ID", F.inline(lifecycle.stage_events(names, F.lit("정무위원회"), F.lit("원안가결")))).collect()
+    events = lifecycle.with_events(rows, F.lit("정무위원회"), F.lit("원안가결")).select("BILL_ID", F.inline("events")).collect()
     assert [(e.BILL_ID, e.stage, str(e.day), e.result) for e in events] == [
         ("B1", "접수", "2026-04-15", None), ("B1", "위원회 심사", "2026-04-16", None), ("B1", "본회의 심의", "2026-04-17", "원안가결"), ("B2", "접수", "2026-05-01", None),
     ]
