@@ -40,6 +40,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: tuple[str
     return a.join(b, condition, "full").select(*out)
 
 
+def refreshed(old: DataFrame, new: DataFrame, key: str, active: str) -> DataFrame:
+    """``old`` after a full refresh: rows that ``new`` has take its values and are active, rows that it lacks are not, its other rows are added."""
+    values = tuple(c for c in new.columns if c != key)
+    merged = upsert(old, new.withColumn(active, F.lit(True)), [key], overwrite=(*values, active))
+    gone = old.select(key).join(new.select(key), key, "left_anti").withColumn("__gone", F.lit(True))
+    return merged.join(gone, key, "left").withColumn(active, F.col("__gone").isNull() & F.col(active)).drop("__gone")
+
+
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     """Children of every parent that ``new`` speaks of are replaced by the rows of ``new``."""
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)

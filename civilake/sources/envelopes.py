@@ -117,6 +117,18 @@ def dated_between(rows: DataFrame, date_columns: list[Column], start: Column, en
     return rows.where(F.coalesce(*date_columns).between(start, end))
 
 
+TARGET_CONFIG = "regions array<struct<slug:string,region:string>>, elections array<struct<slug:string,names:array<string>>>, targets array<struct<slug:string,region:string,election:string,pollsters:array<string>>>"
+
+
+def target_config(pages: DataFrame, body: str = "body") -> DataFrame:
+    """``target, want_region, want_names, want_pollsters`` of JSON configurations; a target that names no region or election wants any."""
+    read = pages.select(F.from_json(body, TARGET_CONFIG).alias("c"))
+    regions = read.select(F.inline("c.regions").alias("region", "want_region"))
+    elections = read.select(F.inline("c.elections").alias("election", "want_names"))
+    targets = read.select(F.inline("c.targets").alias("target", "region", "election", "want_pollsters"))
+    return targets.join(regions, "region", "left").join(elections, "election", "left").select("target", "want_region", "want_names", "want_pollsters")
+
+
 def records_for_targets(records: DataFrame, targets: DataFrame, fits: Column, region: tuple[str, str] | None = None, max_targets: int = 10_000) -> DataFrame:
     """Each record with each target it fits, from one scan of the records.
 
