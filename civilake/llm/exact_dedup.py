@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civilake.llm.sampling import unused
+from civilake.llm.sampling import few, unused
 from civilake.llm.staging import staged
 
 #: A group of equal texts of more rows gets its decision by a join of its own, so that no task takes a whole large group.
@@ -74,17 +74,17 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged.
 
-    Null and empty texts are equal. Rows are found again by id, length and prefix
-    hash; only those that might have to go are hashed in full. Of rows repeated
-    with the same id and text one stays, whichever.
+    Null and empty texts are equal. Rows are found again by a hash of id, length
+    and prefix; only those that might have to go are hashed in full and compared
+    by id and full hash. Of rows repeated with the same id and text one stays,
+    whichever.
     """
     found = decided(docs, id_col, text_col, prefix_chars, False, lambda text: text).where("shared")
     acted = found.groupBy("id", "size", "prefix", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
     acted = staged(acted, "dedup-acted")
-    keys = staged(acted.select("id", "size", "prefix").distinct(), "dedup-candidates")
+    keys = few(staged(acted.select(F.xxhash64("id", "size", "prefix").alias("key")).distinct(), "dedup-candidates"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    size, prefix = _keys(text, prefix_chars)
-    same = docs[id_col].eqNullSafe(keys["id"]) & (size == keys["size"]) & (prefix == keys["prefix"])
+    same = F.xxhash64(docs[id_col], *_keys(text, prefix_chars)) == keys["key"]
     sha = unused(docs, "__sha")
     candidates = docs.join(keys, same, "left_semi").withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     gone = acted.where("NOT kept").select(F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha"))

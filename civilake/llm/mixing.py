@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.langid import feature_rows, features
-from civilake.llm.sampling import labelled_sample, unused
+from civilake.llm.sampling import few, labelled_sample, unused
 from civilake.llm.staging import staged
 
 #: Most distinct labelled texts of one domain that the classifier is fitted on, and of all domains together.
@@ -192,13 +192,15 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     """``docs`` itself mixed: each row as often as its ``copies`` say, with the columns of ``docs``.
 
     An id's decision is that of its row of most copies, whether ids are repeated or
-    null. Only ids whose copies are not 1 are joined back; where they are few,
-    Spark sends them to the rows instead of shuffling texts.
+    null (all null ids together, with the smallest 64-bit number). Only ids whose
+    copies are not 1 are joined back; while they are few they are sent to the rows,
+    so that texts stay where they are.
     """
     found = mix(docs, labelled, targets, id_col, **options)
     mark, times, copy = unused(docs, "__id"), unused(docs, "__copies"), unused(docs, "__copy")
-    away = staged(found.groupBy(F.col("id").alias(mark)).agg(F.max("copies").alias(times)).where(F.col(times) != 1), "mixing-decisions")
-    joined = docs.join(away, docs[id_col].eqNullSafe(away[mark]), "left").where(F.coalesce(times, F.lit(1)) > 0)
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    away = few(staged(found.groupBy(key(F.col("id")).alias(mark)).agg(F.max("copies").alias(times)).where(F.col(times) != 1), "mixing-decisions"))
+    joined = docs.join(away, key(docs[id_col]) == away[mark], "left").where(F.coalesce(times, F.lit(1)) > 0)
     names = [F.col(f"`{n}`") for n in docs.columns]
     if options.get("max_rate", 1.0) <= 1.0:
         return joined.select(*names)

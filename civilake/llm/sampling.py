@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from civilake.llm.staging import staged
 
 
+#: So many rows of one or two numbers are sent to the rows they decide on; of more, both sides are shuffled by key.
+BROADCAST_ROWS = 4_000_000
+
+
+def few(decisions: DataFrame) -> DataFrame:
+    """A staged table of keys, marked to be broadcast if it has at most BROADCAST_ROWS rows (about 24 bytes each), so that texts stay where they are."""
+    return F.broadcast(decisions) if decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else decisions
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of the table has it (names differ by more than case)."""
     taken = {c.lower() for c in docs.columns}
@@ -27,9 +36,9 @@ def labelled_sample(docs: DataFrame, label: Column, text: Column, per_label: int
     little more than the wanted rows are ever ranked.
     """
     known = docs.select(label.alias("label"), text.alias("body")).where("label IS NOT NULL AND body IS NOT NULL").withColumn("h", F.xxhash64("body"))
-    upper = F.shiftright("h", 48)
+    upper = F.shiftright("h", 52)
     distinct = staged(known.select("label", "h").distinct().withColumn("upper", upper), "sample-hashes")
-    before = F.sum("n").over(Window.partitionBy("label").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1))  # at most 2^16 rows a label
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1))  # at most 2^12 rows a label
     reach = distinct.groupBy("label", "upper").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     near = distinct.join(reach.where(F.col("before") < per_label).select("label", "upper"), ["label", "upper"], "left_semi")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_label)

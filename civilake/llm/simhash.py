@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.components import connected
+from civilake.llm.sampling import few
 from civilake.llm.staging import staged
 
 BITS = 64
@@ -326,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with only the row of the smallest id of each near-duplicate group; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = found.where("id <> component").select(F.col("id").alias("__drop")).distinct()
+    dropped = few(staged(found.where("id <> component").select(F.col("id").alias("__drop")).distinct(), "simhash-dropped"))
     return docs.join(dropped, docs[id_col] == dropped["__drop"], "left_anti")
 
 

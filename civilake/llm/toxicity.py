@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.langid import held_out
+from civilake.llm.sampling import few
 from civilake.llm.staging import staged
 
 # The curated lexicons, in English, Spanish, German and French.
@@ -37,8 +38,6 @@ STRETCHED = re.compile(r"([^\W\d_])\1{3}")
 
 #: Most labelled rows of each class that the classifier is fitted on; the lexicons are mined from all.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
-#: So many labels (16 bytes each) are sent to the documents; of more, labels and texts are shuffled by id.
-BROADCAST_LABELS = 4_000_000
 #: A unit enters a lexicon at this log-likelihood ratio (one in a billion by chance), in that many documents.
 LEAST_LLR, LEAST_DOCUMENTS = 37.0, 8
 #: Most units of the lexicons.
@@ -124,8 +123,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     teach nothing; an id or text with several labels counts as the largest.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = staged(known.where(~held_out(F.col("doc_id"), 4, 2)).withColumnRenamed("doc_id", "known_id"), "toxicity-known")
-    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    known = few(staged(known.where(~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").cast("long").alias("known_id"), "toxic"), "toxicity-known"))
     texts = docs.select("doc_id", F.col("text").alias("body"))
     found = texts.join(known, F.col("doc_id") == F.col("known_id")).select("body", "toxic")
 
