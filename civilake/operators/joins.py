@@ -59,11 +59,10 @@ def resolve_or_create(names: DataFrame, table: DataFrame, name: str, key: str, p
     return known.withColumn("created", F.lit(False)).unionByName(created)
 
 
-def combined_counts(parts: dict[str, DataFrame], key: str) -> DataFrame:
-    """Full-outer combination of per-key numbers (each ``key, value``) as one column each; a missing number is 0."""
-    tagged = [df.select(key, *(F.col("value").alias(n) if n == name else F.lit(0).cast("long").alias(n) for n in parts)) for name, df in parts.items()]
-    every = reduce(DataFrame.unionByName, tagged)
-    return every.groupBy(key).agg(*(F.sum(n).alias(n) for n in parts))
+def combined_counts(parts: list[DataFrame], key: str) -> DataFrame:
+    """Full-outer combination of tables of counts, each with one row a key; a missing count is 0."""
+    every = reduce(lambda a, b: a.join(b, key, "full"), parts)
+    return every.select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in every.columns if c != key))
 
 
 def preferred_or_all(rows: DataFrame, group: list[str], preferred: Column) -> DataFrame:

@@ -164,10 +164,10 @@ FROM seats FULL JOIN prop USING (party_id) FULL JOIN rep USING (party_id) FULL J
 def stat_refresh_full_outer(spark, d):
     """Proposer rows by the party stored with them; parties absent from all four counts do not appear."""
     own = members(spark, d)
-    rows = proposals(spark, d).join(own, "member_id")
-    count = lambda df: df.groupBy("party_id").agg(F.count("*").alias("value"))
-    parts = {"seats": own.where("balance >= 0"), "proportional": own.where("balance < 0"), "rep_rows": rows.where("line = 1"), "public_rows": rows.where("line > 1")}
-    return joins.combined_counts({name: count(df) for name, df in parts.items()}, "party_id")
+    seats = own.groupBy("party_id").agg(F.count_if(F.col("balance") >= 0).alias("seats"), F.count_if(F.col("balance") < 0).alias("proportional"))
+    rows = proposals(spark, d).join(own.select("member_id", "party_id"), "member_id")
+    bills_of = rows.groupBy("party_id").agg(F.count_if(F.col("line") == 1).alias("rep_rows"), F.count_if(F.col("line") > 1).alias("public_rows"))
+    return joins.combined_counts([seats, bills_of], "party_id")
 
 
 @query("""
