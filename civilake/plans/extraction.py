@@ -338,18 +338,19 @@ PAGES = ["[표 1] 질문\n전체 (1,007) 45.2 30.1 20.0", "Q1. 질문\n합계 10
 MARKS = ["bracket_pyo=1", "Q_dot=1", "mun_paren=1", ""]
 TOTAL_MARKS = ["전체", "합계", "▣ 전체 ▣", ""]
 PLACES = ["bunched", "cell", "none", "none"]
+NUMBER_FORMATS = ["parenthesized_comma", "plain_plain", "", ""]
 
 
 @query(f"""
-SELECT p_partkey AS page, {choice_sql("p_partkey", MARKS)} AS questions, {choice_sql("p_partkey", TOTAL_MARKS)} AS totals, {choice_sql("p_partkey", PLACES)} AS ratios, p_partkey % 4 = 2 AS goes_on FROM part""")
+SELECT p_partkey AS page, {choice_sql("p_partkey", MARKS)} AS questions, {choice_sql("p_partkey", TOTAL_MARKS)} AS totals, {choice_sql("p_partkey", PLACES)} AS ratios, {choice_sql("p_partkey", NUMBER_FORMATS)} AS formats, p_partkey % 4 = 2 AS goes_on FROM part""")
 def page_screening(spark, d):
-    """Which question markers and total rows a page has, where its ratios stand, and whether it says that it goes on."""
+    """Which question markers and total rows a page has, how it writes respondents, where its ratios stand, and whether it says that it goes on."""
     page = choice(F.col("id"), PAGES)
     shown = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
-    totals = F.array_join(F.array_sort(F.map_keys(screening.marker_counts(page, screening.TOTAL_MARKERS))), ",")
+    names = lambda markers: F.array_join(F.array_sort(F.map_keys(screening.marker_counts(page, markers))), ",")
     return parts(spark, d).select(
-        F.col("id").alias("page"), shown(screening.marker_counts(page, screening.QUESTION_MARKERS)).alias("questions"), totals.alias("totals"),
-        screening.ratio_place(page).alias("ratios"), page.rlike(screening.CONTINUED).alias("goes_on"),
+        F.col("id").alias("page"), shown(screening.marker_counts(page, screening.QUESTION_MARKERS)).alias("questions"), names(screening.TOTAL_MARKERS).alias("totals"),
+        screening.ratio_place(page).alias("ratios"), names(screening.N_FORMATS).alias("formats"), page.rlike(screening.CONTINUED).alias("goes_on"),
     )
 
 

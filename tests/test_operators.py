@@ -128,6 +128,35 @@ def test_stream_equals_batch(spark, tmp_path):
     ]
 
 
+def test_batches_of_a_stream_are_merged(spark, tmp_path):
+    """Each micro-batch is merged into a table; what is left is the merge of all that landed."""
+    landed, table = tmp_path / "landed", f"{tmp_path}/table"
+    landed.mkdir()
+    for i, (key, n) in enumerate([("a", 1), ("b", 2), ("a", 3)]):
+        (landed / f"{i}.json").write_text(json.dumps({"key": key, "n": n, "ord": i}))
+    spark.createDataFrame([("a", 0), ("z", 9)], "key string, n int").write.parquet(f"{table}/0")
+    versions = [0]
+
+    def put(batch, number):
+        old = spark.read.parquet(f"{table}/{versions[-1]}")
+        merge.upsert(old, merge.latest(batch, ["key"], "ord").select("key", "n"), ["key"], overwrite=("n",)).write.mode("overwrite").parquet(f"{table}/{number + 1}")
+        versions.append(number + 1)
+
+    stream = spark.readStream.schema("key string, n int, ord int").json(str(landed))
+    changes.each_batch(stream, f"file://{tmp_path}/check", put).awaitTermination()
+    assert dict(spark.read.parquet(f"{table}/{versions[-1]}").collect()) == {"a": 3, "b": 2, "z": 9}
+
+
+def test_windowed_counts(spark):
+    times = spark.createDataFrame([("2024-01-01 00:00:10",), ("2024-01-01 00:00:50",), ("2024-01-01 00:01:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    assert sorted(r.n for r in changes.windowed_counts(times, "t", "1 minute", "5 minutes").collect()) == [1, 2]
+
+
+def test_landed_pages_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r>\n<x>1</x>\n</r>")
+    assert [r.body for r in envelopes.raw_pages(spark, str(tmp_path)).collect()] == ["<r>\n<x>1</x>\n</r>"]
+
+
 def test_plans_use_semi_joins(spark):
     from civilake.plans import relational
 
