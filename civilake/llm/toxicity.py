@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     """
     rows, once = labelled_texts(docs, labels)
     sizes = {row["toxic"]: row["n"] for row in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = mine_lexicon(rows.join(once, "at").select("body", "toxic"), sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1))
+    lexicon = mine_lexicon(rows.join(few(once.select("at", "toxic")), "at").select("body", "toxic"), sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1))
     sample = training_sample(rows, once, sizes, toxic_rows, clean_rows).select(F.col("toxic").alias("tag"), "body")
     seen = voted_rows(sample, lexicon).collect()  # bounded by the sample
     seen.sort(key=lambda row: (row["tag"], row["mask"], row["at"]))
