@@ -88,6 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
                         rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(all_ids)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_PIECES)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=_PIECES)
+        tokens.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(cut, PIECES)
 

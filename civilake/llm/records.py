@@ -152,6 +152,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
                 for doc_id, found in zip(ids[start:stop], tokens.encode(texts[start:stop].to_pylist()), strict=True):
                     writer.write(doc_id, found + end, tokens.width)
         writer.close()
+        tokens.rest()
         yield _rows(writer.done, _MANIFEST)
 
     import pyarrow.compute  # noqa: F401

@@ -25,7 +25,7 @@ def split(text: str) -> list[str]:
 
 
 #: Bytes of one generation of cached chunks and their ids, and what one entry costs besides them.
-CACHE_BYTES, ENTRY_BYTES = 100 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 LONG_CHUNK = 64
 
 
@@ -73,6 +73,10 @@ class ChunkEncoder:
             if len(chunk) > LONG_CHUNK:
                 self.new.pop(chunk, None)
 
+    def rest(self) -> None:
+        """Between tasks: keep the newer generation only, so that an idle worker holds little."""
+        self.old = {}
+
     def _learn(self, chunks: set[str]) -> None:
         if self.bytes > self.limit:
             self.old, self.new, self.bytes = self.new, {}, 0
