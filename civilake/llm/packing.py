@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civilake.llm.staging import staged
-from civilake.llm.tokens import END_ID, encoder, small_runs
+from civilake.llm.tokens import CACHE_BYTES, END_ID, encoder, small_runs
 
 #: Remainders packed together in one task's group; the only under-full windows are the last of each group.
 GROUP_PIECES = 4096
@@ -71,11 +71,11 @@ def windows(lengths: list[int], capacity: int) -> Iterator[tuple[list[int], int]
         yield chosen, times
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Every document's ids (and the end id) cut every ``capacity`` ids: PIECES columns, no ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path, cache_bytes)
         end = end_id.to_bytes(tokens.width, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: PIECES columns, ``sequence_id`` and ``offset``.
 
     A document is cut every ``capacity`` ids; whole windows stand alone. The
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     rows are packed like any other row. An empty table gives no rows.
     """
     pieces = staged(
-        token_pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()),
+        token_pieces(docs, tokenizer_path, capacity, id_col, text_col, cache_bytes=cache_bytes).withColumn("row", F.monotonically_increasing_id()),
         "packing-pieces",
     )
     rest = pieces.where(F.col("length") < capacity)
@@ -136,6 +136,6 @@ def _runs(values: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return distinct, np.split(items, first[1:])
 
 
-def op6(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The rows of query ``op6_packing``: windows of 2048 ids."""
-    return pack(docs, tokenizer_path, 2048)
+def op6(docs: DataFrame, tokenizer_path: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """The rows of query ``op6_packing``: windows of 2048 ids. ``cache_bytes`` bounds a worker's cache of encoded chunks."""
+    return pack(docs, tokenizer_path, 2048, cache_bytes=cache_bytes)

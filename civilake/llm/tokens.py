@@ -135,10 +135,11 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This worker process's encoder for a tokenizer file; a reused worker keeps its cache."""
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> ChunkEncoder:
+    """This worker process's encoder for a tokenizer file; a reused worker keeps its cache, within the bytes now asked for."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].limit = cache_bytes
     return _ENCODERS[path]
 
 
