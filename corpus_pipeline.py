@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from civilake.llm import exact_dedup, langid, mixing, packing, queries, simhash
 from civilake.llm.staging import fresh_path, remove, scratch, staged
 
+#: A worker's cache of encoded chunks in the last stage: small, since the workers of all stages share an executor's memory.
+CACHE_BYTES = 16 << 20
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents whose language cannot be told (null or letterless text) go. Repeated rows and all columns stay; an empty table stays empty."""
@@ -30,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: every kept document, whatever its id or text, in windows of 2048 ids; a null or empty text is its end id alone."""
-    return packing.op6(docs, queries.tokenizer_path())
+    return packing.op6(docs, queries.tokenizer_path(), CACHE_BYTES)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash", near), ("mixing", mix), ("packing", packed)]
