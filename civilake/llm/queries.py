@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, mixing, packing, pii, records, simhash, suffix_tree, topk, toxicity
+from civilake.llm import exact_dedup, langid, mixing, packing, pii, records, runs, simhash, suffix_tree, topk, toxicity
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op13(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
+    "op13_runs": op13_runs,
 }
 
 ORACLES = {
