@@ -247,8 +247,8 @@ class GroupBest:
             last = np.bincount(self.keys, minlength=len(self.ids)) == self.k
             kth = np.full(len(self.ids), np.inf)
             np.minimum.at(kth, self.keys, self.scores.astype(np.float64))
-            kth -= np.abs(kth) * 2.0**-50
-            self.least = np.where(last, np.maximum(self.least, kth), self.least)
+            kth = np.where(last, kth, 0)
+            self.least = np.where(last, np.maximum(self.least, kth - np.abs(kth) * 2.0**-50), self.least)
 
     def batch(self) -> pa.RecordBatch:
         if self.floors is None:
@@ -295,7 +295,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     usable = staged(usable, "negatives-vectors")
     axes = {d: rotation(m) for d, m in second_moments(usable).items()}
     n = usable.count()
-    ranges = max(1, -(-n // range_rows))
+    ranges = max(1, -(-n // range_rows), min(-(-n // BLOCK), usable.sparkSession.sparkContext.defaultParallelism))  # a task for each core, of whole blocks
     index = blocks_of(usable, 0, BLOCK).withColumn("range", F.pmod(F.xxhash64("block"), F.lit(ranges)).cast("int"))
     index = staged(index, "negatives-index")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civilake.llm import exact_dedup, langid, mixing, negatives, packing, pii, records, runs, simhash, suffix_tree, topk, toxicity
+from civilake.llm import exact_dedup, jaccard, langid, mixing, negatives, packing, pii, records, runs, simhash, suffix_tree, topk, toxicity
 
 #: Where the public tokenizer files are; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op12(documents(spark, sf_dir))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.op13(documents(spark, sf_dir))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_jaccard": op12_jaccard,
     "op13_runs": op13_runs,
 }
 
