@@ -100,6 +100,7 @@ def shared_counts(numbered: DataFrame, words: int, buckets: int) -> DataFrame:
 
     A task sends each token of some million once, and its set's number only if no
     other of these sets has it; so a token that very many sets share is no hot key.
+    A bucket's counts go on in as many parts of the sets as there are buckets.
     """
     schema = "bucket int, keys binary, nums binary, runs binary, known binary, own binary, counts binary"
     names = [part.split()[0] for part in schema.split(", ")]
@@ -147,11 +148,17 @@ def shared_counts(numbered: DataFrame, words: int, buckets: int) -> DataFrame:
         shared = at < len(twice)
         shared[shared] = twice[at[shared]] == keys[shared]
         nums, counts = np.unique(np.repeat(joined("nums", "<i8"), joined("runs", "<u4"))[shared], return_counts=True)
-        nums, counts = np.r_[nums, joined("own", "<i8")], np.r_[counts, joined("counts", "<u4")].astype(np.int64)
-        return pa.table([pa.array(nums, pa.int64()), pa.array(counts)], names=["num", "shared"])
+        nums, counts = np.r_[nums, joined("own", "<i8")].astype("<i8"), np.r_[counts, joined("counts", "<u4")].astype("<u4")
+        parts = [(p, nums[nums % buckets == p].tobytes(), counts[nums % buckets == p].tobytes()) for p in range(buckets)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "nums", "counts"])
+
+    def add(key, rows):
+        nums, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("nums", "<i8"), ("counts", "<u4")))
+        nums, of = np.unique(nums, return_inverse=True)
+        return pa.table([pa.array(nums, pa.int64()), pa.array(np.bincount(of, counts, len(nums)).astype(np.int64))], names=["num", "shared"])
 
     sent = numbered.mapInArrow(spread, schema)
-    return sent.groupBy("bucket").applyInArrow(count, "num long, shared long").groupBy("num").agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("bucket").applyInArrow(count, "part int, nums binary, counts binary").groupBy("part").applyInArrow(add, "num long, shared long")
 
 
 def token_sets(numbered: DataFrame, words: int) -> DataFrame:
