@@ -97,14 +97,22 @@ def safe_filename(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(squashed(F.regexp_replace(c, r'[\\/:*?"<>|]', "_")), F.lit("")), F.lit(default))
 
 
+def company_name(c: Column) -> Column:
+    """A company's name without the marks of a stock company at either end (``(주)``, ``주식회사``), white space squashed."""
+    mark = r"(?:\(주\)|주식회사)"
+    return squashed(F.regexp_replace(squashed(c), rf"^{mark}\s*|\s*{mark}$", ""))
+
+
 def first_json_object(c: Column) -> Column:
     """The first ``{...}`` of a text whose braces balance, those inside strings not counted, or null.
 
     The text from its first brace on is cut into strings and other tokens, and
-    their lengths and brace depths are folded until the depth is 0 again.
+    their lengths and brace depths are folded until the depth is 0 again. A string
+    that never ends is all the rest. The pattern never goes back (possessive
+    quantifiers), so strings may be of any length.
     """
     tail = F.substring(c, F.instr(c, "{"), F.length(c))
-    tokens = F.regexp_extract_all(tail, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'), F.lit(0))
+    tokens = F.regexp_extract_all(tail, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]|[^"{}]++'), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
     def step(state, token):

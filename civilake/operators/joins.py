@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civilake.operators import substrings
+
 
 def exists_flag(rows: DataFrame, other: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """``rows`` with a boolean: whether ``other`` has the keys. Rows are never multiplied."""
@@ -71,27 +73,33 @@ def preferred_or_all(rows: DataFrame, group: list[str], preferred: Column) -> Da
     return rows.withColumns({"__some": some, "__own": preferred}).where("__own OR NOT coalesce(__some, false)").drop("__some", "__own")
 
 
-def first_contained(rows: DataFrame, registry: DataFrame, name: str, keyword: str, ordinal: str, value: str, most: int = 10_000) -> DataFrame:
-    """``rows`` with the value of the first registry entry whose keyword the name holds, or null.
-
-    Distinct names alone meet the registry, a configuration table, which is broadcast up to ``most`` entries.
-    """
-    entries = F.broadcast(registry) if registry.limit(most + 1).count() <= most else registry
-    names = rows.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
-    found = names.join(entries, F.contains("__name", keyword)).groupBy("__name").agg(F.min_by(value, ordinal).alias(value))
+def first_contained(rows: DataFrame, registry: DataFrame, name: str, keyword: str, ordinal: str, value: str) -> DataFrame:
+    """``rows`` with the value of the first registry entry whose keyword the name holds, or null. Empty keywords are held by none."""
+    met = substrings.contained(rows, registry, name, keyword).withColumnRenamed(name, "__name")
+    found = met.join(registry, keyword).groupBy("__name").agg(F.min_by(value, ordinal).alias(value))
     return rows.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
 
 
-def classified(rows: DataFrame, rules: DataFrame, key: str, name: str, other: str = "uncovered", most: int = 10_000) -> DataFrame:
+def classified(rows: DataFrame, rules: DataFrame, key: str, name: str, other: str = "uncovered") -> DataFrame:
     """``rows`` with the ``status`` and ``parser`` of the best rule (``kind, ordinal, name, status, parser``).
 
     Rules of an equal name come first, by kind; then those where either name holds
     the other, by kind, then in their order. Without any the status is ``other``.
     """
     entries = rules.select("kind", "ordinal", F.col("name").alias("__rule"), "status", "parser")
-    entries = F.broadcast(entries) if entries.limit(most + 1).count() <= most else entries
-    names = rows.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
-    met = names.join(entries, F.contains("__name", "__rule") | F.contains("__rule", "__name"))
+    names = rows.select(F.col(name).alias("__name")).distinct()
+    either = substrings.contained(names, entries, "__name", "__rule").unionByName(substrings.contained(entries, names, "__rule", "__name")).distinct()
+    met = either.join(entries, "__rule")
     best = met.groupBy("__name").agg(F.min_by(F.struct("status", "parser"), F.struct(F.col("__name") != F.col("__rule"), "kind", "ordinal")).alias("__best"))
     joined = rows.join(best, F.col(name) == F.col("__name"), "left")
     return joined.select(*rows.columns, F.coalesce("__best.status", F.lit(other)).alias("status"), F.col("__best.parser").alias("parser"))
+
+
+def by_key_or_name(asked: DataFrame, found: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """Each asked row's values: those of its key, or only if there are none those whose name holds the asked name; ``by_key`` tells which. Asked rows without either give none."""
+    own = asked.join(found.select(key, value), key).select(key, name, F.lit(True).alias("by_key"), value)
+    rest = asked.join(found.select(key), key, "left_anti").select(key, F.col(name).alias("__asked"))
+    names = found.select(F.col(name).alias("__name"), value)
+    held = substrings.contained(names, rest, "__name", "__asked")
+    other = rest.join(held, "__asked").join(names, "__name").select(key, F.col("__asked").alias(name), F.lit(False).alias("by_key"), value)
+    return own.unionByName(other)

@@ -45,10 +45,3 @@ def uuid5(namespace: Column, name: Column) -> Column:
     return F.concat_ws(
         "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12)
     )
-
-
-def relevance(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    """Rows with a word that begins with ``prefix`` (lower case) in any of the columns, and how many such words each column has (``<column>_rel``)."""
-    pattern = F.lit(rf"(?U)\b\Q{prefix}\E\w*")
-    found = rows.withColumns({f"{c}_rel": F.coalesce(F.regexp_count(F.col(c), pattern), F.lit(0)).cast("bigint") for c in columns})
-    return found.where(F.greatest(*(F.col(f"{c}_rel") for c in columns), F.lit(0)) > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civilake.functions import bills as bill_rules
 from civilake.functions import dates, polls, screening, text
-from civilake.operators import grids
+from civilake.operators import grids, joins
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills
@@ -259,18 +259,26 @@ def file_names(spark, d):
     return parts(spark, d).select("id", text.safe_filename(choice(key, FILE_NAMES), "default.pdf").alias("file"), text.download_url(choice(key, CALLS), "https://example.org").alias("url"))
 
 
-ANSWERS = ['```json\n{"a": {"b": "}"}} tail\n```', 'text {"x": "\\"{"} more {"y": 1}', "no object", '{"open": 1', None]
-OBJECTS = ['{"a": {"b": "}"}}', '{"x": "\\"{"}', None, None, None]
-
-
-@query(f"""
-SELECT p_partkey AS id, {choice_sql("p_partkey", OBJECTS)} AS found, CASE WHEN p_size BETWEEN 0 AND 40 THEN CAST(p_size AS DECIMAL(5,2)) END AS pct, CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE least(greatest(p_size, 5), 30) END AS size FROM part""")
+@query(r"""
+WITH t AS (SELECT conv_id, turn, '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' AS quoted, conv_id % 5 AS kind FROM conversations),
+o AS (SELECT conv_id, turn, kind, '{"turn": {"n": ' || turn || '}, "answer": ' || quoted || ', "rest": "}{\\"}' AS object FROM t)
+SELECT o.conv_id, o.turn, CASE WHEN kind < 3 THEN object END AS found, CASE WHEN length(text) BETWEEN 0 AND 100 THEN CAST(length(text) AS DECIMAL(5,2)) END AS pct,
+       CASE WHEN role = 'user' THEN 20 ELSE least(greatest(length(text), 5), 30) END AS size FROM o JOIN conversations c ON c.conv_id = o.conv_id AND c.turn = o.turn""")
 def model_answers(spark, d):
-    """The first JSON object in a model's answer, a percentage within its range, and a parameter held within its bounds."""
-    key = F.col("id")
-    found = text.first_json_object(text.without_fences(choice(key, ANSWERS)))
-    raw = F.when(key % 4 == 0, "many").otherwise(F.col("p_size").cast("string"))
-    return parts(spark, d).select("id", found.alias("found"), text.in_range(F.col("p_size").cast("string"), 0, 40).alias("pct"), text.clamped(raw, 20, 5, 30).alias("size"))
+    """The first JSON object in a model's answer, a percentage within its range, and a parameter held within its bounds.
+
+    The answers hold the conversations' texts: fenced, between other texts, before a second object, cut off in a string, or cut off before the last brace.
+    """
+    turns = table(spark, d, "conversations")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    whole = F.concat(F.lit('{"turn": {"n": '), "turn", F.lit('}, "answer": '), quoted, F.lit(', "rest": "}{\\\\"}'))
+    cut = F.concat(F.lit('{"turn": {"n": '), "turn", F.lit('}, "answer": '), quoted)
+    fenced, talk, twice = F.concat(F.lit("```json\n"), whole, F.lit("\n```")), F.concat(F.lit('As "asked": '), whole, F.lit(" }")), F.concat(whole, whole)
+    kind = F.col("conv_id") % 5
+    answer = F.when(kind == 0, fenced).when(kind == 1, talk).when(kind == 2, twice).when(kind == 3, F.concat(cut, F.lit(', "rest": "}'))).otherwise(cut)
+    n = F.length("text")
+    raw = F.when(F.col("role") == "user", "many").otherwise(n.cast("string"))
+    return turns.select("conv_id", "turn", text.first_json_object(text.without_fences(answer)).alias("found"), text.in_range(n.cast("string")).alias("pct"), text.clamped(raw, 20, 5, 30).alias("size"))
 
 
 @query("""
@@ -299,15 +307,18 @@ def survey_rows(spark, d):
 
 
 @query("""
-SELECT o_orderkey AS bill_id, o_orderkey % 4 IN (0, 1) AS by_id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderstatus ELSE o_orderpriority END AS review FROM orders WHERE o_orderkey % 4 <> 3""")
+WITH a AS (SELECT o_orderkey AS bill_id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'bill ' || o_orderkey ELSE 'bill ' || o_orderkey || ' of ' || CAST(o_orderdate AS DATE) END AS name FROM orders),
+r AS (SELECT o_orderkey AS bill_id, o_orderstatus AS review FROM orders WHERE o_orderkey % 4 IN (0, 1)),
+n AS (SELECT 'review of bill ' || o_orderkey || ' of ' || CAST(o_orderdate AS DATE) || ' as amended' AS name, o_orderpriority AS review FROM orders WHERE o_orderkey % 4 = 2)
+SELECT bill_id, true AS by_key, review FROM r UNION ALL SELECT a.bill_id, false, n.review FROM a JOIN n ON n.name = 'review of ' || a.name || ' as amended' WHERE a.bill_id % 4 IN (2, 3)""")
 def review_fallback(spark, d):
     """Reviews by bill id; only where none has the id, those whose name holds the bill's."""
     b, key = bills(spark, d), F.col("bill_id")
-    by_id = b.where("bill_id % 4 IN (0, 1)").select("bill_id", F.col("stage").alias("own"))
-    named = b.where("bill_id % 4 <> 3").select(F.concat(F.lit("review of bill-"), key, F.lit(".")).alias("title"), F.col("kind").alias("other"), key.alias("titled"))
-    by_name = b.select("bill_id").join(named, (key == F.col("titled")) & F.contains("title", F.concat(F.lit("bill-"), key)))
-    found = b.select("bill_id").join(by_id, "bill_id", "left").join(by_name.select("bill_id", "other"), "bill_id", "left").where("own IS NOT NULL OR other IS NOT NULL")
-    return found.select("bill_id", F.col("own").isNotNull().alias("by_id"), F.coalesce("own", "other").alias("review"))
+    dated = F.concat(F.lit("bill "), key, F.lit(" of "), F.col("propose_date"))
+    asked = b.select("bill_id", F.when(key % 4 < 2, F.concat(F.lit("bill "), key)).otherwise(dated).alias("name"))
+    by_id = b.where("bill_id % 4 < 2").select("bill_id", F.lit("a review").alias("name"), F.col("stage").alias("review"))
+    named = b.where("bill_id % 4 = 2").select(F.lit(None).cast("bigint").alias("bill_id"), F.concat(F.lit("review of "), dated, F.lit(" as amended")).alias("name"), F.col("kind").alias("review"))
+    return joins.by_key_or_name(asked, by_id.unionByName(named), "bill_id", "name", "review").select("bill_id", "by_key", "review")
 
 
 @query("""

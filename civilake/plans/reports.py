@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civilake.functions import text
-from civilake.operators import aggregates, joins, ordering, retrieval
+from civilake.operators import aggregates, fulltext, joins, ordering
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills, members, parties, proposals
-from civilake.session import table
+from civilake.session import table, work_path
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -24,15 +24,52 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+SEARCHED = ["name", "brief", "gpt", "summary"]
+
+
 @query(r"""
-WITH a AS (SELECT p_partkey AS bill_id, p_size AS day, lower(p_name) AS name, lower(p_type) AS brief, lower(p_brand || ' ' || p_type) AS gpt, lower(p_name || ' ' || p_type || ' ' || p_name) AS summary FROM part WHERE p_partkey % 11 <> 0),
-r AS (SELECT bill_id, day, len(regexp_extract_all(name, '\bst\w*')) AS name_rel, len(regexp_extract_all(brief, '\bst\w*')) AS brief_rel, len(regexp_extract_all(gpt, '\bst\w*')) AS gpt_rel, len(regexp_extract_all(summary, '\bst\w*')) AS summary_rel FROM a)
-SELECT bill_id, name_rel, brief_rel, gpt_rel, summary_rel FROM r WHERE name_rel > 0 OR brief_rel > 0 OR gpt_rel > 0 OR summary_rel > 0 ORDER BY day DESC, name_rel DESC, brief_rel DESC, gpt_rel DESC, summary_rel DESC, bill_id LIMIT 20 OFFSET 20""")
+WITH a AS (SELECT p_partkey AS bill_id, p_size AS day, lower(p_name) AS name, lower(p_type) AS brief, lower(p_brand || ' ' || p_type) AS gpt, lower(p_name || ' ' || p_type || ' ' || p_name) AS summary FROM part),
+h AS (SELECT bill_id, field, len(regexp_extract_all(text, '\bst\w*')) AS n FROM a UNPIVOT (text FOR field IN (name, brief, gpt, summary))),
+c AS (SELECT field, count(*) AS rows, count(*) FILTER (n > 0) AS hits FROM h GROUP BY 1),
+r AS (SELECT bill_id, field, n * pow(log10(1 + rows / hits), 2) AS rel FROM h JOIN c USING (field) WHERE n > 0),
+w AS (SELECT bill_id, round(coalesce(max(rel) FILTER (field = 'name'), 0), 6) AS name_rel, round(coalesce(max(rel) FILTER (field = 'brief'), 0), 6) AS brief_rel,
+  round(coalesce(max(rel) FILTER (field = 'gpt'), 0), 6) AS gpt_rel, round(coalesce(max(rel) FILTER (field = 'summary'), 0), 6) AS summary_rel FROM r GROUP BY 1)
+SELECT w.* FROM w JOIN a USING (bill_id) WHERE bill_id % 11 <> 0 ORDER BY day DESC, name_rel DESC, brief_rel DESC, gpt_rel DESC, summary_rel DESC, bill_id LIMIT 20 OFFSET 20""")
 def bill_search(spark, d):
-    """The second page of a word-prefix search in four columns of finished bills: newest first, then by the relevance in each column."""
-    found = retrieval.relevance(articles(spark, d).where("ready"), "st", ["name", "brief", "gpt", "summary"])
-    order = [F.desc("day"), *(F.desc(f"{c}_rel") for c in ("name", "brief", "gpt", "summary")), F.asc("bill_id")]
-    return ordering.page(found, order, 1, 20).select("bill_id", "name_rel", "brief_rel", "gpt_rel", "summary_rel")
+    """The second page of a word-prefix search in four columns of finished bills: newest first, then by the relevance in each column. Only the prefix's postings of the index are read."""
+    index = fulltext.build(articles(spark, d), "bill_id", SEARCHED, work_path(spark, "bill-index"))
+    found = fulltext.search(index, "st*", SEARCHED).withColumnRenamed("id", "bill_id")
+    rels = [f"{c}_rel" for c in SEARCHED]
+    shown = articles(spark, d).where("ready").select("bill_id", "day").join(found, "bill_id").withColumns({c: F.round(c, 6) for c in rels})
+    return ordering.page(shown, [F.desc("day"), *map(F.desc, rels), F.asc("bill_id")], 1, 20).select("bill_id", *rels)
+
+
+@query(r"""
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT id, len(list_filter(w, lambda x: x = 'of')) AS a, len(list_filter(w, lambda x: x = 'la')) AS b, len(list_filter(w, lambda x: starts_with(x, 'st'))) AS c,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS p FROM w),
+n AS (SELECT count(*) AS rows, count(*) FILTER (a > 0) AS da, count(*) FILTER (c > 0) AS dc, count(*) FILTER (p > 0) AS dp FROM t)
+SELECT id, round(a * pow(log10(1 + rows / da), 2) + coalesce(c * pow(log10(1 + rows / nullif(dc, 0)), 2), 0) + coalesce(p * pow(log10(1 + rows / nullif(dp, 0)), 2), 0), 6) AS text_rel
+FROM t, n WHERE a > 0 AND b = 0""")
+def boolean_search(spark, d):
+    """Documents with one word and without another, ranked also by a prefix and a phrase."""
+    index = fulltext.build(table(spark, d, "documents"), "doc_id", ["text"], work_path(spark, "document-index"))
+    return fulltext.search(index, '+of -la st* "of the"', ["text"]).withColumn("text_rel", F.round("text_rel", 6))
+
+
+@query(r"""
+WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'a new text of few words' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
+w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM a WHERE text IS NOT NULL),
+t AS (SELECT id, len(list_filter(w, lambda x: x = 'new')) AS a, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'few')) AS p FROM w),
+n AS (SELECT count(*) AS rows, count(*) FILTER (a > 0) AS da, count(*) FILTER (p > 0) AS dp FROM t)
+SELECT id, round(coalesce(a * pow(log10(1 + rows / nullif(da, 0)), 2), 0) + coalesce(p * pow(log10(1 + rows / nullif(dp, 0)), 2), 0), 6) AS text_rel FROM t, n WHERE a > 0 OR p > 0""")
+def updated_search(spark, d):
+    """The index after new and changed documents were merged into it."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    old = fulltext.build(docs.where("doc_id % 7 <> 0"), "doc_id", ["text"], work_path(spark, "old-index"))
+    changed = docs.where("doc_id % 5 = 0").withColumn("text", F.lit("a new text of few words"))
+    index = fulltext.updated(old, changed, "doc_id", ["text"], work_path(spark, "new-index"))
+    return fulltext.search(index, 'new "of few"', ["text"]).withColumn("text_rel", F.round("text_rel", 6))
 
 
 @query("""
@@ -134,40 +171,44 @@ def followed_parties(spark, d):
     return parties(spark, d).join(own, "party_id", "left_semi").select("party_id", "party")
 
 
-REGISTERED = [("기타리서치", "alpha"), ("리서치", "beta"), ("한국갤럽", "gamma"), ("조사", "delta")]
-POLLSTERS = ["(주)기타리서치", "리서치앤리서치", "한국갤럽조사연구소", "여론조사꽃", "아무개", "갤럽"]
+def pollsters(spark, d: str) -> DataFrame:
+    """Surveys of pollsters whose names are a part's words, some as stock companies write them."""
+    key, name = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size"))
+    written = F.when(key % 4 == 1, F.concat(F.lit("(주) "), name)).when(key % 4 == 2, F.concat(F.lit("주식회사  "), name)).when(key % 4 == 3, F.concat(name, F.lit(" (주)"))).otherwise(F.replace(name, F.lit(" "), F.lit("  ")))
+    return table(spark, d, "part").select(key.alias("survey"), written.alias("pollster"))
 
 
-def pollsters(spark: SparkSession, d: str) -> DataFrame:
-    """A pollster's name for each survey, by its key."""
-    name = F.lit(None).cast("string")
-    for at, value in enumerate(POLLSTERS):
-        name = F.when(F.col("c_custkey") % len(POLLSTERS) == at, F.lit(value)).otherwise(name)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("survey"), name.alias("pollster"))
-
-
-PARSER_OF = ["alpha", "beta", "gamma", "delta", None, None]
-
-
-@query("SELECT c_custkey AS survey, CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PARSER_OF) if p) + " END AS parser FROM customer")
+@query("""
+WITH s AS (SELECT p_partkey AS survey, p_name || ' ' || p_type || ' ' || p_size AS pollster FROM part),
+k AS (SELECT p_partkey AS ordinal, substring(p_name, 3, 5) || CASE WHEN p_partkey % 2 = 0 THEN substring(p_name, 8) || ' ' || substring(p_type, 1, 4) ELSE '' END AS keyword, p_brand AS parser FROM part WHERE p_size % 5 = 0),
+m AS (SELECT n.pollster, arg_min(k.parser, k.ordinal) AS parser FROM (SELECT DISTINCT pollster FROM s) n JOIN k ON contains(n.pollster, k.keyword) GROUP BY 1)
+SELECT survey, parser FROM s LEFT JOIN m USING (pollster)""")
 def parser_of_pollster(spark, d):
-    """The first registry entry whose keyword a pollster's name holds."""
-    registry = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(REGISTERED)], "ordinal int, keyword string, parser string")
-    return joins.first_contained(pollsters(spark, d), registry, "pollster", "keyword", "ordinal", "parser").select("survey", "parser")
-
+    """The parser of the first registry keyword that a pollster's name holds."""
+    parts = table(spark, d, "part")
+    more = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring("p_name", 8, 1000), F.lit(" "), F.substring("p_type", 1, 4))).otherwise("")
+    registry = parts.where("p_size % 5 = 0").select(F.col("p_partkey").alias("ordinal"), F.concat(F.substring("p_name", 3, 5), more).alias("keyword"), F.col("p_brand").alias("parser"))
+    surveys = pollsters(spark, d).withColumn("pollster", text.company_name(F.col("pollster")))
+    return joins.first_contained(surveys, registry, "pollster", "keyword", "ordinal", "parser").select("survey", "parser")
 
-CLASSES = [("supported", "alpha"), ("supported", "beta"), ("supported", "gamma"), ("unparseable", None), ("uncovered", None), ("supported", "gamma")]
 
-
-@query(
-    "SELECT c_custkey AS survey, CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(CLASSES)) + " END AS status, CASE c_custkey % 6 "
-    + " ".join(f"WHEN {i} THEN '{p}'" for i, (_, p) in enumerate(CLASSES) if p) + " END AS parser FROM customer"
-)
+@query("""
+WITH s AS (SELECT p_partkey AS survey, p_name || ' ' || p_type || ' ' || p_size AS name FROM part),
+r AS (SELECT 1 AS kind, p_partkey AS ordinal, p_name || ' ' || p_type AS name, 'supported' AS status, p_brand AS parser FROM part WHERE p_partkey % 40 = 0
+  UNION ALL SELECT 1, p_partkey, p_name || ' ' || p_type || ' ' || p_size || ' center', 'supported', p_brand FROM part WHERE p_partkey % 40 = 1
+  UNION ALL SELECT 2, p_partkey, CASE WHEN p_partkey % 40 = 2 THEN p_name || ' ' || p_type || ' ' || p_size ELSE substring(p_name, 2) END, 'unparseable', NULL FROM part WHERE p_partkey % 40 = 2 OR p_partkey % 400 = 3),
+m AS (SELECT n.name, r.status, r.parser, row_number() OVER (PARTITION BY n.name ORDER BY n.name <> r.name, kind, ordinal) AS place FROM (SELECT DISTINCT name FROM s) n JOIN r ON contains(n.name, r.name) OR contains(r.name, n.name))
+SELECT survey, coalesce(m.status, 'uncovered') AS status, m.parser FROM s LEFT JOIN m ON m.name = s.name AND m.place = 1""")
 def coverage_classes(spark, d):
-    """Pollsters by whether a parser is known: the name itself, the unparseable list, then either name inside the other."""
-    known = [(0, "기타리서치", "alpha"), (1, "리서치", "beta"), (2, "한국갤럽", "gamma")]
-    rules = spark.createDataFrame([(1, i, n, "supported", p) for i, n, p in known] + [(2, 0, "여론조사꽃", "unparseable", None)], "kind int, ordinal int, name string, status string, parser string")
-    plain = pollsters(spark, d).withColumn("pollster", F.regexp_replace("pollster", r"\\(주\\)|\\s", ""))
+    """Pollsters by whether a parser is known: the name itself, the unparseable list, then either name inside the other. Rules are only met once marks of stock companies and spaces are stripped."""
+    parts = table(spark, d, "part")
+    key, two, whole = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size"))
+    rule = lambda kind, name, status, parser: (F.lit(kind).alias("kind"), key.alias("ordinal"), name.alias("name"), F.lit(status).alias("status"), parser.alias("parser"))
+    rules = parts.where("p_partkey % 40 = 0").select(*rule(1, two, "supported", F.col("p_brand")))
+    rules = rules.unionByName(parts.where("p_partkey % 40 = 1").select(*rule(1, F.concat(whole, F.lit(" center")), "supported", F.col("p_brand"))))
+    hard = F.when(key % 40 == 2, whole).otherwise(F.substring("p_name", 2, 1000))
+    rules = rules.unionByName(parts.where("p_partkey % 40 = 2 OR p_partkey % 400 = 3").select(*rule(2, hard, "unparseable", F.lit(None).cast("string"))))
+    plain = pollsters(spark, d).withColumn("pollster", text.company_name(F.col("pollster")))
     return joins.classified(plain, rules, "survey", "pollster").select("survey", "status", "parser")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civilake.operators import aggregates, joins, ordering, retrieval
+from civilake.operators import aggregates, joins, ordering, retrieval, vectors
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills, members, parties, proposals
-from civilake.session import table
+from civilake.session import table, work_path
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -24,15 +24,49 @@ def vector_topk(spark, d):
     return retrieval.nearest(rows, wanted, "vec_id", "embedding", "q", 10)
 
 
+def vector_file(spark, d) -> vectors.Cells:
+    return vectors.build(table(spark, d, "embeddings"), "vec_id", "embedding", work_path(spark, "vector-cells"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM v q, v e WHERE q.vec_id % 100 = 7),
+r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, id, score FROM s WHERE score >= 0.3)
+SELECT query, CAST(rank AS INTEGER) AS rank, id, score FROM r WHERE rank <= 10""")
+def vector_cells(spark, d):
+    """The ten nearest of a hundredth of the vectors, none under a threshold, exact by the cells' radii."""
+    index = vector_file(spark, d)
+    asked = vectors.usable(table(spark, d, "embeddings").where("vec_id % 100 = 7"), "vec_id", "embedding")
+    return vectors.search(index, asked, 10, 0.3)
+
+
+@query("""
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 3),
+w AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 <> 2 AND vec_id % 10 <> 3
+  UNION ALL SELECT vec_id + 1000000, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 10 = 1
+  UNION ALL SELECT vec_id - 1, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 10 = 3)
+SELECT CAST(3 AS BIGINT) AS query, CAST(row_number() OVER (ORDER BY round(list_cosine_similarity(w.v, q.v), 6) DESC, id) AS INTEGER) AS rank, id, round(list_cosine_similarity(w.v, q.v), 6) AS score
+FROM w, q QUALIFY rank <= 20""")
+def vector_merge(spark, d):
+    """The nearest after an upsert: some vectors are added, some replaced, and cells that neither concerns stay as they were written."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vectors.build(rows.where("vec_id % 10 <> 3"), "vec_id", "embedding", work_path(spark, "vector-cells"))
+    added = rows.where("vec_id % 10 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    replaced = rows.where("vec_id % 10 = 3").withColumn("vec_id", F.col("vec_id") - 1)
+    index = vectors.upsert(index, added.unionByName(replaced), "vec_id", "embedding", work_path(spark, "vector-upsert"))
+    return vectors.search(index, vectors.usable(rows.where("vec_id = 3"), "vec_id", "embedding"), 20)
+
+
 @query("""
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
 n AS (SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v), 6) AS score FROM embeddings e, q ORDER BY score DESC, e.vec_id LIMIT 3)
-SELECT string_agg('[' || vec_id || '] ' || text, chr(10) || chr(10) ORDER BY score DESC, vec_id) AS context, count(*) AS n FROM n JOIN documents ON doc_id = vec_id""")
+SELECT string_agg('[' || vec_id || '] ' || text, chr(10) || chr(10) ORDER BY score DESC, vec_id) AS context, count(*) AS n FROM n JOIN documents ON doc_id = vec_id WHERE score >= 0.2""")
 def rag_context(spark, d):
-    """The nearest documents as one context text, best first."""
-    found = vector_topk(spark, d).orderBy(F.desc("score"), "vec_id").limit(3)
+    """The nearest documents over a threshold as one context text, best first; found in the inverted file."""
+    asked = vectors.usable(table(spark, d, "embeddings").where("vec_id = 0"), "vec_id", "embedding")
+    found = vectors.search(vector_file(spark, d), asked, 3, 0.2).withColumnRenamed("id", "vec_id")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    named = found.join(texts, "vec_id").withColumn("line", F.concat(F.lit("["), "vec_id", F.lit("] "), "text"))
+    named = texts.join(F.broadcast(found), "vec_id").withColumn("line", F.concat(F.lit("["), "vec_id", F.lit("] "), "text"))  # three rows
     return retrieval.context(named, F.col("score"), F.col("vec_id"), F.col("line"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOCAL: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has used before, in the folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a session on one machine gets a temporary folder; a
+    cluster session raises ValueError, since its machines share none.
+    """
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="civilake-"))
+        folder = _LOCAL[0]
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows written as Parquet and read back: later jobs start from the files."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path itself, for what DataFrames cannot do: delete, rename, look."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, found = file_system(spark, path)
+    return files.exists(found)

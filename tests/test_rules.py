@@ -87,6 +87,22 @@ def test_first_json_object(spark, parts):
     assert value(spark, text.first_json_object(F.lit(source))) == expected
 
 
+def test_json_object_with_long_strings(spark):
+    """A string of a million characters, with and without escapes, closed or not."""
+    for part in ("x" * 1_000_000, '\\"}' * 300_000):
+        whole = f'{{"a": "{part}"}}'
+        assert value(spark, text.first_json_object(F.lit(f"see {whole} and {{}}"))) == whole
+        assert value(spark, text.first_json_object(F.lit(f'{{"a": "{part}'))) is None
+
+
+@pytest.mark.parametrize(
+    ("answer", "found"),
+    [('```json\n{"a": {"b": "}"}} tail\n```', '{"a": {"b": "}"}}'), ('text {"x": "\\"{"} more {"y": 1}', '{"x": "\\"{"}'), ("no object", None), ('{"open": 1', None), (None, None)],
+)
+def test_answers(spark, answer, found):
+    assert value(spark, text.first_json_object(text.without_fences(F.lit(answer).cast("string")))) == found
+
+
 def test_new_names_get_the_next_keys(spark):
     names = [f"n{i:03d}" for i in range(300)]
     known = spark.createDataFrame([(n, i) for i, n in enumerate(names[::3])], "name string, key long")
