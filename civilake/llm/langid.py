@@ -199,12 +199,20 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language cannot be told: null or letterless text. Columns and all other rows stay as they are."""
-    model = fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
+def accepted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without null and letterless texts, whose language nothing can tell; ``lang_col`` becomes the predicted language of each text.
+
+    The labels of this very table teach. Where none does, nothing is
+    predicted, ``lang_col`` stays as it is and all texts with a letter are kept.
+    Other columns stay whatever their names, and so do repeated rows and null ids.
+    """
+    kept = docs.where(has_letter(F.col(text_col)))
+    model = fit(docs, text_col, lang_col)
+    if model is None:
+        return kept
     lang = unused(docs, "__lang_pred")
-    found = predict(docs, model, lang_name=lang, score_name=unused(docs, "__lang_score"))
-    return found.where(F.col(lang) != UNKNOWN).select(*(F.col(f"`{n}`") for n in docs.columns))
+    found = predict(kept, model, text_col, lang_name=lang, score_name=unused(docs, "__lang_score"))
+    return found.select(*(F.col(lang).alias(n) if n == lang_col else F.col(f"`{n}`") for n in docs.columns))
 
 
 def op9(docs: DataFrame) -> DataFrame:
