@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civilake.llm.staging import fresh_path, staged
+from civilake.llm.staging import fresh_path, qualified, staged
 from civilake.llm.tokens import END_ID, encoder, small_runs
 
 HEAD = struct.Struct("<QI")
@@ -63,7 +63,7 @@ def unframe(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
 
 
 def open_fs(url: str):
-    """The file system and path of a URL; a scheme-less path is local.
+    """The file system and path of a qualified URL; one without a scheme is an error, since it could mean another place in each process.
 
     Schemes are those of Arrow's file systems: ``file``, ``hdfs`` and ``viewfs``
     (through libhdfs), ``s3``, ``gs``, ``abfs``; ``s3a`` and ``abfss`` are taken as
@@ -73,7 +73,9 @@ def open_fs(url: str):
 
     for hadoop, arrow in (("s3a://", "s3://"), ("abfss://", "abfs://")):
         url = arrow + url.removeprefix(hadoop) if url.startswith(hadoop) else url
-    return fs.FileSystem.from_uri(url) if ":/" in url else (fs.LocalFileSystem(), url)
+    if ":/" not in url:
+        raise ValueError(f"{url} has no scheme")
+    return fs.FileSystem.from_uri(url)
 
 
 class ShardWriter:
@@ -136,8 +138,11 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
     Documents are range-partitioned by id before they are encoded, so each task
     writes its own consecutive range. The manifest lists only files of
     successful tasks; files of lost attempts are not in it. An empty table gives
-    an empty manifest.
+    an empty manifest. ``folder`` is qualified on the driver; on a file system that
+    Arrow cannot write the tasks fail. Rows of one id, and those without one, stand in no
+    particular order among themselves, and all lie in one task's range.
     """
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

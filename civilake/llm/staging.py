@@ -20,11 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where that is unset, a session on one machine (``local[...]``, as in tests)
     gets a folder of its own; a cluster session raises ValueError, since no
-    folder of one machine would be seen by the others.
+    folder of one machine would be seen by the others. The path is qualified, so
+    that a name without a scheme means the same file system in every process.
     """
     found = spark.conf.get(SETTING, None)
     if found:
-        return found.rstrip("/")
+        return qualified(spark, found.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
     if not _LOCAL:
@@ -32,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and authority that Hadoop gives it on the driver: without a scheme, those of the default file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before; the innermost open ``scratch`` removes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
