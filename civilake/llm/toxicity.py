@@ -40,8 +40,8 @@ STRETCHED = re.compile(r"([^\W\d_])\1{3}")
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: A unit enters a lexicon at this log-likelihood ratio (one in a billion by chance), in that many documents.
 LEAST_LLR, LEAST_DOCUMENTS = 37.0, 8
-#: Most units of the lexicons.
-LEXICON_UNITS = 4000
+#: Size of the model: units that the lexicons may have (some 10 MB in each task). It is far beyond what passes the two bounds above in prose, and orders by them.
+LEXICON_UNITS = 100_000
 #: A mined word is a strong sign from this ratio.
 STRONG_LLR = 4 * LEAST_LLR
 #: Word beginnings of this length are units beside whole words.
@@ -105,10 +105,10 @@ def voted(masks: np.ndarray) -> np.ndarray:
     return (np.asarray(masks, np.int64)[:, None] >> np.arange(len(SIGNS)) & 1) * SIGNS
 
 
-def llr(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+def llr(a: Column, b: Column, n_a: float, n_b: float) -> Column:
     """Log-likelihood ratio of a unit in ``a`` of ``n_a`` toxic and ``b`` of ``n_b`` clean documents, against one common rate."""
 
-    def part(k: Column, n: int, p: Column) -> Column:
+    def part(k: Column, n: float, p: Column) -> Column:
         return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log1p(-p)).otherwise(0.0)
 
     p = (a + b) / (n_a + n_b)
@@ -116,11 +116,13 @@ def llr(a: Column, b: Column, n_a: int, n_b: int) -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``at, body`` of the labelled rows outside the held-out quarter, and ``at, h, toxic`` of those that teach.
+    """``at, body`` of the labelled rows outside the held-out quarter, and ``at, h, toxic, weight`` of those that teach.
 
-    Equal texts count once, and so do near copies: else whatever one copied text
-    holds would look like a sign of its class. Rows with a null label or null id
-    teach nothing; an id or text with several labels counts as the largest.
+    Equal texts count once. Texts of one class whose sketches are equal, as
+    those of near copies mostly are, weigh one together: else whatever one copied
+    text holds would look like a sign of its class. No distinct text is left out.
+    Rows with a null label or null id teach nothing; an id or text with several
+    labels counts as the largest.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = few(staged(known.where(~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").cast("long").alias("known_id"), "toxic"), "toxicity-known"))
@@ -135,19 +137,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     rows = found.mapInArrow(run, "body string, toxic int, sketch long").withColumns({"at": F.monotonically_increasing_id(), "h": F.xxhash64(F.coalesce("body", F.lit("")))})
     rows = staged(rows, "toxicity-labelled")
     once = rows.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("sketch").alias("sketch"), F.min("at").alias("at"))
-    once = once.groupBy("sketch", "toxic").agg(F.min(F.struct("h", "at")).alias("one"))
-    return rows.select("at", "body"), staged(once.select("one.at", "one.h", "toxic"), "toxicity-once")
+    alike = once.groupBy("sketch", "toxic").agg((1.0 / F.count("*")).alias("weight"))
+    return rows.select("at", "body"), staged(once.join(alike, ["sketch", "toxic"]).select("at", "h", "toxic", "weight"), "toxicity-once")
 
 
 def training_sample(rows: DataFrame, once: DataFrame, sizes: dict[int, int], toxic_rows: int, clean_rows: int) -> DataFrame:
-    """``body, toxic``: at most so many of the labelled texts of each class, by their hashes."""
+    """``body, toxic, weight``: at most so many of the labelled texts of each class, by their hashes."""
     parts = []
     for label, most in {1: toxic_rows, 0: clean_rows}.items():
         share = min(1.0, 1.2 * most / max(sizes.get(label, 0), 1))
         part = once.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy("h").limit(most)
-        parts.append(part.select("at", "toxic"))
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic_rows + clean_rows rows of 12 bytes
-    return rows.join(chosen, "at").select("body", "toxic")
+        parts.append(part.select("at", "toxic", "weight"))
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic_rows + clean_rows rows of 20 bytes
+    return rows.join(chosen, "at").select("body", "toxic", "weight")
 
 
 def sketch(text: str | None) -> int:
@@ -157,21 +159,21 @@ def sketch(text: str | None) -> int:
     return hashes[0] << 31 ^ hashes[-1]
 
 
-def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, bool]]:
-    """Units that tell toxic from clean documents (``body, toxic``) beyond chance, by their counts in all of them; unit to number, and whether it is a strong sign."""
+def mine_lexicon(texts: DataFrame, n_toxic: float, n_clean: float) -> dict[str, tuple[int, bool]]:
+    """Units that tell toxic from clean documents (``body, toxic, weight``) beyond chance, by their weights in all of them; unit to number, and whether it is a strong sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        def rows(counts: dict[str, list[float]]) -> pa.RecordBatch:
             return pa.record_batch(
-                [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())],
+                [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.float64()), pa.array([c[0] for c in counts.values()], pa.float64())],
                 names=["unit", "toxic", "clean"],
             )
 
-        counts: dict[str, list[int]] = {}
+        counts: dict[str, list[float]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for unit in units(text.as_py()):
-                    counts.setdefault(unit, [0, 0])[toxic == 1] += 1
+                    counts.setdefault(unit, [0.0, 0.0])[toxic == 1] += weight
                 if len(counts) >= 1 << 17:
                     yield rows(counts)
                     counts = {}
@@ -179,7 +181,8 @@ def mine_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tupl
 
     if not n_toxic or not n_clean:
         return {}
-    counts = texts.mapInArrow(run, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    total = lambda c: F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double")  # noqa: E731  the same in any order of tasks
+    counts = texts.mapInArrow(run, "unit string, toxic double, clean double").groupBy("unit").agg(total("toxic").alias("a"), total("clean").alias("b"))
     likely = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") * n_clean > 4 * F.col("b") * n_toxic))
     likely = likely.withColumn("llr", llr(F.col("a"), F.col("b"), n_toxic, n_clean)).where(F.col("llr") >= LEAST_LLR)
     best = likely.orderBy(F.desc("llr"), "unit").limit(LEXICON_UNITS).select("unit", "llr").collect()
@@ -198,12 +201,12 @@ class LabelModel:
     label, ``cliques`` what was joined.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray | None = None, labels: np.ndarray | None = None, rounds: int = 25):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray | None = None, labels: np.ndarray | None = None, weights: np.ndarray | None = None, rounds: int = 25):
         m = patterns.shape[1]
         known = np.zeros((0, m), int) if known is None else known
         labels = np.zeros(0) if labels is None else labels
         self.prior = float(np.clip(prior, 1e-4, 0.5))
-        everything, weight = np.vstack([patterns, known]), np.concatenate([counts, np.ones(len(known))])
+        everything, weight = np.vstack([patterns, known]), np.concatenate([counts, np.ones(len(known)) if weights is None else weights])
         self.cliques = [[j] for j in range(m)]
         post = np.where((patterns == 1).any(1), 0.7, 0.02)
         post = self._fitted(everything, weight, np.concatenate([post, labels]), len(patterns), rounds)
@@ -256,21 +259,22 @@ class LabelModel:
 
 
 class Linear:
-    """Logistic regression on the units of the lexicon (presence) and the votes, fitted to soft labels."""
+    """Logistic regression on the units of the lexicon (presence) and the votes, fitted to soft labels of rows that have weights."""
 
-    def __init__(self, at: list[list[int]], patterns: np.ndarray, soft: np.ndarray, n_units: int, reg: float = 1e-3, steps: int = 400):
+    def __init__(self, at: list[list[int]], patterns: np.ndarray, soft: np.ndarray, n_units: int, weights: np.ndarray | None = None, reg: float = 1e-3, steps: int = 400):
         self.n_units = n_units
         rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
         units_at = np.array([u for a in at for u in a], np.int64)
         w, v, b, vb = np.zeros(n_units), np.zeros(patterns.shape[1]), 0.0, 0.0
         n = len(at)
+        share = (np.ones(n) if weights is None else weights) / max(n if weights is None else weights.sum(), 1e-9)
         scale = 1.0 / max(1.0, float(np.sqrt(max((len(a) for a in at), default=1))))
         last = (w, v, b if n else NOTHING_LEARNT)
         for step in range(steps if n else 0):
             z = np.bincount(rows, w[units_at], n) if len(rows) else np.zeros(n)
-            error = 1 / (1 + np.exp(-np.clip(z + patterns @ v + b, -30, 30))) - soft
-            g_w = np.bincount(units_at, error[rows], n_units) / n + reg * w if len(rows) else reg * w
-            new = (w - 8 * scale * g_w, v - 1.0 * (patterns.T @ error / n + reg * v), b - 1.0 * error.mean())
+            error = share * (1 / (1 + np.exp(-np.clip(z + patterns @ v + b, -30, 30))) - soft)
+            g_w = np.bincount(units_at, error[rows], n_units) + reg * w if len(rows) else reg * w
+            new = (w - 8 * scale * g_w, v - 1.0 * (patterns.T @ error + reg * v), b - 1.0 * error.sum())
             push = step / (step + 3)
             w, v, b = (x + push * (x - y) for x, y in zip(new, last, strict=True))
             last = new
@@ -305,17 +309,20 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     intercept's.
     """
     rows, once = labelled_texts(docs, labels)
-    sizes = {row["toxic"]: row["n"] for row in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = mine_lexicon(rows.join(few(once.select("at", "toxic")), "at").select("body", "toxic"), sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1))
-    sample = training_sample(rows, once, sizes, toxic_rows, clean_rows).select(F.col("toxic").alias("tag"), "body")
+    counted = once.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.round("weight", 6).cast("decimal(28,6)")).cast("double").alias("weight")).collect()  # a row a label
+    sizes, mass = {row["toxic"]: row["n"] for row in counted}, {row["toxic"]: row["weight"] for row in counted}
+    lexicon = mine_lexicon(rows.join(few(once.select("at", "toxic", "weight")), "at").select("body", "toxic", "weight"), mass.get(1, 0), sum(n for label, n in mass.items() if label != 1))
+    # The tag holds the label and, of its weight, a millionth as unit.
+    sample = training_sample(rows, once, sizes, toxic_rows, clean_rows).select((F.round(F.col("weight") * 1_000_000).cast("long") * 2 + (F.col("toxic") == 1).cast("long")).alias("tag"), "body")
     seen = voted_rows(sample, lexicon).collect()  # bounded by the sample
     seen.sort(key=lambda row: (row["tag"], row["mask"], row["at"]))
+    weights, toxic = np.array([(row["tag"] >> 1) / 1_000_000 for row in seen]), np.array([float(row["tag"] & 1) for row in seen])
     voted_docs = staged(voted_rows(docs.select(F.col("doc_id").alias("tag"), F.col("text").alias("body")), lexicon), "toxicity-votes")
     rate = labels.where(~held_out(F.col("doc_id"), 4, 2)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     grouped = voted_docs.groupBy("mask").agg(F.count("*").alias("n")).collect()  # at most 2^18 rows whatever the input
     own = voted([row["mask"] for row in seen])
-    model = LabelModel(voted([row["mask"] for row in grouped]), np.array([row["n"] for row in grouped], float), rate or 0.05, own, np.array([float(row["tag"] == 1) for row in seen]))
-    return voted_docs, lexicon, model, Linear([row["at"] for row in seen], own, model.posterior(own), len(lexicon))
+    model = LabelModel(voted([row["mask"] for row in grouped]), np.array([row["n"] for row in grouped], float), rate or 0.05, own, toxic, weights)
+    return voted_docs, lexicon, model, Linear([row["at"] for row in seen], own, model.posterior(own), len(lexicon), weights)
 
 
 def score(voted_docs: DataFrame, linear: Linear, threshold: float = THRESHOLD) -> DataFrame:
