@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civilake.session import written
+
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) of ``size`` rows, with ``is_last_page`` from one row of look-ahead."""
@@ -86,3 +88,19 @@ def bounded(rows: DataFrame, when: str, start: Column | None = None, end: Column
     for column, value in (equal or {}).items():
         rows = rows if value is None else rows.where(F.col(column) == value)
     return rows
+
+
+def running_totals(rows: DataFrame, order: list[str], value: str, path: str, total: str = "running") -> DataFrame:
+    """``rows`` with the sum of ``value`` (a whole number or decimal) up to and with each row in the order of the columns ``order``, which should be total.
+
+    Rows are dealt into ranges of the order and written once under ``path``; the
+    ranges' sums, one row each, are added up and sent back, so no task sees more
+    than its range. A null value counts as nothing.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    held = written(ranged, path)
+    sums = held.groupBy("__range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sums.select("__range", before.alias("__before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return held.withColumn(total, inside).join(F.broadcast(starts), "__range").withColumn(total, F.col(total) + F.col("__before")).drop("__range", "__before")

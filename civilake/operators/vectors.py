@@ -99,9 +99,11 @@ class Cells:
 
 
 def build(rows: DataFrame, key: str, vector: str, path: str, cells: int | None = None) -> Cells:
-    """Write the inverted file of a table under ``path``, in about as many cells as the root of its rows, unless given."""
+    """Write the inverted file of a table under ``path``, in about as many cells as the root of its rows, unless given. It holds the vectors of the most frequent dimension."""
     found = usable(rows, key, vector)
-    cells = cells or max(1, int(found.count() ** 0.5))
+    sizes = found.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    found = found.where(F.size("vector") == (sizes["dim"] if sizes else 0))
+    cells = cells or max(1, int((sizes["n"] if sizes else 0) ** 0.5))
     centres = centres_of(found, cells)
     spark = rows.sparkSession
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
@@ -121,7 +123,7 @@ def opened(spark: SparkSession, path: str) -> Cells:
     rows = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres").orderBy("cell").collect()  # the centres
     members = spark.read.schema(MEMBER).option("basePath", f"{path}/members").parquet(f"{path}/members")
     radii = spark.read.schema("cell int, radius double").parquet(f"{path}/radii") if exists(spark, f"{path}/radii") else None
-    return Cells(path, members, radii, np.array([r["centre"] for r in rows]).reshape(len(rows), -1))
+    return Cells(path, members, radii, np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0)))
 
 
 def upsert(index: Cells, rows: DataFrame, key: str, vector: str, staging: str) -> Cells:

@@ -13,7 +13,7 @@ from civilake.plans.registry import Registry
 from civilake.plans.relational import bills
 from civilake.plans.scalars import choice, choice_sql, parts
 from civilake.session import table
-from civilake.sources import envelopes, html
+from civilake.sources import envelopes, html, mapped
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -21,11 +21,15 @@ query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
 BILL = "bill_id bigint, stage string, day string"
 
 
+#: Ids on one landed page, so that their number follows the table's size.
+PAGE_SIZE = 400
+
+
 def envelope_pages(spark: SparkSession, d: str, endpoint: str, rows: DataFrame) -> DataFrame:
-    """Answers of a paged endpoint over some bills, a hundred pages and one that says there is no more."""
+    """Answers of a paged endpoint over some bills, PAGE_SIZE ids a page, and one that says there is no more."""
     listed = F.collect_list(F.struct("bill_id", "stage", F.col("propose_date").cast("string").alias("day")))
     total = rows.agg(F.count("*").alias("total"))
-    pages = rows.groupBy(F.pmod(F.xxhash64("bill_id"), F.lit(100)).alias("page")).agg(listed.alias("row")).join(F.broadcast(total))  # one row
+    pages = rows.groupBy(F.expr(f"bill_id div {PAGE_SIZE}").alias("page")).agg(listed.alias("row")).join(F.broadcast(total))  # one row
     ok = '{"RESULT":{"CODE":"INFO-000","MESSAGE":"ok"}}'
     body = F.format_string(f'{{"{endpoint}":[{{"head":[{{"list_total_count":%d}},{ok}]}},{{"row":%s}}]}}', "total", F.to_json("row"))
     last = spark.range(1).select(F.lit('{"RESULT":{"CODE":"INFO-200","MESSAGE":"no data"}}').alias("body"))
@@ -38,11 +42,10 @@ def envelope_scan(spark, d):
     return envelopes.envelope_rows(envelope_pages(spark, d, "bills", bills(spark, d)), "bills", BILL)
 
 
-@query("SELECT (SELECT count(DISTINCT 1) FROM orders) = 1 AS landed, count(*) AS rows, count(*) AS total, true AS complete FROM orders")
+@query(f"SELECT count(DISTINCT o_orderkey // {PAGE_SIZE}) + 1 AS pages, count(*) AS rows, count(*) AS total, true AS complete FROM orders")
 def page_totals(spark, d):
-    """Whether as many rows have landed as the answers say there are."""
-    found = envelopes.page_totals(envelope_pages(spark, d, "bills", bills(spark, d)), "bills", BILL)
-    return found.select((F.col("pages") > 1).alias("landed"), "rows", "total", "complete")
+    """Pages landed, the one without rows too, and whether as many rows have landed as the answers say there are."""
+    return envelopes.page_totals(envelope_pages(spark, d, "bills", bills(spark, d)), "bills", BILL)
 
 
 @query("""
@@ -57,18 +60,67 @@ def named_endpoints(spark, d):
     return found
 
 
-@query("SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS BIGINT) AS party FROM supplier WHERE s_suppkey % 4 <> 0")
+@query("SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS party FROM customer WHERE (c_custkey // 50) % 4 <> 0")
 def xml_scan(spark, d):
-    """Items of XML answers, one or many a page, their tags as columns; answers of another code give none."""
-    rows = table(spark, d, "supplier")
-    item = F.concat(F.lit("<item><huboid>"), "s_suppkey", F.lit("</huboid><name>"), "s_name", F.lit("</name><party>"), "s_nationkey", F.lit("</party></item>"))
-    code = F.when(F.col("s_suppkey") % 4 == 0, "INFO-300").otherwise("INFO-000")
-    grouped = rows.select(item.alias("item"), code.alias("code"), (F.col("s_suppkey") % 20).alias("page")).groupBy("page", "code").agg(F.array_join(F.collect_list("item"), "").alias("items"))
-    pages = grouped.select(F.concat(F.lit("<response><header><resultCode>"), "code", F.lit("</resultCode></header><body><items>"), "items", F.lit("</items></body></response>")).alias("body"))
-    found = envelopes.xml_items(pages, "item", "huboid bigint, name string, party bigint", "response/header/resultCode")
+    """Items of XML answers, with and without attributes, their tags as columns; answers of another code give none."""
+    rows = table(spark, d, "customer")
+    item = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.format_string('<item no="%d" >', "c_custkey")).otherwise("<item>"), F.lit("<huboid>"), "c_custkey", F.lit("</huboid><name>"), "c_name", F.lit("</name><party>"), "c_nationkey", F.lit("</party></item>"))
+    page = F.expr("c_custkey div 50")
+    grouped = rows.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    code = F.when(F.col("page") % 4 == 0, "INFO-300").otherwise("INFO-000")
+    pages = grouped.select(F.concat(F.lit("<response><header><resultCode>"), code, F.lit("</resultCode></header><body><items>"), "items", F.lit("</items></body></response>")).alias("body"))
+    found = envelopes.xml_items(pages, "body.items.item", "huboid bigint, name string, party bigint", "response/header/resultCode")
     return found.select(F.col("huboid").alias("id"), "name", "party")
 
 
+def five_shapes(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of five endpoints, each with an envelope of its own, and the mappers that read them."""
+    def listed(name: str, id_col: str, text_col: str, size: int, extra: str = ""):
+        rows = table(spark, d, name).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("name"))
+        item = F.format_string('{"ID":%d,"info":{"NAME":"%s"}}', "id", "name")
+        xml = F.concat(F.lit("<item"), F.when(F.col("id") % 2 == 0, F.format_string(' seq="%d"', "id")).otherwise(""), F.format_string("><ID>%d</ID><info><NAME>%s</NAME></info></item>", "id", "name"))
+        pages = rows.groupBy(F.expr(f"id div {size}").alias("page")).agg(F.array_join(F.collect_list(item), ",").alias("json"), F.array_join(F.collect_list(xml), "").alias("xml"), F.count("*").alias("n"))
+        return pages.join(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+    def page(rows, endpoint, body):
+        return rows.select(F.lit(endpoint).alias("endpoint"), body.alias("body"))
+
+    one = F.when(F.col("n") == 1, F.col("json")).otherwise(F.concat(F.lit("["), "json", F.lit("]")))
+    pages = page(listed("orders", "o_orderkey", "o_orderpriority", 300), "bills", F.format_string('{"bills":[{"head":[{"list_total_count":%d},{"RESULT":{"CODE":"INFO-000"}}]},{"row":[%s]}]}', "total", "json"))
+    pages = pages.unionByName(page(listed("supplier", "s_suppkey", "s_name", 1), "members", F.format_string('{"response":{"header":{"resultCode":"00"},"body":{"items":{"item":%s},"totalCount":%d}}}', one, "total")))
+    pages = pages.unionByName(page(listed("customer", "c_custkey", "c_name", 90), "candidates", F.format_string('<response xmlns="urn:x"><header><resultCode>%s</resultCode></header><body><items>%s</items><totalCount>%d</totalCount></body></response>', F.when(F.col("page") % 5 == 4, "99").otherwise("00"), "xml", "total")))
+    pages = pages.unionByName(page(listed("part", "p_partkey", "p_name", 200), "reports", F.format_string('{"meta":{"count":%d},"data":[%s]}', "total", "json")))
+    pages = pages.unionByName(page(listed("nation", "n_nationkey", "n_name", 10), "notices", F.format_string('{"k%d":[{"head":[]},{"row":[%s]}],"z":1}', "page", "json")))
+    nothing = spark.createDataFrame([("bills", '{"RESULT":{"CODE":"INFO-200"}}'), ("bills", "not an answer"), ("unknown", "{}")], "endpoint string, body string")
+    fields = {"id": "$.ID", "name": "$.info.NAME"}
+    mappers = [
+        ("bills", "$.bills[1].row", "$.bills[0].head[0].list_total_count", "$.bills[0].head[1].RESULT.CODE", ["INFO-000"], [], False, False, None, fields),
+        ("members", "$.response.body.items.item", "$.response.body.totalCount", "$.response.header.resultCode", ["00"], ["03"], False, False, None, fields),
+        ("candidates", "$.body.items.item", "$.body.totalCount", "$.header.resultCode", ["00"], ["03"], True, False, None, fields),
+        ("reports", "$.data", "$.meta.count", None, [], [], False, False, None, {"id": "$.ID"}),
+        ("notices", None, None, None, [], [], False, True, "[1].row", fields),
+    ]
+    return pages.unionByName(nothing), spark.createDataFrame(mappers, mapped.MAPPER)
+
+
+@query("""
+SELECT 'bills' AS endpoint, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders UNION ALL SELECT 'members', CAST(s_suppkey AS VARCHAR), s_name FROM supplier
+UNION ALL SELECT 'candidates', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE (c_custkey // 90) % 5 <> 4 UNION ALL SELECT 'reports', CAST(p_partkey AS VARCHAR), NULL FROM part UNION ALL SELECT 'notices', CAST(n_nationkey AS VARCHAR), n_name FROM nation""")
+def mapped_answers(spark, d):
+    """Rows of five kinds of answers, JSON and XML, lists and single objects, read by five rows of a mapper table."""
+    return mapped.rows(*five_shapes(spark, d), ["id", "name"])
+
+
+@query("""
+WITH c AS (SELECT count(*) AS total, count(DISTINCT c_custkey // 90) AS pages, count(DISTINCT c_custkey // 90) FILTER ((c_custkey // 90) % 5 = 4) AS failed, count(*) FILTER ((c_custkey // 90) % 5 <> 4) AS rows FROM customer)
+SELECT 'bills' AS endpoint, count(DISTINCT o_orderkey // 300) + 2 AS pages, 2 AS failed, count(*) AS rows, count(*) AS total, true AS complete FROM orders
+UNION ALL SELECT 'members', count(*), 0, count(*), count(*), true FROM supplier UNION ALL SELECT 'candidates', pages, failed, rows, total, rows >= total FROM c
+UNION ALL SELECT 'reports', count(DISTINCT p_partkey // 200), 0, count(*), count(*), true FROM part UNION ALL SELECT 'notices', count(DISTINCT n_nationkey // 10), 0, count(*), 0, true FROM nation""")
+def mapped_totals(spark, d):
+    """Pages, failures and completeness of every endpoint, by the totals that its answers name."""
+    return mapped.totals(*five_shapes(spark, d))
+
+
 @query("SELECT event_id, CAST(props->>'$.k' AS VARCHAR) AS k, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM events")
 def json_walk(spark, d):
     """Values deep inside JSON by a path through objects and lists; a missing step gives null."""

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from civilake.functions import bills as bill_rules
 from civilake.functions import text
-from civilake.operators import joins, merge
+from civilake.operators import joins, merge, ordering
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills, members, parties, proposals
-from civilake.session import table
+from civilake.session import table, work_path
 from civilake.sources import envelopes
 
 REGISTRY = Registry()
@@ -138,20 +138,24 @@ def missing_proposers(spark, d):
     return own.join(rows.where("line = 1"), "bill_id", "left_anti").unionByName(own.join(rows.where("line > 1"), "bill_id", "left_anti")).distinct()
 
 
-def landed_pages(spark: SparkSession, d: str, size: int = 40) -> DataFrame:
-    """A paged answer, newest first: page ``p`` holds bills whose days lie in the p-th run of ``size`` days."""
-    rows = bills(spark, d).select("bill_id", F.col("propose_date").cast("string").alias("day"), "stage")
-    page = F.floor(F.datediff(F.lit("2001-12-31"), "day") / size)
-    return rows.groupBy(page.alias("page")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("day", "bill_id", "stage")))).alias("rows"))
+LIST_PAGE = 100
 
 
-@query("""
-WITH p AS (SELECT o_orderkey AS bill_id, CAST(o_orderdate AS DATE) AS day, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-12-31') // 40 AS page FROM orders)
-SELECT page, bill_id, CAST(day AS VARCHAR) AS day FROM p WHERE day BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' AND page <= (SELECT min(page) FROM (SELECT page, min(day) AS oldest FROM p GROUP BY 1) WHERE oldest < DATE '2001-01-01')""")
+def landed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A paged answer, newest first, LIST_PAGE bills a page and what is left on the last."""
+    rows = bills(spark, d).select("bill_id", F.col("propose_date").cast("string").alias("day"), "stage", (-F.unix_date("propose_date")).alias("age"), (-F.col("bill_id")).alias("tie"), F.lit(1).alias("one"))
+    placed = ordering.running_totals(rows, ["age", "tie"], "one", work_path(spark, "listed"), "place")
+    return placed.groupBy(F.expr(f"(place - 1) div {LIST_PAGE}").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "day", "bill_id", "stage"))), lambda x: F.struct(x["day"].alias("day"), x["bill_id"].alias("bill_id"), x["stage"].alias("stage"))).alias("rows"))
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey AS bill_id, CAST(o_orderdate AS DATE) AS day, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) - 1 AS place FROM orders),
+p AS (SELECT *, place // {LIST_PAGE} AS page FROM r), s AS (SELECT min(page) AS last FROM (SELECT page, min(day) AS oldest, count(*) AS n FROM p GROUP BY 1) WHERE oldest < DATE '2001-01-01' OR n < {LIST_PAGE})
+SELECT page, bill_id, CAST(day AS VARCHAR) AS day FROM p, s WHERE day BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' AND page <= coalesce(last, page)""")
 def incremental_scan(spark, d):
-    """Pages from the newest on, until one ends before the wanted range; rows outside the range are left out."""
+    """Pages from the newest on, until one ends before the wanted range or is short; rows outside the range are left out."""
     day = lambda row: F.to_date(row["day"])
-    found = envelopes.early_stop(landed_pages(spark, d), "page", "rows", day, F.lit("2001-01-01").cast("date"), F.lit("2001-06-30").cast("date"), 0)
+    found = envelopes.early_stop(landed_pages(spark, d), "page", "rows", day, F.lit("2001-01-01").cast("date"), F.lit("2001-06-30").cast("date"), LIST_PAGE)
     return found.select("page", "bill_id", "day")
 
 

@@ -9,7 +9,8 @@ from civilake.operators import joins, merge
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills, members, proposals
-from civilake.session import table
+from civilake.session import table, work_path
+from civilake.sinks import versions
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -239,3 +240,21 @@ def toggle_fold(spark, d):
     """Likes that are on after all toggles."""
     clicks = events(spark, d).where("event_type = 'click'").select("user_id", (F.floor("value") % 20).alias("target"), "event_id")
     return merge.toggled(clicks, ["user_id", "target"], "event_id")
+
+
+@query("""
+SELECT o_orderkey AS bill_id, o_orderstatus AS stage, CAST(count(l_linenumber) AS BIGINT) AS proposals, 2 AS version FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 1 GROUP BY 1, 2""")
+def published_together(spark, d):
+    """Bills and proposals of one version: the second version replaces the first as a whole, and a third that fails between its tables is never seen."""
+    root, rows, lines = work_path(spark, "published"), table(spark, d, "orders").select(F.col("o_orderkey").alias("bill_id"), F.col("o_orderstatus").alias("stage")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bill_id"), "l_linenumber")
+    versions.publish(spark, root, {"bills": rows.withColumn("stage", F.lit("?")), "proposals": lines})
+    versions.publish(spark, root, {"bills": rows, "proposals": lines.where("l_linenumber > 1")}, base=1)
+    broken = lines.withColumn("l_linenumber", F.when(F.col("bill_id") > 0, F.raise_error(F.lit("broken"))).cast("int"))
+    try:
+        versions.publish(spark, root, {"bills": rows.limit(0), "proposals": broken})
+    except Exception as e:
+        if "broken" not in str(e):
+            raise
+    now = versions.current(spark, root)
+    found = versions.read(spark, root, "proposals", now).groupBy("bill_id").agg(F.count("*").alias("proposals"))
+    return versions.read(spark, root, "bills", now).join(found, "bill_id").withColumn("version", F.lit(now))

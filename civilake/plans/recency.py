@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civilake.operators import aggregates, joins, ordering
 from civilake.plans.registry import Registry
-from civilake.session import table
+from civilake.session import table, work_path
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -85,10 +85,23 @@ def modal_confidence(spark, d):
 WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
 SELECT event_type, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, event_type) / sum(n) OVER (), 4) AS cumulative FROM c""")
 def cum_share(spark, d):
-    """Running percentage over the few kinds, largest first; the window sees one row a kind."""
-    counts = events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy(F.desc("n"), "event_type").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("event_type", "n", F.round(100.0 * running / F.sum("n").over(Window.partitionBy()), 4).alias("cumulative"))
+    """Running percentage over the kinds, largest first."""
+    counts = events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")).withColumn("last", -F.col("n"))
+    running = ordering.running_totals(counts, ["last", "event_type"], "n", work_path(spark, "shares"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return running.join(F.broadcast(total)).select("event_type", "n", F.round(100.0 * F.col("running") / F.col("total"), 4).alias("cumulative"))  # one row
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS file, o_orderdate AS made, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders),
+r AS (SELECT file, sum(bytes) OVER (ORDER BY made DESC, file DESC) AS running FROM s)
+SELECT file, CAST(running AS BIGINT) AS running, running <= (SELECT sum(bytes) // 3 FROM s) AS kept FROM r""")
+def dump_rotation(spark, d):
+    """Which dumps stay when the oldest go until the rest fit in a third of the room, with the running size from the newest on."""
+    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"), (-F.col("o_orderkey")).alias("tie"), F.floor("o_totalprice").cast("bigint").alias("bytes"))
+    room = files.agg(F.expr("sum(bytes) div 3").alias("room"))
+    running = ordering.running_totals(files, ["age", "tie"], "bytes", work_path(spark, "dumps"))
+    return running.join(F.broadcast(room)).select("file", "running", (F.col("running") <= F.col("room")).alias("kept"))  # one row
 
 
 @query("""

@@ -124,3 +124,10 @@ def jobs_to_poll(spark, d):
     """The ten oldest open jobs of every provider."""
     jobs = table(spark, d, "orders").where("o_orderstatus IN ('O', 'P')").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("provider"), F.col("o_orderdate").alias("created"))
     return ordering.top_per(jobs, ["provider"], [F.asc("created"), F.asc("job_id")], 10).drop("created")
+
+
+@query("SELECT DISTINCT l_partkey AS id, l_partkey % 13 AS page FROM lineitem")
+def resumed_stream(spark, d):
+    """Ids of list pages that overlap, each once, from a crawl that is stopped and goes on."""
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_partkey") % 13).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return landed_in_runs(rows, "place", "id bigint, page bigint, place bigint", "list", lambda s: state.first_seen(s.select("id", "page"), "id"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civilake.sources import mapped
+
 #: Codes of a successful answer, and of one that is empty on purpose.
 SUCCESS, NO_DATA = ("INFO-000", "00"), ("INFO-200", "03")
 
@@ -82,21 +84,26 @@ def lines_with_ids(lines: DataFrame, expected: DataFrame, ordinal: str, key: str
     return lines.join(wanted, ordinal, "left").withColumn(key, F.coalesce(key, "__key")).drop("__key")
 
 
-def xml_items(pages: DataFrame, item: str, row_schema: str, code_path: str | None = None, body: str = "body") -> DataFrame:
-    """One row per ``item`` element of XML answers, its child tags as columns; answers of another code give none."""
+def _items(body: Column, path: str) -> Column:
+    """The elements at a path below the root of an XML text, one or many, as an array of variants; attributes and name spaces make no difference."""
+    found = F.try_variant_get(mapped.value_of(body), f"$.{path}", "variant")
+    one = F.when(F.schema_of_variant(found).startswith("OBJECT"), F.array(found))
+    return F.coalesce(F.try_variant_get(found, "$", "array<variant>"), one)
+
+
+def xml_items(pages: DataFrame, path: str, row_schema: str, code_path: str | None = None, body: str = "body") -> DataFrame:
+    """One row per element at ``path`` (below the root) of XML answers, its child tags as columns; answers of another code give none."""
     good = F.lit(True)
     if code_path:
         good = F.coalesce(F.xpath_string(body, F.lit(code_path)).isin(*SUCCESS), F.lit(False))
-    items = F.regexp_extract_all(body, F.lit(rf"(?s)<{item}>.*?</{item}>"), F.lit(0))
-    each = pages.where(good).select(F.explode(items).alias("x"))
-    return each.select(F.from_xml("x", row_schema).alias("r")).select("r.*")
+    each = pages.where(good).select(F.explode(_items(F.col(body), path)).alias("x"))
+    return each.select(*(mapped.text_at(F.col("x"), F.lit(f"$.{name}")).try_cast(kind).alias(name) for name, kind in (part.split() for part in row_schema.split(","))))
 
 
-def alternative_edges(pages: DataFrame, parent: str, item: str = "exhaust", link: str = "billLink", key: str = "bill_id", body: str = "body") -> DataFrame:
-    """``parent, child`` of every item in the XML answers: the child is the id that the item's link names; items without one are left out."""
-    items = F.regexp_extract_all(body, F.lit(rf"(?s)<{item}>.*?</{item}>"), F.lit(0))
-    each = pages.select(F.col(parent).alias("parent"), F.explode(items).alias("x"))
-    child = F.nullif(F.regexp_extract("x", rf"<{link}>[^<]*?[?&;]{key}=([^&<#]*)", 1), F.lit(""))
+def alternative_edges(pages: DataFrame, parent: str, path: str = "items.exhaust", link: str = "billLink", key: str = "bill_id", body: str = "body") -> DataFrame:
+    """``parent, child`` of every element at ``path`` in the XML answers: the child is the id that its link names; elements without one are left out."""
+    each = pages.select(F.col(parent).alias("parent"), F.explode(_items(F.col(body), path)).alias("x"))
+    child = F.nullif(F.regexp_extract(mapped.text_at(F.col("x"), F.lit(f"$.{link}")), rf"[?&;]{key}=([^&<#]*)", 1), F.lit(""))
     return each.select("parent", child.alias("child")).where("child IS NOT NULL")
 
 

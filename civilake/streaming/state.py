@@ -166,6 +166,11 @@ def popularity(changes: DataFrame, weights: dict[str, int], n: int) -> DataFrame
     return score.where("score > 0").orderBy(F.desc("score"), "item").limit(n)
 
 
+def first_seen(stream: DataFrame, key: str) -> DataFrame:
+    """A stream's rows whose key no earlier row had, in this or any run before: the keys seen are the query's state, so a crawl that is stopped or begins again gives each id once."""
+    return stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+
+
 class Monitor(StatefulProcessor):
     """Figures over each service's last calls, and over its last slow ones."""
 

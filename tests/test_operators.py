@@ -97,9 +97,9 @@ def test_envelopes(spark, tmp_path):
     assert [tuple(r) for r in envelopes.envelope_rows(pages, "bills", "id string, n int").orderBy("id").collect()] == [("a", 1), ("b", None)]
     with pytest.raises(Exception, match="ERROR-300"):
         envelopes.envelope_rows(spark.createDataFrame([(bad,)], "body string"), "bills", "id string, n int").collect()
-    xml = "<r><code>00</code><items><item><id>1</id></item><item><id>2</id></item></items></r>"
+    xml = "<r xmlns:n='u'><code>00</code><items><item n:a='1'><id>1</id></item><item><id>2</id></item></items></r>"
     answers = spark.createDataFrame([(xml,), (xml.replace("00", "99"),)], "body string")
-    assert sorted(r.id for r in envelopes.xml_items(answers, "item", "id int", "r/code").collect()) == [1, 2]
+    assert sorted(r.id for r in envelopes.xml_items(answers, "items.item", "id int", "r/code").collect()) == [1, 2]
     (tmp_path / "x.jsonl").write_text('{"id": "a"}\nnot json\n\n')
     lines = {r.id: r.malformed for r in envelopes.result_lines(spark, str(tmp_path / "x.jsonl"), "id string").collect()}
     assert lines == {"a": None, None: "not json"}
