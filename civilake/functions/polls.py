@@ -24,8 +24,8 @@ QUESTION_KINDS = {
 }
 # Provinces that changed their names; every other is written as it is.
 RENAMED_PROVINCES = {"강원특별자치도": "강원도", "전북특별자치도": "전라북도"}
-# Column labels that sum up other columns.
-SUMMARY_LABELS = r"\(합\)|^합계$|^소계$|^계$|^T[12]$|^B[12]$|\(\d\+\d\)|\)\s*\+\s*\(|【.+】|[①②③④⑤⑥⑦⑧⑨⑩]\s*\+\s*[①②③④⑤⑥⑦⑧⑨⑩]"
+# Names of columns that sum up others.
+SUMMARY_NAMES = ("합계", "소계", "계", "T1", "T2", "B1", "B2")
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -149,12 +149,25 @@ def options_from_row(row: Column, start: int) -> Column:
     return F.filter(cells, lambda c: (c != "") & (F.lower(c) != "none"))
 
 
+def is_summary(label: Column) -> Column:
+    """Whether a column sums up others: by its name, the mark of a sum, corner brackets around it, or two marks of options (figures, circled figures, parentheses) that a plus joins."""
+    text = F.trim(label)
+    mark = r"[\d)(\u2460-\u2473]"
+    joined = collapsed(text).rlike(rf"{mark}\+{mark}")
+    bracketed = text.startswith("【") & text.endswith("】")
+    return F.coalesce(text.isin(*SUMMARY_NAMES) | text.contains("(합)") | bracketed | joined, F.lit(False))
+
+
+def paired(options: Column, values: Column) -> Column:
+    """(option, pct) pairs, as far as both go."""
+    pairs = F.arrays_zip(options.alias("option"), values.alias("pct"))
+    return F.transform(F.slice(pairs, F.lit(1), F.least(F.size(options), F.size(values))), lambda p: F.struct(p["option"].alias("option"), p["pct"].alias("pct")))
+
+
 def without_summaries(options: Column, values: Column) -> Column:
     """(option, pct) pairs without the summary columns; all of them, paired as far as they go, if the counts differ."""
-    pairs = F.arrays_zip(options.alias("option"), values.alias("pct"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["option"].alias("option"), p["pct"].alias("pct")))
-    kept = F.filter(pairs, lambda p: ~p["option"].rlike(SUMMARY_LABELS))
-    return F.when(F.size(options) == F.size(values), kept).otherwise(pairs)
+    pairs = paired(options, values)
+    return F.when(F.size(options) == F.size(values), F.filter(pairs, lambda p: ~is_summary(p["option"]))).otherwise(pairs)
 
 
 def question_errors(number: Column, title: Column, options: Column, values: Column, n: Column) -> Column:
