@@ -45,6 +45,11 @@ def rfc_2822(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
 
 
+def published(c: Column, now: Column) -> Column:
+    """The moment of a mail-style date, or ``now`` where there is none that can be read."""
+    return F.coalesce(rfc_2822(c), now)
+
+
 def survey_times(c: Column) -> Column:
     """All ``2024-01-02 9 시 0 분 ~ 18 시 0 분`` spans of a text, each on one line."""
     spans = F.regexp_extract_all(c, F.lit(r"\d{4}-\d{2}-\d{2}\s*\d+\s*시\s*\d+\s*분\s*~\s*\d+\s*시\s*\d+\s*분"), F.lit(0))

@@ -38,6 +38,12 @@ def party_name(c: Column) -> Column:
     return F.coalesce(_lookup({p: p for p in PARTIES}, collapsed(text)), text)
 
 
+def party_mentioned(title: Column, description: Column, keywords: dict[str, str]) -> Column:
+    """The party of the first keyword, in their order, that the title or the description holds; null if neither holds any."""
+    both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
+    return F.coalesce(*(F.when(both.contains(keyword), F.lit(party)) for keyword, party in keywords.items()))
+
+
 def is_undecided(c: Column) -> Column:
     """Whether an option stands for no choice."""
     return F.coalesce(collapsed(c).rlike("|".join(UNDECIDED_WORDS)), F.lit(False))

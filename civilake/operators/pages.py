@@ -181,3 +181,13 @@ def document_profiles(pages: DataFrame) -> DataFrame:
     joined = whole.join(main, "doc", "left").join(respondents, "doc", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select("doc", "pages", F.col("m.style").alias("style"), zero("m.questions").alias("questions"), zero("m.split_questions").alias("split_questions"), F.coalesce("m.in_order", F.lit(False)).alias("in_order"), ratios.alias("ratios"), F.coalesce("respondents", F.lit("")).alias("respondents"), "goes_on")
+
+
+def table_shapes(pages: DataFrame) -> DataFrame:
+    """``doc, with_tables, without_tables, rows, columns``: pages with and without a table, and the most frequent number of rows and of columns of a document's tables (of its widest row; of equals the smaller), 0 without tables."""
+    counted = pages.groupBy("doc").agg(F.count_if(F.coalesce(F.size("tables"), F.lit(0)) > 0).alias("with_tables"), F.count_if(~(F.coalesce(F.size("tables"), F.lit(0)) > 0)).alias("without_tables"))
+    each = pages.select("doc", F.explode("tables").alias("t")).where("size(t) > 0")
+    sizes = each.select("doc", F.inline(F.array(F.struct(F.lit("rows").alias("of"), F.size("t").alias("n")), F.struct(F.lit("columns").alias("of"), F.array_max(F.transform("t", lambda r: F.size(r))).alias("n")))))
+    often = sizes.groupBy("doc", "of", "n").agg(F.count("*").alias("times"))
+    modes = often.groupBy("doc").agg(*(F.min_by(F.when(F.col("of") == name, F.col("n")), F.when(F.col("of") == name, F.struct(-F.col("times"), "n"))).alias(name) for name in ("rows", "columns")))
+    return counted.join(modes, "doc", "left").select("doc", "with_tables", "without_tables", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"))

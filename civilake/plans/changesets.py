@@ -11,7 +11,8 @@ from civilake.operators import joins, merge, ordering
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills, members, parties, proposals
-from civilake.session import table
+from civilake.session import table, work_path
+from civilake.sinks import artifacts
 from civilake.sources import envelopes
 from civilake.streaming import changes
 
@@ -151,3 +152,51 @@ def bill_rows(spark, d):
         F.col("BILL_ID").alias("bill_id"), name.alias("bill_name"), text.last_number(F.col("age"), 22).alias("assembly_number"), dates.multi_date(F.col("PPSL_DT")).alias("propose_date"),
         bill_rules.proposer_kind(F.col("kind")).alias("proposer_kind"), text.brief_summary(F.lit(None).cast("string"), name, F.col("brief")).alias("brief_summary"),
     )
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS bill_id, o_orderstatus AS stage, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS committee, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CASE WHEN o_orderkey % 4 = 1 THEN 'passed' WHEN o_orderkey % 4 = 2 THEN 'rejected' END AS result FROM orders)
+SELECT CAST(bill_id AS VARCHAR) AS bill_id, stage, committee, day AS status_update_date, result AS bill_result FROM b""")
+def stage_rows(spark, d):
+    """Landed stages and results as rows to write: each field from the first of its spellings that has it, blank is null."""
+    key = F.col("bill_id")
+    given = lambda n, c: F.when(key % 3 == n, c)
+    day = F.col("propose_date").cast("string")
+    landed = bills(spark, d).select(
+        F.when(key % 2 == 0, key).alias("billId"), F.when(key % 2 == 1, F.concat(F.lit(" "), key)).alias("bill_id"), "stage", given(0, F.col("kind")).alias("committee"),
+        given(0, day).alias("statusUpdateDate"), given(1, day).alias("status_update_date"), given(2, day).alias("DT"), F.when(key % 4 == 1, "passed").otherwise("  ").alias("billProposeResult"), F.when(key % 4 == 2, "rejected").alias("bill_result"),
+    )
+    first = lambda *names: text.first_text(*map(F.col, names))
+    return landed.select(
+        first("billId", "bill_id").alias("bill_id"), first("stage").alias("stage"), first("committee").alias("committee"), first("statusUpdateDate", "status_update_date", "DT").alias("status_update_date"),
+        first("billProposeResult", "bill_result").alias("bill_result"),
+    )
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS member_id, s_name AS name, CASE WHEN s_suppkey % 4 <> 1 THEN n_name END AS party_name, CASE WHEN s_suppkey % 3 = 0 THEN 'https://example.org/' || s_suppkey || '.png' ELSE '/congressman/' || CASE WHEN s_suppkey % 2 = 0 THEN 21 ELSE 22 END || '/' || s_suppkey || '.jpg' END AS image
+FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 10 <> 7""")
+def member_rows(spark, d):
+    """Landed members as rows to write: those without an id are left out, one without a picture gets the address of its assembly's."""
+    key = F.col("member_id")
+    landed = members(spark, d).join(parties(spark, d).select("party_id", "party"), "party_id").select(
+        F.when(key % 10 == 7, " ").otherwise(key.cast("string")).alias("congressmanId"), F.concat(F.lit(" "), "member").alias("congressmanName"), F.when(key % 4 == 1, "").otherwise(F.col("party")).alias("partyName"),
+        F.when(key % 2 == 0, "21").otherwise("none").alias("assemblyNumber"), F.when(key % 3 == 0, F.concat(F.lit("https://example.org/"), key, F.lit(".png"))).alias("congressmanImage"),
+    )
+    told = text.mapped(landed, {"member_id": ("congressmanId", "text"), "name": ("congressmanName", "text"), "party_name": ("partyName", "text"), "given": ("congressmanImage", "text"), "number": ("assemblyNumber", "as is")})
+    path = F.concat(F.lit("/congressman/"), text.safe_int(F.col("number"), 22), F.lit("/"), F.col("member_id"), F.lit(".jpg"))
+    return told.where("member_id IS NOT NULL").select("member_id", "name", "party_name", F.coalesce("given", path).alias("image"))
+
+
+@query("""
+SELECT 'json' AS kind, o_orderkey AS bill_id, o_orderstatus AS stage, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority || ', "' || o_orderkey || '"' END AS note FROM orders
+UNION ALL SELECT 'csv', o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority || ', "' || o_orderkey || '"' END FROM orders""")
+def artifacts_read_back(spark, d):
+    """Artifacts in the test and the production mode read back; a dry run leaves none."""
+    folder = work_path(spark, "artifacts")
+    rows = bills(spark, d).select("bill_id", "stage", F.when(F.col("bill_id") % 5 > 0, F.concat("kind", F.lit(', "'), "bill_id", F.lit('"'))).alias("note"))
+    assert artifacts.write_artifact(rows, folder, "dry", "dry-run") is None
+    schema = "bill_id bigint, stage string, note string"
+    found = spark.read.schema(schema).json(artifacts.write_artifact(rows, folder, "bills", "test"))
+    other = spark.read.schema(schema).option("header", "true").option("escape", '"').csv(artifacts.write_artifact(rows, folder, "bills", "prod", "csv"))
+    return found.select(F.lit("json").alias("kind"), "*").unionByName(other.select(F.lit("csv").alias("kind"), "*"))

@@ -11,7 +11,7 @@ from civilake.operators import grids, joins
 from civilake.plans.recency import events
 from civilake.plans.registry import Registry
 from civilake.plans.relational import bills
-from civilake.plans.scalars import choice, choice_sql, parts
+from civilake.plans.scalars import choice, choice_sql, listed, parts
 from civilake.session import table
 from civilake.sources import envelopes, html, mapped
 
@@ -185,15 +185,19 @@ def answer_lines(spark, d):
     return envelopes.lines_with_ids(parsed, expected, "place", "bill_id").select("place", "bill_id", "malformed")
 
 
-@query("""
-SELECT event_id AS article, 'say "' || event_type || '" & more' AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published FROM events""")
+@query(r"""
+SELECT event_id AS article, 'say "' || event_type || '" & more' AS title, CASE WHEN event_id % 9 = 0 THEN '2024-02-01 00:00:00' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS published,
+       CASE WHEN event_type = 'click' THEN 'Clickers' WHEN contains(props, '7') THEN 'Sevens' WHEN event_type = 'view' THEN 'Viewers' END AS party FROM events""")
 def news_scan(spark, d):
-    """Articles of a news answer: bold tags and escapes taken out of titles, mail-style dates parsed."""
-    landed = events(spark, d).select(
-        F.col("event_id").alias("article"), F.concat(F.lit("say &quot;<b>"), "event_type", F.lit("</b>&quot; &amp; more")).alias("title"),
-        F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("pub_date"),
+    """Articles of a news answer: bold tags and escapes taken out of titles, mail-style dates parsed (one that cannot be read is the time of the run), and the first party that title or description names."""
+    date = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    landed = table(spark, d, "events").select(
+        F.col("event_id").alias("article"), F.concat(F.lit("say &quot;<b>"), "event_type", F.lit("</b>&quot; &amp; more")).alias("title"), "event_type", "props",
+        F.when(F.col("event_id") % 18 == 0, "yesterday").when(F.col("event_id") % 9 != 0, date).alias("pub_date"),
     )
-    return landed.select("article", html.plain(F.col("title"), 300).alias("title"), dates.rfc_2822(F.col("pub_date")).cast("string").alias("published"))
+    party = polls.party_mentioned(F.col("event_type"), F.col("props"), {"click": "Clickers", "7": "Sevens", "view": "Viewers"})
+    when = dates.published(F.col("pub_date"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return landed.select("article", html.plain(F.col("title"), 300).alias("title"), when.cast("string").alias("published"), party.alias("party"))
 
 
 @query("""
@@ -241,18 +245,16 @@ def detail_page(spark, d):
     )
 
 
-LISTS = ["a, b ,,c", "one", "", None, " x , "]
-LIST_OUT = ["a|b|c", "one", "", "", "x"]
-NUMBER_TEXTS = ["제22대", "대수 21 (22)", "없음", "20대 국회 3차"]
-LAST = [22, 22, 22, 3]
-
-
-@query(f"""
-SELECT p_partkey AS id, {choice_sql("p_partkey", LIST_OUT)} AS items, CAST({choice_sql("p_partkey", [str(x) for x in LAST])} AS INTEGER) AS units FROM part""")
+@query(r"""
+WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || ', ' || p_brand || ' ,,' || p_type WHEN 1 THEN ' , ' WHEN 2 THEN p_name END AS list, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '제' || p_size || '대 (' || p_partkey || ') ' || p_name END AS numbers FROM part)
+SELECT id, coalesce(array_to_string(list_filter(list_transform(string_split(list, ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS items, CAST(coalesce(regexp_extract_all(numbers, '[0-9]+')[-1], '22') AS INTEGER) AS units FROM t""")
 def text_lists(spark, d):
     """Comma-separated texts as lists, and the last number of a text with its default."""
     key = F.col("id")
-    return parts(spark, d).select("id", F.array_join(text.text_list(choice(key, LISTS)), "|").alias("items"), text.last_number(choice(key, NUMBER_TEXTS), 22).alias("units"))
+    rows = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+    items = F.when(key % 4 == 0, F.concat("p_name", F.lit(", "), "p_brand", F.lit(" ,,"), "p_type")).when(key % 4 == 1, " , ").when(key % 4 == 2, F.col("p_name"))
+    numbers = F.when(key % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("제"), "p_size", F.lit("대 ("), key, F.lit(") "), "p_name"))
+    return rows.select("id", F.array_join(text.text_list(items), "|").alias("items"), text.last_number(numbers, 22).alias("units"))
 
 
 SUMMARIES = ["제안이유\n\n첫 줄이다\n둘째", "제안이유 및 주요내용", "  ", None]
@@ -270,45 +272,41 @@ def brief_summaries(spark, d):
     return rows.select("id", brief.alias("brief"), first.alias("first"))
 
 
-RAW_NAMES = ["도로법(대안)", "세법 개정안(김철수의원 등 10인)", "예산안"]
-STRIPPED = ["도로법", "세법 개정안(김철수의원 등 10인)", "예산안"]
-
-
-@query(f"SELECT p_partkey AS id, {choice_sql('p_partkey', STRIPPED)} AS name FROM part")
+@query(r"""
+WITH r AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN '(대안)' WHEN 1 THEN '(' || p_brand || ' 등 ' || p_size || '인)' ELSE '' END AS raw FROM part)
+SELECT id, regexp_replace(raw, '\(대안\)$', '') AS name FROM r""")
 def alternative_names(spark, d):
     """Chairmen's bills without the mark of an alternative; other parentheses stay."""
-    return parts(spark, d).select("id", bill_rules.without_alternative(choice(F.col("id"), RAW_NAMES)).alias("name"))
-
-
-PROVINCES = ["서울특별시", "강원특별자치도", "전북특별자치도", "전국", ""]
-LABELS = ["서울특별시 전체", "강원도 전체", "전라북도 전체", "전국", ""]
-CANDIDATES = ["김 동 연", "홍 길동", None]
-PLAIN = ["김동연", "홍길동", ""]
+    key = F.col("id")
+    mark = F.when(key % 3 == 0, "(대안)").when(key % 3 == 1, F.concat(F.lit("("), "p_brand", F.lit(" 등 "), "p_size", F.lit("인)"))).otherwise("")
+    return parts(spark, d).select("id", bill_rules.without_alternative(F.concat("p_name", mark)).alias("name"))
 
 
 @query(f"""
-SELECT p_partkey AS id, {choice_sql("p_partkey", LABELS)} AS region, {choice_sql("p_partkey", PLAIN)} AS candidate, CASE p_partkey % 3 WHEN 0 THEN 'Seoul' WHEN 1 THEN 'Busan' ELSE 'elsewhere' END AS label,
-       CASE p_size % 12 WHEN 1 THEN '대통령선거' WHEN 3 THEN '광역단체장선거' WHEN 11 THEN '교육감선거' WHEN 0 THEN '' ELSE 'other' END AS election FROM part""")
+WITH t AS (SELECT p_partkey AS id, p_size, CASE p_partkey % 5 WHEN 0 THEN '강원특별자치도' WHEN 1 THEN '전북특별자치도' WHEN 2 THEN '전국' WHEN 3 THEN '' ELSE p_name END AS province, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS who, ' ' || p_brand AS name FROM part)
+SELECT id, CASE province WHEN '강원특별자치도' THEN '강원도 전체' WHEN '전북특별자치도' THEN '전라북도 전체' WHEN '전국' THEN '전국' WHEN '' THEN '' ELSE province || ' 전체' END AS region,
+       CASE who WHEN 'red ring' THEN 'Red' ELSE coalesce(replace(who, ' ', ''), '') END AS candidate, CASE WHEN p_size = 11 THEN 'Seoul' WHEN trim(name) = 'Brand#2' THEN 'Busan' ELSE trim(name) END AS label,
+       CASE WHEN p_size % 13 BETWEEN 1 AND 11 THEN {listed(polls.ELECTION_TYPES.values())}[p_size % 13] ELSE '' END AS election FROM t""")
 def poll_labels(spark, d):
     """Regions by province, code or name, candidates by alias, elections by type."""
-    key = F.col("id")
-    label = polls.label_of(F.when(key % 3 == 0, " 11 "), F.when(key % 3 == 1, "부산").otherwise(" elsewhere"), {"11": "Seoul"}, {"부산": "Busan"})
-    election = polls.election_type_name(F.col("p_size") % 12)
-    shown = F.when(election.isin("대통령선거", "광역단체장선거", "교육감선거", ""), election).otherwise("other")
-    return parts(spark, d).select("id", polls.region_label(choice(key, PROVINCES)).alias("region"), polls.candidate_name(choice(key, CANDIDATES), {"김 동 연": "김동연"}).alias("candidate"), label.alias("label"), shown.alias("election"))
-
-
-FILE_NAMES = ["a/b:c.pdf", "  x   y.pdf ", "", "plain.pdf"]
-SAFE = ["a_b_c.pdf", "x y.pdf", "default.pdf", "plain.pdf"]
-CALLS = ["view('F1', '2', 'B3', 'K4')", "go('x')", None]
-URLS = ["https://example.org/portal/cmm/fms/FileDown.do?atchFileId=F1&fileSn=2&bbsId=B3&bbsKey=K4", "", ""]
+    key, name = F.col("id"), F.col("p_name")
+    province = F.when(key % 5 == 0, "강원특별자치도").when(key % 5 == 1, "전북특별자치도").when(key % 5 == 2, "전국").when(key % 5 == 3, "").otherwise(name)
+    label = polls.label_of(F.concat(F.lit(" "), F.col("p_size"), F.lit(" ")), F.concat(F.lit(" "), "p_brand"), {"11": "Seoul"}, {"Brand#2": "Busan"})
+    candidate = polls.candidate_name(F.when(key % 4 > 0, name), {"red ring": "Red"})
+    return parts(spark, d).select("id", polls.region_label(province).alias("region"), candidate.alias("candidate"), label.alias("label"), polls.election_type_name(F.col("p_size") % 13).alias("election"))
 
 
-@query(f"SELECT p_partkey AS id, {choice_sql('p_partkey', SAFE)} AS file, {choice_sql('p_partkey', URLS)} AS url FROM part")
+@query(r"""
+WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '   ' WHEN 1 THEN p_name || '/' || p_brand || ':' || p_partkey || '?.pdf' WHEN 2 THEN '  ' || p_name || '   ' || p_type || '.pdf ' ELSE p_brand || '.pdf' END AS file FROM part)
+SELECT id, CASE WHEN trim(file) = '' THEN 'default.pdf' ELSE trim(regexp_replace(regexp_replace(file, '[\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')) END AS file,
+       CASE WHEN id % 3 = 0 THEN 'https://example.org/portal/cmm/fms/FileDown.do?atchFileId=F' || id || '&fileSn=' || id % 7 || '&bbsId=B' || id % 5 || '&bbsKey=' || id * 3 ELSE '' END AS url FROM t""")
 def file_names(spark, d):
     """Names safe for file systems, and download addresses behind script calls."""
     key = F.col("id")
-    return parts(spark, d).select("id", text.safe_filename(choice(key, FILE_NAMES), "default.pdf").alias("file"), text.download_url(choice(key, CALLS), "https://example.org").alias("url"))
+    rows = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+    name = F.when(key % 4 == 0, "   ").when(key % 4 == 1, F.concat("p_name", F.lit("/"), "p_brand", F.lit(":"), key, F.lit("?.pdf"))).when(key % 4 == 2, F.concat(F.lit("  "), "p_name", F.lit("   "), "p_type", F.lit(".pdf "))).otherwise(F.concat("p_brand", F.lit(".pdf")))
+    call = F.when(key % 3 == 0, F.format_string("view('F%d', '%d', 'B%d', '%d')", key, key % 7, key % 5, key * 3)).when(key % 3 == 1, F.format_string("go('%d')", key))
+    return rows.select("id", text.safe_filename(name, "default.pdf").alias("file"), text.download_url(call, "https://example.org").alias("url"))
 
 
 @query(r"""
@@ -397,16 +395,15 @@ def unmerged_cells(spark, d):
     return grids.unmerged_words(cells, words, "grid", "row", "column", "x0", "x1", "w0", "w1", "word")
 
 
-GRIDS = ["cell", "bunched", "auto"]
-
-
 @query("""
-SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 THEN '46.3,13.9' ELSE '52.4,30.0' END AS shares, CASE WHEN p_partkey % 3 = 1 THEN 'bunched' ELSE 'cell' END AS mode FROM part""")
+WITH t AS (SELECT p_partkey AS id, CAST(p_partkey % 100 + 0.5 AS DOUBLE) AS a, CAST(p_size AS DOUBLE) AS b, p_partkey % 3 AS mode, (p_partkey // 3) % 2 = 0 AS one FROM part)
+SELECT id, CASE WHEN one AND mode = 0 THEN '' WHEN NOT one AND mode = 1 THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || ',' || CAST(b AS VARCHAR) END AS shares, CASE WHEN mode = 0 THEN 'cell' WHEN mode = 1 OR one THEN 'bunched' ELSE 'cell' END AS mode FROM t""")
 def crosstab_modes(spark, d):
     """Shares of a total row by a parser's mode: a cell each, bunched in one cell, or whichever the row shows."""
-    mode = choice(F.col("id"), GRIDS)
-    bunched = F.array(*(F.lit(c) for c in ("전체", "(1007)", "46.3 13.9")))
-    single = F.array(*(F.lit(c) for c in ("전체", "(1007)", "52.4", "30.0")))
-    row = F.when(mode == "bunched", bunched).otherwise(single)
+    key = F.col("id")
+    mode = F.when(key % 3 == 0, "cell").when(key % 3 == 1, "bunched").otherwise("auto")
+    a, b = F.concat(key % 100, F.lit(".5")), F.col("p_size").cast("string")
+    begin = (F.lit("전체"), F.format_string("(%d)", 1000 + key))
+    row = F.when(F.expr("id div 3") % 2 == 0, F.array(*begin, F.concat_ws(" ", a, b))).otherwise(F.array(*begin, a, b))
     shares, used = polls.shares_of(row, 2, mode)
     return parts(spark, d).select("id", F.array_join(F.transform(shares, lambda x: x.cast("string")), ",").alias("shares"), used.alias("mode"))

@@ -122,3 +122,19 @@ def word_layout(spark, d):
     first = F.array(*(word(F.lit(t), F.lit(px), y, 12) for t, px, y in (("전", 10.0, 50.5), ("체", 30.0, 49.5), ("남성", 10.0, 61.0), ("그리고", 30.0, 61.0), ("여성", 12.0, 72.0))))
     words = rows.select("page", F.inline(every)).unionByName(rows.select("page").distinct().select("page", F.inline(first)))
     return pages.word_tables(words)
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+q AS (SELECT doc, doc % 6 AS kind, n FROM o JOIN l USING (k)),
+t AS (SELECT doc, kind, 3 AS r, 3 + least(n, 4) + 1 AS c FROM q WHERE kind = 0 UNION ALL SELECT doc, kind, 3, greatest(3 + greatest(n - 4, 0), 5) FROM q WHERE kind IN (0, 3)
+  UNION ALL SELECT doc, kind, 3, greatest(3 + least(n, 4), 5) FROM q WHERE kind = 3
+  UNION ALL SELECT doc, kind, 2, greatest(3 + n, 4) FROM q WHERE kind = 1 UNION ALL SELECT doc, kind, 2, greatest(3 + n, 4) FROM q WHERE kind = 1
+  UNION ALL SELECT doc, kind, 1, 2 FROM q WHERE kind = 2 UNION ALL SELECT doc, kind, 2, greatest(3 + n, 4) FROM q WHERE kind = 2 UNION ALL SELECT doc, kind, 3, 2 + n + 1 FROM q WHERE kind = 4 UNION ALL SELECT doc, kind, 3, greatest(4 + n, 4) FROM q WHERE kind = 5),
+m AS (SELECT doc, r, count(*) AS times FROM t GROUP BY 1, 2), mc AS (SELECT doc, c, count(*) AS times FROM t GROUP BY 1, 2),
+p AS (SELECT doc, kind, count(*) AS q FROM q GROUP BY 1, 2)
+SELECT doc, CASE kind WHEN 0 THEN 2 * q WHEN 1 THEN 2 * q WHEN 3 THEN 2 * q ELSE q END AS with_tables, CASE kind WHEN 3 THEN q ELSE 0 END AS without_tables,
+       (SELECT arg_min(r, (-times, r)) FROM m WHERE m.doc = p.doc) AS rows, (SELECT arg_min(c, (-times, c)) FROM mc WHERE mc.doc = p.doc) AS columns FROM p""")
+def table_shapes(spark, d):
+    """How large the tables of every report mostly are."""
+    return pages.table_shapes(report_pages(spark, d))

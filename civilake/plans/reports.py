@@ -225,22 +225,20 @@ def committee_detail(spark, d):
     return found.select("committee", F.size("m").cast("bigint").alias("n_members"), F.array_join(F.transform("m", lambda x: x["member"]), ",").alias("members"), chair.alias("chair"))
 
 
-FILES = ["여론조사꽃_a.pdf", "known.pdf", "뉴스1 조사.pdf", "x.pdf", None]
-
-
 @query("""
-SELECT c_custkey AS survey, CASE WHEN c_custkey % 3 = 0 THEN 'given' ELSE CASE c_custkey % 5 WHEN 0 THEN '여론조사꽃' WHEN 1 THEN 'fixture one' WHEN 2 THEN '(주)한국리서치' END END AS pollster,
-       CASE WHEN c_custkey % 3 = 0 THEN 'already_classified' ELSE CASE c_custkey % 5 WHEN 0 THEN 'filename_hint' WHEN 1 THEN 'fixture' WHEN 2 THEN 'filename_hint' ELSE 'unresolved' END END AS how FROM customer""")
+WITH r AS (SELECT c_custkey AS survey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN '미분류' ELSE ' ' END AS given, CASE c_custkey % 4 WHEN 0 THEN '여론조사꽃_' || c_name || '.pdf' WHEN 1 THEN c_name || '.pdf' WHEN 2 THEN '뉴스1 ' || c_name END AS file FROM customer),
+f AS (SELECT c_name || '.pdf' AS file, 'pollster of ' || c_name AS fixture FROM customer WHERE c_nationkey < 10),
+h AS (SELECT survey, nullif(nullif(trim(given), ''), '미분류') AS given, fixture, CASE WHEN contains(r.file, '여론조사꽃') THEN '여론조사꽃' WHEN contains(r.file, '뉴스1') THEN '(주)한국리서치' END AS hint FROM r LEFT JOIN f USING (file))
+SELECT survey, coalesce(given, fixture, hint) AS pollster, CASE WHEN given IS NOT NULL THEN 'already_classified' WHEN fixture IS NOT NULL THEN 'fixture' WHEN hint IS NOT NULL THEN 'filename_hint' ELSE 'unresolved' END AS how FROM h""")
 def pollster_hints(spark, d):
     """A survey's pollster: given, else by its file in a map, else by a pattern in the file's name, else unresolved."""
-    key, name = F.col("c_custkey"), F.lit(None).cast("string")
-    for at, value in enumerate(FILES):
-        name = F.when(key % len(FILES) == at, F.lit(value)).otherwise(name)
-    rows = table(spark, d, "customer").select(key.alias("survey"), F.when(key % 3 == 0, "given").when(key % 3 == 1, "미분류").otherwise(" ").alias("given"), name.alias("file"))
-    fixtures = spark.createDataFrame([("known.pdf", "fixture one")], "file string, fixture string")
+    people, key, name = table(spark, d, "customer"), F.col("c_custkey"), F.col("c_name")
+    file = F.when(key % 4 == 0, F.concat(F.lit("여론조사꽃_"), name, F.lit(".pdf"))).when(key % 4 == 1, F.concat(name, F.lit(".pdf"))).when(key % 4 == 2, F.concat(F.lit("뉴스1 "), name))
+    rows = people.select(key.alias("survey"), F.when(key % 3 == 0, F.col("c_mktsegment")).when(key % 3 == 1, "미분류").otherwise(" ").alias("given"), file.alias("file"))
+    fixtures = people.where("c_nationkey < 10").select(F.concat(name, F.lit(".pdf")).alias("file"), F.concat(F.lit("pollster of "), name).alias("fixture"))
     found = rows.join(fixtures, "file", "left")
     given = F.nullif(text.optional_text(F.col("given")), F.lit("미분류"))
-    hint = F.when(F.col("file").rlike("여론조사꽃"), "여론조사꽃").when(F.col("file").rlike("뉴스1"), "(주)한국리서치")
+    hint = F.when(F.col("file").contains("여론조사꽃"), "여론조사꽃").when(F.col("file").contains("뉴스1"), "(주)한국리서치")
     how = F.when(given.isNotNull(), "already_classified").when(F.col("fixture").isNotNull(), "fixture").when(hint.isNotNull(), "filename_hint").otherwise("unresolved")
     return found.select("survey", F.coalesce(given, F.col("fixture"), hint).alias("pollster"), how.alias("how"))
 

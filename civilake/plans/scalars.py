@@ -44,15 +44,14 @@ def text_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(line).cast("bigint").alias("n"), text.shortened(F.col("text")).alias("brief"))
 
 
-NUMBERS = ["1,234", "77.0", "n/a", "", None, " 42 "]
-
-
-@query(f"""
-WITH t AS (SELECT p_partkey AS id, {choice_sql("p_partkey", NUMBERS)} AS raw FROM part)
+@query(r"""
+WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN format('{:,}', p_partkey * 1234) WHEN 1 THEN p_size || '.0' WHEN 2 THEN p_name WHEN 3 THEN ' ' || p_size || ' ' END AS raw FROM part)
 SELECT id, CAST(coalesce(TRY_CAST(CASE WHEN regexp_full_match(replace(trim(raw), ',', ''), '-?[0-9]+') THEN replace(trim(raw), ',', '') END AS BIGINT), 0) AS BIGINT) AS n,
-       nullif(regexp_replace(trim(raw), '\\.0$', ''), '') AS number FROM t""")
+       nullif(regexp_replace(trim(raw), '\.0$', ''), '') AS number FROM t""")
 def safe_int_cast(spark, d):
-    raw = choice(F.col("id"), NUMBERS)
+    """Numbers with thousands commas, bill numbers with a trailing .0, texts that are none."""
+    key, size = F.col("id"), F.col("p_size")
+    raw = F.when(key % 5 == 0, F.format_number(key * 1234, 0)).when(key % 5 == 1, F.concat(size, F.lit(".0"))).when(key % 5 == 2, F.col("p_name")).when(key % 5 == 3, F.concat(F.lit(" "), size, F.lit(" ")))
     return parts(spark, d).select("id", text.safe_int(raw).alias("n"), text.bill_number(raw).alias("number"))
 
 
@@ -87,44 +86,66 @@ def ingest_status(spark, d):
     return bills(spark, d).select("bill_id", bill_rules.ingest_status(*fields).alias("status"))
 
 
-NAMES = ["더불어 민주당", " 국민의 힘", "새 정당", None, "진보당"]
-CANONICAL = ["더불어민주당", "국민의힘", "새 정당", "", "진보당"]
+def listed(values) -> str:
+    """A list of texts for an oracle."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query(f"SELECT p_partkey AS id, {choice_sql('p_partkey', CANONICAL)} AS party FROM part")
-def party_canonical(spark, d):
-    return parts(spark, d).select("id", polls.party_name(choice(F.col("id"), NAMES)).alias("party"))
+def one_of(values, at: Column) -> Column:
+    """One of a list of texts by a number from 0."""
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
 
-TITLES = ["귀하의 지지 정당은", "후보 적합도 조사", "가상 대결 A 대 B", "직무 평가", None]
-KINDS = ["PARTY_SUPPORT", "CANDIDATE_FIT", "MATCHUP", "OTHER", "OTHER"]
+@query(f"""
+WITH n AS (SELECT p_partkey AS id, p_name, {listed(polls.PARTIES)}[1 + p_partkey % {len(polls.PARTIES)}] AS party FROM part),
+r AS (SELECT id, CASE id % 3 WHEN 0 THEN substring(party, 1, 2) || ' ' || substring(party, 3) WHEN 1 THEN ' ' || p_name || ' ' ELSE '  ' || party || ' ' END AS raw FROM n)
+SELECT id, CASE WHEN list_contains({listed(polls.PARTIES)}, replace(raw, ' ', '')) THEN replace(raw, ' ', '') ELSE trim(raw) END AS party FROM r""")
+def party_canonical(spark, d):
+    """Parties whatever the spaces in their names; other names as they are, trimmed."""
+    key, party = F.col("id"), one_of(polls.PARTIES, F.col("id") % len(polls.PARTIES))
+    split = F.concat(F.substring(party, 1, 2), F.lit(" "), F.substring(party, 3, 100))
+    raw = F.when(key % 3 == 0, split).when(key % 3 == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise(F.concat(F.lit("  "), party, F.lit(" ")))
+    return parts(spark, d).select("id", polls.party_name(raw).alias("party"))
 
 
-@query(f"SELECT p_partkey AS id, {choice_sql('p_partkey', KINDS)} AS kind FROM part")
-def question_classify(spark, d):
-    return parts(spark, d).select("id", polls.question_kind(choice(F.col("id"), TITLES)).alias("kind"))
+QUESTIONS = ["정당 지지도", "지지 정당", "후보 적합도", "후보지지도", "누가 가장 적합", "가상 대결", "양자대결", "누구에게 투표", "맞붙는다 면", "직무 평가", "정책"]
 
 
-ENTRIES = ["전국 대통령선거", "서울특별시 전체 시장선거", "경기도 수원시 시장선거", "부산광역시 교육감선거", "무제"]
-REGIONS = ["전국", "서울특별시 전체", "경기도 수원시", "부산광역시", ""]
-ELECTIONS = ["대통령선거", "시장선거", "시장선거", "교육감선거", "무제"]
+@query(f"""
+WITH t AS (SELECT p_partkey AS id, replace(p_name || {listed(QUESTIONS)}[1 + p_partkey % 11] || CASE WHEN p_size % 2 = 0 THEN p_brand || {listed(QUESTIONS)}[1 + p_size % 11] ELSE '' END, ' ', '') AS t FROM part)
+SELECT id, CASE WHEN regexp_matches(t, '정당지지도|지지정당') THEN 'PARTY_SUPPORT' WHEN regexp_matches(t, '후보적합도|후보지지도|누가가장적합') THEN 'CANDIDATE_FIT' WHEN regexp_matches(t, '가상대결|양자대결|누구에게투표|맞붙는다면') THEN 'MATCHUP' ELSE 'OTHER' END AS kind FROM t""")
+def question_classify(spark, d):
+    """The first kind whose words a title holds; some titles hold the words of two kinds."""
+    more = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_brand"), F.lit(" "), one_of(QUESTIONS, F.col("p_size") % 11))).otherwise("")
+    title = F.concat_ws(" ", "p_name", one_of(QUESTIONS, F.col("id") % 11), more)
+    return parts(spark, d).select("id", polls.question_kind(title).alias("kind"))
 
 
-@query(f"SELECT p_partkey AS id, {choice_sql('p_partkey', REGIONS)} AS region, {choice_sql('p_partkey', ELECTIONS)} AS election FROM part")
+@query(r"""
+WITH e AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '전국 ' || p_name WHEN 1 THEN p_brand || ' 전체  ' || p_name WHEN 2 THEN p_brand || ' ' || p_size || '시 ' || p_name WHEN 3 THEN p_brand || ' ' || p_size || '동' WHEN 4 THEN replace(p_name, ' ', '-') ELSE p_brand || '  ' || p_name END AS raw FROM part),
+t AS (SELECT id, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t FROM e), s AS (SELECT id, t, string_split(t, ' ') AS p, instr(t, ' 전체') AS whole, regexp_matches(coalesce(string_split(t, ' ')[2], ''), '[시군구읍면동리]$') AS suffix FROM t)
+SELECT id, CASE WHEN p[1] = '전국' THEN p[1] WHEN whole > 0 THEN substring(t, 1, whole + 2) WHEN suffix THEN p[1] || ' ' || p[2] WHEN len(p) >= 2 THEN p[1] ELSE '' END AS region,
+       CASE WHEN p[1] = '전국' THEN array_to_string(p[2:], ' ') WHEN whole > 0 THEN trim(substring(t, whole + 3)) WHEN suffix THEN array_to_string(p[3:], ' ') WHEN len(p) >= 2 THEN array_to_string(p[2:], ' ') ELSE t END AS election FROM s""")
 def title_region_split(spark, d):
-    region, election = polls.title_region(choice(F.col("id"), ENTRIES))
+    """Region and election of list entries: nationwide, of a whole province, of a town, of one word."""
+    key, brand, size, name = F.col("id"), F.col("p_brand"), F.col("p_size"), F.col("p_name")
+    town = lambda mark, *rest: F.concat(brand, F.lit(" "), size, F.lit(mark), *rest)
+    entry = F.when(key % 6 == 0, F.concat(F.lit("전국 "), name)).when(key % 6 == 1, F.concat(brand, F.lit(" 전체  "), name)).when(key % 6 == 2, town("시 ", name)).when(key % 6 == 3, town("동"))
+    region, election = polls.title_region(entry.when(key % 6 == 4, F.replace(name, F.lit(" "), F.lit("-"))).otherwise(F.concat(brand, F.lit("  "), name)))
     return parts(spark, d).select("id", region.alias("region"), election.alias("election"))
 
 
-BILL_NAMES = ["도로법 개정안(김철수의원 등 10인)", "예산안(정부)", "세법(대안)", "무제"]
-BARE = ["도로법 개정안", "예산안", "세법", "무제"]
-IN_NAME = ["김철수의원 등 10인", "정부", "대안", None]
+PEOPLE = ["김철수", "이영희", "박민수", "최유리"]
 
 
 @query(f"""
-SELECT p_partkey AS id, {choice_sql("p_partkey", BARE)} AS name, {choice_sql("p_partkey", IN_NAME)} AS proposers, {choice_sql("p_partkey", ["김철수", "", "", ""])} AS members FROM part""")
+SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN {listed(PEOPLE)}[1 + p_size % 4] || '의원 등 ' || p_size || '인' WHEN 1 THEN '정부' WHEN 2 THEN '대안' END AS proposers,
+       CASE WHEN p_partkey % 4 = 0 THEN {listed(PEOPLE)}[1 + p_size % 4] ELSE '' END AS members FROM part""")
 def regex_extract_names(spark, d):
-    raw = choice(F.col("id"), BILL_NAMES)
+    """A bill's bare name, the proposers that its name ends with, and the members among them."""
+    key = F.col("id")
+    inside = F.when(key % 4 == 0, F.concat(one_of(PEOPLE, F.col("p_size") % 4), F.lit("의원 등 "), F.col("p_size"), F.lit("인"))).when(key % 4 == 1, "정부").when(key % 4 == 2, "대안")
+    raw = F.concat(F.col("p_name"), F.coalesce(F.concat(F.lit("("), inside, F.lit(")")), F.lit("")))
     return parts(spark, d).select(
         "id", bill_rules.bare_name(raw).alias("name"), bill_rules.proposers_in_name(raw).alias("proposers"), F.array_join(bill_rules.member_names(raw), ",").alias("members")
     )

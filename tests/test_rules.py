@@ -172,3 +172,33 @@ def test_dates_and_labels(spark):
 def test_undecided_words_in_any_spacing(spark):
     for name, expected in (("지지 정당 없음", True), ("잘 모르겠다", True), ("그 외 정당", True), ("국민의힘", False), (None, False)):
         assert value(spark, polls.is_undecided(F.lit(name).cast("string"))) is expected
+
+
+def each(spark, f, inputs):
+    """A Column function over some literals."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], "i int, x string")
+    return [r.y for r in rows.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_text_rules_on_literals(spark):
+    assert each(spark, text.safe_int, ["1,234", "77.0", "n/a", "", None, " 42 "]) == [1234, 0, 0, 0, 0, 42]
+    assert each(spark, text.bill_number, ["77.0", " 2100001 ", "", None]) == ["77", "2100001", None, None]
+    assert each(spark, polls.party_name, ["더불어 민주당", " 국민의 힘", "새 정당", None, "진보당"]) == ["더불어민주당", "국민의힘", "새 정당", "", "진보당"]
+    assert each(spark, polls.question_kind, ["귀하의 지지 정당은", "후보 적합도 조사", "가상 대결 A 대 B", "직무 평가", None]) == ["PARTY_SUPPORT", "CANDIDATE_FIT", "MATCHUP", "OTHER", "OTHER"]
+    entries = ["전국 대통령선거", "서울특별시 전체 시장선거", "경기도 수원시 시장선거", "부산광역시 교육감선거", "무제"]
+    assert each(spark, lambda c: polls.title_region(c)[0], entries) == ["전국", "서울특별시 전체", "경기도 수원시", "부산광역시", ""]
+    assert each(spark, lambda c: polls.title_region(c)[1], entries) == ["대통령선거", "시장선거", "시장선거", "교육감선거", "무제"]
+    names = ["도로법 개정안(김철수의원 등 10인)", "예산안(정부)", "세법(대안)", "무제"]
+    assert each(spark, bills.bare_name, names) == ["도로법 개정안", "예산안", "세법", "무제"]
+    assert each(spark, bills.proposers_in_name, names) == ["김철수의원 등 10인", "정부", "대안", None]
+    assert each(spark, bills.member_names, names) == [["김철수"], [], [], []]
+    assert each(spark, bills.without_alternative, ["도로법(대안)", "세법 개정안(김철수의원 등 10인)", "예산안"]) == ["도로법", "세법 개정안(김철수의원 등 10인)", "예산안"]
+    assert each(spark, text.text_list, ["a, b ,,c", "one", "", None, " x , "]) == [["a", "b", "c"], ["one"], [], [], ["x"]]
+    assert each(spark, lambda c: text.last_number(c, 22), ["제22대", "대수 21 (22)", "없음", "20대 국회 3차"]) == [22, 22, 22, 3]
+    assert each(spark, polls.region_label, ["서울특별시", "강원특별자치도", "전북특별자치도", "전국", ""]) == ["서울특별시 전체", "강원도 전체", "전라북도 전체", "전국", ""]
+    assert each(spark, lambda c: polls.candidate_name(c, {"김 동 연": "김동연"}), ["김 동 연", "홍 길동", None]) == ["김동연", "홍길동", ""]
+    assert each(spark, lambda c: text.safe_filename(c, "default.pdf"), ["a/b:c.pdf", "  x   y.pdf ", "", "plain.pdf"]) == ["a_b_c.pdf", "x y.pdf", "default.pdf", "plain.pdf"]
+    address = "https://example.org/portal/cmm/fms/FileDown.do?atchFileId=F1&fileSn=2&bbsId=B3&bbsKey=K4"
+    assert each(spark, lambda c: text.download_url(c, "https://example.org"), ["view('F1', '2', 'B3', 'K4')", "go('x')", None]) == [address, "", ""]
+    companies = ["(주)기타리서치", "리서치 (주)", "주식회사  한국갤럽", "갤럽  조사 연구소", "가(주)나", None]
+    assert each(spark, text.company_name, companies) == ["기타리서치", "리서치", "한국갤럽", "갤럽 조사 연구소", "가(주)나", None]
