@@ -27,6 +27,8 @@ def split(text: str) -> list[str]:
 #: Bytes of one generation of cached chunks and their ids, and what one entry costs besides them.
 CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 LONG_CHUNK = 64
+#: What a tokenizer is tried on: if it does not give whole texts the ids of their chunks in turn, it is given whole texts.
+PROBES = ("a b", " a  b\n", "Some WORDS, here.\n\tAnd (more) \u2013 don't!  x's", "\u00e9t\u00e9 \u00df \ufb01 \u0391\u03a3. \u65e5\u672c 12,000.5 a_b", "re-use a/b <x> #1 ... end")
 
 
 class ChunkEncoder:
@@ -34,7 +36,8 @@ class ChunkEncoder:
 
     Valid for tokenizers that drop white space, never join text across it, lower-case,
     and mark the last token of a word (``word_bpe_49k.json`` is one); then the ids
-    of a text are those of its chunks in turn. The library encodes every word that
+    of a text are those of its chunks in turn. PROBES tell; any other tokenizer is
+    given whole texts (``by_chunks`` is false). The library encodes every word that
     is not cached. Two generations of at most ``limit`` bytes each bound the
     memory; chunks of over LONG_CHUNK letters, which hardly recur, are not kept.
     """
@@ -51,10 +54,14 @@ class ChunkEncoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.spelled = {c: self._spelled(chr(c)) for c in range(0x80, 0x100) if chr(c).isalpha() and chr(c).islower()}
         self.limit, self.bytes = limit, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_chunks = self.tokenizer.normalizer is not None and self.tokenizer.pre_tokenizer is not None
+        if self.by_chunks:
+            self.spelled = {c: self._spelled(chr(c)) for c in range(0x80, 0x100) if chr(c).isalpha() and chr(c).islower()}
+            self.by_chunks = list(self.encode(PROBES)) == list(self._whole(PROBES))
+            self.new, self.bytes = {}, 0
 
     def _spelled(self, letter: str) -> str:
         """How the tokenizer's normaliser and pre-tokenizer spell a letter for its model."""
@@ -63,6 +70,9 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed little-endian in ``width`` bytes each; null counts as empty."""
+        if not self.by_chunks:
+            yield from self._whole(texts)
+            return
         chunks = [split(text or "") for text in texts]
         wanted = set().union(*chunks)
         self._learn(wanted)
@@ -73,6 +83,10 @@ class ChunkEncoder:
             if len(chunk) > LONG_CHUNK:
                 self.new.pop(chunk, None)
 
+    def _whole(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.code).tobytes()
+
     def rest(self) -> None:
         """Between tasks: keep the newer generation only, so that an idle worker holds little."""
         self.old = {}

@@ -28,6 +28,20 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """One that keeps white space is not encoded by chunks, whatever its file is called."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i for i, c in enumerate(sorted({chr(i) for i in range(33, 127)} | {"\u0120", "\u010a"}))}
+    other = Tokenizer(models.BPE(letters | {"ab": len(letters), "\u0120a": len(letters) + 1}, [("a", "b"), ("\u0120", "a")]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "other.json"))
+    encoder = tokens.ChunkEncoder(str(tmp_path / "other.json"))
+    assert not encoder.by_chunks and tokens.ChunkEncoder(queries.tokenizer_path()).by_chunks
+    for text, ids in zip(["ab ab a", " a", "", None], encoder.encode(["ab ab a", " a", "", None]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == other.encode(text or "", add_special_tokens=False).ids
+
+
 def test_exact_dedup_matches_grouping(awkward):
     rows = exact_dedup.op2(awkward).collect()
     assert len(rows) == len(AWKWARD)
