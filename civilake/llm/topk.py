@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civilake.llm.sampling import few
 from civilake.llm.staging import staged
 
 #: Vectors in one block: one row of the index, with its own maxima and forward index.
@@ -172,9 +173,9 @@ def bounded(index: DataFrame, groups: DataFrame, first: bool) -> DataFrame:
         own = [pa.array(np.full(len(wanted), right[name][0].as_py(), np.int32)) for name in ("dim", "grp")]
         return pa.table([*own, left["block"].take(pa.array(wanted)), total[wanted]], names=["dim", "grp", "block", "reach"])
 
-    # One short row for each group and each range: thousandths of the vectors.
-    met = F.broadcast(groups.select(F.col("dim").alias("__dim"), F.col("grp").alias("__grp")))
-    meets = F.broadcast(index.select(F.col("dim").alias("__dim"), F.col("range").alias("__range")).distinct())
+    # One short row for each group and each range: thousandths of the vectors, and broadcast only while they are few.
+    met = few(groups.select(F.col("dim").alias("__dim"), F.col("grp").alias("__grp")))
+    meets = few(index.select(F.col("dim").alias("__dim"), F.col("range").alias("__range")).distinct())
     left = index.select("dim", "range", "block", "top", "low").join(met, F.col("dim") == F.col("__dim")).drop("__dim")
     right = groups.join(meets, F.col("dim") == F.col("__dim")).drop("__dim")
     return left.groupBy("dim", "range", "__grp").cogroup(right.groupBy("dim", "__range", "grp")).applyInArrow(run, "dim int, grp int, block long, reach double")
