@@ -25,7 +25,7 @@ def split(text: str) -> list[str]:
 
 
 #: Bytes of one generation of cached chunks and their ids, and what one entry costs besides them.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 180
 LONG_CHUNK = 64
 #: What a tokenizer is tried on: if it does not give whole texts the ids of their chunks in turn, it is given whole texts.
 PROBES = ("a b", " a  b\n", "Some WORDS, here.\n\tAnd (more) \u2013 don't!  x's", "\u00e9t\u00e9 \u00df \ufb01 \u0391\u03a3. \u65e5\u672c 12,000.5 a_b", "re-use a/b <x> #1 ... end")
