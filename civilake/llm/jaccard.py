@@ -23,6 +23,8 @@ MOST_TOGETHER = 3
 CELL_SHARE = 8
 #: Tokens that one bucket of the counts, one block of sets, and one side of an exact comparison hold.
 BUCKET_TOKENS, BLOCK_TOKENS, SIDE_TOKENS = 1 << 22, 1 << 20, 1 << 21
+#: So many sets' numbers, ids and hashes (some 120 bytes each) are sent to all texts; of more, both sides are shuffled.
+SENT_ROWS = 1 << 20
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 1 << 19
 
@@ -91,7 +93,7 @@ def described(texts: DataFrame, words: int) -> DataFrame:
 
 def with_numbers(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """``num, body``: the texts of the sets in ``chosen`` (``num, at``, where ``at`` is the id and hash of a row that has the set). A row repeated as a whole comes repeatedly."""
-    wanted = few(chosen.select("num", F.col("at.id").alias("__id"), F.col("at.hash").alias("__hash")))
+    wanted = few(chosen.select("num", F.col("at.id").alias("__id"), F.col("at.hash").alias("__hash")), SENT_ROWS)
     return texts.join(wanted, texts["id"].eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("num", "body")
 
 

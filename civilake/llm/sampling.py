@@ -12,9 +12,9 @@ from civilake.llm.staging import staged
 BROADCAST_ROWS = 4_000_000
 
 
-def few(decisions: DataFrame) -> DataFrame:
-    """A staged table of keys, marked to be broadcast if it has at most BROADCAST_ROWS rows (about 24 bytes each), so that texts stay where they are."""
-    return F.broadcast(decisions) if decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else decisions
+def few(decisions: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of keys, marked to be broadcast if it has at most ``most`` rows (about 24 bytes each), so that texts stay where they are."""
+    return F.broadcast(decisions) if decisions.limit(most + 1).count() <= most else decisions
 
 
 def unused(docs: DataFrame, name: str) -> str:
