@@ -153,6 +153,15 @@ def marker_styles(pages: DataFrame) -> DataFrame:
     return each.select("doc", "page", style.alias("style"), F.col("m.c").cast("int").alias("number")).where("style <> '#'")
 
 
+def page_markers(pages: DataFrame) -> DataFrame:
+    """``doc, page, styles, goes_on``: how often each style heads a line of a page, as ``style=times`` by style, and whether the page says that it goes on."""
+    counts = marker_styles(pages).groupBy("doc", "page", "style").agg(F.count("*").alias("n"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("style", "n"))), lambda x: F.concat_ws("=", x["style"], x["n"]))
+    styles = counts.groupBy("doc", "page").agg(F.array_join(told, ",").alias("styles"))  # the styles of one page
+    own = pages.select("doc", "page", F.coalesce(F.col("text").contains("계속"), F.lit(False)).alias("goes_on"))
+    return own.join(styles, ["doc", "page"], "left").select("doc", "page", F.coalesce("styles", F.lit("")).alias("styles"), "goes_on")
+
+
 def document_profiles(pages: DataFrame) -> DataFrame:
     """``doc, pages, style, questions, split_questions, in_order, ratios, respondents, goes_on``: what a document's pages have in common.
 

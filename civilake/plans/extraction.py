@@ -381,17 +381,18 @@ def labelled_rows(spark, d):
 
 
 @query("""
-WITH w AS (SELECT o_orderkey AS grid, c.c FROM orders, (VALUES (1), (2), (3)) c(c))
+WITH w AS (SELECT o_orderkey AS grid, unnest(range(1, 3 + o_orderkey % 4)) AS c FROM orders)
 SELECT grid, 1 AS "row", CAST(c AS INTEGER) AS "column", CAST(grid % 90 AS VARCHAR) || '.' || c AS text FROM w WHERE grid % 3 <> 1""")
 def unmerged_cells(spark, d):
-    """Merged cells of tables divided by where their numbers stand; merged labels stay as they are."""
-    grid = bills(spark, d).select(F.col("bill_id").alias("grid"))
-    place = F.struct
-    rows = [place(F.lit(0).alias("row"), F.lit(i).alias("column"), F.lit(100.0 * i).alias("x0"), F.lit(100.0 * i + 90).alias("x1")) for i in range(4)]
-    rows += [place(F.lit(1).alias("row"), F.lit(0).alias("column"), F.lit(0.0).alias("x0"), F.lit(90.0).alias("x1")), place(F.lit(1).alias("row"), F.lit(1).alias("column"), F.lit(100.0).alias("x0"), F.lit(390.0).alias("x1"))]
-    cells = grid.select("grid", F.inline(F.array(*rows)))
-    number = lambda i: F.when(F.col("grid") % 3 == 1, "label").otherwise(F.concat((F.col("grid") % 90).cast("string"), F.lit(f".{i}")))
-    words = grid.select("grid", F.inline(F.array(*(place(F.lit(1).alias("row"), F.lit(100.0 * i + 30).alias("w0"), F.lit(100.0 * i + 50).alias("w1"), number(i).alias("word")) for i in (1, 2, 3)))))
+    """Merged cells of tables of two to five columns, narrow or wide, divided by where their numbers stand; merged labels stay as they are."""
+    grid = bills(spark, d).select(F.col("bill_id").alias("grid"), (2 + F.col("bill_id") % 4).cast("int").alias("n"), (100.0 * (1 + F.col("bill_id") % 2)).alias("width"))
+    each = grid.select("*", F.explode(F.sequence(F.lit(0), "n")).alias("at")).withColumn("x", F.col("at") * F.col("width"))
+    cell = lambda row, column, x0, x1: (F.col("grid"), F.lit(row).alias("row"), column.alias("column"), x0.alias("x0"), x1.alias("x1"))
+    wide = F.col("width") * 0.9
+    cells = each.select(*cell(0, F.col("at"), F.col("x"), F.col("x") + wide)).unionByName(grid.select(*cell(1, F.lit(0), F.lit(0.0), wide)))
+    cells = cells.unionByName(grid.select(*cell(1, F.lit(1), F.col("width"), F.col("n") * F.col("width") + wide)))
+    number = F.when(F.col("grid") % 3 == 1, "label").otherwise(F.concat(F.col("grid") % 90, F.lit("."), F.col("at")))
+    words = each.where("at > 0").select("grid", F.lit(1).alias("row"), (F.col("x") + 0.3 * F.col("width")).alias("w0"), (F.col("x") + 0.5 * F.col("width")).alias("w1"), number.alias("word"))
     return grids.unmerged_words(cells, words, "grid", "row", "column", "x0", "x1", "w0", "w1", "word")
 
 
