@@ -101,8 +101,8 @@ def document_profile(spark, d):
 
 @query("""
 WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-k AS (SELECT * FROM (VALUES (0, 0, '[표#]=1'), (0, 1, '[표#]=1'), (1, 0, 'Q#.=1'), (1, 1, 'Q#.=1'), (2, 0, ''), (3, 0, '【표#】=1'), (3, 1, ''), (3, 2, ''), (4, 0, '문#)=1'), (5, 0, '<표#>=1')) k(kind, at, styles))
-SELECT doc, CAST(number * 4 + at AS INTEGER) AS page, styles, kind = 0 AND at = 0 AS goes_on FROM o JOIN k ON kind = doc % 6""")
+k AS (SELECT * FROM (VALUES (0, 0, '[표#]=1'), (0, 1, '[표#]=1'), (1, 0, 'Q#.=1'), (1, 1, 'Q#.=1'), (2, 0, ''), (3, 0, '【표#】=1'), (3, 1, ''), (3, 2, ''), (4, 0, '문#)=1'), (5, 0, '<표#>=1')) k(kind, nth, styles))
+SELECT doc, CAST(number * 4 + nth AS INTEGER) AS page, styles, kind = 0 AND nth = 0 AS goes_on FROM o JOIN k ON kind = doc % 6""")
 def page_screening(spark, d):
     """Which styles of headings every page has, and whether it says that it goes on."""
     return pages.page_markers(report_pages(spark, d))
