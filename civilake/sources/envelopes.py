@@ -154,8 +154,9 @@ def records_for_targets(records: DataFrame, targets: DataFrame, fits: Column, re
     return records.join(targets, (F.col(own) == F.col(wanted)) & fits).unionByName(records.join(F.broadcast(anywhere) if few(anywhere) else anywhere, fits))
 
 
-def unseen(landed: DataFrame, seen: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """Rows of a resumed collection that are new: keys not collected before, each once, at its first place."""
-    rest = [c for c in landed.columns if c != key]
-    first = landed.join(seen.select(key), key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), ordinal).alias("__x"))
-    return first.select(key, *(F.col(f"__x.{c}").alias(c) for c in rest))
+def unseen(landed: DataFrame, seen: DataFrame, key: str, ordinal: str, order: Column | None = None) -> DataFrame:
+    """Rows of a resumed collection that are new: keys not collected before, each once, at its first place, with the values of the first row by ``order`` (without one, by place)."""
+    rest = [c for c in landed.columns if c not in (key, ordinal)]
+    values = F.min_by(F.struct(*rest), F.col(ordinal) if order is None else order) if rest else F.lit(None)
+    first = landed.join(seen.select(key), key, "left_anti").groupBy(key).agg(F.min(ordinal).alias(ordinal), values.alias("__x"))
+    return first.select(*(F.col(c if c in (key, ordinal) else f"__x.{c}").alias(c) for c in landed.columns))

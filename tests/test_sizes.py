@@ -31,7 +31,7 @@ def same_as_sql(spark, tmp_path):
     return check
 
 
-@pytest.mark.parametrize("name", ["list_records"])
+@pytest.mark.parametrize("name", ["list_records", "resumed_collection"])
 def test_numbers_of_five_digits(spark, same_as_sql, name):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
     near = F.col("l_partkey") % 3  # places so near that values reach over them
