@@ -1,12 +1,15 @@
 """Queries against their SQL, or plain versions, on small inputs with the traits of large tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from civilake.plans import catalogue
+from civilake.session import work_path
+from civilake.streaming import state
 from tests.test_queries import DATA, rows_of
 
 
@@ -36,3 +39,14 @@ def test_numbers_of_five_digits(spark, same_as_sql, name):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
     near = F.col("l_partkey") % 3  # places so near that values reach over them
     same_as_sql(name, lineitem=lines.withColumns({"l_suppkey": 9_000 + F.xxhash64("l_orderkey", "l_partkey", "l_suppkey") % 9_000 + F.col("l_linenumber"), "l_linenumber": F.lit(1), "l_partkey": near}).distinct())
+
+
+def test_monitor_of_more_rows_than_a_chunk(spark):
+    """One service's rows of a batch reach the processor in several chunks, none of which holds the last numbers alone."""
+    numbers = list(range(25_000))
+    random.Random(8).shuffle(numbers)
+    landed, out, checkpoint = (work_path(spark, f"chunks-{x}") for x in ("landed", "out", "checkpoint"))
+    spark.createDataFrame([("a", n, float(n), n % 3 == 0) for n in numbers], "service string, number bigint, millis double, ok boolean").write.json(landed)
+    stream = spark.readStream.schema("service string, number bigint, millis double, ok boolean").json(landed)
+    row = state.run_available(state.monitored(stream, 50, 1e9), out, checkpoint).first()
+    assert (row.total_calls, row.success, row["mean"]) == (25_000, sum(n % 3 == 0 for n in numbers if n >= 24_950), 24_974.5)
