@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from civilake.operators import substrings
 from civilake.plans import catalogue
 from civilake.session import work_path
 from civilake.streaming import state
@@ -50,3 +51,13 @@ def test_monitor_of_more_rows_than_a_chunk(spark):
     stream = spark.readStream.schema("service string, number bigint, millis double, ok boolean").json(landed)
     row = state.run_available(state.monitored(stream, 50, 1e9), out, checkpoint).first()
     assert (row.total_calls, row.success, row["mean"]) == (25_000, sum(n % 3 == 0 for n in numbers if n >= 24_950), 24_974.5)
+
+
+def test_keywords_of_a_common_form(spark, capsys):
+    """Texts and keywords that share all short grams: a keyword meets those few texts alone that have a long one."""
+    names = spark.range(20_000).select(F.concat(F.lit("review of bill "), 10_000_000 + F.col("id"), F.lit(" of 2001-01-01 as amended")).alias("t"))
+    keywords = spark.range(20_000).select(F.concat(F.lit("bill "), 10_000_000 + F.col("id") * 2, F.lit(" of 2001-01-01")).alias("k"))
+    met = substrings.contained(names, keywords, "t", "k")
+    assert met.count() == 10_000
+    met.explain()
+    assert "Broadcast" not in capsys.readouterr().out
