@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civilake.session import written
+from civilake.session import spread, written
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -55,7 +55,7 @@ def gap_clusters(rows: DataFrame, keys: list[str], x: str, tie: str, clusters: i
     """
     group = Window.partitionBy(*keys)
     along = group.orderBy(x, tie)
-    gapped = rows.withColumns({"__gap": F.col(x) - F.lag(x).over(along), "__at": F.row_number().over(along), "__n": F.count("*").over(group)})
+    gapped = spread(rows, *keys, of=rows).withColumns({"__gap": F.col(x) - F.lag(x).over(along), "__at": F.row_number().over(along), "__n": F.count("*").over(group)})
     widest = group.orderBy(F.desc_nulls_last("__gap"), x, tie)
     cut = (F.row_number().over(widest) < clusters) & (F.col("__gap") > least_gap)
     counted = gapped.withColumn("__cut", F.when(cut, 1).otherwise(0))

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from civilake.operators import substrings, vectors
+from civilake import session
+from civilake.operators import ordering, substrings, vectors
 from civilake.plans import catalogue
 from civilake.session import work_path
+from civilake.sources import html
 from civilake.streaming import state
 from tests.test_queries import DATA, rows_of
 
@@ -76,3 +78,13 @@ def test_keywords_of_a_common_form(spark, capsys):
     assert met.count() == 10_000
     met.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def parts(rows):
+    return rows.rdd.getNumPartitions()
+
+
+def test_words_of_pages_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    rows = spark.range(10_000).select((F.col("id") % 500).alias("p"), F.col("id").cast("double").alias("x"), "id")
+    assert parts(ordering.gap_clusters(rows, ["p"], "x", "id", 3, 10.0)) == 100
