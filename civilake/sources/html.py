@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilake.session import spread
+
 ROWS = "table_no int, row_no int, cells array<struct<header:boolean,text:string>>"
 
 
@@ -72,7 +74,7 @@ def table_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
                     names=[id_col, "table_no", "row_no", "cells"],
                 )
 
-    wanted = pages.select(F.col(id_col), F.col(html_col))
+    wanted = spread(pages.select(F.col(id_col), F.col(html_col)), id_col)  # a small file may hold very many pages, and reading them is all the work
     return wanted.mapInArrow(run, f"{id_col} {wanted.schema[id_col].dataType.simpleString()}, {ROWS}")
 
 
