@@ -87,10 +87,16 @@ def parts(rows):
 def test_words_of_pages_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 100)
     rows = spark.range(10_000).select((F.col("id") % 500).alias("p"), F.col("id").cast("double").alias("x"), "id")
-    assert parts(ordering.gap_clusters(rows, ["p"], "x", "id", 3, 10.0)) == 100
+    assert parts(ordering.gap_clusters(rows, ["p"], "x", "id", 3, 10.0)) == 101
 
 
 def test_pages_of_one_file_are_read_by_many_tasks(spark):
     pages = spark.range(0, 100, 1, 1).select("id", F.lit("<table><tr><td>1</td></tr></table>").alias("html"))
     rows = html.table_rows(pages, "id", "html")
     assert parts(rows) >= 4 and rows.count() == 100
+
+
+@pytest.mark.parametrize("name", ["similar_self_join"])
+def test_work_is_dealt_evenly_whatever_its_bytes(spark, same_as_sql, name):
+    same_as_sql(name)
+    assert parts(catalogue.QUERIES[name](spark, DATA)) >= 4
