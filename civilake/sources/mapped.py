@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilake.session import spread
+
 #: A row for each endpoint. Paths are those of ``variant`` values (``$.a.b[0]``). Of codes, ``ok`` are success and ``empty`` an answer without rows on purpose;
 #: without a ``code_path``, or a code where ``lenient``, an answer is a success. ``first_key``: rows are under the answer's first key if ``data_path`` leads nowhere, which then starts below that key (``rest``).
 MAPPER = (
@@ -39,7 +41,7 @@ def answers(pages: DataFrame, mappers: DataFrame, body: str = "body") -> DataFra
     ``malformed``; only ``ok`` has items. A single object where a list is expected is a list of one,
     anything else there none. Pages of endpoints without a mapper are left out.
     """
-    read = pages.join(mappers, "endpoint").withColumn("__v", value_of(F.col(body)))
+    read = spread(pages).join(F.broadcast(mappers), "endpoint").withColumn("__v", value_of(F.col(body)))
     code = F.when(F.col("code_path").isNotNull(), text_at(F.col("__v"), F.col("code_path")))
     accepted = F.array_contains("ok", code) | F.col("code_path").isNull() | (code.isNull() & F.coalesce("lenient", F.lit(False)))
     status = F.when(F.col("__v").isNull(), "malformed").when(F.coalesce(F.array_contains("empty", code), F.lit(False)), "empty").when(F.coalesce(accepted, F.lit(False)), "ok").otherwise("failed")

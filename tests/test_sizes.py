@@ -96,7 +96,7 @@ def test_pages_of_one_file_are_read_by_many_tasks(spark):
     assert parts(rows) >= 4 and rows.count() == 100
 
 
-@pytest.mark.parametrize("name", ["similar_self_join", "alternative_bills"])
+@pytest.mark.parametrize("name", ["similar_self_join", "alternative_bills", "mapped_answers"])
 def test_work_is_dealt_evenly_whatever_its_bytes(spark, same_as_sql, name):
     same_as_sql(name)
     assert parts(catalogue.QUERIES[name](spark, DATA)) >= 4
