@@ -38,7 +38,7 @@ def _labels(row: Column, first: Column, last: Column) -> Column:
 
 def headed(pages: DataFrame, layouts: DataFrame) -> DataFrame:
     """Pages with their layout's columns and the ``number`` and ``heading`` of the question they belong to, carried over pages where the layout says so. Pages of unknown layouts are left out."""
-    joined = pages.join(layouts, "layout")
+    joined = pages.join(F.broadcast(layouts), "layout")  # a row a layout
     part = lambda group: F.when(F.col("title").isNotNull(), F.nullif(F.expr(f"regexp_extract(coalesce(text, ''), title, {group})"), F.lit("")))
     own = F.when(part(1).isNotNull(), F.struct(part(1).try_cast("int").alias("number"), squashed(F.coalesce(part(2), F.lit(""))).alias("heading")))
     told = joined.withColumn("__own", own)
@@ -47,27 +47,33 @@ def headed(pages: DataFrame, layouts: DataFrame) -> DataFrame:
     return told.withColumn("__known", known).withColumns({"number": F.col("__known.number"), "heading": F.coalesce("__known.heading", F.lit(""))}).drop("__own", "__known")
 
 
+def _once(value: Column, good=None) -> Column:
+    """A value made once a row, and the row left out unless it is ``good``: a filter on a plain column would be moved below it, and make it again."""
+    return F.explode(F.array(value) if good is None else F.filter(F.array(value), good))
+
+
 def tables_read(pages: DataFrame) -> DataFrame:
     """Of headed pages each table that has a total row and at least two shares: its options, shares and numbers of respondents, and its ``place`` among the page's."""
-    each = pages.select("*", F.posexplode("tables").alias("place", "table")).withColumn("__n", F.size("table"))
+    each = pages.select("*", F.posexplode("tables").alias("place", "table")).where("size(table) >= 2")
     plain = lambda row: F.regexp_replace(F.coalesce(F.get(row, F.lit(0)), F.lit("")), r"[\s\[\]■▣●□◈]", "")
     at = F.get(F.filter(F.transform("table", lambda row, i: F.when(F.array_contains("totals", plain(row)), i)), lambda i: i.isNotNull()), F.lit(0))
-    found = each.withColumn("__at", at).where("__at IS NOT NULL AND __n >= 2").withColumn("__total", F.get("table", F.col("__at")))
+    found = each.select("*", _once(at, lambda i: i.isNotNull()).alias("__at")).withColumn("__total", F.get("table", F.col("__at")))
     start, last = F.col("first"), F.col("last")
     single = F.filter(F.transform(_between(F.col("__total"), start, last), lambda c: F.trim(F.coalesce(c, F.lit(""))).try_cast("double")), lambda x: x.isNotNull() & x.between(0, 100))
-    bunched = F.filter(polls.bunched_percentages(F.get("__total", start)), lambda x: x.between(0, 100))
-    shares = F.when((F.col("mode") == "bunched") & (F.size(bunched) > 0), bunched).when((F.col("mode") == "auto") & (F.size(single) <= 1) & (F.size(bunched) > 0), bunched).otherwise(single)
-    found = found.withColumn("__shares", shares).where("size(__shares) >= 2")
+    bunched = F.when(F.col("mode") != "cell", F.filter(polls.bunched_percentages(F.get("__total", start)), lambda x: x.between(0, 100)))
+    found = found.select("*", _once(F.struct(single.alias("single"), bunched.alias("bunched"))).alias("__x"))
+    there = F.size("__x.bunched") > 0
+    shares = F.when((F.col("mode") == "bunched") & there, F.col("__x.bunched")).when((F.col("mode") == "auto") & (F.size("__x.single") <= 1) & there, F.col("__x.bunched")).otherwise(F.col("__x.single"))
+    found = found.select("*", shares.alias("__shares")).where("size(__shares) >= 2")
     above = F.transform(F.slice("table", F.lit(1), F.col("__at")), lambda row: _labels(row, start, last))
     enough = F.get(F.filter(above, lambda labels: F.size(labels) >= F.size("__shares")), F.lit(0))
     options = F.when(F.col("header").isNotNull(), _labels(F.get("table", F.col("header")), start, last)).otherwise(F.coalesce(enough, _labels(F.get("table", F.lit(0)), start, last)))
-    found = found.withColumn("__options", options)
+    found = found.select("*", _once(options).alias("__options")).where(F.col("sums") | (F.size("__options") >= F.size("__shares")))
     kept = F.when(F.col("sums"), polls.without_summaries(F.col("__options"), F.col("__shares"))).otherwise(polls.paired(F.col("__options"), F.col("__shares")))
-    whole = F.col("sums") | (F.size("__options") >= F.size("__shares"))
     n, weighted = _numbers(F.get("__total", F.col("n_column"))), _numbers(F.get("__total", F.col("weighted_column")))
     second = F.when(F.col("weighted_column") == F.col("n_column"), F.get(n, F.lit(1))).otherwise(F.get(weighted, F.lit(0)))
     pairs = F.filter(kept, lambda p: p["option"].isNotNull() & p["pct"].isNotNull())
-    read = found.where(whole).withColumn("pairs", pairs).where("size(pairs) > 0")
+    read = found.select("*", _once(pairs, lambda p: F.size(p) > 0).alias("pairs"))
     return read.select("doc", "layout", "split", "page", "place", "number", "heading", "pairs", F.get(n, F.lit(0)).alias("n_completed"), second.alias("n_weighted"))
 
 
@@ -79,12 +85,12 @@ def questions(pages: DataFrame, layouts: DataFrame) -> DataFrame:
     first; ``first`` keeps the first page; ``each`` numbers all tables of a document in
     order. A table without a question is left out, unless the layout tells questions by order.
     """
-    read = tables_read(headed(pages, layouts))
-    by_order = read.where("split = 'each'").withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("page", "place")))
-    numbered = read.where("split <> 'each' AND number IS NOT NULL").withColumn("__turn", F.row_number().over(Window.partitionBy("doc", "page", "number").orderBy("place"))).where("__turn = 1")
-    order = Window.partitionBy("doc", "number").orderBy("page")
-    numbered = numbered.withColumn("__turn", F.row_number().over(order)).where("split = 'join' OR __turn = 1").drop("__turn")
-    parts = by_order.unionByName(numbered)
+    read = tables_read(headed(pages, layouts)).where("split = 'each' OR split IS NOT NULL AND number IS NOT NULL")
+    read = read.withColumns({"__each": F.col("split") == "each", "number": F.when(F.col("split") != "each", F.col("number"))})
+    turn = lambda keys, order: F.row_number().over(Window.partitionBy("doc", "__each", *keys).orderBy(*order))
+    tables = read.withColumn("__table", turn(["page", "number"], ["place"])).where("__each OR __table = 1")
+    turns = tables.withColumn("__turn", turn(["number"], ["page", "place"])).where("split IN ('join', 'each') OR __turn = 1")
+    parts = turns.withColumn("number", F.when(F.col("__each"), F.col("__turn")).otherwise(F.col("number")))
     rows = F.array_sort(F.collect_list(F.struct("page", "place", "pairs", "heading", "n_completed", "n_weighted")))  # the pages of one question
     found = parts.groupBy("doc", "layout", "number").agg(rows.alias("parts"))
     pairs, first = F.flatten(F.transform("parts", lambda p: p["pairs"])), F.get("parts", F.lit(0))

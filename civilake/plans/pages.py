@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civilake.operators import pages
 from civilake.plans.registry import Registry
-from civilake.session import table
+from civilake.session import spread, table
 
 REGISTRY = Registry()
 query, QUERIES, ORACLES = REGISTRY.query, REGISTRY.queries, REGISTRY.oracles
@@ -24,11 +24,11 @@ LAYOUTS = [
 
 def polls_of(spark, d: str) -> DataFrame:
     """Orders as questions of their customers' reports, numbered in order: options and shares are the lines, in order."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+    items = table(spark, d, "lineitem")
+    lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("doc"))
-    rank = F.array_position(F.array_sort(F.col("keys")), F.col("o_orderkey")).cast("int")
-    keys = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("doc").agg(F.collect_list("o_orderkey").alias("keys"))  # one report's questions
-    named = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(keys, "doc").withColumn("number", rank)
+    dealt = spread(orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")), "doc", of=items)  # few bytes become many cells; all that follows is told by report
+    named = dealt.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey")))
     return named.select(
         "doc", "number", F.transform("lines", lambda x: F.concat(F.lit("part "), x["l_partkey"])).alias("labels"), F.transform("lines", lambda x: x["l_quantity"].cast("string")).alias("shares"),
         (1000 + F.col("o_orderkey") % 500).alias("n"), (1000 + F.col("o_orderkey") % 300).alias("w"),

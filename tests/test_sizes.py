@@ -100,3 +100,11 @@ def test_pages_of_one_file_are_read_by_many_tasks(spark):
 def test_work_is_dealt_evenly_whatever_its_bytes(spark, same_as_sql, name):
     same_as_sql(name)
     assert parts(catalogue.QUERIES[name](spark, DATA)) >= 4
+
+
+@pytest.mark.parametrize("name", ["poll_pages"])
+def test_reports_are_made_once(spark, capsys, name):
+    """One pass over orders and lines, dealt out by report."""
+    catalogue.QUERIES[name](spark, DATA).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 2 and "REPARTITION_BY_NUM" in plan
