@@ -122,26 +122,21 @@ def word_tables(words: DataFrame, gap_x: float = 2.0, gap_y: float = 0.5) -> Dat
     Lines below the body's first one without two numbers go on with the row above them. Pages without a body give none.
     """
     numeric = F.col("word").rlike(r"^\(?\d[\d,]*(\.\d+)?\)?%?$")
-    lines = _profile(words.withColumn("__number", numeric), ["page"], "y0", "y1", "__line", gap_y)
-    body = F.count_if("__number").over(Window.partitionBy("page", "__line")) >= 2
-    lines = lines.withColumn("__body", body)
-    numbers = _profile(lines.where("__body AND __number"), ["page"], "x0", "x1", "__column", gap_x)
-    columns = numbers.groupBy("page", "__column").agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
-    reach = columns.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("__column").alias("column"), "low", "high"))).alias("__columns"))  # a page's columns
-    first = lines.where("__body").groupBy("page").agg(F.min("__line").alias("__first"))
-    met = lines.join(reach, "page").join(first, "page")
+    lines = _profile(words, ["page"], "y0", "y1", "__line", gap_y)
+    told = lines.where(numeric).withColumn("__n", F.count("*").over(Window.partitionBy("page", "__line"))).where("__n >= 2")
+    numbers = _profile(told.select("page", "__line", "x0", "x1"), ["page"], "x0", "x1", "__column", gap_x)
+    columns = numbers.groupBy("page", "__column").agg(F.min("x0").alias("low"), F.max("x1").alias("high"), F.collect_set("__line").alias("lines"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__column").alias("column"), "low", "high")))  # a page's columns
+    reach = columns.groupBy("page").agg(listed.alias("__columns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("__body"))
+    met = lines.join(reach, "page")
     centre = (F.col("x0") + F.col("x1")) / 2
     nearest = F.array_min(F.transform("__columns", lambda c: F.struct(F.abs((c["low"] + c["high"]) / 2 - centre).alias("d"), c["column"].alias("column"))))["column"]
     pitch = F.when(F.size("__columns") > 1, F.get("__columns", F.lit(1))["low"] - F.get("__columns", F.lit(0))["low"]).otherwise(F.lit(float("inf")))
-    edge = F.when(F.col("__line") < F.col("__first"), F.get("__columns", F.lit(0))["low"] - pitch / 2).otherwise(F.get("__columns", F.lit(0))["low"])
-    placed = met.withColumn("column", F.when(centre < edge, 0).otherwise(nearest + 1))
-    heads = F.max(F.when(F.col("__body"), F.col("__line"))).over(Window.partitionBy("page").orderBy("__line").rangeBetween(Window.unboundedPreceding, 0))
-    rows = placed.withColumn("__row", F.when(F.col("__line") < F.col("__first"), -1).otherwise(heads))
-    rank = F.dense_rank().over(Window.partitionBy("page").orderBy("__row"))
-    has_head = F.min("__row").over(Window.partitionBy("page")) < 0
-    numbered = rows.withColumn("row", (rank - F.when(has_head, 1).otherwise(0)).cast("int"))
+    edge = F.when(F.col("__line") < F.get("__body", F.lit(0)), F.get("__columns", F.lit(0))["low"] - pitch / 2).otherwise(F.get("__columns", F.lit(0))["low"])
+    row = F.size(F.filter("__body", lambda line: line <= F.col("__line")))  # lines of the body up to the word's own
+    placed = met.select("page", "__line", "x0", "word", row.alias("row"), F.when(centre < edge, 0).otherwise(nearest + 1).cast("int").alias("column"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__line", "x0", "word"))), lambda w: w["word"]), " ")  # one cell's words
-    return numbered.groupBy("page", "row", F.col("column").cast("int").alias("column")).agg(text.alias("text"))
+    return placed.groupBy("page", "row", "column").agg(text.alias("text"))
 
 
 def marker_styles(pages: DataFrame) -> DataFrame:

@@ -116,20 +116,23 @@ UNION ALL SELECT l_orderkey, 2, CAST(place AS INTEGER), CAST(100 + l_suppkey AS
 UNION ALL SELECT DISTINCT l_orderkey, 1, 0, '전 체' FROM q UNION ALL SELECT DISTINCT l_orderkey, 2, 0, '남성 그리고 여성' FROM q""")
 def word_layout(spark, d):
     """Tables without lines, told by where words stand: labels over three lines, numbers of different widths, a row's name over two lines."""
+    items = table(spark, d, "lineitem")
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")))  # one order's lines
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(lines.alias("lines")).where("size(lines) >= 2")
-    rows = rows.select("page", F.posexplode("lines").alias("at", "line")).select("page", "line.*", (160.0 + 60.0 * F.col("at")).alias("x"))
+    dealt = spread(items.select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", "l_quantity", "l_suppkey"), "page", of=items)  # few bytes become many words
+    rows = dealt.groupBy("page").agg(lines.alias("lines")).where("size(lines) >= 2")
 
     def word(text: Column, x: Column, y: float, width: float) -> Column:
         return F.struct(x.alias("x0"), (x + width).alias("x1"), F.lit(y).alias("y0"), F.lit(y + 8).alias("y1"), text.cast("string").alias("word"))
 
-    x = F.col("x")
-    every = F.array(
-        word(F.lit("part"), x - 4, 10.0, 24), word(F.lit("no."), x, 20.0, 18), word(F.concat(F.lit("P"), "l_partkey"), x - 6, 30.0, 30),
-        word(F.col("l_quantity").cast("decimal(5,1)"), x + 2, 50.0, 16), word(100 + F.col("l_suppkey"), x - 3, 61.0, 22),
-    )
+    def of_line(line: Column, at: Column) -> Column:
+        x = 160.0 + 60.0 * at
+        return F.array(
+            word(F.lit("part"), x - 4, 10.0, 24), word(F.lit("no."), x, 20.0, 18), word(F.concat(F.lit("P"), line["l_partkey"]), x - 6, 30.0, 30),
+            word(line["l_quantity"].cast("decimal(5,1)"), x + 2, 50.0, 16), word(100 + line["l_suppkey"], x - 3, 61.0, 22),
+        )
+
     first = F.array(*(word(F.lit(t), F.lit(px), y, 12) for t, px, y in (("전", 10.0, 50.5), ("체", 30.0, 49.5), ("남성", 10.0, 61.0), ("그리고", 30.0, 61.0), ("여성", 12.0, 72.0))))
-    words = rows.select("page", F.inline(every)).unionByName(rows.select("page").distinct().select("page", F.inline(first)))
+    words = rows.select("page", F.inline(F.concat(first, F.flatten(F.transform("lines", of_line)))))
     return pages.word_tables(words)
 
 

@@ -108,3 +108,10 @@ def test_reports_are_made_once(spark, capsys, name):
     catalogue.QUERIES[name](spark, DATA).explain()
     plan = capsys.readouterr().out
     assert plan.count("FileScan") == 2 and "REPARTITION_BY_NUM" in plan
+
+
+def test_words_are_shuffled_once(spark, capsys):
+    """Words are dealt out by page, and nothing after that shuffles them again."""
+    catalogue.QUERIES["word_layout"](spark, DATA).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("+- Exchange") == plan.count("REPARTITION_BY_NUM") > 0
