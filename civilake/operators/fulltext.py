@@ -24,9 +24,14 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """POSTING rows: where each word stands in each field of each row, and for each text that is not null one of the word ``""``. Keys must be unique."""
     texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("t")
     there = rows.select(F.col(key).cast("bigint").alias("id"), texts).where("t.text IS NOT NULL").select("id", "t.field", "t.text")
-    words = there.select("id", "field", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
-    places = words.groupBy("word", "field", "id").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # one text's places of one word
-    return places.unionByName(there.select(F.lit("").alias("word"), "field", "id", F.array().cast("array<int>").alias("positions")))
+    made = lambda *values: F.explode(F.array(*values))  # made once: a column that a lambda names would be made again for each of its elements
+    placed = F.sort_array(F.transform(words_of(F.col("text")), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    sorted_ = there.select("id", "field", made(F.concat(F.array(F.struct(F.lit("").alias("word"), F.lit(None).cast("int").alias("at"))), placed)).alias("w"))
+    begins = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x["word"] != F.get("w", i - 1)["word"]), i)), lambda i: i.isNotNull())
+    cut = sorted_.select("id", "field", "w", made(begins).alias("b"))
+    end = lambda k: F.coalesce(F.get("b", k + 1), F.size("w"))
+    each = F.transform("b", lambda i, k: F.struct(F.get("w", i)["word"].alias("word"), F.array_compact(F.transform(F.slice("w", i + 1, end(k) - i), lambda x: x["at"])).alias("positions")))
+    return cut.select("id", "field", F.inline(each)).select("word", "field", "id", "positions")  # one text's places of one word; nothing is shuffled
 
 
 @dataclass(frozen=True)
@@ -38,9 +43,8 @@ class Index:
 
 
 def _written(found: DataFrame, path: str) -> Index:
-    """Postings lie in ranges of word and id: those of a word or a prefix are neighbouring row groups that file statistics tell apart, and a word of very many rows is cut into several files."""
-    ranged = found.repartitionByRange("word", "id").sortWithinPartitions("word", "field", "id")
-    ranged.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    """Each task writes its rows' postings as a file sorted by word, and shuffles nothing: in every file those of a word or a prefix are neighbouring small row groups that statistics tell apart, and a word of very many rows lies in all files."""
+    found.sortWithinPartitions("word", "field", "id").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/postings")
     back = found.sparkSession.read.schema(POSTING).parquet(f"{path}/postings")
     back.where("word = ''").groupBy("field").agg(F.count("*").alias("rows")).write.parquet(f"{path}/fields")
     return opened(found.sparkSession, path)

@@ -128,3 +128,8 @@ def test_many_keywords_in_little_time(spark):
     keywords = spark.range(100_000).select(F.substring(F.sha1((F.col("id") % 20_000).cast("string")), 5, 12).alias("keyword"), F.col("id").alias("ordinal"), F.col("id").alias("value"))
     found = joins.first_contained(names, keywords, "name", "keyword", "ordinal", "value")
     assert found.where("value IS NOT NULL").count() == 10_000
+
+
+def test_an_index_is_built_without_a_shuffle(spark, corpus, capsys):
+    fulltext.postings(spark.createDataFrame(corpus, "bill bigint, title string, body string"), "bill", ["title", "body"]).explain()
+    assert "Exchange" not in capsys.readouterr().out
