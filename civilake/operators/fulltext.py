@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 POSTING = "word string, field string, id bigint, positions array<int>"
+#: So many changed ids reach every task of an update; of more, the postings are shuffled by id.
+BROADCAST_IDS = 4_000_000
 TERM = re.compile(r'([+-]?)(?:"([^"]*)"|([^\s"]+))')
 
 
@@ -63,6 +65,8 @@ def opened(spark: SparkSession, path: str) -> Index:
 def updated(index: Index, rows: DataFrame, key: str, fields: list[str], path: str) -> Index:
     """The index after ``rows`` are added, or replace those of the same keys, written anew under ``path``; texts of other rows are not read again."""
     changed = rows.select(F.col(key).cast("bigint").alias("id"))
+    if changed.count() <= BROADCAST_IDS:
+        changed = F.broadcast(changed)
     return _written(index.postings.join(changed, "id", "left_anti").unionByName(postings(rows, key, fields)), path)
 
 

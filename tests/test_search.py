@@ -133,3 +133,15 @@ def test_many_keywords_in_little_time(spark):
 def test_an_index_is_built_without_a_shuffle(spark, corpus, capsys):
     fulltext.postings(spark.createDataFrame(corpus, "bill bigint, title string, body string"), "bill", ["title", "body"]).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_an_update_shuffles_no_postings(spark, corpus, capsys, monkeypatch):
+    table = spark.createDataFrame(corpus, "bill bigint, title string, body string")
+    index = fulltext.build(table, "bill", ["title"], work_path(spark, "index"))
+    monkeypatch.setattr(fulltext, "_written", lambda found, path: found)
+    fresh = table.where("bill < 5")
+    fulltext.updated(index, fresh, "bill", ["title"], "").explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+    few = fulltext.updated(index, fresh, "bill", ["title"], "").count()
+    monkeypatch.setattr(fulltext, "BROADCAST_IDS", 0)
+    assert few == fulltext.updated(index, fresh, "bill", ["title"], "").count() == index.postings.count()
