@@ -115,3 +115,8 @@ def test_words_are_shuffled_once(spark, capsys):
     catalogue.QUERIES["word_layout"](spark, DATA).explain()
     plan = capsys.readouterr().out
     assert plan.count("+- Exchange") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+def test_profiled_reports_are_dealt_out(spark, capsys):
+    catalogue.QUERIES["document_profile"](spark, DATA).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
