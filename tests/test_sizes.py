@@ -120,3 +120,8 @@ def test_words_are_shuffled_once(spark, capsys):
 def test_profiled_reports_are_dealt_out(spark, capsys):
     catalogue.QUERIES["document_profile"](spark, DATA).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_cells_are_dealt_out(spark, capsys):
+    catalogue.QUERIES["unmerged_cells"](spark, DATA).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
