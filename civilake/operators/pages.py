@@ -139,19 +139,22 @@ def word_tables(words: DataFrame, gap_x: float = 2.0, gap_y: float = 0.5) -> Dat
     return placed.groupBy("page", "row", "column").agg(text.alias("text"))
 
 
+def _marks(text: Column) -> Column:
+    """The numbered headings that begin lines of a text, each as its ``style`` and ``number``."""
+    opening, word, closing = r"[\[【<(（]?", r"[\p{L}]{0,3}", r"번?\s*[\]】>)）.。:]?"
+    pattern = rf"(?m)^[ \t]*{opening}[ \t]*{word}[ \t]*\d{{1,3}}[ \t]*{closing}(?=\s|\p{{L}}|$)"  # figures are of the number alone
+    style = lambda m: collapsed(F.regexp_replace(m, r"\d+", "#"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(style(m).alias("style"), F.regexp_extract(m, r"\d+", 0).cast("int").alias("number")))
+    return F.filter(found, lambda m: m["style"] != "#")
+
+
 def marker_styles(pages: DataFrame) -> DataFrame:
     """``doc, page, style, number``: the numbered headings that begin lines of a page's text, each by its style: the signs and words around the number, which is ``#``.
 
     A heading is an opening sign if any, a short word if any, a number of up to
     three figures, and a closing sign: without a word at least one sign is needed.
     """
-    opening, word, closing = r"[\[【<(（]?", r"[\p{L}]{0,3}", r"번?\s*[\]】>)）.。:]?"
-    pattern = rf"(?m)^[ \t]*({opening})[ \t]*({word})[ \t]*(\d{{1,3}})[ \t]*({closing})(?=\s|\p{{L}}|$)"
-    at = lambda group: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"))
-    each = pages.select("doc", "page", F.explode(parts).alias("m"))
-    style = F.concat("m.a", "m.b", F.lit("#"), collapsed(F.col("m.d")))
-    return each.select("doc", "page", style.alias("style"), F.col("m.c").cast("int").alias("number")).where("style <> '#'")
+    return pages.select("doc", "page", F.inline(_marks(F.coalesce("text", F.lit("")))))
 
 
 def page_markers(pages: DataFrame) -> DataFrame:
@@ -163,6 +166,10 @@ def page_markers(pages: DataFrame) -> DataFrame:
     return own.join(styles, ["doc", "page"], "left").select("doc", "page", F.coalesce("styles", F.lit("")).alias("styles"), "goes_on")
 
 
+#: The ways in which numbers of a thousand and more are written, in order.
+WAYS = ("(0,000", "(0,000)", "(0000", "(0000)", "0,000", "0,000)", "0000", "0000)")
+
+
 def document_profiles(pages: DataFrame) -> DataFrame:
     """``doc, pages, style, questions, split_questions, in_order, ratios, respondents, goes_on``: what a document's pages have in common.
 
@@ -170,34 +177,48 @@ def document_profiles(pages: DataFrame) -> DataFrame:
     how many numbers it counts, how many of them head several pages, and whether
     they run from 1 without a gap. Ratios are ``bunched`` (three in a row on a line of most pages
     that have any), ``cell`` or ``none``; respondents tells how numbers of a thousand and more are written.
+
+    Pages are read once. Each gives a row for each of its styles (without a number; the
+    first, or one without a style, has what else the page tells) and one for each of its numbers;
+    these are grouped by document, style and number, then by document and style, then by document.
     """
-    styles = marker_styles(pages)
-    per_number = styles.groupBy("doc", "style", "number").agg(F.count_distinct("page").alias("n"))
-    on_pages = styles.groupBy("doc", "style").agg(F.count_distinct("page").alias("on_pages"))
-    counted = per_number.groupBy("doc", "style").agg(
-        F.count("*").alias("questions"), F.count_if(F.col("n") > 1).alias("split_questions"), ((F.min("number") == 1) & (F.max("number") == F.count("*"))).alias("in_order")
-    )
-    best = F.struct((-F.col("on_pages")).alias("p"), "style")
-    main = counted.join(on_pages, ["doc", "style"]).groupBy("doc").agg(F.min_by(F.struct("style", "questions", "split_questions", "in_order"), best).alias("m"))
     text = F.coalesce("text", F.lit(""))
-    tokens = F.transform(F.split(text, r"\n"), lambda line: F.filter(F.split(F.trim(line), r"\s+"), lambda t: t.rlike(r"^\d{1,3}\.\d$")))
-    bunched, any_ratio = F.exists(tokens, lambda found: F.size(found) >= 3), F.exists(tokens, lambda found: F.size(found) > 0)
-    thousands = F.filter(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"[(),]", "").rlike(r"^\d{4,}$"))
-    written = lambda t: F.concat(F.when(t.startswith("("), "(").otherwise(""), F.when(t.contains(","), "0,000").otherwise("0000"), F.when(t.endswith(")"), ")").otherwise(""))
-    signs = pages.select("doc", bunched.alias("b"), any_ratio.alias("r"), F.transform(thousands, written).alias("w"), text.contains("계속").alias("c"))
-    respondents = signs.select("doc", F.explode("w").alias("w")).groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("respondents"))  # few ways
-    whole = signs.groupBy("doc").agg(F.count("*").alias("pages"), F.count_if("b").alias("b"), F.count_if("r").alias("r"), F.max("c").alias("goes_on"))
-    ratios = F.when(F.col("r") == 0, "none").when(2 * F.col("b") > F.col("r"), "bunched").otherwise("cell")
-    joined = whole.join(main, "doc", "left").join(respondents, "doc", "left")
+    ratios = F.transform(F.split(text, r"\n"), lambda line: F.size(F.filter(F.split(F.trim(line), r"\s+"), lambda t: t.rlike(r"^\d{1,3}\.\d$"))))
+    most = F.when(text.rlike(r"\d\.\d"), F.array_max(ratios)).otherwise(0)  # on one line; most texts have none, and are not cut into words
+    words = F.regexp_extract_all(text, F.lit(r"(?<!\S)[(),\d]{4,}+[\u0085\u2028\u2029]?(?!\S)"), F.lit(0))  # all that the next line can keep
+    thousands = F.filter(words, lambda t: F.regexp_replace(t, r"[(),]", "").rlike(r"^\d{4,}$"))
+    way = lambda t: F.when(t.startswith("("), 0).otherwise(4) + F.when(t.contains(","), 0).otherwise(2) + F.when(t.endswith(")"), 1).otherwise(0)
+    ways = F.aggregate(thousands, F.lit(0), lambda bits, t: bits.bitwiseOR(F.get(F.array(*(F.lit(1 << i) for i in range(len(WAYS)))), way(t))))
+    read = pages.select("doc", "page", _marks(text).alias("marks"), most.alias("most"), ways.alias("ways"), text.contains("계속").alias("c"))
+    of_page = {"style": "string", "number": "int", "most": "int", "ways": "int", "c": "boolean"}
+    fact = lambda **known: F.struct(*(known.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in of_page.items()))
+    styles = F.when(F.size("marks") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.transform("marks", lambda m: m["style"])))
+    own = F.transform(styles, lambda style, i: fact(style=style, **{k: F.when(i == 0, F.col(k)) for k in ("most", "ways", "c")}))
+    numbers = F.transform(F.array_distinct("marks"), lambda m: fact(style=m["style"], number=m["number"]))
+    facts = read.select("doc", "page", F.inline(F.concat(own, numbers)))
+    each = facts.groupBy("doc", "style", "number").agg(
+        F.count_distinct("page").alias("n"), F.count("most").alias("pages"), F.count_if(F.col("most") >= 3).alias("b"), F.count_if(F.col("most") > 0).alias("r"), F.bit_or("ways").alias("ways"), F.max("c").alias("c")
+    )
+    whole = [*(F.sum(k).alias(k) for k in ("pages", "b", "r")), F.bit_or("ways").alias("ways"), F.max("c").alias("c")]
+    by_style = each.groupBy("doc", "style").agg(
+        F.max(F.when(F.col("number").isNull(), F.col("n"))).alias("on_pages"), F.count("number").alias("questions"), F.count_if(F.col("number").isNotNull() & (F.col("n") > 1)).alias("split_questions"),
+        ((F.min("number") == 1) & (F.max("number") == F.count("number"))).alias("in_order"), *whole,
+    )
+    best = F.struct((-F.col("on_pages")).alias("p"), "style", "questions", "split_questions", "in_order")
+    found = by_style.groupBy("doc").agg(F.min(F.when(F.col("style").isNotNull(), best)).alias("m"), *whole)
+    kind = F.when(F.col("r") == 0, "none").when(2 * F.col("b") > F.col("r"), "bunched").otherwise("cell")
+    respondents = F.array_join(F.filter(F.array(*map(F.lit, WAYS)), lambda _, i: F.getbit("ways", i) == 1), " ")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select("doc", "pages", F.col("m.style").alias("style"), zero("m.questions").alias("questions"), zero("m.split_questions").alias("split_questions"), F.coalesce("m.in_order", F.lit(False)).alias("in_order"), ratios.alias("ratios"), F.coalesce("respondents", F.lit("")).alias("respondents"), "goes_on")
+    return found.select("doc", "pages", F.col("m.style").alias("style"), zero("m.questions").alias("questions"), zero("m.split_questions").alias("split_questions"), F.coalesce("m.in_order", F.lit(False)).alias("in_order"), kind.alias("ratios"), respondents.alias("respondents"), F.col("c").alias("goes_on"))
 
 
 def table_shapes(pages: DataFrame) -> DataFrame:
     """``doc, with_tables, without_tables, rows, columns``: pages with and without a table, and the most frequent number of rows and of columns of a document's tables (of its widest row; of equals the smaller), 0 without tables."""
-    counted = pages.groupBy("doc").agg(F.count_if(F.coalesce(F.size("tables"), F.lit(0)) > 0).alias("with_tables"), F.count_if(~(F.coalesce(F.size("tables"), F.lit(0)) > 0)).alias("without_tables"))
-    each = pages.select("doc", F.explode("tables").alias("t")).where("size(t) > 0")
-    sizes = each.select("doc", F.inline(F.array(F.struct(F.lit("rows").alias("of"), F.size("t").alias("n")), F.struct(F.lit("columns").alias("of"), F.array_max(F.transform("t", lambda r: F.size(r))).alias("n")))))
-    often = sizes.groupBy("doc", "of", "n").agg(F.count("*").alias("times"))
-    modes = often.groupBy("doc").agg(*(F.min_by(F.when(F.col("of") == name, F.col("n")), F.when(F.col("of") == name, F.struct(-F.col("times"), "n"))).alias(name) for name in ("rows", "columns")))
-    return counted.join(modes, "doc", "left").select("doc", "with_tables", "without_tables", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"))
+    tables = F.coalesce("tables", F.array().cast("array<array<array<string>>>"))
+    fact = lambda of, n, there: F.struct(F.lit(of).cast("string").alias("of"), n.cast("int").alias("n"), there.cast("boolean").alias("there"))
+    own = F.array(fact(None, F.lit(None), F.size(tables) > 0))  # pages are read once: a row of their own, two for each of their tables
+    sizes = F.transform(F.filter(tables, lambda t: F.size(t) > 0), lambda t: F.array(fact("rows", F.size(t), F.lit(None)), fact("columns", F.array_max(F.transform(t, lambda r: F.size(r))), F.lit(None))))
+    often = pages.select("doc", F.inline(F.concat(own, F.flatten(sizes)))).groupBy("doc", "of", "n").agg(F.count("*").alias("times"), F.count_if("there").alias("with_tables"), F.count_if(~F.col("there")).alias("without_tables"))
+    modes = (F.min_by(F.when(F.col("of") == name, F.col("n")), F.when(F.col("of") == name, F.struct(-F.col("times"), "n"))).alias(name) for name in ("rows", "columns"))
+    found = often.groupBy("doc").agg(F.sum("with_tables").alias("with_tables"), F.sum("without_tables").alias("without_tables"), *modes)
+    return found.select("doc", "with_tables", "without_tables", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"))

@@ -36,16 +36,19 @@ def polls_of(spark, d: str) -> DataFrame:
 
 
 def report_pages(spark, d: str) -> DataFrame:
-    """PAGE rows of all reports; the remainder of a customer's number tells its layout."""
+    """PAGE rows of all reports; the remainder of a customer's number tells its layout.
+
+    Pages are told apart before anything of them is made, and texts and tables are columns
+    of their own, so that Spark makes neither for a query that reads the other alone.
+    """
     q = polls_of(spark, d)
     text = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c.cast("string") for c in cells))
     n, w = F.format_string("(%,d)", "n"), F.format_string("(%,d)", "w")
     part = lambda c, k: F.slice(c, F.lit(1), F.lit(4)) if k == 0 else F.slice(c, F.lit(5), F.greatest(F.size(c) - 4, F.lit(0)))
     labels, shares = F.col("labels"), F.col("shares")
 
-    def made(name: str, body: Column, *tables: list[Column]) -> Column:
-        nothing = F.array().cast("array<array<array<string>>>")
-        return F.struct(F.lit(name).alias("layout"), body.alias("text"), F.array(*(F.array(*rows) for rows in tables)).cast("array<array<array<string>>>").alias("tables") if tables else nothing.alias("tables"))
+    def made(body: Column, *tables: list[Column]) -> tuple[Column, Column]:
+        return body, F.array(*(F.array(*rows) for rows in tables)).cast("array<array<array<string>>>")
 
     def grid(k: int, total: str, extra: tuple[str, str] | None = None) -> list[Column]:
         more = [F.array(F.lit(x)) for x in extra] if extra else [F.array().cast("array<string>")] * 2
@@ -55,21 +58,22 @@ def report_pages(spark, d: str) -> DataFrame:
     head = lambda pattern: F.format_string(pattern, "number", "n")
     other = F.transform(shares, lambda x: F.lit("1.0"))
     layouts = [
-        [made("joined", head("[표 %d] about %d\n계속"), grid(0, "▣ 전체 ▣", ("(합)", "80.0"))), made("joined", head("[표 %d] about %d"), grid(1, "▣ 전체 ▣"))],
+        [made(head("[표 %d] about %d\n계속"), grid(0, "▣ 전체 ▣", ("(합)", "80.0"))), made(head("[표 %d] about %d"), grid(1, "▣ 전체 ▣"))],
         [
-            made("bunched", head("Q%d. about  %d\n"), [F.concat(text("구분", "수", "가중"), labels), text("전 체", n, w, F.array_join(shares, " "))]),
-            made("bunched", head("Q%d. about again %d"), [F.concat(text("구분", "수", "가중"), labels), text("전체", n, w, F.array_join(other, " "))]),
+            made(head("Q%d. about  %d\n"), [F.concat(text("구분", "수", "가중"), labels), text("전 체", n, w, F.array_join(shares, " "))]),
+            made(head("Q%d. about again %d"), [F.concat(text("구분", "수", "가중"), labels), text("전체", n, w, F.array_join(other, " "))]),
         ],
-        [made("ordered", title, [text("x", "y")], [F.concat(text("구분", "수", "가중"), labels), F.when(F.col("number") % 2 == 0, text("합 계", n, w, F.array_join(shares, " "))).otherwise(F.concat(text("합계", n, w), shares))])],
-        [made("carried", head("【표 %d】 about %d")), made("carried", F.lit("no heading"), grid(0, "전체")), made("carried", F.lit(""), grid(1, "■ 전체 ■"))],
-        [made("two_counts", head("문 %d) about %d"), [text("a table without options"), F.concat(text("구분", "수"), labels, text("sum")), F.concat(text("전체", F.concat(n, F.lit("\n"), w)), shares, text("99.0"))])],
-        [made("sums", head("<표%d> about %d"), [text("", "", "", "few"), F.concat(text("구분", "수", "가중"), F.array(F.lit("①+②")), labels), F.concat(text("합계", n, w), F.array(F.lit("70.5")), shares)])],
+        [made(title, [text("x", "y")], [F.concat(text("구분", "수", "가중"), labels), F.when(F.col("number") % 2 == 0, text("합 계", n, w, F.array_join(shares, " "))).otherwise(F.concat(text("합계", n, w), shares))])],
+        [made(head("【표 %d】 about %d")), made(F.lit("no heading"), grid(0, "전체")), made(F.lit(""), grid(1, "■ 전체 ■"))],
+        [made(head("문 %d) about %d"), [text("a table without options"), F.concat(text("구분", "수"), labels, text("sum")), F.concat(text("전체", F.concat(n, F.lit("\n"), w)), shares, text("99.0"))])],
+        [made(head("<표%d> about %d"), [text("", "", "", "few"), F.concat(text("구분", "수", "가중"), F.array(F.lit("①+②")), labels), F.concat(text("합계", n, w), F.array(F.lit("70.5")), shares)])],
     ]
-    kind = F.col("doc") % len(layouts)
-    chosen = F.lit(None)
-    for i, made_pages in enumerate(layouts):
-        chosen = F.when(kind == i, F.array(*made_pages)).otherwise(chosen)
-    return q.select("doc", "number", F.posexplode(chosen).alias("at", "p")).select("doc", "p.layout", (F.col("number") * 4 + F.col("at")).cast("int").alias("page"), "p.text", "p.tables")
+    kind = (F.col("doc") % len(layouts)).cast("int")
+    each = q.withColumn("at", F.explode(F.sequence(F.lit(0), F.get(F.array(*(F.lit(len(made_pages) - 1) for made_pages in layouts)), kind))))
+    places = [(i, j) for i, made_pages in enumerate(layouts) for j in range(len(made_pages))]
+    of_page = lambda part: F.coalesce(*(F.when((kind == i) & (F.col("at") == j), layouts[i][j][part]) for i, j in places))
+    layout = F.get(F.array(*(F.lit(name) for name, *_ in LAYOUTS)), kind)
+    return each.select("doc", layout.alias("layout"), (F.col("number") * 4 + F.col("at")).cast("int").alias("page"), of_page(0).alias("text"), of_page(1).alias("tables"))
 
 
 QUESTIONS_SQL = """

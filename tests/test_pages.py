@@ -106,3 +106,22 @@ def test_profiles(spark):
         2: (2, None, 0, 0, False, "cell", "0,000 0000", False),
         3: (1, "#.", 2, 0, False, "none", "", False),
     }
+
+
+def test_profiles_of_odd_pages(spark):
+    """Several styles and numbers on a page, pages given twice, words that end in signs for a new line."""
+    texts = ["[표 1] x\n[표 1] 계속\n문 2) (1,007) 1000", "문 1)\n문 3)\n[표 2] 1,007) (1000 1234\u0085", "5.5 6.5\t7.5\n1.5", "1.55 1.2.3 (1,0 a1234 12345"]
+    rows = [(1, "a", 1, texts[0], None), (1, "a", 1, texts[1], None), (1, "a", 2, texts[0], None), (2, "a", 7, texts[2], None), (2, "a", 8, "1.5\n2.5 3.5", None), (2, "a", 9, "1.5 1.5 1.5", None), (3, "a", 1, texts[3], None)]
+    found = {r.doc: tuple(r)[1:] for r in pages.document_profiles(spark.createDataFrame(rows, pages.PAGE)).collect()}
+    assert found == {
+        1: (3, "[표#]", 2, 1, True, "none", "(0,000) (0000 0,000) 0000", True),
+        2: (3, None, 0, 0, False, "bunched", "", False),
+        3: (1, None, 0, 0, False, "none", "0000", False),
+    }
+
+
+def test_table_shapes(spark):
+    t = lambda *widths: [[""] * n for n in widths]
+    rows = [(1, "a", 1, "", [t(2, 3), t(2, 3), t(1)]), (1, "a", 2, "", [[], None, t(4), t(5)]), (1, "a", 3, "", None), (1, "a", 4, "", []), (2, "a", 1, "", None), (3, "a", 1, "", [[]]), (3, "a", 2, "", [t(2, 1, 1), t(1)])]
+    found = {r.doc: tuple(r)[1:] for r in pages.table_shapes(spark.createDataFrame(rows, pages.PAGE)).collect()}
+    assert found == {1: (2, 2, 1, 3), 2: (0, 1, 0, 0), 3: (2, 0, 1, 1)}

@@ -122,6 +122,15 @@ def test_profiled_reports_are_dealt_out(spark, capsys):
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("name", ["document_profile", "table_shapes"])
+def test_profiled_reports_are_made_once(spark, same_as_sql, capsys, name):
+    """One pass over orders and lines, and of its reports only texts or tables, whichever is read."""
+    same_as_sql(name)
+    catalogue.QUERIES[name](spark, DATA).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 2 and ("format_string([표 %d] about" in plan) == (name == "document_profile") and ("구분" in plan) == (name == "table_shapes")
+
+
 def test_cells_are_dealt_out(spark, capsys):
     catalogue.QUERIES["unmerged_cells"](spark, DATA).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
