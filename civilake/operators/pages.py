@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +145,8 @@ def word_tables(words: DataFrame, gap_x: float = 2.0, gap_y: float = 0.5) -> Dat
 def _marks(text: Column) -> Column:
     """The numbered headings that begin lines of a text, each as its ``style`` and ``number``."""
     opening, word, closing = r"[\[【<(（]?", r"[\p{L}]{0,3}", r"번?\s*[\]】>)）.。:]?"
-    pattern = rf"(?m)^[ \t]*{opening}[ \t]*{word}[ \t]*\d{{1,3}}[ \t]*{closing}(?=\s|\p{{L}}|$)"  # figures are of the number alone
+    number = r"(?:\d{1,3}|(?<=\p{L}[ \t]{0,9})\d{4,9}(?=[ \t]*번?\s*[\]】>)）.。:]))"  # of more figures only after a word and before a sign: others are years and counts
+    pattern = rf"(?m)^[ \t]*{opening}[ \t]*{word}[ \t]*{number}[ \t]*{closing}(?=\s|\p{{L}}|$)"  # figures are of the number alone
     style = lambda m: collapsed(F.regexp_replace(m, r"\d+", "#"))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(style(m).alias("style"), F.regexp_extract(m, r"\d+", 0).cast("int").alias("number")))
     return F.filter(found, lambda m: m["style"] != "#")
@@ -152,18 +156,80 @@ def marker_styles(pages: DataFrame) -> DataFrame:
     """``doc, page, style, number``: the numbered headings that begin lines of a page's text, each by its style: the signs and words around the number, which is ``#``.
 
     A heading is an opening sign if any, a short word if any, a number of up to
-    three figures, and a closing sign: without a word at least one sign is needed.
+    three figures (of more, if it follows a word and a closing sign follows it), and a closing sign: without a word at least one sign is needed.
     """
     return pages.select("doc", "page", F.inline(_marks(F.coalesce("text", F.lit("")))))
 
 
+#: Words that, with a number and a closing sign, mark a question wherever they stand (a single Latin letter not at the end of a word), and the names of total rows, spaces in them left out. Bullets are geometric shapes.
+QUESTION_WORDS, TOTAL_NAMES = ("SQ", "Q", "표", "문"), ("전체", "합계", "계")
+BULLETS = r"\u25A0-\u25FF"
+
+
+def _questions(text: Column, cells: Column) -> Column:
+    """The styles of the numbered question marks of a page, once for every mark.
+
+    A mark is a question word, a number and a closing sign, anywhere; or 번 and a parenthesis
+    after a number of one or two figures; or such a number that begins a line, with a parenthesis before a text or a point before one in Hangul or capitals;
+    or a question word and a number alone on a line.
+    """
+    word = "|".join(rf"(?<![\p{{L}}\d_]){w}" if w.isascii() and len(w) == 1 else w for w in QUESTION_WORDS)
+    opening, closing = r"[\[【<(（]", r"[\]】>)）.。:]"
+    anywhere = rf"(?:{opening}[ \t]*)?(?:{word})\s*\d+\s*번?\s*{closing}|(?<!\d)\d{{1,2}}번\s*\)"
+    line = rf"^(?:[ \t]*(?:{word})\s*\d+(?=[ \t]*$)|\s*\d{{1,2}}\s*(?:\)(?=\s+[^\s|])|\.(?=\s+[가-힣A-Z])))"
+    needed = reduce(or_, (cells.contains(x) for x in ("번", "\n", *QUESTION_WORDS)))  # cells with none of these hold no mark; patterns cost more than their search
+    body = F.when(needed, F.concat(text, F.lit("\n"), cells)).otherwise(text)
+    return F.transform(F.regexp_extract_all(body, F.lit(f"(?m){line}|{anywhere}"), F.lit(0)), lambda m: collapsed(F.regexp_replace(m, r"\d+", "#")))
+
+
+def _totals(body: Column, first: Column) -> Column:
+    """The forms in which total rows are named: between two equal bullets or as 전 체 anywhere, else at the beginning of a line; and first cells of rows, without spaces, brackets and bullets."""
+    name = f"(?:{'|'.join(r'\s*'.join(n) for n in TOTAL_NAMES)})"
+    told = [rf"(?=(([{BULLETS}])\s*{name}\s*\2))", r"(전\s+체)", rf"(?m)^(\s*{name})(?=\s|$)"]  # not one pattern: a choice at every sign takes longer; two names may share a bullet
+    alone = F.filter(first, lambda c: F.regexp_replace(c, rf"[\s\[\]{BULLETS}]", "").isin(*TOTAL_NAMES))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in told), alone), squashed))), ",")
+
+
+def _number_formats(body: Column) -> Column:
+    """How the whole numbers of a page are written: with thousands commas or plain (then of three or four figures), in parentheses or not. One parenthesis alone tells neither."""
+    figures = {"comma": (r"\d{0,2}(?:,\d{3})++(?!\d|\.\d)", ""), "plain": (r"\d{2,3}(?!\d|[.,]\d)", r"\p{L}_")}  # after the first; and the signs that may not stand beside them
+    around = {"parenthesized": lambda n, _: rf"\(\d{n}\)", "plain": lambda n, signs: rf"\d(?<![\d({signs}]\d)(?<!\d[.,]\d){n}(?![){signs}])"}
+    return F.concat_ws(",", *(F.when(body.rlike(put(*figures[k])), f"{name}_{k}") for name, put in around.items() for k in figures))
+
+
+def _ratios(body: Column) -> Column:
+    """Where numbers with one decimal stand: three and more in a row, each by itself, or nowhere. Patterns begin with the sign that is told fastest."""
+    bunched, single = r"\d\.\d[\s,]*\d{1,3}\.\d[\s,]*\d{1,3}\.\d", r"\.(?<=\b\d{1,3}\.)\d\b"
+    return F.when(body.rlike(bunched), "bunched").when(body.rlike(single), "cell").otherwise("none")
+
+
+def _counted(names: Column) -> Column:
+    """Names as ``name=times`` by name."""
+    times = lambda name: F.size(names) - F.size(F.array_remove(names, name))
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(names)), lambda name: F.concat_ws("=", name, times(name))), ",")
+
+
 def page_markers(pages: DataFrame) -> DataFrame:
-    """``doc, page, styles, goes_on``: how often each style heads a line of a page, as ``style=times`` by style, and whether the page says that it goes on."""
-    counts = marker_styles(pages).groupBy("doc", "page", "style").agg(F.count("*").alias("n"))
-    told = F.transform(F.array_sort(F.collect_list(F.struct("style", "n"))), lambda x: F.concat_ws("=", x["style"], x["n"]))
-    styles = counts.groupBy("doc", "page").agg(F.array_join(told, ",").alias("styles"))  # the styles of one page
-    own = pages.select("doc", "page", F.coalesce(F.col("text").contains("계속"), F.lit(False)).alias("goes_on"))
-    return own.join(styles, ["doc", "page"], "left").select("doc", "page", F.coalesce("styles", F.lit("")).alias("styles"), "goes_on")
+    """``doc, page, styles, questions, totals, formats, ratios, goes_on``: what every page shows of how a report is written.
+
+    Styles are those of the headings that begin lines of its text (``marker_styles``), questions those of the question marks
+    anywhere in text and cells, both as ``style=times`` by style. Totals are the forms in which total rows are named, formats those of
+    whole numbers. Ratios (numbers with one decimal) are ``bunched`` (three in a row in the text or in one cell), ``cell`` or ``none``.
+    A page goes on if it says so, or points to the next page. Pages are read once; nothing is shuffled.
+    """
+    text, cells, body = F.coalesce("text", F.lit("")), F.col("cells"), F.col("body")
+    there = lambda of: F.filter(of, lambda x: x.isNotNull())
+    rows = F.coalesce(there(F.flatten(there(F.col("tables")))), F.array().cast("array<array<string>>"))
+    read = pages.select("doc", "page", text.alias("text"), _marks(text).alias("marks"), _once(rows).alias("rows"))
+    joined = F.concat_ws("|", F.lit(""), F.flatten("rows"))  # by a sign that no number or mark goes on over
+    first = there(F.transform("rows", lambda row: F.get(row, F.lit(0))))
+    read = read.select("doc", "page", "text", F.col("marks.style").alias("styles"), first.alias("first"), _once(joined).alias("cells"))
+    read = read.select("*", _once(F.struct(F.concat("text", F.lit("\n"), cells).alias("body"), _questions(F.col("text"), cells).alias("questions"))).alias("x")).select("doc", "page", "styles", "first", "x.*")
+    goes_on = body.contains("계속") | body.contains("다음") & body.rlike(r"다음\s*페이지")
+    return read.select(
+        "doc", "page", _counted(F.col("styles")).alias("styles"), _counted(F.col("questions")).alias("questions"), _totals(body, F.col("first")).alias("totals"),
+        _number_formats(body).alias("formats"), _ratios(body).alias("ratios"), goes_on.alias("goes_on"),
+    )
 
 
 #: The ways in which numbers of a thousand and more are written, in order.

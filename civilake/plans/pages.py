@@ -104,11 +104,19 @@ def document_profile(spark, d):
 
 
 @query("""
-WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-k AS (SELECT * FROM (VALUES (0, 0, '[표#]=1'), (0, 1, '[표#]=1'), (1, 0, 'Q#.=1'), (1, 1, 'Q#.=1'), (2, 0, ''), (3, 0, '【표#】=1'), (3, 1, ''), (3, 2, ''), (4, 0, '문#)=1'), (5, 0, '<표#>=1')) k(kind, nth, styles))
-SELECT doc, CAST(number * 4 + nth AS INTEGER) AS page, styles, kind = 0 AND nth = 0 AS goes_on FROM o JOIN k ON kind = doc % 6""")
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+l AS (SELECT l_orderkey AS key, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS parts, array_to_string(list(CAST(l_quantity AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_quantity), ' ') AS shares, array_to_string(list('1.0'), ' ') AS others FROM lineitem GROUP BY 1),
+k AS (SELECT * FROM (VALUES (0, 0, '[표#]=1'), (0, 1, '[표#]=1'), (1, 0, 'Q#.=1'), (1, 1, 'Q#.=1'), (2, 0, ''), (3, 0, '【표#】=1'), (3, 1, ''), (3, 2, ''), (4, 0, '문#)=1'), (5, 0, '<표#>=1')) k(kind, nth, styles)),
+p AS (SELECT *, CASE kind WHEN 0 THEN '▣ 전체 ▣' WHEN 1 THEN CASE nth WHEN 0 THEN '전 체' ELSE '전체' END WHEN 2 THEN CASE number % 2 WHEN 0 THEN '합 계' ELSE '합계' END
+    WHEN 3 THEN CASE nth WHEN 0 THEN '' WHEN 1 THEN '전체' ELSE '■ 전체 ■' END WHEN 4 THEN '전체' ELSE '합계' END AS totals, CASE nth WHEN 1 THEN parts[1:4] ELSE parts[5:] END AS shown,
+  CASE WHEN kind = 1 OR kind = 2 AND number % 2 = 0 THEN CASE nth WHEN 0 THEN shares ELSE others END END AS bunch FROM o JOIN l USING (key) JOIN k ON kind = doc % 6)
+SELECT doc, CAST(number * 4 + nth AS INTEGER) AS page, styles, styles AS questions, totals,
+       CASE WHEN kind = 3 AND nth = 0 THEN 'plain_plain' WHEN kind = 0 THEN 'parenthesized_comma,parenthesized_plain,plain_plain'
+            WHEN kind = 3 THEN 'parenthesized_comma,parenthesized_plain' || CASE WHEN len(list_filter(shown, lambda x: x BETWEEN 100 AND 9999)) > 0 THEN ',plain_plain' ELSE '' END ELSE 'parenthesized_comma,plain_plain' END AS formats,
+       CASE WHEN kind = 3 AND nth = 0 THEN 'none' WHEN regexp_matches(bunch, '([0-9]{1,3}[.][0-9][ ]*){3}') THEN 'bunched' WHEN kind NOT IN (1, 2) OR regexp_matches(coalesce(bunch, shares), '\\b[0-9]{1,3}[.][0-9]\\b') THEN 'cell' ELSE 'none' END AS ratios,
+       kind = 0 AND nth = 0 AS goes_on FROM p""")
 def page_screening(spark, d):
-    """Which styles of headings every page has, and whether it says that it goes on."""
+    """Which headings and question marks every page has, how it names its total rows and writes whole numbers, where its ratios stand, and whether it says that it goes on."""
     return pages.page_markers(report_pages(spark, d))
 
 

@@ -120,6 +120,32 @@ def test_profiles_of_odd_pages(spark):
     }
 
 
+def test_markers(spark):
+    """All that a page shows, in its text and in its cells."""
+    texts = [
+        "[표 1] 질문\n전체 (1,007) 45.2 30.1 20.0", "Q1. 질문\n합계 1007 45.2", "문 3) 다음 페이지\n▣ 전체 ▣", "nothing", None,  # the pages screened before headings were
+        "see [표 2] and [표3]-x, SQ 4. or 설문 5) of 6번)\n표 7\n 8) one\n9. Two\n10. three\n11)\n[문 1200] x\n[표 2] y",
+        "a FAQ 1. 2Q23. 45.2% (500) (1234 명 1,007명 2023년 12,345 1007, 0.123 A100 12345\n계 속\n전\t체 이하 계속",
+    ]
+    texts.append("표 5\n. x\n▣계▣ 전 체 ▣")
+    rows = [(1, "a", i, text, None) for i, text in enumerate(texts)]
+    rows.append((2, "a", 0, "표 1", [[["구분", "[Q 2]"], ["[ 전 체 ]", "(500)", "45.2", "30.1", "20.0"], None, [], [None, "x"]], None, [["합계", "1.5, 2.5\n3.5", "계속"], ["□합 계□", "1,007"], ["전체의", "계"]]]))
+    rows.append((2, "a", 1, "", [[["합계", "1,007", "45.2", "30.1", "20.0"]]]))
+    found = {(r.doc, r.page): tuple(r)[2:] for r in pages.page_markers(spark.createDataFrame(rows, pages.PAGE)).collect()}
+    assert found == {
+        (1, 0): ("[표#]=1", "[표#]=1", "전체", "parenthesized_comma", "bunched", False),
+        (1, 1): ("Q#.=1", "Q#.=1", "합계", "plain_plain", "cell", False),
+        (1, 2): ("문#)=1", "문#)=1", "▣ 전체 ▣", "", "none", True),
+        (1, 3): ("", "", "", "", "none", False),
+        (1, 4): ("", "", "", "", "none", False),
+        (1, 5): ("#)=2,#.=2,[문#]=1,[표#]=1,표#=1", "#)=2,#.=1,#번)=1,SQ#.=1,[문#]=1,[표#]=3,문#)=1,표#=1", "", "plain_plain", "none", False),
+        (1, 6): ("", "", "계,전 체", "parenthesized_plain,plain_comma,plain_plain", "cell", True),
+        (1, 7): ("표#.=1", "표#=1", "▣ 전 체 ▣,▣계▣,전 체", "", "none", False),
+        (2, 0): ("표#=1", "[Q#]=1,표#=1", "[ 전 체 ],□합 계□,전 체,합계", "parenthesized_plain,plain_comma", "bunched", True),
+        (2, 1): ("", "", "합계", "plain_comma", "cell", False),
+    }
+
+
 def test_table_shapes(spark):
     t = lambda *widths: [[""] * n for n in widths]
     rows = [(1, "a", 1, "", [t(2, 3), t(2, 3), t(1)]), (1, "a", 2, "", [[], None, t(4), t(5)]), (1, "a", 3, "", None), (1, "a", 4, "", []), (2, "a", 1, "", None), (3, "a", 1, "", [[]]), (3, "a", 2, "", [t(2, 1, 1), t(1)])]

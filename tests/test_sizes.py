@@ -134,3 +134,9 @@ def test_profiled_reports_are_made_once(spark, same_as_sql, capsys, name):
 def test_cells_are_dealt_out(spark, capsys):
     catalogue.QUERIES["unmerged_cells"](spark, DATA).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["page_screening", "document_profile"])
+def test_reports_of_a_thousand_questions(spark, same_as_sql, name):
+    """One customer has all orders, so that questions' numbers have four figures."""
+    same_as_sql(name, orders=spark.read.parquet(f"{DATA}/orders.parquet").withColumn("o_custkey", F.lit(7)))
